@@ -79,7 +79,8 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[st
     many tasks; totals of (group, task) give each task its starting value.
     Adds to each row, per entry k of `sums`, the total of the rows before it
     (exclusive) as column k. Second result: one row per group with the totals.
-    `order` must end in a unique key for results that do not vary.
+    Group columns must not be null; `order` must end in a unique key for
+    results that do not vary.
     """
     spark = df.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -91,8 +92,8 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[st
     parts = parts.withColumns({f"_b_{k}": F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)) for k in sums})
     within = Window.partitionBy(*group, "_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = dealt.withColumns({f"_i_{k}": F.coalesce(F.sum(f"_w_{k}").over(within), F.lit(0)) for k in sums})
-    on = [inner[c].eqNullSafe(parts[c]) for c in (*group, "_task")]
-    out = inner.join(parts, on, "inner").select(*(inner[c] for c in df.columns), *((F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in sums))
+    joined = inner.join(parts, [*group, "_task"])
+    out = joined.select(*df.columns, *((F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in sums))
     totals = parts.groupBy(*group).agg(*(F.sum(f"_s_{k}").alias(k) for k in sums))
     return out, totals
 

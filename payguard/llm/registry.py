@@ -1,9 +1,11 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from payguard.llm import chat
+from payguard.llm import chat, media, secrets
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_media_columns": media.op2_media_columns,
+    "op3_secret_scan": secrets.op3_secret_scan,
 }
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
