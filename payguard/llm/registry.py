@@ -1,11 +1,13 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from payguard.llm import chat, media, secrets
+from payguard.llm import chat, media, packing, secrets, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_media_columns": media.op2_media_columns,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_kd_sharding": sharding.op4_kd_sharding,
+    "op5_packing": packing.op5_packing,
 }
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
