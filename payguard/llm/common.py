@@ -141,5 +141,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         now = materialize(small.filter("a <> b").distinct(), name)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
-            return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
+            found = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
+            return found.union(found.select("component", "component").distinct())
         seen = state
