@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from payguard.llm import chat, media, near_dup, packing, secrets, sharding, substring
+from payguard.llm import chat, decontam, media, near_dup, packing, secrets, sharding, substring, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -8,11 +8,14 @@ QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_kd_sharding": sharding.op4_kd_sharding,
     "op5_packing": packing.op5_packing,
+    "op6_decontamination": decontam.op6_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_hyperminhash": near_dup.op8_hyperminhash,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
+    "op6_decontamination": decontam.ORACLE,
     "op8_hyperminhash": near_dup.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
 }

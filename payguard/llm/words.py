@@ -39,7 +39,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-_POW, _INV = _powers(_P, _SEGMENT), _powers(_P_INV, _SEGMENT)
+_POW, _INV = _powers(_P, _SEGMENT + 1), _powers(_P_INV, _SEGMENT + 1)
 
 
 def split(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool
         j = max(i + 1, int(np.searchsorted(ends, lo + _SEGMENT, side="right")))
         hi = ends[j - 1]
         n = int(hi - lo)
-        power, inverse = (_POW, _INV) if n <= _SEGMENT else (_powers(_P, n), _powers(_P_INV, n))
+        power, inverse = (_POW, _INV) if n <= _SEGMENT else (_powers(_P, n + 1), _powers(_P_INV, n + 1))
         sums = np.zeros(n + 1, _U)
         np.cumsum(table[buffer[lo:hi]] * power[:n], out=sums[1:])
         out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * inverse[starts[i:j] - lo]
