@@ -1,16 +1,64 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Toxic documents go; one document of each near-duplicate group stays; documents
+that hold a benchmark item go; secrets are cut out of the texts; what is left
+is packed into training sequences. All stages but the last return the columns
+that they were given.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from payguard.llm import decontam, near_dup, packing, secrets, toxicity
 from payguard.llm.common import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
-#: No SQL: the classifier and the tokenizer have none.
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.7; the scorer learns from the labels of the documents given."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, toxicity.remainder(3) != 1)
+    return model.with_score(docs, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the least doc_id."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontam.contained_items(spark, items)
+    return docs.withColumn("_hits", hits).filter(F.size("_hits") == 0).select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; each secret in a text is replaced by its kind in brackets, and n_chars follows."""
+    out = docs.withColumn("text", secrets.redacted_column())
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 ids."""
+    return packing.pack(docs, packing.default_vocabulary()).drop("ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 

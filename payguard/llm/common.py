@@ -122,6 +122,17 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def bitmap_column(bitmap: np.ndarray, spark: SparkSession, column: str) -> Column:
+    """Whether the bitmap may hold a bigint column's value; false for null."""
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def run(keys: pa.Array) -> pa.Array:
+        values = keys.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array(in_bitmap(sent.value, values) & ~keys.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, "boolean")(F.col(column))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected bigint edges (a, b): rows (id, component), the smallest id reachable.
 

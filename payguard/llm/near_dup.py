@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import bitmap_of, components, in_bitmap, materialize, text_buffer, text_slices
+from payguard.llm.common import bitmap_column, bitmap_of, components, in_bitmap, materialize, text_buffer, text_slices
 
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
@@ -327,6 +327,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> D
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs without the near duplicates: of each group the row of the least doc_id stays, with all its columns.
+
+    Of repeated rows of one doc_id, the least stays. Rows of a null doc_id stay. Only
+    rows that a bitmap of the affected doc_ids marks are shuffled.
+    """
+    found = near_duplicates(docs, percent).filter("doc_id IS NOT NULL")
+    gone = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min("kept").alias("_kept")).filter("_n > 1 OR NOT _kept")
+    gone = materialize(gone, "near-duplicates")
+    marked = docs.withColumn("_maybe", bitmap_column(bitmap_of(gone, "doc_id"), docs.sparkSession, "doc_id"))
+    tested = marked.filter("_maybe").join(gone, "doc_id", "left")
+    once = tested.filter("_n IS NULL OR (_kept AND _n = 1)").select(*docs.columns)
+    repeated = tested.filter("_kept AND _n > 1").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return marked.filter("NOT _maybe").select(*docs.columns).unionByName(once).unionByName(repeated)
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

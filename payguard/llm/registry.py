@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from payguard.llm import chat, decontam, media, near_dup, packing, secrets, sharding, substring, toxicity
+from payguard.llm import chat, decontam, media, near_dup, packing, quality, secrets, sharding, substring, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontamination": decontam.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_hyperminhash": near_dup.op8_hyperminhash,
+    "op9_quality_mil": quality.op9_quality_mil,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 ORACLES = {

@@ -16,7 +16,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from payguard.llm.common import text_slices
 
@@ -204,3 +205,16 @@ def scan(docs: DataFrame) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")
+
+
+def redacted_column() -> Column:
+    """A column of `text`: the text without its secrets; null stays null."""
+
+    def run(text: pa.Array) -> pa.Array:
+        out = []
+        for value in text.to_pylist():
+            spans = sorted(base_spans(value) + confirmed_spans(value), key=_order) if value else []
+            out.append(redact(value, spans) if spans else value)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(F.col("text"))
