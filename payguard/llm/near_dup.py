@@ -29,7 +29,7 @@ MANTISSA = 10
 #: Bits of the estimate's code: the lowest bit of as many registers.
 CODE = 128
 #: Members of a candidate group that one task compares; larger groups are cut into blocks of about this size.
-BLOCK = 256
+BLOCK = 512
 PIVOTS = 4
 _EMPTY = np.iinfo(np.uint64).max
 _U = np.uint64
@@ -67,12 +67,15 @@ def registers(row: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band (n x 64). A band's registers lie far apart, so that a filled run is not one band."""
+    """A 40-bit key of each band (n x 64), short because each one is shuffled; a chance collision costs a comparison, no more.
+
+    A band's registers lie far apart, so that a filled run is not one band.
+    """
     parts = regs.astype(_U).reshape(len(regs), ROWS, BANDS)
     key = np.arange(BANDS, dtype=_U) << _U(50)
     for k in range(ROWS):
         key = W.mix(key ^ parts[:, k]) if k == 0 else W.mix((key << _U(7) | key >> _U(57)) ^ parts[:, k])
-    return key
+    return key >> _U(24)
 
 
 def codes(regs: np.ndarray) -> np.ndarray:
@@ -152,8 +155,13 @@ def _bucket_edges(code: np.ndarray, size: np.ndarray, threshold: float) -> list[
 
 
 def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) that connect, within each band bucket, all pairs that may reach the threshold. nodes: node, n_shingles, c1, c2, bands."""
-    rows = nodes.select(F.explode("bands").alias("key"), "node", "c1", "c2", F.col("n_shingles").cast("int").alias("size"))
+    """Edges (a, b) that connect, within each band bucket, all pairs that may reach the threshold. nodes: node, n_shingles, c1, c2, bands.
+
+    Most buckets have one member; only the others' members are joined with
+    their codes.
+    """
+    shared = nodes.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, node bigint")
+    rows = shared.join(nodes.select("node", "c1", "c2", F.col("n_shingles").cast("int").alias("size")), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, "key"):
@@ -161,16 +169,24 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
             key, node, c1, c2, size = (table[c].to_numpy() for c in ("key", "node", "c1", "c2", "size"))
             code = np.stack([c1, c2], axis=1).view(_U)
             cuts = np.flatnonzero(np.diff(key)) + 1
-            starts, ends = np.append(0, cuts), np.append(cuts, len(key))
-            many = ends - starts > 1
             a, b = [], []
-            for lo, hi in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist(), strict=True):
                 for x, y in _bucket_edges(code[lo:hi], size[lo:hi].astype(np.int64), threshold):
                     a.append(node[lo + x])
                     b.append(node[lo + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted batches whose key is another row's too."""
+    for group in _runs(batches, "key"):
+        table = pa.Table.from_batches(group)
+        key = table["key"].to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        yield from table.filter(pa.array(keep)).to_batches()
 
 
 def shingle_sets(docs: DataFrame, wanted) -> DataFrame:
@@ -284,17 +300,22 @@ def _confirm_large(sets: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     place = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pivots = sets.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")) < PIVOTS)
-    first = sets.select(F.xxhash64("candidate", place).alias("g"), F.lit(1).alias("side"), "node", "members").unionByName(pivots.select("candidate", "node", "members", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("p")).select(F.xxhash64("candidate", "p").alias("g"), F.lit(2).alias("side"), "node", "members"))
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    first = sets.select(F.xxhash64("candidate", place).alias("g"), F.lit(1).alias("side"), "node", "members")
+    first = first.unionByName(pivots.select("candidate", "node", "members", each.alias("p")).select(F.xxhash64("candidate", "p").alias("g"), F.lit(2).alias("side"), "node", "members"))
     edges = materialize(_confirm(first, percent), "pivot-edges")
+
+    # Which members are outside their group's largest part is found on ids alone; sets are joined once, and only where some are.
     labels = components(edges, "pivot-parts").withColumnsRenamed({"id": "node"})
-    labelled = sets.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    sizes = labelled.groupBy("candidate", "part").agg(F.count(F.lit(1)).alias("n"))
+    ids = sets.select("candidate", "k", "node").join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    sizes = ids.groupBy("candidate", "part").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("candidate").agg(F.max_by("part", F.struct("n", F.col("part"))).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-    labelled = materialize(labelled.join(main, "candidate").filter("outside > 0"), "large-sets")
+    ids = ids.join(main.filter("outside > 0"), "candidate").select("node", (F.col("part") != F.col("main")).alias("apart"), "outside")
+    todo = materialize(sets.join(ids, "node"), "large-sets")
     cells = F.ceil(F.col("outside") / BLOCK).cast("int")
     cell = F.pmod(F.xxhash64("node", F.lit(2)), cells).cast("int")
-    outside = labelled.filter("part <> main").select("candidate", cell.alias("u"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("p"), F.lit(1).alias("side"), "node", "members")
-    against = labelled.select("candidate", F.explode(F.sequence(F.lit(0), cells - 1)).alias("u"), place.alias("p"), F.lit(2).alias("side"), "node", "members")
+    outside = todo.filter("apart").select("candidate", cell.alias("u"), each.alias("p"), F.lit(1).alias("side"), "node", "members")
+    against = todo.select("candidate", F.explode(F.sequence(F.lit(0), cells - 1)).alias("u"), place.alias("p"), F.lit(2).alias("side"), "node", "members")
     rest = outside.unionByName(against).select(F.xxhash64("candidate", "u", "p").alias("g"), "side", "node", "members")
     return edges.unionByName(_confirm(rest, percent))
 
