@@ -190,6 +190,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
     sent = materialize(_send(docs, window, shared, often), "super-k-mers")
     single = sent.filter("hot").select("k1", "k2", "doc_id", "text_key", "at", "n")
     least = single.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
+    least = materialize(least, "frequent")  # so that the join deals both sides itself, and splits a very frequent window
     frequent = single.join(least, ["k1", "k2"]).filter("low < doc_id").select("doc_id", "text_key", "at", "n")
     return _bucket_repeats(sent, window).unionByName(frequent)
 
