@@ -1,0 +1,381 @@
+"""The operators on the awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import base64
+import hashlib
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from payguard.llm import chat, cutting_stock, decontam, media, near_dup, packing, quality, secrets, sharding, substring, toxicity
+from payguard.llm.common import components, materialize, new_path, prefix_sums
+
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
+BASE = " ".join(f"t{i}" for i in range(120))
+NEAR = BASE.replace("t60", "u60")
+DOCS = [(1, BASE), (2, NEAR), (3, None), (4, ""), (5, "one two"), (6, "one two"), (7, LONG), (7, LONG), (None, "null id"), (8, BASE.upper()), (9, "  \n "), (10, "ONE  two"), (11, "\x85 a\xa0b")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Awkward documents with columns whose names the operators use themselves."""
+    df = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    return df.withColumns({c: F.lit(7) for c in ("score", "node", "features", "shard", "_task", "probability", "source", "lang", "n_chars", "key")}).withColumn("source", F.lit("s")).withColumn("lang", F.lit(None).cast("string")).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.filter("doc_id > 100")
+
+
+def shingle_set(text):
+    w = [bytes(x).translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for x in (text or "").encode().split()]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(rows):
+    """Components by all pairs of exact sets."""
+    sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+    return {i: root(i) for i, _ in sets}
+
+
+def test_near_duplicates_match_brute_force(docs):
+    got = near_dup.near_duplicates(docs).collect()
+    assert len(got) == len(DOCS)
+    expected = brute_groups(DOCS)
+    for r in got:
+        assert r.component_id == (expected[r.doc_id] if r.doc_id is not None else None)
+        assert r.kept == (r.doc_id is None or r.component_id == r.doc_id)
+    assert {r.doc_id: r.n_shingles for r in got}[3] == 0
+
+
+def test_large_candidate_groups_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    words = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(words)
+        for at in rng.integers(0, 200, int(rng.integers(0, 9))):
+            w[at] = f"z{i}_{at}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = brute_groups(rows)
+    for block in (2, 1000):
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, block=block).collect()} == expected
+    assert len(set(expected.values())) > 1
+
+
+def test_dropping_near_duplicates_keeps_columns_and_one_row(docs, none):
+    kept = near_dup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.select("doc_id").collect()) == sorted(["1", "3", "4", "5", "7", "9", "11", "None"])
+    assert near_dup.drop_near_duplicates(none).count() == near_dup.near_duplicates(none).count() == 0
+
+
+def test_hyperminhash_estimates_are_near():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 2**63, 200).astype(np.uint64)])
+    regs = near_dup.registers(np.repeat([0, 1], 1000), np.concatenate([a, b]), 2)
+    assert abs((regs[0] == regs[1]).mean() - 800 / 1200) < 0.1
+    code = near_dup.codes(regs)
+    assert abs(near_dup.estimate(np.bitwise_count(code[0] ^ code[1]).sum()) - 800 / 1200) < 0.25
+
+
+def brute_kept(rows, window=50):
+    first = {}
+    split = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in split:
+        for p in range(len(w) - window + 1 if i is not None else 0):
+            k = tuple(w[p : p + window])
+            first[k] = min(first.get(k, i), i)
+    out = []
+    for i, w in split:
+        gone = set()
+        for p in range(len(w) - window + 1 if i is not None else 0):
+            if first[tuple(w[p : p + window])] < i:
+                gone.update(range(p, p + window))
+        out.append((str(i), len(w), len(gone), b" ".join(x for n, x in enumerate(w) if n not in gone).decode()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_repeated_windows_match_brute_force(spark, docs, none, hot):
+    got = substring.kept_texts(docs, hot=hot).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == brute_kept(DOCS)
+    assert substring.kept_texts(none, hot=hot).count() == 0
+
+
+def test_shared_passages_inside_longer_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"{' '.join(f'a{i}_{j}' for j in range(i % 7))} {passage} tail{i} {passage}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot in (5, 1000):
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring.kept_texts(df, hot=hot).collect()) == brute_kept(rows)
+
+
+def test_chat_round_trip(spark):
+    texts = [chat.PROBE, "", None, "\\", "<turn>", "<|image:0|>", "a\\</turn>\n", "<\\turn>"]
+    rows = [(1, i, "assistant" if i % 2 else "us\\er\n", t) for i, t in enumerate(texts)] + [(None, None, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit("clash"))
+    formatted = chat.format_turns(chat.text_parts(df))
+    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    first = [(r, t or "") for _, _, r, t in rows[:8]]
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in first).encode()).hexdigest()
+    loss = "".join(t for r, t in first if r == "assistant")
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    whole = {r.conv_id: r.formatted for r in chat.assemble(formatted).collect()}
+    assert len(whole[1]) == got[1].formatted_chars
+    parser = chat.TurnParser()
+    turns = [x for i in range(0, len(whole[1]), 3) for x in parser.feed(whole[1][i : i + 3])]
+    assert [(r, chat.unescape(b)) for r, b in turns] == first
+    assert got[2].n_turns == 2 and got[None].n_turns == 1
+    assert chat.read_back(formatted.limit(0)).count() == 0
+
+
+def test_typed_parts_become_ordered_placeholders(spark):
+    parts = [("text", "look ", None, None, None, None, None), ("image", None, "s3://a", 28, 15, None, None), ("audio", None, "b", None, None, 1.5, None), ("document", None, "c", None, None, None, 2), ("odd", "<|image:0|>", None, None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART.simpleString()}>")
+    r = chat.format_turns(df).filter("turn = 0").first()
+    assert r.formatted == "<turn>user\nlook <|image:0|><|audio:1|><|document:2|><\\|image:0|></turn>\n"
+    assert [(a["index"], a["kind"], a["ref"], a["tokens"]) for a in r.attachments] == [(0, "image", "s3://a", 4), (1, "audio", "b", 38), (2, "document", "c", 512)]
+    assert r.attachment_tokens == 554
+
+
+def test_media_round_trip(spark, docs, none):
+    folder = new_path(spark, "shards")
+    manifest = media.store(docs, folder)
+    places = media.locations(manifest)
+    found = manifest.select("doc_id", "n_bytes", "digest").join(media.payload_columns(places, folder), "digest").collect()
+    texts = {str(i): t for i, t in DOCS}
+    assert len(found) == len(DOCS)
+    for r in found:
+        p = media.padded((texts[str(r.doc_id)] or "").encode())
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    heads = {bytes(r.digest): (r.width, r.height, r.bit_depth) for r in media.header_columns(places, folder).collect()}
+    assert all(heads[bytes(r.digest)] == (64, r.payload_bytes // 64, 8) for r in found)
+    first = manifest.first()
+    entry = media.extract(folder, first.shard)[f"{bytes(first.digest).hex()}.png"]
+    assert hashlib.sha256(entry).digest() == bytes(first.digest)
+    empty = media.store(none, new_path(spark, "shards"))
+    assert media.payload_columns(media.locations(empty), folder).count() == 0
+
+
+def base_brute(text):
+    text = text or ""
+    names = ("assign", "access", "hex")
+    out = [("assign", *m.span()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.ASCII) if len(m[1]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], names.index(s[0])))
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+RSA = der(0x30, b"".join(der(2, x) for x in (b"\0", b"\x01" * 64, b"\x01\0\x01", b"\x05" * 64, b"\x07" * 32, b"\x09" * 32, b"\x0b" * 32, b"\x0d" * 32, b"\x0f" * 32)))
+JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"0123456789abcdef"))
+SSH = base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"\x01" * 32))).decode()
+
+
+def test_secrets_base_and_structure(spark, docs, none):
+    key = base64.b64encode(RSA).decode()
+    texts = ["ﬀ token: 'abcdefgh1' x", "SECRET=x token=abcdefgh", "secret=token: abcdefghij", "AKIAABCDEFGHIJKL12", "AKIA1", "f" * 32, "f" * 31 + " " + "0" * 40, "tſecret=ſecret=abcdefgh", f"id {JWT}.", f"k {key} end", f"k {key[:-9]} end", f"h {RSA.hex()} h", f"{SSH} me", f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----", "eyJhbGciOi.broken.signature", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    for i, t in enumerate(texts):
+        expected = base_brute(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in expected).encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for k, _, _ in expected) for x in ("assign", "access", "hex")]
+    kinds = {i: [s.split(":")[0] for s in got[i].spans.split(",") if s.split(":")[0] not in secrets.BASE] for i in got}
+    assert kinds[8] == ["signed_token"] and kinds[9] == ["der_key"] and kinds[10] == [] and kinds[11] == ["der_key"] and kinds[12] == ["openssh_key"] and kinds[14] == []
+    assert "pem_key" in kinds[13] and got[13].redacted == "[pem_key]"
+    assert got[0].redacted == "ﬀ [assign]' x" and got[15].redacted is None
+    assert secrets.scan(docs).count() == len(DOCS) and secrets.scan(none).count() == 0
+
+
+def test_sharding_matches_a_sequential_tree(spark, docs, none):
+    got = sharding.shard_documents(docs, 40_000).collect()
+    assert len(got) == len(DOCS)
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.shard, []).append(r)
+    for members in sizes.values():
+        assert sorted(r.slot for r in members) == list(range(len(members)))
+    texts = {}
+    for i, t in DOCS:
+        texts.setdefault(str(i), (t or "").encode())
+    assert all(r["size"] == len(texts[str(r.doc_id)]) + 1 and r.text_crc32 == zlib.crc32(texts[str(r.doc_id)]) for r in got)
+    assert sharding.shard_documents(none, 100).count() == 0
+
+
+def test_shards_are_near_equal(spark):
+    df = spark.createDataFrame([(i, "same" if i % 3 == 0 else "x" * (1 + i * 7 % 300), f"s{i % 5}", "en") for i in range(2000)], "doc_id bigint, text string, source string, lang string")
+    total = df.agg(F.sum(F.length("text") + 1)).first()[0]
+    got = sharding.shard_documents(df, -(-total // 8)).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(got) == 8 and max(r.b for r in got) - min(r.b for r in got) <= 3 * 301
+
+
+def test_packing_covers_each_id_once(spark, docs, none):
+    got = packing.pack(docs, packing.default_vocabulary(), with_ids=True).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    t.encode_special_tokens = True
+    texts = {str(i): x for i, x in DOCS}
+    by_doc, by_sequence = {}, {}
+    for r in got:
+        by_doc.setdefault(str(r.doc_id), []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+        assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
+    for i, pieces in by_doc.items():
+        want = [*t.encode(texts[i] or "", add_special_tokens=False).ids, 0]
+        copies = sum(str(d) == i for d, _ in DOCS)
+        starts = sorted((p.start, p.length) for p in pieces)
+        assert sum(n for _, n in starts) == copies * len(want) and all(p.doc_tokens == len(want) for p in pieces)
+        for p in pieces:
+            assert np.frombuffer(p.ids, "<u4").tolist() == want[p.start : p.start + p.length]
+    for pieces in by_sequence.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+    assert packing.pack(none, packing.default_vocabulary()).count() == 0
+
+
+def test_ids_equal_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    t.encode_special_tokens = True
+    ours = packing.encoder(packing.default_vocabulary())
+    for text in ["", " a  b\n\n c", "été 12345 l'été I'm <|endoftext|>", "日本​𝕏\x00", "x" * 3000, LONG[:5000]]:
+        assert ours.encode_to_numpy(text, disallowed_special=()).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cutting_stock_plans_hold_the_demand(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(rng.choice(np.arange(1, 65), 20, replace=False))
+    demand = rng.integers(0, 3000, 20) + 1
+    made = sum(counts * times for counts, times in cutting_stock.plan(lengths, demand, 64))
+    assert (made >= demand).all()
+    used = sum(times for _, times in cutting_stock.plan(lengths, demand, 64))
+    assert used <= -(-int((lengths * demand).sum()) // 64) * 1.05 + 25
+    assert all((counts * lengths).sum() <= 64 for counts, _ in cutting_stock.plan(lengths, demand, 64))
+
+
+def test_contained_items_match_brute_force(spark, docs, none):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choice(words, int(rng.integers(3, 60))))) for i in range(60)] + [(99, None), (98, "a b")]
+    rows = []
+    for i in range(80):
+        _, text = items[i % 60]
+        w = (text or "").split()
+        for at in rng.integers(0, max(1, len(w)), int(rng.integers(0, 4))):
+            w[at] = "changed"
+        filler = " ".join(rng.choice(words, int(rng.integers(0, 3000))))
+        rows.append((i, f"{filler} {' '.join(w).upper() if i % 5 == 0 else ' '.join(w)} {filler}"))
+    df, it = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+
+    def sh(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    have, want = {d: sh(t) for d, t in rows}, {i: sh(t) for i, t in items}
+    expected = sorted((d, i, len(have[d] & w), len(w)) for d in have for i, w in want.items() if w and 4 * len(have[d] & w) >= 3 * len(w))
+    assert sorted(tuple(r)[:4] for r in decontam.leaks(df, it).collect()) == expected and expected
+    blocks = df.select("doc_id", F.explode(decontam.contained_items(spark, it, block_bytes=2000)).alias("h")).select("doc_id", "h.*")
+    assert sorted(map(tuple, blocks.collect())) == expected
+    assert decontam.leaks(docs, it).count() == 0 and decontam.leaks(none, it).count() == 0 and decontam.leaks(df, it.limit(0)).count() == 0
+
+
+def test_prefix_sums_are_exact(spark):
+    df = spark.createDataFrame([(i % 3 if i % 2 else 0, i, i * 2 + 1) for i in range(500)], "g int, k bigint, w bigint")
+    got, totals = prefix_sums(df, ["g"], ["k"], {"before": F.col("w"), "rank": F.lit(1).cast("long")}, "t")
+    state = {}
+    for r in sorted(got.collect(), key=lambda r: (r.g, r.k)):
+        b, n = state.get(r.g, (0, 0))
+        assert (r.before, r["rank"]) == (b, n)
+        state[r.g] = (b + r.w, n + 1)
+    assert {r.g: (r.before, r["rank"]) for r in totals.collect()} == state
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "c").collect()}
+    assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 160)}
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), "c").count() == 0
+
+
+def auc(y, p):
+    order = np.argsort(p, kind="stable")
+    ranks = np.empty(len(p))
+    values = np.asarray(p)[order]
+    ranks[order] = np.searchsorted(values, values, "left") / 2 + np.searchsorted(values, values, "right") / 2
+    y = np.asarray(y) == 1
+    return (ranks[y].sum() - y.sum() * y.sum() / 2) / (y.sum() * (~y).sum())
+
+
+@pytest.mark.parametrize(("function", "label", "least"), [(toxicity.op7_toxicity, "toxic", 0.85), (quality.op9_quality_mil, "quality", 0.98)])
+def test_held_out_accuracy(spark, function, label, least):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = function(spark, folder).collect()
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all(0 <= r.score <= 1 for r in got)
+    held = [(labels[r.doc_id], r.score) for r in got if r.held_out and r.doc_id in labels]
+    assert auc(*zip(*held, strict=True)) > least
+
+
+def test_classifiers_take_awkward_rows(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 1, 1), (5, 0, 1), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for df, n in ((docs, len(DOCS)), (none, 0)):
+        scored = toxicity.fit(df, labels).with_score(df, "tox")
+        assert scored.columns == [*docs.columns, "tox"] and scored.count() == n
+        scored = quality.with_score(df, quality.fit(df, labels), "q")
+        assert scored.columns == [*docs.columns, "q"] and scored.filter("q >= 0 AND q <= 1").count() == n
+    assert toxicity.fit(docs, labels.limit(0)).with_score(docs, "tox").count() == len(DOCS)
+
+
+def test_attention_gradient_is_right():
+    rng = np.random.default_rng(2)
+    x, row, y = rng.normal(size=(12, quality.WIDTH)), np.repeat([0, 1, 2], 4), np.array([1.0, 0.0, 1.0])
+    w = quality.train(x, row, y, epochs=1)
+    w["o"] = rng.normal(size=len(w["o"]))
+
+    def loss(v):
+        p = quality.forward(v, x, row, 3)["p"]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    g = quality.gradient(w, quality.forward(w, x, row, 3), row, y)
+    for k in g:
+        at = tuple(0 for _ in w[k].shape)
+        up, down = {**w, k: w[k].copy()}, {**w, k: w[k].copy()}
+        up[k][at] += 1e-6
+        down[k][at] -= 1e-6
+        assert abs((loss(up) - loss(down)) / 2e-6 - g[k][at]) < 1e-5
+
+
+def test_written_tables_keep_their_rows(spark):
+    assert materialize(spark.range(7), "seven").count() == 7 and materialize(spark.range(0), "none").count() == 0
+    assert json.dumps(new_path(spark, "a")) != json.dumps(new_path(spark, "a"))
