@@ -15,7 +15,7 @@ from payguard.ml.scoring import score
 from payguard.operators import writeback
 from payguard.sources.changes import ChangeSource, decode, read_changes, unscored
 from payguard.sources.snapshots import Snapshots
-from payguard.streaming.velocity_state import enable_state, with_velocity
+from payguard.streaming.velocity_state import state_settings, with_velocity
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,6 @@ def start_scoring(spark: SparkSession, source: ChangeSource, sinks: Sinks, check
     or the rules where there is none. trigger: arguments of
     DataStreamWriter.trigger; by default all that is there is processed once.
     """
-    enable_state(spark)
     trigger = trigger or {"availableNow": True}
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -57,7 +56,8 @@ def start_scoring(spark: SparkSession, source: ChangeSource, sinks: Sinks, check
 
     good, _ = decode(read_changes(spark, source))
     rows = with_velocity(unscored(good).drop("offset"), history)
-    main = rows.writeStream.queryName("scoring").foreachBatch(process).option("checkpointLocation", f"{checkpoint}/scoring").trigger(**trigger).start()
+    with state_settings(spark):
+        main = rows.writeStream.queryName("scoring").foreachBatch(process).option("checkpointLocation", f"{checkpoint}/scoring").trigger(**trigger).start()
     _, dead = decode(read_changes(spark, source))
     letters = dead.writeStream.queryName("dead-letters").format("parquet").option("path", sinks.dead_letters).option("checkpointLocation", f"{checkpoint}/dead-letters").trigger(**trigger).start()
     return main, letters

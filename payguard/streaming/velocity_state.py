@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -63,7 +64,7 @@ class VelocityProcessor(StatefulProcessor):
 def with_velocity(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Streaming rows (customer_id, txn_id, created_at, ...) with their velocity. history: earlier rows that no batch of the stream has.
 
-    Needs the RocksDB state store: see enable_state().
+    Start the query inside state_settings().
     """
     columns = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("velocity_1h", T.LongType()), T.StructField("velocity_24h", T.LongType()), T.StructField("late", T.BooleanType())])
@@ -80,6 +81,16 @@ def initial_velocity_state(history: DataFrame, as_of=None):
     return rows.groupBy("customer_id")
 
 
-def enable_state(spark) -> None:
-    """Use the RocksDB state store, which keeps large states outside the JVM's heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """Start stateful queries inside: RocksDB keeps large states outside the JVM's heap, and a
+    query without new data runs no batch, which state with a lifetime would else ask for forever."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

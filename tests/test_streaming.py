@@ -34,8 +34,7 @@ def run(spark, folder, root, files_per_batch):
     sinks = score.Sinks(f"{root}/events", f"{root}/alerts", f"{root}/dead")
     queries = score.start_scoring(spark, ChangeSource(path=folder, max_files=files_per_batch), sinks, f"{root}/checkpoint")
     for q in queries:
-        q.awaitTermination(240)
-        assert q.exception() is None
+        assert q.awaitTermination(240) and q.exception() is None
     return sinks
 
 
@@ -68,10 +67,10 @@ def test_history_seeds_the_state(spark, tmp_path):
     t0 = datetime(2024, 1, 1, 12)
     history = spark.createDataFrame([(7, t0 - timedelta(minutes=m)) for m in (10, 20, 100)], "customer_id bigint, created_at timestamp")
     spark.createDataFrame([(1, 7, t0), (2, 8, t0), (3, 7, t0 + timedelta(minutes=5))], "txn_id bigint, customer_id bigint, created_at timestamp").write.parquet(f"{tmp_path}/in")
-    velocity_state.enable_state(spark)
     stream = spark.readStream.schema("txn_id bigint, customer_id bigint, created_at timestamp").parquet(f"{tmp_path}/in")
-    q = velocity_state.with_velocity(stream, history).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    with velocity_state.state_settings(spark):
+        q = velocity_state.with_velocity(stream, history).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = {r.txn_id: (r.velocity_1h, r.velocity_24h, r.late) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {1: (3, 4, False), 2: (1, 1, False), 3: (4, 5, False)}
 
@@ -82,8 +81,7 @@ def test_fan_out_writes_four_tables(spark, scored_stream, tmp_path):
     stream = spark.readStream.schema(events.drop("batch").schema).parquet(f"{sinks.events}/batch=*")
     tables = fanout.Tables(*(f"{tmp_path}/{n}" for n in ("tl", "logs", "alerts", "features")))
     q = fanout.start_fanout(spark, stream, tables, f"{tmp_path}/c")
-    q.awaitTermination(240)
-    assert q.exception() is None
+    assert q.awaitTermination(240) and q.exception() is None
     n = events.count()
     assert spark.read.parquet(tables.transaction_logs).count() == spark.read.parquet(tables.logs).count() == n
     assert spark.read.parquet(tables.fraud_alerts).count() == rules.alerts(events).count()
@@ -95,7 +93,7 @@ def test_windowed_counts_on_a_stream_equal_the_batch(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     q = fanout.windowed_counts(stream, "1 day").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r.window_start: tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     expected = {r.window_start: tuple(r) for r in fanout.windowed_counts(rows, "1 day").collect()}
     assert got and all(expected[k] == v for k, v in got.items())
