@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from payguard.llm.common import bound_batches
+
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("seconds", T.DoubleType()), T.StructField("pages", T.IntegerType())])
 ATTACHMENT = "array<struct<index:int,kind:string,ref:string,tokens:int>>"
 OPEN, CLOSE = "<turn>", "</turn>\n"
@@ -87,6 +89,7 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     conversation (see assemble). Null role or parts count as empty; other
     columns are left out; an empty table gives an empty result.
     """
+    bound_batches(turns.sparkSession)
     turns = turns.select("conv_id", "turn", "role", "parts")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of one Arrow batch between Spark and Python, at most.
+BATCH_ROWS = 2000
 #: Bits of a membership bitmap that is sent to every task: 2**25 bits are 4 MB, whatever the input.
 BITMAP_BITS = 25
 _BLOCK = 32768  # bits that one bitmap_construct_agg row holds
@@ -34,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep this session's Arrow batches at BATCH_ROWS rows or what it has set below that; Spark's default of 10,000 long texts is too much for a small executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
     return f"{shared_dir(spark)}/payguard/{name}-{uuid.uuid4().hex}"
@@ -41,6 +50,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again."""
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -124,6 +134,7 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def bitmap_column(bitmap: np.ndarray, spark: SparkSession, column: str) -> Column:
     """Whether the bitmap may hold a bigint column's value; false for null."""
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(bitmap)
 
     def run(keys: pa.Array) -> pa.Array:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payguard.llm import words as W
-from payguard.llm.common import CHUNK_BYTES, in_bitmap, text_buffer
+from payguard.llm.common import CHUNK_BYTES, bound_batches, in_bitmap, text_buffer
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -112,6 +112,7 @@ def contained_items(spark: SparkSession, items: DataFrame, threshold: float = TH
     have no shingles and are never found; null texts contain nothing; repeated
     items are each reported; a null item_id stays null.
     """
+    bound_batches(spark)
     items = items.select("item_id", "text").filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(size / block_bytes) or 1

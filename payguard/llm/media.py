@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm.common import materialize, new_path, text_buffer, text_slices
+from payguard.llm.common import bound_batches, materialize, new_path, text_buffer, text_slices
 
 WIDTH = 64
 #: Bytes after which a task begins another shard.
@@ -129,6 +129,8 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     task cannot point at shards that another attempt has written.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = ShardWriter(folder)
         for batch in text_slices(batches):

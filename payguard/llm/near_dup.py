@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import bitmap_column, bitmap_of, components, in_bitmap, materialize, text_buffer, text_slices
+from payguard.llm.common import bitmap_column, bitmap_of, bound_batches, components, in_bitmap, materialize, text_buffer, text_slices
 
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
@@ -329,6 +329,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> D
     kept. Rows of one doc_id are one document. Other columns are left out.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", "text")
     found = materialize(signatures(docs), "signatures")
     named = found.filter("doc_id IS NOT NULL AND n_shingles > 0")

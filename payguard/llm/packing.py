@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payguard.llm.common import materialize, prefix_sums, text_slices
+from payguard.llm.common import bound_batches, materialize, prefix_sums, text_slices
 from payguard.llm.cutting_stock import plan
 
 CAPACITY = 1024
@@ -81,6 +81,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int =
     empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     tokens = materialize(tokenize(docs, vocabulary, capacity, with_ids), "tokens")
     rest = F.col("doc_tokens") % capacity
     tokens = tokens.withColumns({"bin": F.ceil(rest / unit).cast("int"), "whole": F.floor(F.col("doc_tokens") / capacity)})

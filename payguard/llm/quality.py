@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import text_slices
+from payguard.llm.common import bound_batches, text_slices
 from payguard.llm.textstats import Batch, column_of
 from payguard.llm.toxicity import labelled_texts, remainder, sample_labels
 
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a column `name`, 0 to 1; all other columns stay. Null texts count as empty."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(name, column_of(model.score)(F.col("text"))[0])
 
 

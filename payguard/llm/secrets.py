@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm.common import text_slices
+from payguard.llm.common import bound_batches, text_slices
 
 #: Kinds in the order in which spans of one start are listed; fixed values.
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "openssh_key", "signed_token")
@@ -186,6 +186,7 @@ def scan(docs: DataFrame) -> DataFrame:
     repeated rows give repeated results, other columns are left out. No
     shuffle; a task holds a few MB of text at a time, one text at least.
     """
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_confirmed", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +208,9 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")
 
 
-def redacted_column() -> Column:
+def redacted_column(spark: SparkSession) -> Column:
     """A column of `text`: the text without its secrets; null stays null."""
+    bound_batches(spark)
 
     def run(text: pa.Array) -> pa.Array:
         out = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import bitmap_of, in_bitmap, materialize, text_buffer, text_slices
+from payguard.llm.common import bitmap_of, bound_batches, in_bitmap, materialize, text_buffer, text_slices
 
 WINDOW = 50
 GRAM = 8
@@ -202,6 +202,7 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFra
     null doc_id are compared with nothing and stay whole; rows of equal doc_id
     never remove each other's words. Other columns are left out.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     found = materialize(repeated_windows(docs.filter("doc_id IS NOT NULL"), window, hot), "repeats")
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(found, "text_key"))

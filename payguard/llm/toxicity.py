@@ -7,7 +7,7 @@ so that lexicon features are as strong in training as they are elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import materialize, text_slices
+from payguard.llm.common import bound_batches, materialize, text_slices
 from payguard.llm.textstats import Batch, column_of
 
 #: Labelled rows that the model is fitted on, at most (on average, as rows are chosen by hash).
@@ -128,6 +128,7 @@ class Model:
 
     def with_score(self, docs: DataFrame, name: str = "score") -> DataFrame:
         """docs with a column `name`: the calibrated score, 0 to 1. All other columns stay."""
+        bound_batches(docs.sparkSession)
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.base))
         scored = self.trees.transform(docs.withColumn("_features", array_to_vector(_column(self.lexicon, self.weight))))
