@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from payguard.llm import decontam, near_dup, packing, secrets, toxicity
 from payguard.llm.common import materialize
+from payguard.llm.labels import remainder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,7 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7; the scorer learns from the labels of the documents given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels, toxicity.remainder(3) != 1)
+    model = toxicity.fit(docs, labels, remainder(3) != 1)
     return model.with_score(docs, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from payguard.llm import words as W
 from payguard.llm.common import bound_batches, text_slices
+from payguard.llm.labels import labelled_texts, remainder, sample_labels
 from payguard.llm.textstats import Batch, column_of
-from payguard.llm.toxicity import labelled_texts, remainder, sample_labels
 
 PASSAGE = 64
 #: Labelled documents that the network is fitted on, at most (on average), and passages of each in fitting, spread evenly.
