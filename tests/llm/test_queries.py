@@ -1,6 +1,7 @@
 """Registered queries against their SQL, and the pipeline against its stages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from payguard.llm import decontam, near_dup, registry, secrets
@@ -27,10 +28,11 @@ def test_pipeline_stages_take_effect(spark):
     leaked = {r.doc_id for r in decontam.leaks(docs, items).collect()}
     fair = stages["decontamination"](spark, docs, SF)
     assert leaked and {r.doc_id for r in fair.collect()} == {r.doc_id for r in docs.collect()} - leaked
-    closed = stages["secrets"](spark, docs, SF)
+    open_texts = docs.withColumn("text", F.concat("text", F.lit(" token = 04dbebab91ab85687d33eeaaf9ac699e")))
+    closed = stages["secrets"](spark, open_texts, SF)
     assert closed.columns == columns and closed.count() == docs.count()
-    assert secrets.scan(docs).filter("spans <> ''").count() > 0 == secrets.scan(closed).filter("spans <> ''").count()
-    assert all(r.n_chars == len(r.text) for r in closed.filter("text LIKE '%[assign]%'").collect())
+    assert secrets.scan(open_texts).filter("spans <> ''").count() == docs.count() and secrets.scan(closed).filter("spans <> ''").count() == 0
+    assert all(r.n_chars == len(r.text) and r.text.endswith(" [assign]") for r in closed.collect())
 
 
 def test_pipeline_runs(spark):
