@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +35,10 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast."""
+    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast.
+
+    Strings of added tokens have those tokens' ids where the call allows them.
+    """
     import public_tokenizers
     import tiktoken
 
@@ -43,25 +46,44 @@ def encoder(vocabulary: str):
         spec = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in spec["added_tokens"] if t["special"]}
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+@lru_cache(maxsize=2)
+def encode_function(vocabulary: str) -> Callable[[str], np.ndarray]:
+    """The ids that the tokenizers library gives a text with add_special_tokens=False.
+
+    Added tokens that tiktoken cannot find as the library does (with flags, or
+    one that begins another) leave the texts that hold them to the library.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    names = [t["content"] for t in added]
+    fast = encoder(vocabulary).encode_to_numpy
+    if not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")) and not any(a != b and a.startswith(b) for a in names for b in names):
+        return lambda text: fast(text, allowed_special="all", disallowed_special=())
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary)
+    return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.int64) if any(x in text for x in names) else fast(text, disallowed_special=())
 
 
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Ids of each (doc_id, text) row, ended by id 0: doc_id, doc_tokens, crcs (of each run of `capacity` ids and the rest), ids.
 
     ids holds little-endian 32-bit ids where with_ids is set, else null. Null
-    text is empty (one id, the end), strings of special tokens are ordinary
-    text, other columns are left out.
+    text is empty (one id, the end), strings of added tokens get those tokens'
+    ids, other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_to_numpy
+        encode = encode_function(vocabulary)
         for batch in text_slices(batches):
             counts, crcs, ids = [], [], []
             for text in batch["text"].to_pylist():
-                got = np.append(encode(text or "", disallowed_special=()), END_ID).astype("<u4")
+                got = np.append(encode(text or ""), END_ID).astype("<u4")
                 data = got.tobytes()
                 counts.append(len(got))
                 crcs.append([zlib.crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])

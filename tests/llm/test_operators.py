@@ -271,6 +271,35 @@ def test_ids_equal_the_tokenizers_library():
         assert ours.encode_to_numpy(text, disallowed_special=()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  <|endoftext|>\n\n y", "<|endoftext|", "été <|ENDOFTEXT|> <|endoftext|>"]
+
+
+def test_added_tokens_get_the_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(SPECIAL)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = packing.pack(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string"), packing.default_vocabulary(), with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
+    assert all(r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes()) for r in got)
+
+
+@pytest.mark.parametrize("flag", ["lstrip", "prefix"])
+def test_other_added_tokens_are_left_to_the_library(tmp_path, flag):
+    from tokenizers import Tokenizer
+
+    with open(packing.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    token = spec["added_tokens"][0]
+    spec["added_tokens"] = [token | {"lstrip": True}] if flag == "lstrip" else [token, token | {"id": 50257, "content": "<|endoftext|>>"}]
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    t = Tokenizer.from_file(str(path))
+    for text in [*SPECIAL, "a <|endoftext|>> b", "plain"]:
+        assert packing.encode_function(str(path))(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cutting_stock_plans_hold_the_demand(seed):
     rng = np.random.default_rng(seed)
