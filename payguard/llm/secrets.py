@@ -31,8 +31,11 @@ BASE = {
 }
 _ASSIGN_HINT = re.compile(r"(?i)passw|secret|token|api_?key", re.ASCII)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+# Line ends and slashes of a body may be escaped, as in JSON strings, however often.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\++[nrt/])+?)-----END \1-----")
+_ESCAPES = re.compile(r"\\++([nrt/])")
+# A run may follow '=' or an escaped line end, whose letter is not part of it; no key begins with n, r or t.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?+([A-Za-z0-9+/_-]{40,}+={0,2})")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
 #: Object identifiers of RSA, elliptic-curve, Ed25519, X25519 and DSA keys, as DER bodies; fixed values.
 _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2a8648ce380401")}
@@ -141,17 +144,17 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = _decoded(m[2])
+            data = _decoded(_ESCAPES.sub(lambda e: "/" if e[1] == "/" else "", m[2]))
             if data and (is_der_key(data) or is_openssh_key(data)):
                 out.append(("pem_key", *m.span()))
     if "eyJ" in text or "ewo" in text or "eyA" in text:
         out += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
     for m in _BASE64.finditer(text):
-        data = _decoded(m[0])
+        data = _decoded(m[1])
         if data and is_der_key(data):
-            out.append(("der_key", *m.span()))
+            out.append(("der_key", *m.span(1)))
         elif data and is_openssh_key(data):
-            out.append(("openssh_key", *m.span()))
+            out.append(("openssh_key", *m.span(1)))
     for m in _HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append(("der_key", *m.span()))

@@ -211,6 +211,21 @@ def test_secrets_base_and_structure(spark, docs, none):
     assert secrets.scan(docs).count() == len(DOCS) and secrets.scan(none).count() == 0
 
 
+def test_keys_after_equals_signs_and_in_json_strings():
+    key = base64.b64encode(RSA).decode()
+    for before in ["private_key=", "RSA_KEY=", "key:", 'key="', "key='", "a==", '{"key": "', r"line\n", r"line\\r\\n"]:
+        text = f"{before}{key}"
+        assert secrets.confirmed_spans(text + "\nend") == [("der_key", len(before), len(text))]
+        assert key not in secrets.redact(text, secrets.confirmed_spans(text))
+    lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+    pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    once = json.dumps({"type": "service_account", "private_key": pem + "\n"})
+    for text in [once, json.dumps(once), json.dumps(pem.replace("\n", "\r\n")), once.replace("/", "\\/"), f"KEY={pem}"]:
+        assert ("pem_key") in [k for k, _, _ in secrets.confirmed_spans(text)]
+        left = secrets.redact(text, secrets.confirmed_spans(text))
+        assert "PRIVATE KEY-----" not in left and not any(x in left for x in lines)
+
+
 def test_sharding_matches_a_sequential_tree(spark, docs, none):
     got = sharding.shard_documents(docs, 40_000).collect()
     assert len(got) == len(DOCS)
