@@ -29,6 +29,12 @@ def _write(spark: SparkSession, path: str, record: dict) -> None:
     fs.rename(beside, target)
 
 
+def use_checkpoints(spark: SparkSession, root: str) -> None:
+    """Checkpoints go to the model store, which all executors share, unless the session has a folder for them."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{root}/_checkpoints")
+
+
 def save(spark: SparkSession, root: str, model: PipelineModel, meta: dict) -> str:
     """Store a candidate; its version. It is not current yet."""
     version = f"gbt-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"

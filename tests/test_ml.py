@@ -88,5 +88,10 @@ def test_monitoring_cycle_records_alerts_and_cooldown(spark, tmp_path):
     assert few.status == "skipped"
 
 
+def test_default_numbers_of_trees_are_the_references():
+    cfg = train.TrainConfig()
+    assert (cfg.trees, cfg.least_trees, cfg.depth, cfg.step, cfg.subsample, cfg.validation) == (600, 100, 5, 0.05, 0.8, 0.15)
+
+
 def test_training_is_skipped_with_few_rows(spark, tmp_path):
     assert "skipped" in train.run_training(spark, Tables(spark, SF).transactions.filter("txn_id < 50"), str(tmp_path))
