@@ -1,35 +1,46 @@
-"""Drift between two samples: Smirnov's two-sample test on binned values, in one aggregation over both."""
+"""Drift between two samples: Smirnov's two-sample test on exact values."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from payguard.llm.common import materialize, prefix_sums
 
-def bins() -> dict[str, Column]:
-    """Feature and whole-number bin, 64 bins at most, so that the cumulative windows stay small: amounts by binary order of magnitude, flags as they are, counts up to 63."""
+
+def values() -> dict[str, Column]:
+    """Feature and its exact whole-number value; amounts stand for their logarithm, which keeps their order."""
     return {
-        "amount_log": F.length(F.bin(F.greatest(F.coalesce(F.col("amount"), F.lit(0)), F.lit(0)))),
-        "is_high_risk_country": F.col("is_high_risk_country").cast("int"),
-        "is_pos_device": F.col("is_pos_device").cast("int"),
-        "velocity_1h": F.least(F.col("velocity_1h"), F.lit(63)).cast("int"),
-        "velocity_24h": F.least(F.col("velocity_24h"), F.lit(63)).cast("int"),
+        "amount_log": F.greatest(F.coalesce(F.col("amount"), F.lit(0)), F.lit(0)).cast("bigint"),
+        "is_high_risk_country": F.col("is_high_risk_country").cast("bigint"),
+        "is_pos_device": F.col("is_pos_device").cast("bigint"),
+        "velocity_1h": F.col("velocity_1h").cast("bigint"),
+        "velocity_24h": F.col("velocity_24h").cast("bigint"),
     }
 
 
-def drift(reference: DataFrame, current: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row for each behavioural feature: distance (between the distributions), critical (at level alpha), n_reference, n_current, drifted."""
-    names = bins()
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.alias("bin")) for k, c in names.items()))).alias("x")
+def bins() -> dict[str, Column]:
+    """The bins that the SQL of ml_drift fixes: amounts by binary order of magnitude, counts up to 63. They hide shifts within a bin; monitoring uses values()."""
+    exact = values()
+    return exact | {"amount_log": F.length(F.bin(exact["amount_log"])).cast("bigint")} | {k: F.least(exact[k], F.lit(63)) for k in ("velocity_1h", "velocity_24h")}
+
+
+def drift(reference: DataFrame, current: DataFrame, alpha: float = 0.05, columns: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each behavioural feature: distance (between the distributions), critical (at level alpha), n_reference, n_current, drifted.
+
+    Cumulative counts over the distinct values are range-dealt, so no task
+    holds all values of a feature.
+    """
+    names = columns or values()
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.alias("value")) for k, c in names.items()))).alias("x")
     both = reference.select(pairs, F.lit(1).alias("r")).unionByName(current.select(pairs, F.lit(0).alias("r"))).select("x.*", "r")
-    counts = both.groupBy("feature", "bin").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b"))
-    by = Window.partitionBy("feature")
-    up = by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = counts.withColumns({"A": F.sum("a").over(up), "B": F.sum("b").over(up), "n": F.sum("a").over(by), "m": F.sum("b").over(by)})
-    gap = F.abs(F.col("A") * F.col("m") - F.col("B") * F.col("n"))
-    out = sums.groupBy("feature").agg(F.max(gap).alias("gap"), F.max("n").alias("n_reference"), F.max("m").alias("n_current"))
+    counts = materialize(both.groupBy("feature", "value").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b")), "drift-counts")
+    sums, totals = prefix_sums(counts, ["feature"], ["value"], {"a_before": F.col("a"), "b_before": F.col("b")}, "drift")
+    sums = sums.join(F.broadcast(totals.withColumnsRenamed({"a_before": "n_reference", "b_before": "n_current"})), "feature")  # a row for each feature
+    gap = F.abs((F.col("a_before") + F.col("a")) * F.col("n_current") - (F.col("b_before") + F.col("b")) * F.col("n_reference"))
+    out = sums.groupBy("feature").agg(F.max(gap).alias("gap"), F.max("n_reference").alias("n_reference"), F.max("n_current").alias("n_current"))
     area = F.nullif(F.col("n_reference") * F.col("n_current"), F.lit(0))
     level = math.sqrt(-math.log(alpha / 2) / 2)
     out = out.withColumns({"distance": F.coalesce(F.col("gap") / area, F.lit(0.0)), "critical": F.lit(level) * F.sqrt((F.col("n_reference") + F.col("n_current")) / area)})

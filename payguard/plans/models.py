@@ -19,10 +19,10 @@ from payguard.streaming.fanout import windowed_counts
 
 
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of the last day's rows against all rows before it."""
+    """Drift of the last day's rows against all rows before it, on the bins of the SQL."""
     t = Tables(spark, sf_dir)
     rows = feature_columns(training(t.transactions.filter("customer_id IS NOT NULL"))).withColumn("cut", t.as_of(t.transactions) - F.expr("INTERVAL 1 DAY"))
-    return drifts.drift(rows.filter("created_at < cut"), rows.filter("created_at >= cut")).select("feature", "distance", "n_reference", "n_current", "drifted")
+    return drifts.drift(rows.filter("created_at < cut"), rows.filter("created_at >= cut"), columns=drifts.bins()).select("feature", "distance", "n_reference", "n_current", "drifted")
 
 
 _EARLIER = """x AS (

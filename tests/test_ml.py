@@ -67,6 +67,23 @@ def test_equal_samples_do_not_drift(spark):
     assert moved["drifted_columns"] == 2
 
 
+def test_shifts_within_a_bin_and_over_63_are_drift(spark):
+    df = feature_columns(separable(spark)).withColumns({"amount": F.col("txn_id") % 7 + 1030, "velocity_1h": F.lit(70), "velocity_24h": F.lit(100)})
+    moved = df.withColumns({"amount": (F.col("amount") * 1.8).cast("bigint"), "velocity_24h": F.lit(10_000)})
+    got = {r.feature: r for r in drift.drift(df, moved).collect()}
+    assert {k for k, r in got.items() if r.drifted} == {"amount_log", "velocity_24h"}
+    assert got["amount_log"].distance == got["velocity_24h"].distance == 1.0 and got["velocity_1h"].distance == 0.0
+
+
+def test_drift_distance_is_exact(spark):
+    a, b = [i * i % 10_007 for i in range(900)], [i * i % 9001 + i % 5 for i in range(700)]
+    frame = lambda x: spark.createDataFrame([(v, 0.0, 0.0, 0, v // 3) for v in x], "amount bigint, is_high_risk_country float, is_pos_device float, velocity_1h bigint, velocity_24h bigint")
+    got = {r.feature: r.distance for r in drift.drift(frame(a), frame(b)).collect()}
+    for name, x, y in [("amount_log", a, b), ("velocity_24h", [v // 3 for v in a], [v // 3 for v in b])]:
+        want = max(abs(sum(v <= t for v in x) * len(y) - sum(v <= t for v in y) * len(x)) for t in {*x, *y}) / (len(x) * len(y))
+        assert abs(got[name] - want) < 1e-12
+
+
 def test_temporal_split_keeps_time_order(spark):
     old, new = dataset.temporal_split(separable(spark), 0.2)
     assert old.agg(F.max("created_at")).first()[0] < new.agg(F.min("created_at")).first()[0]
