@@ -90,6 +90,20 @@ def test_temporal_split_keeps_time_order(spark):
     assert new.count() == 80
 
 
+def test_cut_equals_percentile_disc_without_a_buffer_of_all_times(spark, monkeypatch):
+    times = [i * i * 7919 % 200_000_000_000 - 90_000_000_000 for i in range(500)] + [5_000_000] * 40 + [5_000_001, 5_000_999, 5_001_000] * 9
+    df = spark.createDataFrame([(t,) for t in times] + [(None,)], "us bigint").select(F.timestamp_micros("us").alias("created_at"))
+    shares = (0.0, 0.15, 0.2, 0.45, 0.46, 0.47, 0.48, 0.5, 0.8, 0.85, 1.0)
+    want = df.agg(*(F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY unix_micros(created_at))") for s in shares)).first()
+    assert [dataset.time_quantile(df, s) for s in shares] == list(want)
+    assert dataset.time_quantile(df.filter("created_at IS NULL"), 0.5) is None
+    assert [x.count() for x in dataset.temporal_split(df.limit(0))] == [0, 0]
+    seen = []
+    monkeypatch.setattr(dataset.F, "expr", lambda s, expr=F.expr: (seen.append(s), expr(s))[1])
+    dataset.temporal_split(df)
+    assert not any("percentile" in s for s in seen)
+
+
 def test_monitoring_cycle_records_alerts_and_cooldown(spark, tmp_path):
     t = Tables(spark, SF)
     rows = t.transactions
