@@ -18,9 +18,10 @@ NAMES = ("customers", "payment_methods", "transactions")
 def erase(spark: SparkSession, root: str, ids: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """Counts by id and unknown ids. The tables change in one version, unless an id is unknown or it is a dry run."""
     store = Snapshots(spark, root)
-    done = anonymize(*(store.current(n) for n in NAMES), ids)
+    base = store.version()
+    done = anonymize(*(store.current(n, base) for n in NAMES), ids)
     if not dry_run and not done["unknown"].limit(1).count():
-        store.commit({n: done[n] for n in NAMES})
+        store.commit({n: done[n] for n in NAMES}, base)
     return done["counts"], done["unknown"]
 
 

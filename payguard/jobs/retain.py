@@ -11,15 +11,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from payguard.operators.governance import RETENTION, retained
-from payguard.sources.snapshots import Snapshots, exists, versions
+from payguard.sources.snapshots import Snapshots
 
 
 def retain(spark: SparkSession, root: str, day: str) -> list[str]:
-    """Tables to which a rule was applied; all change in one version. Tables without a rule are carried over by the caller."""
+    """Tables to which a rule was applied; all change in one version. Tables without a rule stay as they are."""
     store, as_of = Snapshots(spark, root), F.lit(day).cast("timestamp")
-    last = versions(spark, root)[-1]
-    found = {name: retained(store.current(name), as_of, column, days) for name, column, days in RETENTION if exists(spark, f"{root}/v={last}/{name}")}
-    store.commit(found)
+    base = store.version()
+    there = store.manifest(base)
+    found = {name: retained(store.current(name, base), as_of, column, days) for name, column, days in RETENTION if name in there}
+    store.commit(found, base)
     return sorted(found)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payguard.llm.common import materialize, prefix_sums
+from payguard.operators.running import prefix_sums, written
 
 
 def values() -> dict[str, Column]:
@@ -36,7 +36,7 @@ def drift(reference: DataFrame, current: DataFrame, alpha: float = 0.05, columns
     names = columns or values()
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.alias("value")) for k, c in names.items()))).alias("x")
     both = reference.select(pairs, F.lit(1).alias("r")).unionByName(current.select(pairs, F.lit(0).alias("r"))).select("x.*", "r")
-    counts = materialize(both.groupBy("feature", "value").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b")), "drift-counts")
+    counts = written(both.groupBy("feature", "value").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b")), "drift-counts")
     sums, totals = prefix_sums(counts, ["feature"], ["value"], {"a_before": F.col("a"), "b_before": F.col("b")}, "drift")
     sums = sums.join(F.broadcast(totals.withColumnsRenamed({"a_before": "n_reference", "b_before": "n_current"})), "feature")  # a row for each feature
     gap = F.abs((F.col("a_before") + F.col("a")) * F.col("n_current") - (F.col("b_before") + F.col("b")) * F.col("n_reference"))

@@ -8,14 +8,14 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-from payguard.sources.snapshots import _path, exists
+from payguard.sources.snapshots import _path, _read as _text, exists
 
 #: A candidate whose key measure is lower by more than this is not accepted.
 TOLERANCE = 0.10
 
 
 def _read(spark: SparkSession, path: str) -> dict:
-    return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    return json.loads(_text(spark, path))
 
 
 def _write(spark: SparkSession, path: str, record: dict) -> None:

@@ -32,8 +32,9 @@ def write_back(transactions: DataFrame, indicators: DataFrame | None, scored: Da
 
 def apply_scores(store: Snapshots, scored: DataFrame) -> int:
     """write_back() on the stored tables; both change in one version."""
-    transactions, indicators = write_back(store.current("transactions"), store.current("indicators"), scored)
-    return store.commit({"transactions": transactions, "indicators": indicators})
+    base = store.version()
+    transactions, indicators = write_back(store.current("transactions", base), store.current("indicators", base), scored)
+    return store.commit({"transactions": transactions, "indicators": indicators}, base)
 
 
 def once(df: DataFrame, key: str = "idempotency_key", order: tuple[str, ...] = ("created_at", "txn_id")) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Versioned table folders: a version shows only once it is committed, so readers never see half a write."""
+"""Versioned tables: a version shows only once it is committed, so readers never see half a write."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-COMMITTED = "_COMMITTED"
+
+class Conflict(RuntimeError):
+    """Another writer has changed one of the same tables since they were read."""
 
 
 def _path(spark: SparkSession, path: str):
@@ -18,40 +23,109 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _read(spark: SparkSession, path: str) -> str:
+    fs, p = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with all of its text, or change nothing where there is one: whether it was created."""
+    fs, beside = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _, target = _path(spark, path)
+    jvm = spark._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, options)
+        return True
+    except Exception:
+        fs.delete(beside, False)
+        if not fs.exists(target):
+            raise
+        return False
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Committed versions under root, ascending."""
-    fs, p = _path(spark, root)
+    fs, p = _path(spark, f"{root}/_versions")
     if not fs.exists(p):
         return []
-    found = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n[2:]) for n in found if n.startswith("v=") and exists(spark, f"{root}/{n}/{COMMITTED}"))
+    names = (s.getPath().getName() for s in fs.listStatus(p))
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
 
 class Snapshots:
-    """Tables that change together under one root; see commit()."""
+    """Tables under one root; see commit().
+
+    A table's data lies in root/table/<unique>; a version is a manifest in
+    root/_versions that names a folder for each table.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def current(self, name: str) -> DataFrame | None:
-        """A table of the last committed version, or None."""
-        found = versions(self.spark, self.root)
-        return self.spark.read.parquet(f"{self.root}/v={found[-1]}/{name}") if found else None
+    def version(self) -> int:
+        """The last committed version; 0 where there is none."""
+        return (versions(self.spark, self.root) or [0])[-1]
+
+    def manifest(self, number: int) -> dict[str, str]:
+        """Tables of a version and their folders."""
+        return json.loads(_read(self.spark, f"{self.root}/_versions/{number:012d}.json")) if number else {}
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables as a new version and then show it; the new version's number."""
-        number = (versions(self.spark, self.root) or [0])[-1] + 1
-        folder = f"{self.root}/v={number}"
+    def names(self) -> list[str]:
+        """Tables of the last committed version."""
+        return sorted(self.manifest(self.version()))
+
+    def current(self, name: str, number: int | None = None) -> DataFrame | None:
+        """A table of the last committed version (or of version `number`), or None."""
+        folder = self.manifest(self.version() if number is None else number).get(name)
+        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+        """Write tables and then show them all at once as a new version; its number. All other tables stay as they are.
+
+        base is the version that they were computed from, by default the last
+        one. If another writer has changed one of them since, nothing changes
+        and a Conflict is raised; changes of other tables are kept.
+        """
+        old = self.manifest(self.version() if base is None else base)
+        new = {name: f"{name}/{uuid.uuid4().hex}" for name in tables}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        fs, p = _path(self.spark, f"{folder}/{COMMITTED}")
-        fs.create(p, True).close()
-        return number
+            df.write.parquet(f"{self.root}/{new[name]}")
+        while True:
+            last = self.version()
+            now = self.manifest(last)
+            lost = [name for name in new if now.get(name) != old.get(name)]
+            if lost:
+                for folder in new.values():
+                    remove(self.spark, f"{self.root}/{folder}")
+                raise Conflict(f"{', '.join(lost)} changed after version {base}")
+            fs, p = _path(self.spark, f"{self.root}/_versions")
+            fs.mkdirs(p)
+            if _create(self.spark, f"{self.root}/_versions/{last + 1:012d}.json", json.dumps(now | new)):
+                return last + 1
 
     def expire(self, keep: int = 2) -> list[int]:
-        """Remove all but the last `keep` committed versions; what was removed."""
-        old = versions(self.spark, self.root)[:-keep]
-        for number in old:
-            fs, p = _path(self.spark, f"{self.root}/v={number}")
-            fs.delete(p, True)
+        """Remove all but the last `keep` versions, and the folders that none of those names; the removed versions."""
+        found = versions(self.spark, self.root)
+        old, kept = found[:-keep], found[-keep:]
+        used = {folder for n in kept for folder in self.manifest(n).values()}
+        gone = {folder for n in old for folder in self.manifest(n).values()} - used
+        for n in old:
+            remove(self.spark, f"{self.root}/_versions/{n:012d}.json")
+        for folder in sorted(gone):
+            remove(self.spark, f"{self.root}/{folder}")
         return old

@@ -3,8 +3,10 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from payguard.jobs import erase, retain
 from payguard.operators import documents, governance, star, writeback
 from payguard.sources import changes, snapshots
 from payguard.sources.tables import Tables
@@ -49,10 +51,36 @@ def test_write_back_is_replay_safe(spark, tmp_path):
 def test_an_uncommitted_version_is_not_read(spark, tmp_path):
     store = snapshots.Snapshots(spark, str(tmp_path))
     store.commit({"a": spark.range(3)})
-    spark.range(9).write.parquet(f"{tmp_path}/v=2/a")
+    spark.range(9).write.parquet(f"{tmp_path}/a/half")
     assert store.current("a").count() == 3
 
 
+def test_tables_of_one_root_survive_each_others_writes(spark, tmp_path):
+    t = Tables(spark, SF)
+    root = str(tmp_path)
+    store = snapshots.Snapshots(spark, root)
+    empty = t.transactions.withColumns({"fraud_score": F.lit(None).cast("double"), "updated_at": F.col("created_at")})
+    store.commit({"customers": t.customers, "payment_methods": t.payment_methods, "transactions": empty, "indicators": t.indicators.limit(0)})
+    store.commit({"transaction_logs": documents.to_transaction_logs(t.scored), "logs": documents.to_logs(t.scored)})
+    writeback.apply_scores(store, t.scored)
+    erase.erase(spark, root, spark.createDataFrame([(3,)], "customer_id bigint"))
+    retain.retain(spark, root, "2024-04-10")
+    store.expire(1)
+    assert store.names() == ["customers", "indicators", "logs", "payment_methods", "transaction_logs", "transactions"]
+    assert all(store.current(n).count() > 0 for n in store.names())
+    assert store.current("transactions").filter("customer_id = 3").count() == 0 < store.current("transactions").filter("fraud_score IS NOT NULL").count()
+
+
+def test_writers_of_the_same_table_do_not_lose_updates(spark, tmp_path):
+    store = snapshots.Snapshots(spark, str(tmp_path))
+    base = store.commit({"a": spark.range(3), "b": spark.range(1)})
+    store.commit({"b": spark.range(2)}, base)
+    assert store.commit({"a": spark.range(4)}, base) == 3  # another table than the last writer's
+    with pytest.raises(snapshots.Conflict):
+        store.commit({"a": spark.range(9)}, base)
+    assert (store.current("a").count(), store.current("b").count(), store.version()) == (4, 2, 3)
+
+
 def test_idempotent_intake_keeps_the_first(spark):
     df = spark.createDataFrame([(1, "k", T0), (2, "k", T0 - timedelta(hours=1)), (3, None, T0), (4, None, T0)], "txn_id bigint, idempotency_key string, created_at timestamp")
     assert sorted(r.txn_id for r in writeback.once(df).collect()) == [2, 3, 4]
