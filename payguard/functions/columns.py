@@ -83,6 +83,35 @@ def date_key(ts: ColumnLike) -> Column:
     return F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
 
 
+def year_of(key: ColumnLike) -> Column:
+    """The year of a date key; with month_of and quarter_of, calendar parts of facts without a calendar that could lack a day."""
+    return F.call_function("div", _col(key), F.lit(10000)).cast("int")
+
+
+def month_of(key: ColumnLike) -> Column:
+    return (F.call_function("div", _col(key), F.lit(100)) % 100).cast("int")
+
+
+def quarter_of(key: ColumnLike) -> Column:
+    return F.call_function("div", month_of(key) + 2, F.lit(3)).cast("int")
+
+
+def day_of(key: ColumnLike) -> Column:
+    """The day of a date key."""
+    return F.to_date(_col(key).cast("string"), "yyyyMMdd")
+
+
+def confusion_counts(rows: str = "n") -> list[Column]:
+    """Aggregates of rows that have booleans predicted and is_fraud: their number (named `rows`), tp, fp, fn."""
+    hit, true = F.col("predicted"), F.col("is_fraud")
+    return [F.count(F.lit(1)).alias(rows), F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn")]
+
+
+def fingerprint(secret: ColumnLike) -> Column:
+    """SHA-256 of a value as lowercase hex: tells equal cards apart from others without their numbers."""
+    return F.sha2(_col(secret).cast("string").cast("binary"), 256)
+
+
 def pseudonym(identifier: ColumnLike) -> Column:
     """The address that an erased customer gets."""
     return F.concat(F.lit("anonymized_"), F.left(F.md5(_col(identifier).cast("string").cast("binary")), F.lit(8)), F.lit("@deleted.invalid"))

@@ -27,33 +27,49 @@ def current_window(transactions: DataFrame, as_of, minutes: int) -> DataFrame:
     return training_set(rows).filter(F.col("created_at") >= as_of - F.expr(f"INTERVAL {minutes} MINUTES"))
 
 
-def time_quantile(df: DataFrame, share: float, ts: str = "created_at") -> int | None:
-    """percentile_disc(share) of a column of times, in microseconds; None without rows.
+#: Steps of a search among times (day, minute, millisecond, microsecond) and among 64-bit ids.
+_TIME_STEPS, _ID_STEPS = (86_400_000_000, 60_000_000, 1000, 1), (1 << 48, 1 << 32, 1 << 16, 1)
+
 
-    Rows are counted by day, then by minute of the day that holds the
-    quantile, by millisecond of that minute, by microsecond of that
-    millisecond. A step gives the driver a row for each day there is, or
-    120,000 rows at most.
+def _search(values: DataFrame, share: float | None, rank: int | None, steps: tuple[int, ...]) -> tuple[int, int, int] | None:
+    """The value of a rank (or of percentile_disc(share)) in the bigint column v, its rank among its equals, and their number; None without rows.
+
+    Rows are counted by the first step's width, then, within the range that
+    holds the rank, by the next one's. A step gives the driver a row for each
+    day there is, or about 130,000 rows at most.
     """
-    us = F.unix_micros(ts)
-    rows, before, rank = df.filter(F.col(ts).isNotNull()).select(us.alias("us")), 0, None
-    for width in (86_400_000_000, 60_000_000, 1000, 1):
-        # Whole-number division keeps the order of times, those before 1970 too.
-        counts = sorted(rows.groupBy(F.expr(f"us div {width}L").alias("at")).count().collect())
+    rows, before = values.filter("v IS NOT NULL"), 0
+    for width in steps:
+        # Whole-number division keeps the order, below 0 too.
+        counts = sorted(rows.groupBy(F.expr(f"v div {width}L").alias("at")).count().collect())
+        if not counts:
+            return None
         if rank is None:
-            if not counts:
-                return None
             rank = max(1, math.ceil(share * sum(n for _, n in counts)))
         for at, n in counts:
             if before + n >= rank:
                 break
             before += n
-        rows = rows.filter(F.expr(f"us div {width}L = {at}L"))
-    return at
+        rows = rows.filter(F.expr(f"v div {width}L = {at}L"))
+    return at, rank - before, n
+
+
+def time_quantile(df: DataFrame, share: float, ts: str = "created_at") -> int | None:
+    """percentile_disc(share) of a column of times, in microseconds; None without rows."""
+    found = _search(df.select(F.unix_micros(ts).alias("v")), share, None, _TIME_STEPS)
+    return found and found[0]
 
 
-def temporal_split(df: DataFrame, share: float = 0.2, ts: str = "created_at") -> tuple[DataFrame, DataFrame]:
-    """The oldest rows and the newest `share`, cut at an exact quantile of time; rows of the cutting instant are all old."""
-    cut = time_quantile(df, 1 - share, ts)
+def temporal_split(df: DataFrame, share: float = 0.2, ts: str = "created_at", tie: str = "txn_id") -> tuple[DataFrame, DataFrame]:
+    """The oldest rows and the newest `share`, cut at an exact quantile of (time, tie); without a column `tie`, rows of the cutting instant are all old."""
     us = F.unix_micros(ts)
-    return df.filter(us <= F.lit(cut)), df.filter(us > F.lit(cut))
+    found = _search(df.select(us.alias("v")), 1 - share, None, _TIME_STEPS)
+    if found is None:
+        return df.limit(0), df.limit(0)
+    cut, place, equal = found
+    old = us <= F.lit(cut)
+    if place < equal and tie in df.columns:
+        among = _search(df.filter(us == F.lit(cut)).select(F.col(tie).cast("bigint").alias("v")), None, place, _ID_STEPS)
+        if among is not None:
+            old = (us < F.lit(cut)) | ((us == F.lit(cut)) & F.coalesce(F.col(tie) <= F.lit(among[0]), F.lit(False)))
+    return df.filter(old), df.filter(~old)

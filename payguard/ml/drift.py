@@ -21,16 +21,10 @@ def values() -> dict[str, Column]:
     }
 
 
-def bins() -> dict[str, Column]:
-    """The bins that the SQL of ml_drift fixes: amounts by binary order of magnitude, counts up to 63. They hide shifts within a bin; monitoring uses values()."""
-    exact = values()
-    return exact | {"amount_log": F.length(F.bin(exact["amount_log"])).cast("bigint")} | {k: F.least(exact[k], F.lit(63)) for k in ("velocity_1h", "velocity_24h")}
-
-
 def drift(reference: DataFrame, current: DataFrame, alpha: float = 0.05, columns: dict[str, Column] | None = None) -> DataFrame:
     """One row for each behavioural feature: distance (between the distributions), critical (at level alpha), n_reference, n_current, drifted.
 
-    Cumulative counts over the distinct values are range-dealt, so no task
+    For a flag the distance is the total variation, too. Cumulative counts over the distinct values are range-dealt, so no task
     holds all values of a feature.
     """
     names = columns or values()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from payguard.functions.columns import confusion_counts
+
 
 def confusion(df: DataFrame, threshold: float, score: str = "fraud_score", label: str = "label") -> dict[str, float]:
     """Counts, precision, recall and F1 at a threshold; 0 where a denominator is."""
-    hit, true = F.col(score) >= threshold, F.col(label) == 1
-    r = df.agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"), F.count(F.lit(1)).alias("n")).first()
+    r = df.select((F.col(score) >= threshold).alias("predicted"), (F.col(label) == 1).alias("is_fraud")).agg(*confusion_counts()).first()
     precision, recall = r["tp"] / max(1, r["tp"] + r["fp"]), r["tp"] / max(1, r["tp"] + r["fn"])
     return {"n": r["n"], "tp": r["tp"], "fp": r["fp"], "fn": r["fn"], "precision": precision, "recall": recall, "f1": 2 * precision * recall / (precision + recall) if precision + recall else 0.0}
 

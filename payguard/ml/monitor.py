@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.functions.columns import has_key, json_boolean
+from payguard.functions.columns import confusion_counts, has_key, json_boolean
 from payguard.ml import drift as drifts
 from payguard.ml import store
 from payguard.ml.dataset import LEAST_TRAINING, LEAST_WINDOW, current_window, temporal_split, training_set
@@ -34,12 +34,6 @@ def served_rows(logs: DataFrame, version: str | None = None) -> DataFrame:
     return rows.select("created_at", json_boolean(meta, "is_fraud_pattern").alias("is_fraud"), (F.col("payload.decision") == "block").alias("predicted"))
 
 
-def measures() -> list[Column]:
-    """n, tp, fp, fn of served rows."""
-    hit, true = F.col("predicted"), F.col("is_fraud")
-    return [F.count(F.lit(1)).alias("n"), F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn")]
-
-
 def rates(df: DataFrame) -> DataFrame:
     """precision, recall and f1 beside n, tp, fp, fn; 0 where a denominator is."""
 
@@ -53,7 +47,7 @@ def rates(df: DataFrame) -> DataFrame:
 def served_performance(logs: DataFrame, version: str | None, as_of: datetime, minutes: int, least: int = LEAST_WINDOW) -> dict | None:
     """precision, recall, f1 and n of what was decided in the last minutes; None with fewer than `least` rows."""
     rows = served_rows(logs, version).filter((F.col("created_at") > F.lit(as_of - timedelta(minutes=minutes))) & (F.col("created_at") <= F.lit(as_of)))
-    r = rates(rows.agg(*measures())).first()
+    r = rates(rows.agg(*confusion_counts())).first()
     return {k: r[k] for k in ("precision", "recall", "f1", "n")} if r["n"] >= least else None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
+from functools import lru_cache
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
@@ -65,4 +66,10 @@ def current(root: str) -> tuple[PipelineModel, dict] | None:
     if not exists(spark, f"{root}/current.json"):
         return None
     version = _read(spark, f"{root}/current.json")["version"]
-    return PipelineModel.load(f"{root}/{version}/model"), _read(spark, f"{root}/{version}/meta.json")
+    return _load(spark.sparkContext.applicationId, root, version)
+
+
+@lru_cache(maxsize=2)
+def _load(application: str, root: str, version: str) -> tuple[PipelineModel, dict]:
+    """A version, which never changes; kept, so that a stream reads a model once and not for each batch."""
+    return PipelineModel.load(f"{root}/{version}/model"), _read(SparkSession.active(), f"{root}/{version}/meta.json")

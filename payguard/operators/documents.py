@@ -57,3 +57,14 @@ def online_features(scored: DataFrame, seconds: int = 3600) -> DataFrame:
     """The short-lived feature record of each customer, with the instant that it expires at."""
     rows = latest_features(scored)
     return rows.select("customer_id", "last_amount", "last_country", "velocity_1h", "velocity_24h", (F.col("last_updated") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("expires_at"))
+
+
+def upsert_online(previous: DataFrame | None, batch: DataFrame, as_of: Column, seconds: int = 3600) -> DataFrame:
+    """The online feature table after a batch of scored rows: of both, the record of each customer that expires last, unless it has expired at `as_of`."""
+    new = online_features(batch, seconds)
+    if previous is not None:
+        row = F.struct("expires_at", *(c for c in new.columns if c not in ("customer_id", "expires_at")))
+        # Of two records of one instant the batch's counts, as it is the later write.
+        both = previous.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        new = both.groupBy("customer_id").agg(F.max(F.struct("expires_at", "_new", row.alias("row"))).alias("m")).select("customer_id", "m.row.*").select(*new.columns)
+    return new.filter(F.col("expires_at") > as_of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payguard.functions.columns import ratio
+from payguard.functions.columns import day_of, ratio
 from payguard.sources.snapshots import Snapshots
 
 
@@ -15,6 +15,13 @@ def daily_revenue(decided: DataFrame) -> DataFrame:
     return decided.filter("status = 'succeeded'").groupBy(F.to_date("created_at").alias("day"), "currency").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount").alias("gross_amount_cents"), F.sum(points).alias("score_points"), F.count("fraud_score").alias("scored"))
 
 
+def star_revenue(fact: DataFrame, geography: DataFrame) -> DataFrame:
+    """Successful facts by day, region and currency: full_date, region, currency, txn_count, revenue_eur, fraud_count. Facts of an unknown place have no region and are left out."""
+    rows = fact.filter("status = 'succeeded'").join(geography.select("geo_key", "region"), "geo_key")
+    out = rows.groupBy("date_key", "region", "currency").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount_eur").cast("decimal(28,2)").alias("revenue_eur"), F.count_if("is_fraud").alias("fraud_count"))
+    return out.select(day_of("date_key").alias("full_date"), "region", "currency", "txn_count", "revenue_eur", "fraud_count")
+
+
 def merchant_stats(merchants: DataFrame, decided: DataFrame) -> DataFrame:
     """All merchants, also those without a transaction: txn_count, gmv_cents of successful ones, average score (0 without any)."""
     points = F.round(F.col("fraud_score") * 10000).cast("bigint")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from payguard.functions.columns import date_key
 from payguard.sources.snapshots import exists
 
-#: Country, name, region and risk of the geography dimension; fixed values. BY is left out on purpose: see check_keys.
+#: Country, name, region and risk of the geography dimension; fixed values. BY is left out on purpose: see unmatched.
 GEOGRAPHY = (
     ("FR", "France", "Europe", False),
     ("US", "United States", "Americas", False),
@@ -90,10 +90,13 @@ def derive_facts(extract: DataFrame, fraud_at: float = FRAUD_AT) -> DataFrame:
     return extract.select("txn_id", "merchant_id", "customer_id", "pm_id", "ip_country", date_key("created_at").alias("date_key"), amount.alias("amount_eur"), F.round(fee, 2).cast("decimal(18,2)").alias("fee_amount"), "currency", "status", "fraud_score", F.coalesce(F.col("fraud_score") >= fraud_at, F.lit(False)).alias("is_fraud"), "device_type", (F.lit(20) + F.pmod(F.col("txn_id") * 7919, F.lit(251)) / 10).alias("processing_ms"), "created_at")
 
 
-def resolve_keys(facts: DataFrame, merchant: DataFrame, customer: DataFrame, payment: DataFrame, geography: DataFrame) -> DataFrame:
-    """Natural keys replaced by surrogate ones through four left joins; an unknown member gives a null key."""
-    out = facts.join(merchant.select("merchant_id", "merchant_key"), "merchant_id", "left").join(customer.select("customer_id", "customer_key"), "customer_id", "left").join(payment.select("pm_id", "pm_key"), "pm_id", "left")
-    return out.join(geography.select(F.col("country_code").alias("ip_country"), "geo_key"), "ip_country", "left").drop("merchant_id", "customer_id", "pm_id", "ip_country")
+def resolve_keys(facts: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Natural keys replaced by surrogate ones through a left join with each of the dimensions given; an unknown member gives a null key."""
+    out = facts
+    for name, (natural, surrogate) in KEYS.items():
+        if name in dims:
+            out = out.join(dims[name].select(natural, surrogate), natural, "left")
+    return out.join(dims["geography"].select(F.col("country_code").alias("ip_country"), "geo_key"), "ip_country", "left").drop("merchant_id", "customer_id", "pm_id", "ip_country")
 
 
 def members(extract: DataFrame) -> dict[str, DataFrame]:
@@ -109,11 +112,11 @@ def members(extract: DataFrame) -> dict[str, DataFrame]:
 KEYS = {"merchant": ("merchant_id", "merchant_key"), "customer": ("customer_id", "customer_key"), "payment_method": ("pm_id", "pm_key")}
 
 
-def build(extract: DataFrame) -> dict[str, DataFrame]:
-    """Dimensions and facts of a first load: merchant, customer, payment_method, geography, fact."""
-    out = {name: insert_missing(None, rows, *KEYS[name]) for name, rows in members(extract).items()}
+def build(extract: DataFrame, only: tuple[str, ...] = tuple(KEYS)) -> dict[str, DataFrame]:
+    """Dimensions and facts of a first load: merchant, customer, payment_method, geography, fact. `only` names the numbered dimensions that are wanted."""
+    out = {name: insert_missing(None, rows, *KEYS[name]) for name, rows in members(extract).items() if name in only}
     out["geography"] = dim_geography(extract.sparkSession)
-    out["fact"] = resolve_keys(derive_facts(extract), out["merchant"], out["customer"], out["payment_method"], out["geography"])
+    out["fact"] = resolve_keys(derive_facts(extract), out)
     return out
 
 
@@ -130,12 +133,14 @@ def load_day(spark: SparkSession, extract: DataFrame, warehouse: str, dry_run: b
         new.write.mode("append").parquet(path)
         dims[name] = spark.read.parquet(path)
         added[name] = dims[name].count() - before
-    facts = resolve_keys(derive_facts(extract), dims["merchant"], dims["customer"], dims["payment_method"], dim_geography(spark)).dropDuplicates(["txn_id"])
+    facts = resolve_keys(derive_facts(extract), dims | {"geography": dim_geography(spark)})
+    facts = facts.groupBy("txn_id").agg(F.min(F.struct(*(c for c in facts.columns if c != "txn_id"))).alias("_f")).select("txn_id", "_f.*")  # of repeated rows, the least
     path = f"{warehouse}/fact_transactions"
     if exists(spark, path):
         facts = facts.join(spark.read.parquet(path).select("date_key", "txn_id"), ["date_key", "txn_id"], "left_anti")
     before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    facts.repartition("date_key").sortWithinPartitions("merchant_key").write.mode("append").partitionBy("date_key").parquet(path)
+    # Each day's rows lie together, in as many tasks as their size asks for.
+    facts.hint("rebalance", F.col("date_key")).sortWithinPartitions("date_key", "merchant_key").write.mode("append").partitionBy("date_key").parquet(path)
     added["fact"] = spark.read.parquet(path).count() - before
     return added
 

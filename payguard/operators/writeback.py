@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from payguard.functions import rules
 from payguard.sources.snapshots import Snapshots
 
 
-def write_back(transactions: DataFrame, indicators: DataFrame | None, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def write_back(transactions: DataFrame, indicators: DataFrame | None, scored: DataFrame, observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Both tables after a batch of scores: a score is set only where there was none, and only such rows get an indicator.
 
     Of repeated scores of a transaction, the least (created_at, score) counts.
+    An observation gets written_back, the number of scores that were set, when the first table is written.
     """
     columns = transactions.columns
     first = scored.groupBy("txn_id").agg(F.min(F.struct("created_at", "fraud_score", "decision", "rules_triggered", "model_version")).alias("s"))
@@ -20,7 +21,7 @@ def write_back(transactions: DataFrame, indicators: DataFrame | None, scored: Da
     fresh = F.col("fraud_score").isNull() & F.col("s").isNotNull()
     updated = joined.withColumn("_fresh", fresh)
     kind = transactions.schema["fraud_score"].dataType
-    out = updated.withColumn("fraud_score", F.coalesce("fraud_score", F.col("s.fraud_score").cast(kind)))
+    out = (updated.observe(observation, F.count_if("_fresh").alias("written_back")) if observation else updated).withColumn("fraud_score", F.coalesce("fraud_score", F.col("s.fraud_score").cast(kind)))
     if "updated_at" in columns:
         out = out.withColumn("updated_at", F.when(F.col("_fresh"), F.col("s.created_at")).otherwise(F.col("updated_at")))
     new = updated.filter("_fresh").select("txn_id", "s.*")
@@ -30,10 +31,10 @@ def write_back(transactions: DataFrame, indicators: DataFrame | None, scored: Da
     return out.select(*columns), new
 
 
-def apply_scores(store: Snapshots, scored: DataFrame) -> int:
+def apply_scores(store: Snapshots, scored: DataFrame, observation: Observation | None = None) -> int:
     """write_back() on the stored tables; both change in one version."""
     base = store.version()
-    transactions, indicators = write_back(store.current("transactions", base), store.current("indicators", base), scored)
+    transactions, indicators = write_back(store.current("transactions", base), store.current("indicators", base), scored, observation)
     return store.commit({"transactions": transactions, "indicators": indicators}, base)
 
 
@@ -50,3 +51,15 @@ def latest_images(changes: DataFrame, key: str, order: tuple[str, ...], deleted:
     rest = [c for c in changes.columns if c != key]
     last = changes.groupBy(key).agg(F.max(F.struct(*order, F.struct(*rest).alias("row"))).alias("m")).select(key, "m.row.*")
     return last.filter(F.coalesce(F.col(deleted).cast("string"), F.lit("false")) != "true").select(*changes.columns).drop(deleted)
+
+
+def merge_images(table: DataFrame | None, changes: DataFrame, key: str, order: tuple[str, ...], deleted: str = "__deleted") -> DataFrame:
+    """A table after a batch of change rows: keys of the batch have their last image or are gone, all others stay.
+
+    The table keeps the `order` columns. An image that is older than the
+    table's is ignored, so batches may overlap and the last one may be repeated.
+    """
+    if table is None:
+        return latest_images(changes, key, order, deleted)
+    old = table.withColumn(deleted, F.lit(None).cast(changes.schema[deleted].dataType))
+    return latest_images(changes.unionByName(old), key, order, deleted)

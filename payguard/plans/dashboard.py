@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from payguard.functions.columns import cents, ratio, ratio_half_even
 from payguard.operators import documents
 from payguard.plans import oracle as sql
-from payguard.plans.oltp import since, stamp
+from payguard.plans.oltp import stamp
 from payguard.sources.tables import Tables
 
 FRAUD, REVIEW = 0.85, 0.6
@@ -29,7 +29,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE created_at >= (SELECT max(creat
 
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rows = since(t, t.decided, "30 MINUTES")
+    rows = t.decided_since(t.before(t.transactions, "30 MINUTES"))
     return rows.groupBy(stamp(F.date_trunc("minute", "created_at")).alias("minute")).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("fraud_score") >= FRAUD).alias("fraud_count"), cents(F.sum("amount")).alias("volume_eur")).orderBy("minute")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.functions import features, rules, velocity
 from payguard.functions.columns import cents, ratio
 from payguard.operators import documents, governance, star, writeback
+from payguard.operators.running import written
 from payguard.plans import oracle as sql
 from payguard.plans.oltp import stamp
+from payguard.sources.changes import decode
 from payguard.sources.tables import TEST_RULES, Tables, truth
 
 DAY = "2024-01-10"
@@ -62,13 +64,10 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("txn_id", "amount", "device_type", "ip_country", "velocity_1h", "velocity_24h", "is_fraud")
 
 
-_EARLIER = """WITH x AS (
-  SELECT *, count(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS velocity_1h, count(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS velocity_24h
-  FROM t WHERE customer_id IS NOT NULL)"""
-TRAINING_SET = sql.with_tables("t", f"{_EARLIER}\nSELECT txn_id, amount, device_type, ip_country, velocity_1h, velocity_24h, is_fraud FROM x WHERE labelled")
+TRAINING_SET = sql.with_tables("x", "SELECT txn_id, amount, device_type, ip_country, velocity_1h, velocity_24h, is_fraud FROM x WHERE labelled")
 
 
-def current_window(spark: SparkSession, sf_dir: str, minutes: int = 1440) -> DataFrame:
+def current_window(spark: SparkSession, sf_dir: str, minutes: int = 30) -> DataFrame:
     """The last minutes' rows; velocity looks back beyond the window, so a day more is read."""
     t = Tables(spark, sf_dir)
     now, rows = t.as_of(t.transactions), t.transactions.filter("customer_id IS NOT NULL")
@@ -77,7 +76,14 @@ def current_window(spark: SparkSession, sf_dir: str, minutes: int = 1440) -> Dat
     return truth(rows).select("txn_id", "amount", "device_type", "ip_country", "velocity_1h", "velocity_24h", "is_fraud")
 
 
-CURRENT_WINDOW = sql.with_tables("t", f"{_EARLIER}\nSELECT txn_id, amount, device_type, ip_country, velocity_1h, velocity_24h, is_fraud FROM x WHERE labelled AND created_at >= (SELECT max(created_at) FROM t) - INTERVAL 1440 MINUTE")
+def current_window_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day's rows."""
+    return current_window(spark, sf_dir, 1440)
+
+
+def _window(minutes: int) -> str:
+    return sql.with_tables("x", f"SELECT txn_id, amount, device_type, ip_country, velocity_1h, velocity_24h, is_fraud FROM x WHERE labelled AND created_at >= (SELECT max(created_at) FROM t) - INTERVAL {minutes} MINUTE")
+
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +94,7 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("txn_id", F.floor(F.log1p(F.col("amount").cast("double")) * 100 + 0.5).cast("bigint").alias("amount_log_100"), *(F.col(c).cast("int").alias(c) for c in whole))
 
 
-FEATURE_ROWS = sql.with_tables("t", f"""{_EARLIER}
+FEATURE_ROWS = sql.with_tables("x", """
 SELECT txn_id, floor(ln(1 + amount::DOUBLE) * 100 + 0.5)::BIGINT AS amount_log_100, hour(created_at)::INT AS hour_of_day, (isodow(created_at) - 1)::INT AS day_of_week, (ip_country IN ('RU', 'NG', 'KP', 'IR', 'VE', 'BY'))::INT AS is_high_risk_country, (device_type = 'pos')::INT AS is_pos_device, velocity_1h::INT AS velocity_1h, velocity_24h::INT AS velocity_24h FROM x""")
 
 
@@ -104,8 +110,9 @@ def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions after their scores were written back twice, the second time with other scores: the first ones stay. Indicators are counted beside each."""
     t = Tables(spark, sf_dir)
     empty = t.transactions.withColumns({"fraud_score": F.lit(None).cast("double"), "updated_at": F.col("created_at")})
-    once, indicators = writeback.write_back(empty, None, t.scored)
-    again = rules.score_rules(velocity.served(t.transactions.filter("customer_id IS NOT NULL")), rules.RuleConfig(base=2000, velocity_1h=TEST_RULES.velocity_1h))
+    scored = written(t.scored, "scored")  # each step is stored, as in the job
+    once, indicators = (written(df, "write-back") for df in writeback.write_back(empty, None, scored))
+    again = rules.score_rules(scored, rules.RuleConfig(base=2000, velocity_1h=TEST_RULES.velocity_1h))
     twice, indicators = writeback.write_back(once, indicators, again)
     count = indicators.groupBy("txn_id").agg(F.count(F.lit(1)).alias("indicators"))
     return twice.join(count, "txn_id", "left").select("txn_id", F.coalesce("fraud_score", F.lit(-1.0)).alias("fraud_score"), F.coalesce("indicators", F.lit(0)).alias("indicators"))
@@ -127,6 +134,39 @@ SELECT customer_id, amount AS last_amount, currency AS last_currency, ip_country
 FROM sc QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, txn_id DESC) = 1""")
 
 
+def online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short-lived feature records after two batches, as of the latest transaction: expired ones are gone."""
+    t = Tables(spark, sf_dir)
+    first = documents.upsert_online(None, t.scored.filter("txn_id % 2 = 0"), t.as_of(t.known), 86_400)
+    out = documents.upsert_online(first, t.scored.filter("txn_id % 2 = 1"), t.as_of(t.known), 86_400)
+    return out.withColumn("expires_at", stamp("expires_at"))
+
+
+ONLINE_FEATURES = sql.with_tables("sc", f"""
+SELECT customer_id, amount AS last_amount, ip_country AS last_country, velocity_1h, velocity_24h, {sql.when("created_at + INTERVAL 1 DAY")} AS expires_at
+FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, txn_id DESC) = 1) WHERE created_at + INTERVAL 1 DAY > (SELECT max(created_at) FROM sc)""")
+
+
+def merged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change messages of all transactions, decoded and applied in two batches that overlap: every seventh is deleted, every fifth changed, some of those by a late old image."""
+    t = Tables(spark, sf_dir)
+
+    def messages(rows: DataFrame, offset: int, amount: Column, deleted: Column) -> DataFrame:
+        row = F.struct("txn_id", amount.alias("amount"), "currency", "status", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX").alias("created_at"), F.when(deleted, "true").otherwise("false").alias("__deleted"))
+        return rows.select(F.to_json(F.struct(row.alias("after"))).alias("value"), F.lit("transactions").alias("topic"), F.lit(0).alias("partition"), (F.col("txn_id") * 4 + offset).alias("offset"), F.col("created_at").alias("timestamp"))
+
+    rows, amount, no = t.transactions, F.col("amount"), F.lit(False)
+    inserts, updates = messages(rows, 1, amount, no), messages(rows.filter("txn_id % 5 = 0"), 2, amount + 1, no)
+    deletes, old = messages(rows.filter("txn_id % 7 = 0"), 3, amount, F.lit(True)), messages(rows.filter("txn_id % 10 = 0"), 0, amount - 1, no)
+    table = None
+    for batch in (inserts, inserts.unionByName(updates).unionByName(deletes).unionByName(old)):
+        table = written(writeback.merge_images(table, decode(batch, keep_deleted=True)[0], "txn_id", ("offset",)), "images")
+    return table.select("txn_id", "amount", "currency", "status", stamp("created_at").alias("created_at"))
+
+
+MERGED_CHANGES = sql.with_tables("t", f"SELECT txn_id, amount + (txn_id % 5 = 0)::INT AS amount, currency, status, {sql.when('created_at')} AS created_at FROM t WHERE txn_id % 7 <> 0")
+
+
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = governance.Check
@@ -156,8 +196,6 @@ ANALYST_PAYMENT_METHODS = sql.with_tables("pms", "SELECT pm_id, customer_id, typ
 
 def fraud_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of blocked and reviewed transactions by fraud profile."""
-
-
     rows = Tables(spark, sf_dir).scored.withColumn("profile", F.coalesce(F.get_json_object("metadata", "$.fraud_profile"), F.lit("none")))
     out = rows.groupBy("profile").agg(F.count(F.lit(1)).alias("txns"), F.count_if(F.col("decision") == "block").alias("blocked"), F.count_if(F.col("decision") == "review").alias("reviewed"), cents(F.sum("amount")).alias("amount_eur"))
     return out.withColumns({"blocked_pct": ratio("blocked", "txns", 2, 100), "reviewed_pct": ratio("reviewed", "txns", 2, 100)})
@@ -173,11 +211,14 @@ QUERIES = {
     "etl_fact": (fact, FACT),
     "dim_date": (dim_date, DIM_DATE),
     "ml_training_set": (training_set, TRAINING_SET),
-    "ml_current_window": (current_window, CURRENT_WINDOW),
+    "ml_current_window": (current_window, _window(30)),
+    "ml_current_window_daily": (current_window_daily, _window(1440)),
     "ml_features": (feature_rows, FEATURE_ROWS),
     "score_rules": (score_rules, SCORE_RULES),
     "score_write_back": (write_back, WRITE_BACK),
     "doc_latest_features": (latest_features, LATEST_FEATURES),
+    "doc_online_features": (online_features, ONLINE_FEATURES),
+    "changes_merge": (merged_changes, MERGED_CHANGES),
     "data_checks": (checks, CHECKS),
     "gdpr_analyst_view": (analyst_payment_methods, ANALYST_PAYMENT_METHODS),
     "ml_fraud_profiles": (fraud_profiles, FRAUD_PROFILES),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payguard.functions.columns import ratio
+from payguard.functions.columns import confusion_counts, ratio
 from payguard.functions.features import feature_columns
 from payguard.functions.velocity import training
 from payguard.ml import drift as drifts
@@ -19,21 +19,17 @@ from payguard.streaming.fanout import windowed_counts
 
 
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of the last day's rows against all rows before it, on the bins of the SQL."""
+    """Drift of the last day's rows against all rows before it, on exact values."""
     t = Tables(spark, sf_dir)
     rows = feature_columns(training(t.transactions.filter("customer_id IS NOT NULL"))).withColumn("cut", t.as_of(t.transactions) - F.expr("INTERVAL 1 DAY"))
-    return drifts.drift(rows.filter("created_at < cut"), rows.filter("created_at >= cut"), columns=drifts.bins()).select("feature", "distance", "n_reference", "n_current", "drifted")
+    return drifts.drift(rows.filter("created_at < cut"), rows.filter("created_at >= cut")).select("feature", "distance", "n_reference", "n_current", "drifted")
 
 
-_EARLIER = """x AS (
-  SELECT *, count(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS velocity_1h, count(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS velocity_24h
-  FROM t WHERE customer_id IS NOT NULL)"""
-DRIFT = sql.with_tables("t", f"""
-WITH {_EARLIER},
-y AS (SELECT *, created_at < (SELECT max(created_at) FROM t) - INTERVAL 1 DAY AS ref FROM x),
+DRIFT = sql.with_tables("x", """
+WITH y AS (SELECT *, created_at < (SELECT max(created_at) FROM t) - INTERVAL 1 DAY AS ref FROM x),
 p AS (
-  SELECT 'amount_log' AS feature, length(bin(amount)) AS bin, ref FROM y UNION ALL SELECT 'is_high_risk_country', (ip_country IN ('RU', 'NG', 'KP', 'IR', 'VE', 'BY'))::INT, ref FROM y
-  UNION ALL SELECT 'is_pos_device', (device_type = 'pos')::INT, ref FROM y UNION ALL SELECT 'velocity_1h', least(velocity_1h, 63), ref FROM y UNION ALL SELECT 'velocity_24h', least(velocity_24h, 63), ref FROM y),
+  SELECT 'amount_log' AS feature, greatest(amount, 0) AS bin, ref FROM y UNION ALL SELECT 'is_high_risk_country', (ip_country IN ('RU', 'NG', 'KP', 'IR', 'VE', 'BY'))::INT, ref FROM y
+  UNION ALL SELECT 'is_pos_device', (device_type = 'pos')::INT, ref FROM y UNION ALL SELECT 'velocity_1h', velocity_1h, ref FROM y UNION ALL SELECT 'velocity_24h', velocity_24h, ref FROM y),
 c AS (SELECT feature, bin, count(*) FILTER (WHERE ref) AS a, count(*) FILTER (WHERE NOT ref) AS b FROM p GROUP BY ALL),
 s AS (SELECT feature, sum(a) OVER u AS ca, sum(b) OVER u AS cb, sum(a) OVER w AS n, sum(b) OVER w AS m FROM c WINDOW u AS (PARTITION BY feature ORDER BY bin), w AS (PARTITION BY feature)),
 g AS (SELECT feature, max(abs(ca * m - cb * n))::BIGINT AS gap, max(n)::BIGINT AS n, max(m)::BIGINT AS m FROM s GROUP BY feature)
@@ -56,7 +52,7 @@ SELECT round(sum((tp - p / 2) * n) / (sum(p) * sum(n)), 9) AS roc_auc, round(sum
 def monitoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Served performance of each day as monitoring records: day, n, tp, fp, fn, precision, recall, status, reasons."""
     rows = monitor.served_rows(documents.to_transaction_logs(Tables(spark, sf_dir).scored))
-    daily = monitor.rates(rows.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(*monitor.measures()))
+    daily = monitor.rates(rows.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(*confusion_counts()))
     cfg = monitor.MonitorConfig()
     found = F.array_compact(F.array(F.when(F.col("recall") < cfg.least_recall, "recall"), F.when(F.col("precision") < cfg.least_precision, "precision")))
     few = F.col("n") < monitor.LEAST_WINDOW
@@ -90,11 +86,14 @@ MONITORING_HISTORY = sql.with_tables("sc", f"{_DAYS} SELECT day, n, precision, r
 
 
 def skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of which some were served with counts that are off (txn_id % 100 = 5: an hour's by one; = 9: both by two), against recomputed counts."""
     t = Tables(spark, sf_dir)
-    return monitor.skew(documents.to_transaction_logs(t.scored), t.transactions)
+    place = F.col("txn_id") % 100
+    off = t.scored.withColumns({"velocity_1h": F.col("velocity_1h") + F.when(place == 5, 1).when(place == 9, 2).otherwise(0), "velocity_24h": F.col("velocity_24h") + F.when(place == 9, 2).otherwise(0)})
+    return monitor.skew(documents.to_transaction_logs(off), t.transactions)
 
 
-SKEW = sql.with_tables("sc", "SELECT count(*) AS rows, count(*) AS equal_1h, count(*) AS equal_24h FROM sc")
+SKEW = sql.with_tables("sc", "SELECT count(*) AS rows, count(*) FILTER (WHERE txn_id % 100 NOT IN (5, 9)) AS equal_1h, count(*) FILTER (WHERE txn_id % 100 <> 9) AS equal_24h FROM sc")
 
 
 def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:

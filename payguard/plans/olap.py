@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payguard.functions.columns import ratio, share_of_total
-from payguard.operators import star
+from payguard.functions.columns import month_of, quarter_of, ratio, share_of_total, year_of
+from payguard.operators import preagg, star
 from payguard.plans import oracle as sql
 from payguard.sources.tables import Tables
 
 
-def _orders(t: Tables) -> dict[str, DataFrame]:
+def _orders(t: Tables, *dims: str) -> dict[str, DataFrame]:
     rows = t.orders.withColumn("fraud_score", F.lit(None).cast("double"))
-    return star.build(star.daily_extract(rows, t.payment_methods, t.merchants))
+    return star.build(star.daily_extract(rows, t.payment_methods, t.merchants), dims)
 
 
-def _events(t: Tables) -> dict[str, DataFrame]:
-    return star.build(star.daily_extract(t.decided, t.payment_methods, t.merchants))
+def _events(t: Tables, *dims: str) -> dict[str, DataFrame]:
+    return star.build(star.daily_extract(t.decided, t.payment_methods, t.merchants), dims)
 
 
 def _money(column: str) -> Column:
@@ -26,8 +26,8 @@ def _money(column: str) -> Column:
 
 def region_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _orders(Tables(spark, sf_dir))
-    days = star.dim_date(spark, "1995-01-01", "2001-12-31")
-    rows = s["fact"].filter(F.col("date_key").between(19960101, 19981231)).join(days.select("date_key", "year", "quarter"), "date_key").join(s["geography"], "geo_key")
+    rows = s["fact"].filter(F.col("date_key").between(19960101, 19981231)).join(s["geography"], "geo_key")
+    rows = rows.withColumns({"year": year_of("date_key"), "quarter": quarter_of("date_key")})
     out = rows.groupBy("region", "year", "quarter").agg(F.count(F.lit(1)).alias("txn_count"), _money("amount_eur").alias("revenue_eur"), _money("fee_amount").alias("fees_eur"), F.count_if("is_fraud").alias("fraud_count"))
     return out.withColumn("fraud_pct", ratio("fraud_count", "txn_count", 3, 100)).orderBy("year", "quarter", F.desc("revenue_eur"))
 
@@ -39,9 +39,8 @@ FROM o JOIN geo ON geo.country_code = o.ip_country WHERE status = 'succeeded' AN
 
 
 def payment_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _events(Tables(spark, sf_dir))
-    days = star.dim_date(spark, "2024-01-01", "2024-12-31").filter("year = 2024").select("date_key")
-    rows = s["fact"].join(s["payment_method"], "pm_key").join(days, "date_key")
+    s = _events(Tables(spark, sf_dir), "payment_method")
+    rows = s["fact"].filter(F.col("date_key").between(20240101, 20241231)).join(s["payment_method"], "pm_key")
     score = F.round(F.col("fraud_score") * 10000).cast("bigint")
     out = rows.groupBy("type", "brand", "is_digital_wallet").agg(F.count(F.lit(1)).alias("txn_count"), F.sum((F.col("amount_eur") * 100).cast("bigint")).alias("cents"), F.count_if("is_fraud").alias("fraud_count"), F.sum(score).alias("points"), F.count("fraud_score").alias("scored"))
     return out.select("type", "brand", "is_digital_wallet", "txn_count", (F.col("cents") / 100.0).alias("total_eur"), ratio("cents", F.col("txn_count") * 100, 2).alias("avg_basket_eur"), "fraud_count", ratio("points", F.col("scored") * 10000, 4).alias("avg_fraud_score")).orderBy(F.desc("txn_count"))
@@ -65,9 +64,9 @@ SELECT *, fraud_count / nullif((SELECT sum(fraud_count)::BIGINT FROM g), 0) AS s
 
 
 def merchant_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _orders(Tables(spark, sf_dir))
-    days = star.dim_date(spark, "1995-01-01", "2001-12-31").select("date_key", "year", "month")
-    rows = s["fact"].filter("status = 'succeeded'").join(s["merchant"], "merchant_key").join(days, "date_key")
+    s = _orders(Tables(spark, sf_dir), "merchant")
+    rows = s["fact"].filter("status = 'succeeded'").join(s["merchant"], "merchant_key")
+    rows = rows.withColumns({"year": year_of("date_key"), "month": month_of("date_key")})
     monthly = rows.groupBy("merchant_id", "name", "tier", "year", "month").agg(F.sum((F.col("amount_eur") * 100).cast("bigint")).alias("gmv"))
     by = Window.partitionBy("merchant_id")
     monthly = monthly.withColumns({"prev": F.lag("gmv").over(by.orderBy("year", "month")), "place": F.row_number().over(by.orderBy(F.desc("year"), F.desc("month")))})
@@ -82,13 +81,12 @@ SELECT name, tier, year, month, gmv / 100.0 AS gmv_eur, prev / 100.0 AS prev_mon
 
 
 def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last thirty days of the star's aggregate by day, region and currency."""
     t = Tables(spark, sf_dir)
-    s = _events(t)
-    days = star.dim_date(spark, "2024-01-01", "2024-12-31").select("date_key", "full_date")
-    rows = s["fact"].filter("status = 'succeeded'").join(days, "date_key").join(s["geography"], "geo_key")
-    out = rows.groupBy("full_date", "region", "currency").agg(F.count(F.lit(1)).alias("txn_count"), _money("amount_eur").alias("revenue_eur"), F.count_if("is_fraud").alias("fraud_count"))
-    recent = out.filter(F.col("full_date") >= F.date_add(F.to_date(t.as_of(t.transactions)), -30))
-    return recent.withColumn("full_date", F.date_format("full_date", "yyyy-MM-dd")).orderBy(F.desc("full_date"), F.desc("revenue_eur"))
+    first = F.date_trunc("day", t.as_of(t.transactions)) - F.expr("INTERVAL 30 DAYS")
+    s = star.build(star.daily_extract(t.decided_since(first), t.payment_methods, t.merchants), ())
+    out = preagg.star_revenue(s["fact"], s["geography"])
+    return out.select(F.date_format("full_date", "yyyy-MM-dd").alias("full_date"), "region", "currency", "txn_count", F.col("revenue_eur").cast("double").alias("revenue_eur"), "fraud_count").orderBy(F.desc("full_date"), F.desc("revenue_eur"))
 
 
 DAILY_REVENUE = sql.with_tables("d geo", """

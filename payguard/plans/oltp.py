@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.functions.columns import cents, elapsed_days, elapsed_hours, ratio
+from payguard.functions.columns import cents, confusion_counts, elapsed_days, elapsed_hours, ratio
 from payguard.operators import governance, preagg
 from payguard.plans import oracle as sql
 from payguard.sources.tables import Tables, truth
@@ -38,7 +38,7 @@ GROUP BY ALL ORDER BY revenue DESC, merchant, month, currency LIMIT 10""")
 
 def decisions_by_pm(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rows = since(t, t.transactions, "30 DAYS").select("txn_id", "pm_id").join(t.payment_methods.select("pm_id", "type", "brand"), "pm_id").join(t.indicators.select("txn_id", "decision"), "txn_id", "left")
+    rows = since(t, t.transactions, "30 DAYS").select("txn_id", "pm_id").join(t.payment_methods.select("pm_id", "type", "brand"), "pm_id").join(t.indicators_of(t.scored_since(t.before(t.transactions, "30 DAYS"))).select("txn_id", "decision"), "txn_id", "left")
     block = F.count_if(F.col("decision") == "block")
     out = rows.groupBy("type", "brand").agg(F.count(F.lit(1)).alias("txn_count"), F.count_if(F.col("decision") == "review").alias("review_count"), block.alias("block_count"))
     return out.withColumn("block_rate_pct", ratio("block_count", "txn_count", 2, 100)).orderBy(F.desc_nulls_last("block_rate_pct"), "type", "brand")
@@ -52,24 +52,18 @@ FROM t JOIN pms USING (pm_id) LEFT JOIN fi USING (txn_id) WHERE t.created_at >=
 
 def labelled(t: Tables, interval: str = "24 HOURS") -> DataFrame:
     """Scored transactions of the last `interval` whose label is known: model_version, is_fraud, predicted."""
-    rows = truth(since(t, t.decided.select("txn_id", "fraud_score", "metadata", "created_at"), interval).filter("fraud_score IS NOT NULL"))
-    marked = rows.join(t.indicators.select("txn_id", "decision", "model_version"), "txn_id", "left")
-    return marked.select(F.coalesce("model_version", F.lit("allow (no indicator)")).alias("model_version"), "is_fraud", F.coalesce(F.col("decision") == "block", F.lit(False)).alias("predicted"))
-
-
-def confusion() -> list[Column]:
-    """scored, tp, fp, fn of rows that have predicted and is_fraud."""
-    hit, true = F.col("predicted"), F.col("is_fraud")
-    return [F.count(F.lit(1)).alias("scored"), F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn")]
+    rows = truth(t.scored_since(t.before(t.transactions, interval)))
+    marked = F.col("decision").isin("review", "block")  # what has an indicator
+    return rows.select(F.when(marked, F.col("model_version")).otherwise(F.lit("allow (no indicator)")).alias("model_version"), "is_fraud", (F.col("decision") == "block").alias("predicted"))
 
 
 def served_perf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = labelled(Tables(spark, sf_dir)).agg(*confusion())
+    out = labelled(Tables(spark, sf_dir)).agg(*confusion_counts("scored"))
     return out.withColumns({"precision": ratio("tp", F.col("tp") + F.col("fp"), 3), "recall": ratio("tp", F.col("tp") + F.col("fn"), 3)})
 
 
 def served_perf_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = labelled(Tables(spark, sf_dir)).groupBy("model_version").agg(*confusion())
+    out = labelled(Tables(spark, sf_dir)).groupBy("model_version").agg(*confusion_counts("scored"))
     return out.withColumns({"precision": ratio("tp", F.col("tp") + F.col("fp"), 3), "recall": ratio("tp", F.col("tp") + F.col("fn"), 3)})
 
 
@@ -94,18 +88,25 @@ SELECT customer_id, (((SELECT max(us) FROM t) - max(us)) // 86400000000)::INT AS
 FROM t WHERE status = 'succeeded' AND customer_id IS NOT NULL GROUP BY customer_id ORDER BY monetary DESC, customer_id LIMIT 20""")
 
 
-def velocity_suspects(spark: SparkSession, sf_dir: str, interval: str = "24 HOURS", most: int = 3, countries: int = 2, cards: int = 1) -> DataFrame:
-    """Customers above any of three limits in the last interval; the limits suit the test tables' traffic."""
+def velocity_suspects(spark: SparkSession, sf_dir: str, interval: str = "1 HOUR", most: int = 10, countries: int = 2, cards: int = 3) -> DataFrame:
+    """Customers above any of three limits in the last interval."""
     t = Tables(spark, sf_dir)
     rows = since(t, t.transactions, interval).filter("customer_id IS NOT NULL").join(t.payment_methods.select("pm_id", "fingerprint"), "pm_id", "left")
-    out = rows.groupBy("customer_id").agg(F.count(F.lit(1)).alias("txn_count_1h"), cents(F.sum("amount")).alias("total_1h"), F.count_distinct("ip_country").alias("distinct_countries"), F.count_distinct("fingerprint").alias("distinct_cards"))
-    return out.filter((F.col("txn_count_1h") > most) | (F.col("distinct_countries") > countries) | (F.col("distinct_cards") > cards)).orderBy(F.desc("txn_count_1h"), "customer_id").limit(20)
+    out = rows.groupBy("customer_id").agg(F.count(F.lit(1)).alias("txn_count"), cents(F.sum("amount")).alias("total"), F.count_distinct("ip_country").alias("distinct_countries"), F.count_distinct("fingerprint").alias("distinct_cards"))
+    return out.filter((F.col("txn_count") > most) | (F.col("distinct_countries") > countries) | (F.col("distinct_cards") > cards)).orderBy(F.desc("txn_count"), "customer_id").limit(20)
+
+
+def _suspects(hours: int, most: int, countries: int, cards: int) -> str:
+    return sql.with_tables("t pms", f"""
+SELECT t.customer_id, count(*) AS txn_count, sum(amount)::BIGINT / 100.0 AS total, count(DISTINCT ip_country) AS distinct_countries, count(DISTINCT fingerprint) AS distinct_cards
+FROM t LEFT JOIN pms USING (pm_id) WHERE t.created_at >= (SELECT max(created_at) FROM t) - INTERVAL {hours} HOUR AND t.customer_id IS NOT NULL GROUP BY t.customer_id
+HAVING count(*) > {most} OR count(DISTINCT ip_country) > {countries} OR count(DISTINCT fingerprint) > {cards} ORDER BY txn_count DESC, customer_id LIMIT 20""")
+
 
+def velocity_suspects_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a day, with limits that the test tables' thin traffic exceeds."""
+    return velocity_suspects(spark, sf_dir, "24 HOURS", 3, 2, 1)
 
-VELOCITY_SUSPECTS = sql.with_tables("t pms", """
-SELECT t.customer_id, count(*) AS txn_count_1h, sum(amount)::BIGINT / 100.0 AS total_1h, count(DISTINCT ip_country) AS distinct_countries, count(DISTINCT fingerprint) AS distinct_cards
-FROM t LEFT JOIN pms USING (pm_id) WHERE t.created_at >= (SELECT max(created_at) FROM t) - INTERVAL 24 HOUR AND t.customer_id IS NOT NULL GROUP BY t.customer_id
-HAVING count(*) > 3 OR count(DISTINCT ip_country) > 2 OR count(DISTINCT fingerprint) > 1 ORDER BY txn_count_1h DESC, customer_id LIMIT 20""")
 
 
 def refunds_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +124,7 @@ FROM refunds r JOIN t ON t.txn_id = r.txn_id JOIN merchants m ON m.merchant_id =
 
 def mv_daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rows = preagg.daily_revenue(t.decided).filter(F.col("day") >= F.to_date(t.as_of(t.transactions)) - F.expr("INTERVAL 7 DAYS"))
+    rows = preagg.daily_revenue(t.decided_since(F.date_trunc("day", t.as_of(t.transactions)) - F.expr("INTERVAL 7 DAYS")))
     return rows.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "currency", "txn_count", cents("gross_amount_cents").alias("gross_amount"), ratio("score_points", F.col("scored") * 10000, 4).alias("avg_fraud_score")).orderBy(F.desc("day"), F.desc("gross_amount"))
 
 
@@ -169,7 +170,8 @@ QUERIES = {
     "oltp_served_perf": (served_perf, _served("")),
     "oltp_served_perf_by_version": (served_perf_by_version, _served("model_version,")),
     "oltp_rfm": (rfm, RFM),
-    "oltp_velocity_suspects": (velocity_suspects, VELOCITY_SUSPECTS),
+    "oltp_velocity_suspects": (velocity_suspects, _suspects(1, 10, 2, 3)),
+    "oltp_velocity_suspects_daily": (velocity_suspects_daily, _suspects(24, 3, 2, 1)),
     "oltp_refunds_sla": (refunds_sla, REFUNDS_SLA),
     "mv_daily_revenue": (mv_daily_revenue, MV_DAILY_REVENUE),
     "mv_merchant_stats": (mv_merchant_stats, MV_MERCHANT_STATS),

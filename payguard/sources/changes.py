@@ -28,11 +28,16 @@ class ChangeSource:
     max_files: int | None = None
 
 
+def topic_options(source: ChangeSource) -> dict[str, str]:
+    """Options of Spark's Kafka source."""
+    return {"kafka.bootstrap.servers": source.servers, "subscribe": source.topic, "startingOffsets": source.start}
+
+
 def read_changes(spark: SparkSession, source: ChangeSource, streaming: bool = True) -> DataFrame:
     """Messages with the RAW fields. The topic source needs Spark's Kafka package."""
     reader = spark.readStream if streaming else spark.read
     if source.topic:
-        found = reader.format("kafka").option("kafka.bootstrap.servers", source.servers).option("subscribe", source.topic).option("startingOffsets", source.start).load()
+        found = reader.format("kafka").options(**topic_options(source)).load()
         return found.select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset", "timestamp")
     reader = reader.schema(RAW)
     if streaming and source.max_files:
@@ -40,12 +45,12 @@ def read_changes(spark: SparkSession, source: ChangeSource, streaming: bool = Tr
     return reader.json(source.path)
 
 
-def decode(messages: DataFrame, schema: T.StructType = schemas.CHANGE_ROW) -> tuple[DataFrame, DataFrame]:
+def decode(messages: DataFrame, schema: T.StructType = schemas.CHANGE_ROW, keep_deleted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows of the change messages, and dead letters.
 
     A message is the row itself or an envelope {payload: {after}} or {after}.
-    Rows of deleted records are left out, as are envelopes without an after
-    image. A null value, text that is no JSON object, and a created_at or
+    Rows of deleted records are left out (with keep_deleted they stay, and
+    __deleted tells), as are envelopes without an after image. A null value, text that is no JSON object, and a created_at or
     amount that cannot be read give a dead letter: error, raw_value (500
     characters at most), topic, partition, offset, timestamp.
     """
@@ -66,7 +71,7 @@ def decode(messages: DataFrame, schema: T.StructType = schemas.CHANGE_ROW) -> tu
     good = parsed.filter("error IS NULL AND row IS NOT NULL").select("row.*", "instant", "offset")
     if has_time:
         good = good.drop("created_at").withColumnRenamed("instant", "created_at")
-    if "__deleted" in schema.fieldNames():
+    if "__deleted" in schema.fieldNames() and not keep_deleted:
         good = good.filter(F.coalesce(F.col("__deleted"), F.lit("false")) != "true").drop("__deleted")
     return good, dead
 

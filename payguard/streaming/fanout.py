@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from payguard.operators import documents
+from payguard.operators import documents, preagg
+from payguard.operators.star import dim_geography
 from payguard.sources.snapshots import Snapshots
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Folders of transaction_logs, logs and fraud_alerts, and the versioned root of ml_features."""
+    """Folders of transaction_logs, logs and fraud_alerts, and the versioned root of ml_features and online_features."""
 
     transaction_logs: str
     logs: str
@@ -32,7 +33,10 @@ def start_fanout(spark: SparkSession, events: DataFrame, tables: Tables, checkpo
             documents.to_logs(batch).write.mode("overwrite").parquet(f"{tables.logs}/batch={batch_id}")
             documents.to_alerts(batch).write.mode("overwrite").parquet(f"{tables.fraud_alerts}/batch={batch_id}")
             store = Snapshots(spark, tables.features)
-            store.commit({"ml_features": documents.upsert_features(store.current("ml_features"), batch)})
+            now = batch.agg(F.max("created_at")).first()[0]
+            if now is not None:
+                online = documents.upsert_online(store.current("online_features"), batch, F.lit(now))
+                store.commit({"ml_features": documents.upsert_features(store.current("ml_features"), batch), "online_features": online})
             store.expire()
         finally:
             batch.unpersist()
@@ -40,6 +44,27 @@ def start_fanout(spark: SparkSession, events: DataFrame, tables: Tables, checkpo
     return events.writeStream.queryName("fan-out").foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def start_star_revenue(spark: SparkSession, facts: DataFrame, store: Snapshots, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the star's revenue by day, region and currency as fresh as the trigger's interval: each batch of new facts is added to the stored sums.
+
+    The batch's number is committed with them, so a repeated batch changes nothing.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        base = store.version()
+        seen = store.current("star_revenue_batch", base)
+        if seen is not None and seen.first()["batch"] >= batch_id:
+            return
+        new = preagg.star_revenue(batch, dim_geography(spark))
+        old = store.current("star_revenue", base)
+        both = new if old is None else old.unionByName(new)
+        sums = both.groupBy("full_date", "region", "currency").agg(F.sum("txn_count").alias("txn_count"), F.sum("revenue_eur").cast("decimal(28,2)").alias("revenue_eur"), F.sum("fraud_count").alias("fraud_count"))
+        store.commit({"star_revenue": sums, "star_revenue_batch": spark.range(1).select(F.lit(batch_id).alias("batch"))}, base)
+        store.expire()
+
+    return facts.writeStream.queryName("star-revenue").foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def intake_once(rows: DataFrame, key: str = "txn_id", delay: str = "1 day") -> DataFrame:
     """Each key once within the watermark: replayed messages are dropped."""
     return rows.withWatermark("created_at", delay).dropDuplicatesWithinWatermark([key])

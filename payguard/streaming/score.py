@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,12 +20,13 @@ from payguard.streaming.velocity_state import state_settings, with_velocity
 
 @dataclass(frozen=True)
 class Sinks:
-    """Folders of the outputs. tables, where set, holds versions of transactions and indicators for the write-back."""
+    """Folders of the outputs. tables, where set, holds versions of transactions and indicators for the write-back; progress gets the counters of each batch."""
 
     events: str
     alerts: str
     dead_letters: str
     tables: str | None = None
+    progress: str | None = None
 
 
 def write_batch(df: DataFrame, batch_id: int, folder: str) -> None:
@@ -37,7 +38,8 @@ def start_scoring(spark: SparkSession, source: ChangeSource, sinks: Sinks, check
     """Start the scoring query and the dead-letter query.
 
     The scorer is looked up for each batch: the current model of model_store,
-    or the rules where there is none. trigger: arguments of
+    or the rules where there is none. history: transactions from before the
+    stream's start, of which the last day seeds the velocities. trigger: arguments of
     DataStreamWriter.trigger; by default all that is there is processed once.
     """
     trigger = trigger or {"availableNow": True}
@@ -49,8 +51,14 @@ def start_scoring(spark: SparkSession, source: ChangeSource, sinks: Sinks, check
         try:
             write_batch(scored, batch_id, sinks.events)
             write_batch(rules.alerts(scored), batch_id, sinks.alerts)
+            set_now = 0
             if sinks.tables:
-                writeback.apply_scores(Snapshots(spark, sinks.tables), scored)
+                seen, store = Observation(), Snapshots(spark, sinks.tables)
+                writeback.apply_scores(store, scored, seen)
+                store.expire()
+                set_now = seen.get["written_back"]
+            if sinks.progress:
+                write_batch(counters(scored, set_now), batch_id, sinks.progress)
         finally:
             scored.unpersist()
 
@@ -63,6 +71,11 @@ def start_scoring(spark: SparkSession, source: ChangeSource, sinks: Sinks, check
     return main, letters
 
 
+def counters(scored: DataFrame, written_back: int) -> DataFrame:
+    """One row of a batch's counters: scored, alerts, late, written_back, scored_at."""
+    return scored.agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("decision").isin("review", "block")).alias("alerts"), F.count_if("late").alias("late"), F.lit(written_back).cast("bigint").alias("written_back"), F.max("scored_at").alias("scored_at"))
+
+
 def progress(query: StreamingQuery) -> list[dict]:
-    """Rows and rows a second of each batch so far."""
+    """Rows and rows a second of each batch so far; alerts and write-backs are in the table of counters()."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond")} for p in query.recentProgress]

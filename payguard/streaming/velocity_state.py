@@ -74,11 +74,10 @@ def with_velocity(rows: DataFrame, history: DataFrame | None = None) -> DataFram
 
 
 def initial_velocity_state(history: DataFrame, as_of=None):
-    """The last day of earlier transactions by customer, as a stream's initial state."""
+    """The day of earlier transactions before as_of (by default the latest one's time) by customer, as a stream's initial state."""
     rows = history.filter("customer_id IS NOT NULL").select("customer_id", F.unix_micros("created_at").alias("ts"))
-    if as_of is not None:
-        rows = rows.filter(F.col("ts") > F.unix_micros(F.lit(as_of)) - F.lit(DAY * _MICROS))
-    return rows.groupBy("customer_id")
+    last = F.unix_micros(F.lit(as_of)) if as_of is not None else F.lit(rows.agg(F.max("ts")).first()[0])
+    return rows.filter(F.col("ts") > last - F.lit(DAY * _MICROS)).groupBy("customer_id")
 
 
 @contextmanager

@@ -1,5 +1,6 @@
 """Rules, velocity, features and column helpers on hand-written rows."""
 
+import hashlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -61,6 +62,14 @@ def test_velocity_does_not_depend_on_input_order(spark):
     assert a == b
 
 
+def test_velocity_equals_brute_force_across_days(spark):
+    rows = [(i, i % 3, T0 + timedelta(minutes=(i * i * 37) % 6000)) for i in range(300)]
+    df = spark.createDataFrame(rows, "txn_id bigint, customer_id bigint, created_at timestamp")
+    for function, inside in ((velocity.served, lambda a, b, s: b - timedelta(seconds=s) < a <= b), (velocity.training, lambda a, b, s: b - timedelta(seconds=s) <= a < b)):
+        got = {r.txn_id: (r.velocity_1h, r.velocity_24h) for r in function(df).collect()}
+        assert got == {i: tuple(sum(c == k and inside(u, at, s) for _, k, u in rows) for s in (3600, 86400)) for i, c, at in rows}
+
+
 def test_features_of_nulls(spark):
     df = spark.createDataFrame([(1000, None, None, None, None, T0)], "amount bigint, ip_country string, device_type string, velocity_1h bigint, velocity_24h bigint, created_at timestamp")
     r = features.feature_columns(df).first()
@@ -74,6 +83,15 @@ def test_ratios_round_half_up_and_half_to_even(spark):
     assert [r[0] for r in df.select(columns.ratio_half_even("n", "d", 2)).collect()] == [0.12, 0.38, None, 0.33]
 
 
+def test_fingerprints_are_sha_256(spark):
+    assert spark.range(7, 8).select(columns.fingerprint("id")).first()[0] == hashlib.sha256(b"7").hexdigest()
+
+
+def test_calendar_parts_of_date_keys(spark):
+    r = spark.range(1).select(F.lit(20240229).alias("k")).select(columns.year_of("k"), columns.quarter_of("k"), columns.month_of("k"), columns.day_of("k")).first()
+    assert tuple(map(str, r)) == ("2024", "1", "2", "2024-02-29")
+
+
 def test_json_key_and_boolean(spark):
     df = spark.createDataFrame([('{"k":true}',), ('{"k":null}',), ('{"x":1}',), ("bad",), (None,), ('"{\\"k\\":false}"',)], "m string")
     assert [r[0] for r in df.select(columns.has_key("m", "k")).collect()] == [True, True, False, False, False, False]

@@ -9,6 +9,7 @@ from payguard.operators import documents, star
 from payguard.plans import registry
 from payguard.schemas import TABLES
 from payguard.sources.snapshots import Snapshots
+from payguard.sources import changes, tables
 from payguard.sources.tables import Tables, read_table
 from payguard.streaming import fanout
 
@@ -74,6 +75,29 @@ def test_retain_job(spark, tmp_path):
     assert store.current("logs").count() == store.current("transaction_logs").count()
 
 
+def test_readers_of_other_systems_get_their_options():
+    options = tables.jdbc_options("merchants", "jdbc:postgresql://db/x", "merchant_id", 1, 1000, 8)
+    assert options == {"url": "jdbc:postgresql://db/x", "dbtable": "merchants", "partitionColumn": "merchant_id", "lowerBound": "1", "upperBound": "1000", "numPartitions": "8"}
+    assert changes.topic_options(source_of("kafka:a:9092/txns")) == {"kafka.bootstrap.servers": "a:9092", "subscribe": "txns", "startingOffsets": "earliest"}
+
+
+def test_scoring_a_window_reads_no_more_than_a_day_before_it(spark):
+    t = Tables(spark, SF)
+    start = t.as_of(t.transactions) - F.expr("INTERVAL 24 HOURS")
+    recent, whole = t.scored_since(start), t.scored.filter(F.col("created_at") >= start)
+    assert sorted(map(str, recent.collect())) == sorted(map(str, whole.collect()))
+    assert sorted(map(str, t.decided_since(start).select("txn_id", "decision").collect())) == sorted(map(str, t.decided.filter(F.col("created_at") >= start).select("txn_id", "decision").collect()))
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window"):]  # what feeds the windows
+    assert "ts" in below and ">=" in below
+
+
+@pytest.mark.parametrize(("name", "windows", "scans"), [("oltp_served_perf", 2, 5), ("score_write_back", 0, 5), ("olap_region_quarter", 0, 5)])
+def test_plans_have_no_more_windows_and_scans_than_they_need(spark, name, windows, scans):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= windows and plan.count("Relation [") <= scans
+
+
 def test_sources_by_name():
     assert source_of("kafka:a:9092/txns").topic == "txns" and source_of("/data").path == "/data"
 

@@ -90,6 +90,12 @@ def test_temporal_split_keeps_time_order(spark):
     assert new.count() == 80
 
 
+def test_rows_of_the_cutting_instant_are_split_by_id(spark):
+    df = spark.createDataFrame([(i * 10**12 - 5 * 10**13, T0 + timedelta(minutes=i // 40)) for i in range(100)], "txn_id bigint, created_at timestamp")
+    old, new = dataset.temporal_split(df, 0.25)
+    assert sorted(r.txn_id for r in old.collect()) == [i * 10**12 - 5 * 10**13 for i in range(75)] and new.count() == 25
+
+
 def test_cut_equals_percentile_disc_without_a_buffer_of_all_times(spark, monkeypatch):
     times = [i * i * 7919 % 200_000_000_000 - 90_000_000_000 for i in range(500)] + [5_000_000] * 40 + [5_000_001, 5_000_999, 5_001_000] * 9
     df = spark.createDataFrame([(t,) for t in times] + [(None,)], "us bigint").select(F.timestamp_micros("us").alias("created_at"))

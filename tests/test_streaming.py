@@ -1,12 +1,16 @@
 """Streams against their batch twins."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from payguard.functions import rules, velocity
-from payguard.sources.changes import ChangeSource
+from payguard.jobs import apply_changes, fan_out, star_revenue, stream_score
+from payguard.operators import preagg, star
+from payguard.schemas import TABLES
+from payguard.sources.changes import RAW, ChangeSource
 from payguard.sources.snapshots import Snapshots
 from payguard.sources.tables import Tables
 from payguard.streaming import fanout, score, velocity_state
@@ -88,6 +92,59 @@ def test_fan_out_writes_four_tables(spark, scored_stream, tmp_path):
     assert Snapshots(spark, tables.features).current("ml_features").count() == events.select("customer_id").distinct().count()
 
 
+def finish(*queries):
+    for q in queries:
+        assert q.awaitTermination(300) and q.exception() is None
+
+
+def test_jobs_write_back_fan_out_and_count(spark, scored_stream, tmp_path):
+    _, folder, first, _ = scored_stream
+    t = Tables(spark, SF)
+    empty = t.transactions.withColumns({"fraud_score": F.lit(None).cast("decimal(5,4)"), "updated_at": F.col("created_at")})
+    store = Snapshots(spark, f"{tmp_path}/oltp")
+    store.commit({"transactions": empty, "indicators": t.indicators.limit(0), "customers": t.customers})
+    old = empty.filter("created_at < TIMESTAMP '2023-01-01'").select(*(F.col(f.name).cast(f.dataType) for f in TABLES["transactions"]))
+    old.write.parquet(f"{tmp_path}/history")
+    finish(*stream_score.start(spark, folder, f"{tmp_path}/out", tables=f"{tmp_path}/oltp", history=f"{tmp_path}/history"))
+    events = spark.read.parquet(f"{tmp_path}/out/events")
+    columns = ["txn_id", "velocity_1h", "velocity_24h", "fraud_score", "decision"]
+    assert sorted(map(tuple, events.select(columns).collect())) == sorted(map(tuple, spark.read.parquet(first.events).select(columns).collect()))
+    n, alerts = events.count(), rules.alerts(events).count()
+    assert store.current("transactions").filter("fraud_score IS NOT NULL").count() == n > 0
+    assert store.current("indicators").count() == alerts and store.current("customers").count() > 0
+    c = spark.read.parquet(f"{tmp_path}/out/progress").agg(F.sum("scored"), F.sum("alerts"), F.sum("written_back")).first()
+    assert tuple(c) == (n, alerts, n)
+    finish(fan_out.start(spark, f"{tmp_path}/out/events", f"{tmp_path}/docs"))
+    features = Snapshots(spark, f"{tmp_path}/docs/features")
+    assert features.current("ml_features").count() == events.select("customer_id").distinct().count()
+    last = {r.customer_id: r.last for r in events.groupBy("customer_id").agg(F.max("created_at").alias("last")).collect()}
+    live = {k for k, v in last.items() if v + timedelta(hours=1) > max(last.values())}
+    assert {r.customer_id: r.expires_at for r in features.current("online_features").collect()} == {k: last[k] + timedelta(hours=1) for k in live}
+
+
+def test_applied_changes_equal_the_table(spark, tmp_path):
+    def put(rows):
+        body = [(json.dumps({"txn_id": i, "amount": a, "created_at": "2024-01-01T00:00:00Z", "__deleted": d}), "t", 0, o, datetime(2024, 1, 1)) for i, a, d, o in rows]
+        spark.createDataFrame(body, RAW).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+
+    put([(1, 10, "false", 1), (2, 20, "false", 2), (3, 30, "false", 3), (1, 11, "false", 4)])
+    finish(apply_changes.start(spark, f"{tmp_path}/in", f"{tmp_path}/root"))
+    put([(2, 20, "true", 5), (3, 29, "false", 0), (4, 40, "false", 6)])
+    finish(apply_changes.start(spark, f"{tmp_path}/in", f"{tmp_path}/root"))
+    got = Snapshots(spark, f"{tmp_path}/root").current("transactions")
+    assert {r.txn_id: r.amount for r in got.collect()} == {1: 11, 3: 30, 4: 40}
+
+
+def test_star_revenue_follows_the_facts(spark, tmp_path):
+    t, warehouse = Tables(spark, SF), f"{tmp_path}/w"
+    for day in ("2024-01-05", "2024-01-06"):
+        star.load_day(spark, star.daily_extract(t.decided, t.payment_methods, t.merchants, day), warehouse)
+        finish(star_revenue.start(spark, warehouse))
+    got = Snapshots(spark, f"{warehouse}/preagg").current("star_revenue")
+    expected = preagg.star_revenue(spark.read.parquet(f"{warehouse}/fact_transactions"), star.dim_geography(spark))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.select("full_date").distinct().count() == 2
+
+
 def test_windowed_counts_on_a_stream_equal_the_batch(spark, tmp_path):
     rows = Tables(spark, SF).scored.select("created_at", "fraud_score", "amount")
     rows.write.parquet(f"{tmp_path}/in")
