@@ -62,7 +62,22 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], name: str) -> tuple[DataFrame, DataFrame]:
+class Rounds:
+    """A table that each round of a loop writes anew; the one before is removed, so that only the last one takes room."""
+
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False) -> None:
+        self.spark, self.name, self.keep, self.path = spark, name, keep, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write df, which may read the last round's table but no later use may, and read it again."""
+        old, self.path = self.path, new_path(self.spark, self.name, self.keep)
+        df.write.parquet(self.path)
+        if old:
+            remove(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], name: str, rounds: Rounds | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact running totals within groups, for groups of any size.
 
     Rows are dealt by range on (group, order), so a hot group spreads over
@@ -70,13 +85,15 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[st
     Adds to each row, per entry k of `sums`, the total of the rows before it
     (exclusive) as column k. Second result: one row per group with the totals.
     Group columns must not be null; `order` must end in a unique key for
-    results that do not vary.
+    results that do not vary. The dealt rows are written, as a table of
+    `rounds` where that is given.
     """
     spark = df.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) for c in (*group, *order)]
     dealt = df.repartitionByRange(n, *keys).withColumn("_task", F.spark_partition_id())
-    dealt = written(dealt.withColumns({f"_w_{k}": c for k, c in sums.items()}), name)
+    dealt = dealt.withColumns({f"_w_{k}": c for k, c in sums.items()})
+    dealt = rounds.put(dealt) if rounds else written(dealt, name)
     parts = dealt.groupBy(*group, "_task").agg(*(F.sum(f"_w_{k}").alias(f"_s_{k}") for k in sums))
     before = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumns({f"_b_{k}": F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)) for k in sums})
