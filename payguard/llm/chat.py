@@ -14,7 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,8 +76,13 @@ class PartVisitor:
         self.attachments.append({"index": index, "kind": kind, "ref": part.get("ref"), "tokens": max(1, tokens)})
 
 
-def _clean(part: dict) -> dict:
-    return {k: None if isinstance(v, float) and v != v else v for k, v in part.items()}
+_ATTACHMENTS = pa.list_(pa.struct([("index", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
+_FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("attachments", _ATTACHMENTS), ("attachment_tokens", pa.int32())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -90,24 +95,23 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     columns are left out; an empty table gives an empty result.
     """
     bound_batches(turns.sparkSession)
-    turns = turns.select("conv_id", "turn", "role", "parts")
+    turns = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "parts")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for conv, turn, role, parts in frame.itertuples(index=False, name=None):
+            for conv, turn, role, parts in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "role", "parts")), strict=True):
                 visitor = PartVisitor()
-                for part in parts if parts is not None else ():
+                for part in parts or ():
                     if part is not None:
-                        visitor.visit(_clean(part if isinstance(part, dict) else part.asDict()))
+                        visitor.visit(part)
                 body = "".join(visitor.out)
                 head = f"{OPEN}{escape(role or '').replace(chr(10), chr(92) + chr(10))}\n"
                 end = len(head) + (len(body) if role in loss_roles else 0)
                 rows.append((conv, turn, role, head + body + CLOSE, len(head), end, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)))
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments", "attachment_tokens"])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+            yield _batch(rows, _FORMATTED)
 
-    return turns.mapInPandas(run, f"conv_id bigint, turn bigint, role string, formatted string, loss_start int, loss_end int, attachments {ATTACHMENT}, attachment_tokens int")
+    return turns.mapInArrow(run, f"conv_id bigint, turn bigint, role string, formatted string, loss_start int, loss_end int, attachments {ATTACHMENT}, attachment_tokens int")
 
 
 def assemble(formatted: DataFrame) -> DataFrame:
@@ -135,6 +139,9 @@ class TurnParser:
         self.held = self.held[at:]
 
 
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("attachment_tokens", pa.int64())])
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digest each conversation from its formatted rows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, attachment_tokens.
 
@@ -146,19 +153,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
     columns = ["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachment_tokens"]
     dealt = formatted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list = []
 
-        def result() -> dict:
+        def result() -> tuple:
             conv, n, turns, chars, loss, total, tokens, parser = now
             if parser.held:
                 raise ValueError("the last turn of a formatted conversation is cut off")
-            return {"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": total, "attachment_tokens": tokens}
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, tokens
 
-        for frame in frames:
+        for batch in batches:
             done = []
-            for conv, _, _, text, start, end, tokens in frame.itertuples(index=False, name=None):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, text, start, end, tokens in zip(*(batch[c].to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "attachment_tokens")), strict=True):
                 if not now or now[0] != conv:
                     if now:
                         done.append(result())
@@ -167,20 +173,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 now[3] += len(trained)
                 now[4].update(trained.encode())
                 now[5] += len(text)
-                now[6] += int(tokens)
+                now[6] += tokens
                 for role, body in now[7].feed(text):
                     now[1] += 1
                     now[2].update(f"{role}\n{unescape(body)}\n".encode())
-            yield _table(done)
+            yield _batch(done, _DIGESTS)
         if now:
-            yield _table([result()])
-
-    return dealt.mapInPandas(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, attachment_tokens bigint")
-
+            yield _batch([result()], _DIGESTS)
 
-def _table(rows: list[dict]) -> pd.DataFrame:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "attachment_tokens"]
-    return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+    return dealt.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, attachment_tokens bigint")
 
 
 def text_parts(conversations: DataFrame) -> DataFrame:

@@ -6,36 +6,29 @@ read again, which cuts lineage: a lost executor costs a re-read, no more.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from payguard.operators import running
+from payguard.operators.running import Rounds, new_path, prefix_sums, scratch, shared_dir
+
+__all__ = ["Rounds", "new_path", "prefix_sums", "scratch", "shared_dir"]
 #: Bytes of text that one vectorised step holds at a time inside a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of one Arrow batch between Spark and Python, at most.
 BATCH_ROWS = 2000
-#: Bits of a membership bitmap that is sent to every task: 2**25 bits are 4 MB, whatever the input.
-BITMAP_BITS = 25
+#: Bits (as a power of two) of a membership bitmap that is sent to every task: at least and at most, 128 KB and 16 MB.
+LEAST_BITS, MOST_BITS = 20, 27
+#: Nodes of a graph whose neighbours' minima are sent to every task, at most.
+HUBS = 10_000
 _BLOCK = 32768  # bits that one bitmap_construct_agg row holds
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        path = sc.getCheckpointDir()
-        if not path:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-payguard-"))
-            path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Keep this session's Arrow batches at BATCH_ROWS rows or what it has set below that; Spark's default of 10,000 long texts is too much for a small executor."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -43,17 +36,23 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/payguard/{name}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again; see scratch() for keep."""
+    bound_batches(df.sparkSession)
+    return running.written(df, name, keep)
+
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it as long as df has such a column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again."""
-    bound_batches(df.sparkSession)
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def as_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, under which no name can clash; `row.*` gives them back."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row")
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -82,38 +81,18 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], name: str) -> tuple[DataFrame, DataFrame]:
-    """Exact running totals within groups, for groups of any size.
+def bitmap_bits(keys: int) -> int:
+    """Size of a bitmap for so many keys: 16 bits a key up to MOST_BITS, beyond which it lets more through."""
+    return min(max(math.ceil(math.log2(max(1, keys))) + 4, LEAST_BITS), MOST_BITS)
 
-    Rows are dealt by range on (group, order), so a hot group spreads over
-    many tasks; totals of (group, task) give each task its starting value.
-    Adds to each row, per entry k of `sums`, the total of the rows before it
-    (exclusive) as column k. Second result: one row per group with the totals.
-    Group columns must not be null; `order` must end in a unique key for
-    results that do not vary.
-    """
-    spark = df.sparkSession
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = [F.col(c) for c in (*group, *order)]
-    dealt = df.repartitionByRange(n, *keys).withColumn("_task", F.spark_partition_id())
-    dealt = materialize(dealt.withColumns({f"_w_{k}": c for k, c in sums.items()}), name)
-    parts = dealt.groupBy(*group, "_task").agg(*(F.sum(f"_w_{k}").alias(f"_s_{k}") for k in sums))
-    before = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumns({f"_b_{k}": F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)) for k in sums})
-    within = Window.partitionBy(*group, "_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = dealt.withColumns({f"_i_{k}": F.coalesce(F.sum(f"_w_{k}").over(within), F.lit(0)) for k in sums})
-    joined = inner.join(parts, [*group, "_task"])
-    out = joined.select(*df.columns, *((F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in sums))
-    totals = parts.groupBy(*group).agg(*(F.sum(f"_s_{k}").alias(k) for k in sums))
-    return out, totals
-
-
-def bitmap_of(values: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Membership bitmap of a bigint column: 2**bits bits, whatever the number of rows.
-
-    Built by partial aggregation on the executors; the driver gets at most
-    2**bits / 8 bytes. A test on it may say yes wrongly, never no wrongly.
+
+def bitmap_of(values: DataFrame, column: str) -> np.ndarray:
+    """Membership bitmap of a bigint column, sized by its rows, 16 MB at most.
+
+    Built by partial aggregation on the executors. A test on it may say yes
+    wrongly, never no wrongly; what it lets through must still be decided.
     """
+    bits = bitmap_bits(values.count())
     slot = F.expr(f"CAST({column} & {(1 << bits) - 1}L AS BIGINT)")
     rows = values.select((F.floor(slot / F.lit(_BLOCK))).cast("long").alias("block"), (slot % _BLOCK).alias("bit"))
     blocks = rows.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
@@ -132,7 +111,7 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bitmap_column(bitmap: np.ndarray, spark: SparkSession, column: str) -> Column:
+def bitmap_column(bitmap: np.ndarray, spark: SparkSession, column: Column) -> Column:
     """Whether the bitmap may hold a bigint column's value; false for null."""
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(bitmap)
@@ -141,28 +120,48 @@ def bitmap_column(bitmap: np.ndarray, spark: SparkSession, column: str) -> Colum
         values = keys.fill_null(0).to_numpy(zero_copy_only=False)
         return pa.array(in_bitmap(sent.value, values) & ~keys.is_null().to_numpy(zero_copy_only=False))
 
-    return F.arrow_udf(run, "boolean")(F.col(column))
+    return F.arrow_udf(run, "boolean")(column)
+
+
+def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """edges (a, b) with m of their a, from least (a, m, n). Nodes of more than `most` edges, HUBS at most, are sent to all tasks, so that no task gets a hub's edges."""
+    hubs = F.broadcast(least.filter(F.col("n") > most).select("a", F.col("m").alias("hub")))
+    marked = edges.join(hubs, "a", "left")
+    rest = marked.filter("hub IS NULL").select("a", "b").join(least.filter(F.col("n") <= most).select("a", "m"), "a")
+    return marked.filter("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m")).unionByName(rest)
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """Connected components of undirected bigint edges (a, b): rows (id, component), the smallest id reachable.
+def components(edges: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Connected components of undirected bigint edges (a, b): rows (id, component), the smallest id reachable. Edges with a null are left out.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014); each
-    round is written out, so lineage stays flat. No group is collected: a
-    node's neighbours meet only in a min aggregate and a join.
+    round is written out, so lineage stays flat, and replaces the one before.
+    No group is collected: a node's neighbours meet in a partial min, and the
+    joins send what belongs to hubs to the edges' own tasks.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
+    rounds = Rounds(edges.sparkSession, name, keep)
+    now = rounds.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = (now.count(), None)
     while True:
+        most = max(64, math.ceil(2 * state[0] / HUBS))
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, low, most).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = materialize(small.filter("a <> b").distinct(), name)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, most).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        now = rounds.put(small.filter("a <> b").distinct())
+        seen, state = state, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             found = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
             return found.union(found.select("component", "component").distinct())
-        seen = state
+
+
+def chunked(function: Callable[[pa.Array], list], text: pa.Array) -> list:
+    """function over pieces of at most CHUNK_BYTES of text, one row at least; the results' rows joined."""
+    out, start, offsets = [], 0, text_buffer(text)[1]
+    while start < len(text):
+        stop = min(max(int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, side="right")) - 1, start + 1), len(text))
+        out += function(text.slice(start, stop - start))
+        start = stop
+    return out

@@ -1,21 +1,24 @@
-"""Benchmark decontamination: containment search for short test items in long documents.
-
-Items are partitioned by the size of their shingle set. An item is searched by
-its bottom-k MinHash values, k being set by its partition: where a share
-`threshold` of an item's n shingles lies in a document, at most
-n - ceil(threshold * n) are missing, so one of that many plus one least values
-is there. No contained item is missed, however long the document is; a
-Jaccard-based MinHash would miss short items in long documents. Candidates
-are confirmed by the exact containment of their shingles, word for word.
-
-The items are the query set. They are searched in blocks of bounded size, each
-of which is sent to all tasks; documents are not shuffled.
+"""Benchmark decontamination: containment search for short test items inside long documents.
+
+Items are partitioned by the size of their shingle set (powers of two; items
+of fewer than five words, whose one shingle is their whole word sequence, by
+their number of words). Each partition has a MinHash index: the least hashes
+of its items, as many as its largest item needs so that HITS of them, or all
+that there are, lie in every document that holds a share `threshold` of the
+item. The partition's greatest index value bounds the sketch of a document:
+only its hashes up to there are compared. A Jaccard-based MinHash would miss
+short items in long documents; this misses none. Candidates are confirmed by
+the exact containment of their shingles, word for word.
+
+Small sets of items are one index, which is sent to all tasks, and documents
+are not shuffled. Larger ones are a table: sketches and index are joined, and
+candidates are confirmed pair by pair.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,109 +27,210 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payguard.llm import words as W
-from payguard.llm.common import CHUNK_BYTES, bound_batches, in_bitmap, text_buffer
+from payguard.llm.common import as_row, bitmap_of, bound_batches, chunked, free_name, in_bitmap, materialize, text_buffer, text_slices
 
 SHINGLE = 5
 THRESHOLD = 0.75
-#: Bytes of item texts in a block, on average.
-BLOCK_BYTES = 4 << 20
-#: Bits of a block's first filter.
-FILTER_BITS = 22
+#: Index values of an item that a document which contains it shares, where the item has so many; one value alone would make every common phrase a candidate.
+HITS = 3
+#: Bytes of item texts up to which the index is sent to all tasks.
+SENT_BYTES = 8 << 20
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("shingles", T.LongType())]))
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("shingles", pa.int64())]))
 
 
-def word_shingles(text: bytes) -> set[bytes]:
-    """The exact 5-word shingles of a text, A-Z in lower case."""
-    found = text.translate(bytes(W._LOWER)).split()
-    return {b" ".join(found[i : i + SHINGLE]) for i in range(len(found) - SHINGLE + 1)}
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return text.translate(bytes(W._LOWER)).split()
 
 
-def signature_size(n: int, threshold: float = THRESHOLD) -> int:
-    """MinHash values of an item of n shingles: those that the largest item of its size partition (2**i to 2**(i+1)-1) needs."""
+def shingles_of(words: list[bytes], width: int = SHINGLE) -> set[bytes]:
+    """The exact shingles of `width` words."""
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def partition_of(n_words: int, n: int) -> int:
+    """The size partition of an item of n shingles: 1 to 4 for so many words, from 5 on by the power of two."""
+    return n_words if n_words < SHINGLE else SHINGLE - 1 + n.bit_length()
+
+
+def index_size(n: int, threshold: float = THRESHOLD) -> int:
+    """Least hashes of an item of n shingles that its partition's index holds: what the partition's largest item may lack, and HITS more."""
     largest = (1 << n.bit_length()) - 1
-    return min(n, largest - math.ceil(threshold * largest - 1e-9) + 1)
-
-
-class ItemBlock:
-    """Items of one block, ready for search."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD) -> None:
-        self.threshold, self.items, values, owners = threshold, [], [], []
-        for item_id, text in items:
-            exact = word_shingles((text or "").encode())
-            if exact:
-                buffer, offsets = text_buffer(pa.array([text]))
-                least = np.sort(W.mix(W.shingles(buffer, offsets, SHINGLE)[1]))[: signature_size(len(exact), threshold)]
-                values.append(least)
-                owners += [len(self.items)] * len(least)
-                self.items.append((item_id, exact))
-        value = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    return min(n, _lacking(largest, threshold) + HITS)
+
+
+def _lacking(n: int, threshold: float) -> int:
+    """Shingles of n that a document with a share `threshold` of them may lack."""
+    return n - math.ceil(threshold * n - 1e-9)
+
+
+def _run_hashes(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `width` words, and their rows. Runs of other widths have other hashes."""
+    at, row = W.valid(rows, width)
+    return (W.mix(W.rolling(hashes, width)[at] + np.uint64(width)), row) if len(at) else (np.zeros(0, np.uint64), row)
+
+
+class Item:
+    """One item: its exact shingles and its least hashes."""
+
+    def __init__(self, item_id: int | None, text: str | None, threshold: float) -> None:
+        data = (text or "").encode()
+        words = words_of(data)
+        self.item_id, self.width = item_id, min(SHINGLE, len(words))
+        self.exact = shingles_of(words, self.width) if words else set()
+        self.partition = partition_of(len(words), len(self.exact))
+        self.needed, self.values = 0, np.zeros(0, np.uint64)  # needed: of the values, how many lie in every document that contains the item
+        if self.exact:
+            buffer, offsets = text_buffer(pa.array([text]))
+            starts, ends, rows = W.split(buffer, offsets)
+            got = np.unique(_run_hashes(W.hashes(buffer, starts, ends, lower=True), rows, self.width)[0])
+            self.values = got[: index_size(len(self.exact), threshold)]
+            self.needed = max(1, len(self.values) - _lacking(len(self.exact), threshold))
+
+    def within(self, words: list[bytes], have: dict[int, set[bytes]], threshold: float) -> dict | None:
+        """The hit of this item in a document's words; have: the document's shingles by width, filled as needed."""
+        if self.width not in have:
+            have[self.width] = shingles_of(words, self.width)
+        shared = len(self.exact & have[self.width])
+        return {"item_id": self.item_id, "shared": shared, "shingles": len(self.exact)} if shared >= threshold * len(self.exact) - 1e-9 else None
+
+
+class Partition:
+    """The index of one size partition: its values, ascending, whose items they are, and the greatest of them."""
+
+    def __init__(self, width: int, items: list[tuple[int, Item]]) -> None:
+        value = np.concatenate([i.values for _, i in items])
+        owner = np.repeat([k for k, _ in items], [len(i.values) for _, i in items])
         order = np.argsort(value, kind="stable")
-        self.value, self.owner = value[order], np.array(owners, np.int64)[order]
-        self.bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        slot = self.value & np.uint64((1 << FILTER_BITS) - 1)
-        np.bitwise_or.at(self.bitmap, (slot >> np.uint64(3)).astype(np.int64), np.left_shift(1, (slot & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        self.width, self.value, self.owner, self.bound = width, value[order], owner[order], value.max()
+
+
+class Index:
+    """The indexes of all partitions."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> None:
+        self.threshold = threshold
+        self.items = [i for i in (Item(*x, threshold) for x in items) if i.exact]
+        self.needed = np.array([i.needed for i in self.items], np.int64)
+        groups: dict[int, list[tuple[int, Item]]] = {}
+        for k, i in enumerate(self.items):
+            groups.setdefault(i.partition, []).append((k, i))
+        self.partitions = [Partition(members[0][1].width, members) for _, members in sorted(groups.items())]
 
     def search(self, text: pa.Array) -> list[list[dict]]:
-        """The contained items of each text, by their position in the block."""
+        """The contained items of each text, by their place. Texts are hashed once."""
         buffer, offsets = text_buffer(text)
         starts, ends, rows = W.split(buffer, offsets)
-        at, row = W.valid(rows, SHINGLE)
+        hashes = W.hashes(buffer, starts, ends, lower=True)
+        runs = {w: _run_hashes(hashes, rows, w) for w in {p.width for p in self.partitions}}
+        pairs = []
+        for p in self.partitions:
+            value, row = runs[p.width]
+            sketch = np.flatnonzero(value <= p.bound)
+            value, row = value[sketch], row[sketch]
+            lo = np.searchsorted(p.value, value, "left")
+            found = np.flatnonzero(p.value[np.minimum(lo, len(p.value) - 1)] == value)
+            value, row, lo = value[found], row[found], lo[found]
+            n = np.searchsorted(p.value, value, "right") - lo
+            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            # A value that a document has twice counts once.
+            hit = np.unique(np.stack([np.repeat(row, n), p.owner[place], place], axis=1), axis=0)
+            pair, hits = np.unique(hit[:, :2], axis=0, return_counts=True)
+            pairs.append(pair[hits >= self.needed[pair[:, 1]]])
         out: list[list[dict]] = [[] for _ in range(len(text))]
-        if not len(at) or not len(self.value):
-            return out
-        value = W.mix(W.rolling(W.hashes(buffer, starts, ends, lower=True), SHINGLE)[at])
-        maybe = np.flatnonzero(in_bitmap(self.bitmap, value))
-        value, row = value[maybe], row[maybe]
-        lo, hi = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
-        pairs: dict[int, set[int]] = {}
-        for k in np.flatnonzero(hi > lo).tolist():
-            pairs.setdefault(int(row[k]), set()).update(self.owner[lo[k] : hi[k]].tolist())
-        for doc, found in pairs.items():
-            have = word_shingles(buffer[offsets[doc] : offsets[doc + 1]].tobytes())
-            for i in sorted(found):
-                item_id, want = self.items[i]
-                shared = len(want & have)
-                if shared >= self.threshold * len(want) - 1e-9:
-                    out[doc].append({"item_id": item_id, "shared": shared, "shingles": len(want)})
+        last, words, have = -1, [], {}
+        for doc, k in sorted(map(tuple, np.concatenate(pairs).tolist())) if pairs else ():
+            if doc != last:
+                last, words, have = doc, words_of(buffer[offsets[doc] : offsets[doc + 1]].tobytes()), {}
+            hit = self.items[k].within(words, have, self.threshold)
+            if hit:
+                out[doc].append(hit)
         return out
 
 
-def _search(block) -> callable:
-    def run(text: pa.Array) -> pa.Array:
-        out, start = [], 0
-        offsets = text_buffer(text)[1]
-        while start < len(text):
-            stop = min(max(int(np.searchsorted(offsets, offsets[start] + CHUNK_BYTES, side="right")) - 1, start + 1), len(text))
-            out += block.value.search(text.slice(start, stop - start))
-            start = stop
-        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("shingles", pa.int64())])))
-
-    return F.arrow_udf(run, HIT)
-
-
-def contained_items(spark: SparkSession, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> Column:
-    """A column of `text`: the items (item_id, shared, shingles) of which a share `threshold` of the shingles lies in it.
-
-    items: item_id, text. Items of fewer than five words, null and empty ones
-    have no shingles and are never found; null texts contain nothing; repeated
-    items are each reported; a null item_id stays null.
+def _column(spark: SparkSession, index: Index, text: Column) -> Column:
+    sent = spark.sparkContext.broadcast(index)
+    return F.arrow_udf(lambda x: pa.array(chunked(sent.value.search, x), _HITS), HIT)(text)
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Hits by text (key, hits), for more items than one index should hold. docs: key, text, a row for each text; items: item_id, text."""
+    spark = docs.sparkSession
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            owner, width, needed, value = [], [], [], []
+            for k, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                i = Item(None, text, threshold)
+                owner += [k] * len(i.values)
+                width += [i.width] * len(i.values)
+                needed += [i.needed] * len(i.values)
+                value.append(i.values.view(np.int64))
+            columns = [pa.array(np.concatenate(value)), pa.array(owner, pa.int64()), pa.array(width, pa.int32()), pa.array(needed, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["value", "item", "width", "needed"])
+
+    table = materialize(items.select("item", "text").mapInArrow(index, "value bigint, item bigint, width int, needed int"), "item-index")
+    widths = sorted(r[0] for r in table.select("width").distinct().collect())  # five at most
+    bitmap = spark.sparkContext.broadcast(bitmap_of(table, "value"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            buffer, offsets = text_buffer(batch["text"])
+            starts, ends, rows = W.split(buffer, offsets)
+            hashes, keys = W.hashes(buffer, starts, ends, lower=True), batch["key"]
+            for width in widths:
+                value, row = _run_hashes(hashes, rows, width)
+                keep = np.flatnonzero(in_bitmap(bitmap.value, value))
+                pair = np.unique(np.stack([value[keep], row[keep].astype(np.uint64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), keys.take(pa.array(pair[1].astype(np.int64)))], ["value", "key"])
+
+    sketches = materialize(docs.mapInArrow(sketch, "value bigint, key binary"), "sketches")
+    pairs = sketches.join(table, "value").groupBy("key", "item").agg(F.count(F.lit(1)).alias("hits"), F.first("needed").alias("needed")).filter("hits >= needed")
+    pairs = materialize(pairs.select("key", "item"), "item-candidates")
+    both = pairs.join(docs, "key").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("key", "item_id", "item_text", "text")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            out = []
+            for key, item_id, item_text, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hit = Item(item_id, item_text, threshold).within(words_of(text.encode()), {}, threshold)
+                if hit:
+                    out.append((key, hit))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([h for _, h in out], _HITS.value_type)], ["key", "hit"])
+
+    found = both.mapInArrow(confirm, f"key binary, hit {HIT.elementType.simpleString()}")
+    return found.groupBy("key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))  # items of one text
+
+
+def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits", threshold: float = THRESHOLD, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """docs with a column `name`: the items (item_id, shared, shingles) of which a share `threshold` of the shingles lies in the text.
+
+    docs has a column text, items item_id and text. An item of 1 to 4 words
+    is one shingle, and a document with that run of words contains it. Null
+    and empty items are never found; null texts contain nothing; repeated
+    items are each reported; a null item_id stays null. All columns of docs
+    stay (`name` gets underscores where docs has it already).
     """
+    spark = docs.sparkSession
     bound_batches(spark)
     items = items.select("item_id", "text").filter("text IS NOT NULL")
+    name = free_name(docs, name)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(size / block_bytes) or 1
-    found = []
-    for i in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
-        block = ItemBlock([tuple(r) for r in part.collect()], threshold)  # block_bytes of text on average
-        found.append(_search(spark.sparkContext.broadcast(block))(F.col("text")))
-    return reduce(lambda a, b: F.concat(a, b), found)
+    if size <= sent_bytes:
+        index = Index([tuple(r) for r in items.collect()], threshold)  # sent_bytes of text at most
+        return docs.withColumn(name, _column(spark, index, F.col("text")))
+    rows = docs.select(as_row(docs), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).cast("binary").alias("key"))
+    texts = rows.groupBy("key").agg(F.first(F.coalesce(F.col("row.text"), F.lit(""))).alias("text"))
+    found = _joined_hits(materialize(texts, "texts"), items, threshold)
+    none = F.array().cast(HIT)
+    return rows.join(found, "key", "left").select("row.*", F.coalesce("hits", none).alias(name))
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Pairs of documents and contained items: doc_id, item_id, shared, shingles, containment. A null doc_id stays null; other columns are left out."""
-    hits = docs.select("doc_id", F.explode(contained_items(docs.sparkSession, items, threshold)).alias("hit"))
+    hits = with_hits(docs.select("doc_id", "text"), items, "hits", threshold, sent_bytes).select("doc_id", F.explode("hits").alias("hit"))
     return hits.select("doc_id", "hit.item_id", "hit.shared", "hit.shingles", (F.col("hit.shared") / F.col("hit.shingles")).alias("containment"))
 
 
@@ -138,11 +242,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
 w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+k AS (SELECT DISTINCT least(len(ws), 5) AS k FROM w WHERE kind = 1 AND len(ws) > 0),
 s AS (
-  SELECT DISTINCT kind, id, array_to_string(list_slice(ws, p, p + 4), ' ') AS g
-  FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
+  SELECT DISTINCT kind, id, k, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS g
+  FROM (SELECT kind, id, k, ws, unnest(range(1, len(ws) - k + 2)) AS p FROM w, k WHERE len(ws) >= k AND (kind = 0 OR least(len(ws), 5) = k))),
 n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id),
-i AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2)
+i AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM s d JOIN s b ON d.g = b.g AND d.k = b.k AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2)
 SELECT doc_id, item_id, k::BIGINT AS shared, n::BIGINT AS shingles, k / n AS containment
 FROM i JOIN n ON n.id = item_id WHERE 4 * k >= 3 * n
 """

@@ -17,9 +17,15 @@ def sample_labels(labels: DataFrame, target: str, usable: Column, limit: int) ->
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame, name: str) -> DataFrame:
-    """Texts of the sampled rows, each text once, written out. The sample's size is bounded, so it is sent to all tasks."""
+    """Texts of the sampled rows, written out. The sample's size is bounded, so it is sent to all tasks.
+
+    Each text is there once: of equal texts, the row of the least (doc_id,
+    label) stands for all, so copies that are labelled differently or often
+    do not outweigh others, and the same table gives the same sample.
+    """
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    return materialize(rows.dropDuplicates(["text"]).repartition(8), name)
+    once = rows.groupBy("text").agg(F.min(F.struct("doc_id", "label", "part")).alias("row")).select("row.*", "text")
+    return materialize(once.repartition(8, "doc_id").sortWithinPartitions("doc_id"), name)
 
 
 def remainder(modulus: int) -> Column:

@@ -14,18 +14,17 @@ import hashlib
 import io
 import struct
 import tarfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm.common import bound_batches, materialize, new_path, text_buffer, text_slices
+from payguard.llm.common import CHUNK_BYTES, bound_batches, materialize, new_path, text_buffer, text_slices
 
 WIDTH = 64
 #: Bytes after which a task begins another shard.
@@ -88,12 +87,14 @@ def feature(payload: bytes) -> str:
 
 
 class ShardWriter:
-    """Tar shards of one task. A retried task writes files of other names, and only its rows are kept."""
+    """Tar shards of one task, named by its place and attempt. A retried task writes files of other names, and only its rows are kept."""
 
     def __init__(self, folder: str) -> None:
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.file, self.name, self.at = None, "", 0
+        task = TaskContext.get()
+        self.task = f"{task.partitionId():06d}-{task.taskAttemptId()}"
+        self.file, self.name, self.at, self.shards = None, "", 0, 0
         self.placed: dict[bytes, tuple[str, int, int]] = {}
 
     def put(self, data: bytes) -> tuple[bytes, str, int, int]:
@@ -102,7 +103,8 @@ class ShardWriter:
         if digest not in self.placed:
             if self.file is None or self.at >= SHARD_BYTES:
                 self.close()
-                self.name = f"{uuid.uuid4().hex}.tar"
+                self.name = f"{self.task}-{self.shards}.tar"
+                self.shards += 1
                 self.file, self.at = self.fs.open_output_stream(f"{self.folder}/{self.name}"), 0
             info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(data)
@@ -149,55 +151,80 @@ def locations(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
-def _reads(folder: str, whole: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, path = pafs.FileSystem.from_uri(folder)
-        name, file = None, None
-        for frame in frames:
-            out = []
-            for digest, shard, offset, length in frame[["digest", "shard", "offset", "length"]].itertuples(index=False, name=None):
-                if shard != name:
-                    if file is not None:
-                        file.close()
-                    name, file = shard, fs.open_input_file(f"{path}/{shard}")
-                file.seek(offset)
-                data = file.read(length if whole else HEADER_BYTES)
-                row = {"digest": digest, **png_header(data)}
-                if whole:
-                    payload = decode_png(data)
-                    row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": feature(payload)}
-                out.append(row)
-            if out:
-                yield pd.DataFrame(out)
+def dealt(places: DataFrame) -> DataFrame:
+    """Entries of one shard lie beside each other, in file order; ranges may split a large shard over tasks."""
+    n = max(2, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], folder: str, head_only: bool) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Each batch with the bytes of its entries: the header's alone, or whole ones; a shard is opened once as long as its rows lie together. Whole entries come in pieces of a few MB."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    name, file = None, None
+    for batch in batches:
+        start, held, out = 0, 0, []
+        for i, (shard, offset, length) in enumerate(zip(*(batch[c].to_pylist() for c in ("shard", "offset", "length")), strict=True)):
+            if shard != name:
+                if file is not None:
+                    file.close()
+                name, file = shard, fs.open_input_file(f"{path}/{shard}")
+            out.append(file.read_at(min(HEADER_BYTES, length) if head_only else length, offset))
+            held += len(out[-1])
+            if held > CHUNK_BYTES:
+                yield batch.slice(start, i + 1 - start), out
+                start, held, out = i + 1, 0, []
+        if out:
+            yield batch.slice(start), out
+    if file is not None:
+        file.close()
+
 
-    return run
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
 
-_META = "digest binary, width int, height int, bit_depth int"
+_PLACE = "digest binary, shard string, offset bigint, length bigint"
+_META = f"{_PLACE}, width int, height int, bit_depth int"
 
 
 def header_columns(places: DataFrame, folder: str) -> DataFrame:
-    """Metadata of stored media (digest, width, height, bit_depth), from range reads of the header bytes alone."""
-    return _dealt(places).mapInPandas(_reads(folder, False), _META)
+    """Places (digest, shard, offset, length) with width, height and bit_depth, from range reads of the header bytes alone. dealt() puts entries of a shard beside each other."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data in _ranges(batches, folder, True):
+            heads = [png_header(x) for x in data]
+            yield _with(batch, {k: pa.array([h[k] for h in heads], pa.int32()) for k in ("width", "height", "bit_depth")})
 
-def payload_columns(places: DataFrame, folder: str) -> DataFrame:
-    """header_columns() and digests and features of the payload, read back from the shard."""
-    return _dealt(places).mapInPandas(_reads(folder, True), f"{_META}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return places.select("digest", "shard", "offset", "length").mapInArrow(run, _META)
 
 
-def _dealt(places: DataFrame) -> DataFrame:
-    """Entries of one shard lie beside each other, in file order; ranges may split a large shard over tasks."""
-    n = max(2, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
+def payload_columns(entries: DataFrame, folder: str) -> DataFrame:
+    """Entries of header_columns() with digests and features of their payload, from range reads of the whole entries. The payload must have the header's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data in _ranges(batches, folder, False):
+            payloads = [decode_png(x) for x in data]
+            if any(len(p) != w * h * d // 8 for p, w, h, d in zip(payloads, *(batch[c].to_pylist() for c in ("width", "height", "bit_depth")), strict=True)):
+                raise ValueError("a payload has another size than its header")
+            yield _with(batch, {
+                "payload_bytes": pa.array(map(len, payloads), pa.int64()),
+                "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
+                "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()),
+                "media_bytes": pa.array(map(len, data), pa.int64()),
+                "media_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in data]),
+                "feature": pa.array(map(feature, payloads)),
+            })
+
+    columns = ["digest", "shard", "offset", "length", "width", "height", "bit_depth"]
+    return entries.select(*columns).mapInArrow(run, f"{_META}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as a PNG in tar shards and read back."""
+    """Every document stored as a PNG in tar shards: its place, the header's columns, and what the payload that is read back gives."""
     folder = new_path(spark, "shards")
     manifest = store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    found = payload_columns(locations(manifest), folder)
-    return manifest.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")
+    found = payload_columns(header_columns(dealt(locations(manifest)), folder), folder)
+    return manifest.select("doc_id", "n_bytes", "digest").join(found, "digest").withColumn("digest", F.lower(F.hex("digest")))
 
 
 def extract(folder: str, shard: str) -> dict[str, bytes]:

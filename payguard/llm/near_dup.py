@@ -4,11 +4,13 @@ Each document's shingle set becomes 384 registers: the leading-zero count and
 10 mantissa bits of the least hash in each of 384 buckets, empty buckets
 filled from others. 64 bands of 6 registers find candidates: at a similarity
 of 0.75 a pair shares no band with a probability of 4e-6. Within a band's
-bucket, sizes and a collision-corrected Jaccard estimate drop pairs that
-cannot be similar, and what is left is confirmed on the full sets.
+bucket, sizes and the collision-corrected Jaccard estimate from 64 of the
+registers drop pairs that cannot be similar, and what is left is confirmed on
+the full sets.
 
 Documents with equal sets are one node. Candidates are kept as spanning edges
-of a bucket, never as all its pairs.
+of a bucket, never as all its pairs. Buckets and candidate groups of any size
+are compared in blocks of bounded size; see _across().
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import bitmap_column, bitmap_of, bound_batches, components, in_bitmap, materialize, text_buffer, text_slices
+from payguard.llm.common import as_row, bitmap_column, bitmap_of, bound_batches, components, in_bitmap, materialize, scratch, text_buffer, text_slices
 
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Bits of the estimate's code: the lowest bit of as many registers.
-CODE = 128
-#: Members of a candidate group that one task compares; larger groups are cut into blocks of about this size.
-BLOCK = 512
+#: Registers that travel to the buckets for the estimate: every sixth, so that no band has more than one of them.
+SEEN = 64
+#: Members of a bucket or candidate group that one task compares with each other, and bytes of their sets; larger groups are cut into blocks of this size.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 PIVOTS = 4
 _EMPTY = np.iinfo(np.uint64).max
 _U = np.uint64
@@ -78,29 +80,21 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key >> _U(24)
 
 
-def codes(regs: np.ndarray) -> np.ndarray:
-    """One bit of each of the first 128 registers, as two 64-bit words (n x 2)."""
-    bits = (W.mix(regs[:, :CODE].astype(_U) + _U(77)) & _U(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(_U).reshape(len(regs), 2)
-
-
-def estimate(differing: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the number of differing code bits, corrected for equal bits and equal registers of unequal minima."""
-    same = 1 - 2 * differing / CODE
-    return (same - COLLISION) / (1 - COLLISION)
+def estimate(equal: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the number of equal registers among the SEEN ones, corrected for equal registers of unequal minima."""
+    return (equal / SEEN - COLLISION) / (1 - COLLISION)
 
 
 def least_estimate(size: np.ndarray, threshold: float) -> np.ndarray:
-    """What the estimate of a pair at the threshold stays above, but for one in ten million; small sets vary more."""
-    seen = np.minimum(np.maximum(size, 1), CODE)
-    return threshold - 5.2 * np.sqrt(threshold * (1 - threshold) / seen + (1 - threshold**2) / CODE)
+    """What the estimate of a pair at the threshold stays above, but for one in ten million; small sets, whose registers repeat each other, vary more."""
+    return threshold - 5.2 * np.sqrt(threshold * (1 - threshold) / np.minimum(np.maximum(size, 1), SEEN))
 
 
-_SIGNATURE = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, c1 bigint, c2 bigint, bands array<bigint>"
+_SIGNATURE = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, registers binary, bands array<bigint>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Set size, 128-bit set fingerprint, estimate code and band keys of each row of (doc_id, text)."""
+    """Set size, 128-bit set fingerprint, registers for the estimate and band keys of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -110,9 +104,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             np.add.at(f1, row, W.mix(got + _U(11)))
             np.add.at(f2, row, W.mix(got ^ _U(0xC0FFEE0DDBA11CAD)))
             regs = registers(row, got, n)
-            code, bands = codes(regs).view(np.int64), band_keys(regs).view(np.int64)
-            columns = [batch["doc_id"].cast(pa.int64()), pa.array(np.bincount(row, minlength=n)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", "c1", "c2", "bands"])
+            bands = band_keys(regs).view(np.int64)
+            seen = [x.tobytes() for x in np.ascontiguousarray(regs[:, :: REGISTERS // SEEN])]
+            columns = [batch["doc_id"].cast(pa.int64()), pa.array(np.bincount(row, minlength=n)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(seen, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", "registers", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNATURE)
 
@@ -138,57 +133,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.Recor
         yield held
 
 
-def _bucket_edges(code: np.ndarray, size: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Spanning edges of the pairs of one bucket that may reach the threshold."""
-    left, edges = np.arange(len(size)), []
-    while len(left) > 1:
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
-            at = front.pop()
-            differing = np.bitwise_count(code[left] ^ code[at]).sum(axis=1)
-            low, high = np.minimum(size[left], size[at]), np.maximum(size[left], size[at])
-            near = (low >= threshold * high - 1e-9) & (estimate(differing) >= least_estimate(high, threshold))
-            edges += [(at, int(x)) for x in left[near]]
-            front += left[near].tolist()
-            left = left[~near]
-    return edges
-
-
-def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) that connect, within each band bucket, all pairs that may reach the threshold. nodes: node, n_shingles, c1, c2, bands.
-
-    Most buckets have one member; only the others' members are joined with
-    their codes.
-    """
-    shared = nodes.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, node bigint")
-    rows = shared.join(nodes.select("node", "c1", "c2", F.col("n_shingles").cast("int").alias("size")), "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, "key"):
-            table = pa.Table.from_batches(group)
-            key, node, c1, c2, size = (table[c].to_numpy() for c in ("key", "node", "c1", "c2", "size"))
-            code = np.stack([c1, c2], axis=1).view(_U)
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            a, b = [], []
-            for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist(), strict=True):
-                for x, y in _bucket_edges(code[lo:hi], size[lo:hi].astype(np.int64), threshold):
-                    a.append(node[lo + x])
-                    b.append(node[lo + y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted batches whose key is another row's too."""
-    for group in _runs(batches, "key"):
-        table = pa.Table.from_batches(group)
-        key = table["key"].to_numpy()
-        same = key[1:] == key[:-1]
-        keep = np.append(same, False) | np.append(False, same)
-        yield from table.filter(pa.array(keep)).to_batches()
-
-
 def shingle_sets(docs: DataFrame, wanted) -> DataFrame:
     """Sorted shingle hashes, 8 bytes each, of the rows whose doc_id the bitmap may hold: node, members."""
 
@@ -252,75 +196,178 @@ def _labels(link: np.ndarray) -> np.ndarray:
     return label
 
 
-_GROUPED = "a bigint, b bigint"
+class NearRegisters:
+    """Links of pairs that may reach the threshold, by size and estimate. Payload: 4 bytes of size, then the registers."""
 
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
 
-def _confirm(groups: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked within each group. groups: g (bigint), side (0 all with all, 1 against 2), node, members."""
+    def load(self, payload: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.frombuffer(b"".join(payload.to_pylist()), np.uint8).reshape(len(payload), 4 + 2 * SEEN)
+        return np.ascontiguousarray(rows[:, :4]).view(">u4")[:, 0].astype(np.int64), np.ascontiguousarray(rows[:, 4:]).view(np.uint16)
+
+    def pairs(self, loaded: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j are linked, one by one."""
+        size, regs = loaded
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        return (low >= self.threshold * high - 1e-9) & (estimate((regs[i] == regs[j]).sum(axis=1)) >= least_estimate(high, self.threshold))
+
+    def matrix(self, loaded: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether rows of left and right are linked, each with each."""
+        out = np.zeros((len(left), len(right)), np.bool_)
+        step = max(1, 65_536 // len(right))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            out[at : at + step] = self.pairs(loaded, np.repeat(some, len(right)), np.tile(right, len(some))).reshape(len(some), len(right))
+        return out
+
+
+class EqualShare:
+    """Links of pairs of sets whose similarity is `percent` or more, exactly. Payload: the sorted shingle hashes."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+
+    def load(self, payload: pa.ChunkedArray) -> list[np.ndarray]:
+        return [np.frombuffer(x, _U) for x in payload.to_pylist()]
+
+    def pairs(self, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.array([self.matrix(sets, np.array([a]), np.array([b]))[0, 0] for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.bool_)
+
+    def matrix(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        a, b = [sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()]
+        same = len(left) == len(right) and bool((left == right).all())
+        return linked(intersections(a, None if same else b), np.array([len(x) for x in a]), np.array([len(x) for x in b]), self.percent)
+
+
+def _edges(groups: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
+    """Edges (a, b) that connect what is linked within each group. groups: g (bigint), side (0: all with all; 1 against 2), node, payload; a group fits a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, "g"):
             table = pa.Table.from_batches(group)
             key, side, node = (table[c].to_numpy() for c in ("g", "side", "node"))
-            sets = [np.frombuffer(x, _U) for x in table["members"].to_pylist()]
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            a, b = [], []
-            for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                size = np.array([len(s) for s in sets[lo:hi]])
-                ids, sides = node[lo:hi], side[lo:hi]
-                if sides[0] == 0:
-                    label = _labels(linked(intersections(sets[lo:hi]), size, size, percent))
-                    other = np.flatnonzero(label != np.arange(hi - lo))
-                    a += ids[other].tolist()
-                    b += ids[label[other]].tolist()
-                    continue
-                x, y = np.flatnonzero(sides == 1), np.flatnonzero(sides == 2)
-                if len(x) and len(y):
-                    link = linked(intersections([sets[lo + i] for i in x], [sets[lo + i] for i in y]), size[x], size[y], percent)
-                    square = np.zeros((hi - lo, hi - lo), np.bool_)
-                    square[np.ix_(x, y)] = link
-                    label = _labels(square | square.T)
-                    other = np.flatnonzero(label != np.arange(hi - lo))
-                    a += ids[other].tolist()
-                    b += ids[label[other]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return groups.select("g", "side", "node", "members").repartition("g").sortWithinPartitions("g", "side").mapInArrow(run, _GROUPED)
-
-
-def _confirm_large(sets: DataFrame, percent: int) -> DataFrame:
-    """Linking edges of the large candidate groups. sets: candidate, k (its size), node, members.
-
-    Every member is compared with a few pivots. What they connect needs no
-    more comparison; each member outside the group's largest part is compared
-    with all, in blocks, so no link is lost.
+            loaded = links.load(table["payload"])
+            start = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+            length = np.diff(np.append(start, len(key)))
+            # Most groups are pairs, which are compared all at once.
+            pair = start[length == 2]
+            pair = pair[(side[pair] == 0) | (side[pair] != side[pair + 1])]
+            hit = pair[links.pairs(loaded, pair, pair + 1)] if len(pair) else pair
+            a, b = [node[hit + 1]], [node[hit]]
+            for lo, n in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+                rows = np.arange(lo, lo + n)
+                if side[lo] == 0:
+                    square = links.matrix(loaded, rows, rows)
+                else:
+                    middle = int(np.searchsorted(side[lo : lo + n], 2))
+                    if middle in (0, n):
+                        continue
+                    square = np.zeros((n, n), np.bool_)
+                    square[:middle, middle:] = links.matrix(loaded, rows[:middle], rows[middle:])
+                    square |= square.T
+                label = _labels(square)
+                other = np.flatnonzero(label != np.arange(n))
+                a.append(node[lo + other])
+                b.append(node[lo + label[other]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+
+    return groups.select("g", "side", "node", "payload").repartition("g").sortWithinPartitions("g", "side").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
+
+
+def _across(members: DataFrame, blocks: DataFrame, edges: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
+    """Edges that connect what is linked within groups too large for a task; with `edges`, those of all smaller pieces, nothing is missing.
+
+    members: key, node, payload; blocks: key, cells (how many blocks the group
+    is cut into). All members are first compared with a few pivots; whatever
+    those and `edges` connect needs no more comparison. Each member outside
+    its group's largest part is compared with all others, block against
+    block, so no link is lost and no task has more than two blocks.
+    """
+    with scratch(members.sparkSession):
+        cells = members.join(blocks, "key")
+        place = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+        chosen = members.join(blocks, "key").groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node", F.lit(1)), 8 * F.col("cells")) == 0, F.col("node")))).alias("some"), F.min("node").alias("one"))
+        chosen = chosen.select("key", F.explode(F.array_distinct(F.concat(F.array("one"), F.slice("some", 1, PIVOTS - 1)))).alias("node"))
+        each = F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("p")
+        first = cells.select(F.xxhash64("key", place).alias("g"), F.lit(1).alias("side"), "node", "payload")
+        pivots = cells.join(chosen, ["key", "node"]).select("key", "node", "payload", each)
+        first = first.unionByName(pivots.select(F.xxhash64("key", "p").alias("g"), F.lit(2).alias("side"), "node", "payload"))
+        found = materialize(edges.unionByName(_edges(first, links)), "pivot-edges", keep=True)
+
+        # Which members lie outside is found on ids alone; payloads are joined once, and only where some do.
+        labels = components(found, "pivot-parts").withColumnsRenamed({"id": "node"})
+        ids = cells.select("key", "cells", "node").join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        sizes = ids.groupBy("key", "cells", "part").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("key", "cells").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("k"))
+        main = main.filter("outside > 0").select("key", "main", F.ceil(F.col("outside") * F.col("cells") / F.col("k")).cast("int").alias("rows"))
+        ids = ids.join(main, "key").select("key", "node", (F.col("part") != F.col("main")).alias("apart"), "cells", "rows")
+        todo = materialize(members.join(ids, ["key", "node"]), "large-groups", keep=True)
+    strip = F.pmod(F.xxhash64("node", F.lit(2)), F.col("rows")).cast("int")
+    outside = todo.filter("apart").select("key", strip.alias("u"), F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("p"), F.lit(1).alias("side"), "node", "payload")
+    against = todo.select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("u"), F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("p"), F.lit(2).alias("side"), "node", "payload")
+    rest = outside.unionByName(against).select(F.xxhash64("key", "u", "p").alias("g"), "side", "node", "payload")
+    return found.unionByName(_edges(rest, links))
+
+
+def _shared(block: int):
+    """Of rows sorted by key, those whose key is another row's too, with the number of their block: each holds `block` rows of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int] | None = None  # the last row, where its key has not come twice yet
+        last, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
+            start = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+            length = np.diff(np.append(start, len(key)))
+            before = np.zeros(len(key), np.int64)
+            first = int(length[0])
+            goes_on = last is not None and key[0] == last
+            if goes_on:
+                before[:first] = seen
+            place = before + np.arange(len(key)) - np.repeat(start, length)
+            keep = np.repeat(length > 1, length)
+            if goes_on:
+                keep[:first] = True
+                if held is not None:
+                    yield _rows([held[0]], [held[1]], [0])
+            held = None
+            seen = (seen if goes_on and len(length) == 1 else 0) + int(length[-1])
+            last = key[-1]
+            if seen == 1:
+                held = (int(key[-1]), int(node[-1]))
+            yield _rows(key[keep], node[keep], place[keep] // block)
+
+    return run
+
+
+def _rows(key, node, block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(block, pa.int64())], ["key", "node", "block"])
+
+
+def candidates(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect, within each band bucket, all pairs that may reach the threshold. nodes: node, n_shingles, registers, bands.
+
+    Most buckets have one member; only the others' members are joined with
+    their registers. A bucket's members are numbered as they stream by, and
+    compared in blocks.
     """
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    place = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pivots = sets.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")) < PIVOTS)
-    each = F.explode(F.sequence(F.lit(0), blocks - 1))
-    first = sets.select(F.xxhash64("candidate", place).alias("g"), F.lit(1).alias("side"), "node", "members")
-    first = first.unionByName(pivots.select("candidate", "node", "members", each.alias("p")).select(F.xxhash64("candidate", "p").alias("g"), F.lit(2).alias("side"), "node", "members"))
-    edges = materialize(_confirm(first, percent), "pivot-edges")
-
-    # Which members are outside their group's largest part is found on ids alone; sets are joined once, and only where some are.
-    labels = components(edges, "pivot-parts").withColumnsRenamed({"id": "node"})
-    ids = sets.select("candidate", "k", "node").join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    sizes = ids.groupBy("candidate", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("candidate").agg(F.max_by("part", F.struct("n", F.col("part"))).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-    ids = ids.join(main.filter("outside > 0"), "candidate").select("node", (F.col("part") != F.col("main")).alias("apart"), "outside")
-    todo = materialize(sets.join(ids, "node"), "large-sets")
-    cells = F.ceil(F.col("outside") / BLOCK).cast("int")
-    cell = F.pmod(F.xxhash64("node", F.lit(2)), cells).cast("int")
-    outside = todo.filter("apart").select("candidate", cell.alias("u"), each.alias("p"), F.lit(1).alias("side"), "node", "members")
-    against = todo.select("candidate", F.explode(F.sequence(F.lit(0), cells - 1)).alias("u"), place.alias("p"), F.lit(2).alias("side"), "node", "members")
-    rest = outside.unionByName(against).select(F.xxhash64("candidate", "u", "p").alias("g"), "side", "node", "members")
-    return edges.unionByName(_confirm(rest, percent))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
+    dealt = nodes.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    shared = materialize(dealt.mapInArrow(_shared(block), "key bigint, node bigint, block bigint"), "buckets")
+    payload = nodes.select("node", F.concat(F.unhex(F.lpad(F.hex("n_shingles"), 8, "0")), "registers").alias("payload"))
+    links = NearRegisters(threshold)
+    near = _edges(shared.join(payload, "node").select(F.xxhash64("key", "block").alias("g"), F.lit(0).alias("side"), "node", "payload"), links)
+    large = shared.filter("block > 0").groupBy("key").agg((F.max("block") + 1).alias("cells"))
+    if not large.limit(1).count():
+        return near
+    near, large = materialize(near, "near-edges"), materialize(large, "large-buckets")
+    members = materialize(shared.join(large.select("key"), "key").join(payload, "node").select("key", "node", "payload"), "large-members")
+    return _across(members, large, near, links)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Groups of documents connected by links of `percent` similarity or more; one row for each row of (doc_id, text).
 
     Result: doc_id, n_shingles, component_id (the least doc_id reachable),
@@ -333,16 +380,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> D
     docs = docs.select("doc_id", "text")
     found = materialize(signatures(docs), "signatures")
     named = found.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("bands").alias("bands"))
-    groups = materialize(components(candidates(nodes, percent / 100), "candidates").select(F.col("id").alias("node"), F.col("component").alias("candidate")), "candidate-groups")
-    sizes = groups.groupBy("candidate").agg(F.count(F.lit(1)).alias("k"))
-    wanted = spark.sparkContext.broadcast(bitmap_of(groups, "node"))
-    sets = shingle_sets(docs.filter("doc_id IS NOT NULL"), wanted).join(groups.join(sizes, "candidate"), "node")
-    sets = materialize(sets, "sets")
-    small = _confirm(sets.filter(F.col("k") <= block).select(F.col("candidate").alias("g"), F.lit(0).alias("side"), "node", "members"), percent)
-    large = sets.filter(F.col("k") > block)
-    edges = small.unionByName(_confirm_large(large, percent)) if large.limit(1).count() else small
-    parts = components(edges, "links").withColumnsRenamed({"id": "node"})
+    nodes = named.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    with scratch(spark):
+        nodes = materialize(nodes, "nodes", keep=True)
+        with scratch(spark):
+            groups = components(candidates(nodes, percent / 100, block), "candidates", keep=True).select(F.col("id").alias("node"), F.col("component").alias("key"))
+        groups = materialize(groups.join(nodes.select("node", "n_shingles"), "node"), "candidate-groups")
+        sizes = groups.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(8 * F.sum("n_shingles") / block_bytes)).alias("cells"))
+        wanted = spark.sparkContext.broadcast(bitmap_of(groups, "node"))
+        sets = shingle_sets(docs.filter("doc_id IS NOT NULL"), wanted).join(groups.select("node", "key").join(sizes, "key"), "node")
+        sets = materialize(sets, "sets")
+        links = EqualShare(percent)
+        edges = _edges(sets.filter("cells = 1").select(F.col("key").alias("g"), F.lit(0).alias("side"), "node", F.col("members").alias("payload")), links)
+        large = sets.filter("cells > 1")
+        if large.limit(1).count():
+            place = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("cells")))
+            inside = _edges(large.select(place.alias("g"), F.lit(0).alias("side"), "node", F.col("members").alias("payload")), links)
+            edges = _across(large.select("key", "node", F.col("members").alias("payload")), large.select("key", "cells").distinct(), materialize(edges.unionByName(inside), "set-edges"), links)
+        parts = components(edges, "links", keep=True).withColumnsRenamed({"id": "node"})
     classes = nodes.select("f1", "f2", "n_shingles", "node").join(parts, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
@@ -350,19 +405,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> D
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without the near duplicates: of each group the row of the least doc_id stays, with all its columns.
+    """docs without the near duplicates: of each group the row of the least doc_id stays, with all its columns, whatever their names and types.
 
-    Of repeated rows of one doc_id, the least stays. Rows of a null doc_id stay. Only
-    rows that a bitmap of the affected doc_ids marks are shuffled.
+    Of repeated rows of one doc_id, the one whose JSON form is least stays.
+    Rows of a null doc_id and of texts without words stay. An empty table
+    stays empty. Only rows that a bitmap of the affected doc_ids marks are
+    shuffled.
     """
     found = near_duplicates(docs, percent).filter("doc_id IS NOT NULL")
-    gone = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min("kept").alias("_kept")).filter("_n > 1 OR NOT _kept")
+    gone = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).filter("n > 1 OR NOT kept")
     gone = materialize(gone, "near-duplicates")
-    marked = docs.withColumn("_maybe", bitmap_column(bitmap_of(gone, "doc_id"), docs.sparkSession, "doc_id"))
-    tested = marked.filter("_maybe").join(gone, "doc_id", "left")
-    once = tested.filter("_n IS NULL OR (_kept AND _n = 1)").select(*docs.columns)
-    repeated = tested.filter("_kept AND _n > 1").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return marked.filter("NOT _maybe").select(*docs.columns).unionByName(once).unionByName(repeated)
+    rows = docs.select(as_row(docs))
+    marked = rows.withColumn("maybe", bitmap_column(bitmap_of(gone, "doc_id"), docs.sparkSession, F.col("row.doc_id").cast("bigint")))
+    tested = marked.filter("maybe").withColumn("doc_id", F.col("row.doc_id")).join(gone, "doc_id", "left")
+    once = tested.filter("n IS NULL OR (kept AND n = 1)").select("row")
+    repeated = tested.filter("kept AND n > 1").groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return marked.filter("NOT maybe").select("row").unionByName(once).unionByName(repeated).select("row.*")
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

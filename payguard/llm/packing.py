@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -121,18 +122,22 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int =
                 taken[b] += n * times
                 place += n
         first += times
+    # A bin's ranks are cut into as many blocks as it has slots, so that a rank meets the few slots of its block alone.
+    of_bin = Counter(s[0] for s in slots)
+    width = {b: max(1, -(-histogram[b]["rank"] // n)) for b, n in of_bin.items()}
+    slots = [(b, block, lo, hi, *rest) for b, lo, hi, *rest in slots if lo < histogram[b]["rank"] for block in range(lo // width[b], (min(hi, histogram[b]["rank"]) - 1) // width[b] + 1)]
     bins = []
     for b, r in sorted(histogram.items()):
-        bins.append((b, first))
+        bins.append((b, first, width.get(b, 1)))
         first += r["whole_before"]
-    # Both tables have a few rows for each bin, so their size does not follow the input's.
-    slots = F.broadcast(spark.createDataFrame(slots, "bin int, lo bigint, hi bigint, n bigint, first bigint, place bigint"))
-    bins = F.broadcast(spark.createDataFrame(bins, "bin int, whole_first bigint"))
+    # Both tables have a few rows for each bin and pattern, so their size does not follow the input's.
+    slots = F.broadcast(spark.createDataFrame(slots, "bin int, block bigint, lo bigint, hi bigint, n bigint, first bigint, place bigint"))
+    bins = F.broadcast(spark.createDataFrame(bins, "bin int, whole_first bigint, width bigint"))
 
     piece = F.substring("ids", 4 * F.col("start") + 1, 4 * F.col("length")) if with_ids else F.lit(None).cast("binary")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     step = F.col("rank") - F.col("lo")
-    rests = ranked.filter("bin > 0").join(slots, "bin").filter("rank >= lo AND rank < hi")
+    rests = ranked.filter("bin > 0").join(bins, "bin").withColumn("block", F.call_function("div", F.col("rank"), F.col("width"))).join(slots, ["bin", "block"]).filter("rank >= lo AND rank < hi")
     rests = rests.select("doc_id", (F.col("whole") * capacity).alias("start"), rest.alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens", (F.col("first") + F.floor(step / F.col("n"))).alias("sequence_id"), (F.col("place") + step % F.col("n")).alias("at"), "ids")
     before = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a sequence has `capacity` pieces at most
     rests = rests.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))

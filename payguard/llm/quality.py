@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import bound_batches, text_slices
+from payguard.llm.common import bound_batches, free_name, text_slices
 from payguard.llm.labels import labelled_texts, remainder, sample_labels
 from payguard.llm.textstats import Batch, column_of
 
 PASSAGE = 64
-#: Labelled documents that the network is fitted on, at most (on average), and passages of each in fitting, spread evenly.
-SAMPLE, FIT_PASSAGES = 6_000, 64
+#: Labelled documents that the network is fitted on, at most (on average), with all of their passages.
+SAMPLE = 6_000
 HIDDEN, GATE = 24, 12
 #: Numbers that describe a passage.
 WIDTH = 18
@@ -145,7 +145,14 @@ def train(x: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: int = 60, batch
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Fit on at most about `sample` labelled rows. docs: doc_id, text; labels: doc_id, quality; usable: which label rows may be learned from."""
+    """Fit on at most about `sample` labelled rows. docs: doc_id, text; labels: doc_id, quality; usable: which label rows may be learned from.
+
+    Passages are encoded on the executors; their numbers, about 1 byte for
+    each word of the sampled texts, come to the driver. Null texts count as
+    empty, null labels and null doc_ids are left out, of equal texts one
+    stands for all (see labelled_texts); an empty table, or labels of one
+    kind alone, give a constant score.
+    """
     usable = F.lit(True) if usable is None else usable
     rows = labelled_texts(docs, sample_labels(labels, "quality", usable, sample), "quality-sample")
 
@@ -153,23 +160,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
         for batch in text_slices(batches):
             b = Batch(batch["text"])
             row, x = encode(b)
+            doc_ids, out = batch["doc_id"].cast(pa.int64()).to_pylist(), []
             for r, label in enumerate(batch["label"].to_pylist()):
                 own = x[row == r] if b.n[r] else np.zeros((1, WIDTH))
-                own = own[np.linspace(0, len(own) - 1, min(len(own), FIT_PASSAGES)).astype(int)]
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([own.ravel()], pa.list_(pa.float64()))], ["label", "x"])
+                out.append((doc_ids[r], label, own.astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "label", "x"])
 
-    bags = rows.select("doc_id", "label", "text").orderBy("doc_id").mapInArrow(run, "label int, x array<double>").collect()  # sample * FIT_PASSAGES passages at most
+    # In order of doc_id, so that the same table gives the same weights; a bounded number of labelled documents.
+    bags = sorted(rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, x binary").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in bags], float)
     if not len(y) or y.min() == y.max():
         return Model(None, float(y.mean()) if len(y) else 0.0)
-    x = [np.array(r["x"]).reshape(-1, WIDTH) for r in bags]
+    x = [np.frombuffer(r["x"], np.float32).astype(float).reshape(-1, WIDTH) for r in bags]
     return Model(train(np.concatenate(x), np.repeat(np.arange(len(x)), [len(k) for k in x]), y), float(y.mean()))
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column `name`, 0 to 1; all other columns stay. Null texts count as empty."""
+    """docs with a column `name` (with underscores after it where docs has that), 0 to 1; all columns of docs stay.
+
+    Null texts count as empty, equal texts get equal scores, repeated rows
+    stay, an empty table stays empty.
+    """
     bound_batches(docs.sparkSession)
-    return docs.withColumn(name, column_of(model.score)(F.col("text"))[0])
+    return docs.withColumn(free_name(docs, name), column_of(model.score)(F.col("text"))[0])
 
 
 THRESHOLD = 0.3

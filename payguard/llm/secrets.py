@@ -27,18 +27,32 @@ BASE = {
     "assign": re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII),
     # The same matches as AKIA[A-Z0-9]+ of 16 or more and [0-9a-f]+ of 32 or more characters.
     "access": re.compile(r"AKIA[A-Z0-9]{12,}"),
-    "hex": re.compile(r"[0-9a-f]{32,}"),
+    "hex": re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+"),
 }
-_ASSIGN_HINT = re.compile(r"(?i)passw|secret|token|api_?key", re.ASCII)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-# Line ends and slashes of a body may be escaped, as in JSON strings, however often.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\++[nrt/])+?)-----END \1-----")
-_ESCAPES = re.compile(r"\\++([nrt/])")
-# A run may follow '=' or an escaped line end, whose letter is not part of it; no key begins with n, r or t.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?+([A-Za-z0-9+/_-]{40,}+={0,2})")
-_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
-#: Object identifiers of RSA, elliptic-curve, Ed25519, X25519 and DSA keys, as DER bodies; fixed values.
-_KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2a8648ce380401")}
+#: What an assignment's name holds, in lower case.
+_ASSIGN_HINTS = ("passw", "secret", "token", "api")
+_HEX_MARKS = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
+_BASE64_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+# The first byte of a JSON object is a brace or a blank, so a token begins with one of four letters.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([eICD][A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+# Line ends and slashes may be escaped, as in JSON strings, however often.
+_ESCAPES = re.compile(r"\\+([nrt/])")
+_ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "/": "/"}
+_HEADER = re.compile(r"[ \t]*([A-Za-z0-9-]+): *(.*)")
+_DEK = re.compile(r"[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
+# Where base64 of a DER sequence (0x30 and a length), of an OpenSSH public key or of its private container begins.
+_START = re.compile(r"M[A-P]|AAAA[A-P]|b3BlbnNzaC1rZXkt")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_PADDING = re.compile(r"={0,2}")
+# Between the lines of one key: a line end, with what quoting and comments put before the next line.
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\+[rn])+)[ \t>#*]*")
+_HEX = re.compile(r"30[0-9A-Fa-f]{46,}")
+_HEX_CHARS = frozenset("0123456789abcdefABCDEF")
+#: Object identifiers as DER bodies; fixed values. Keys: RSA, RSASSA-PSS, elliptic curves, Ed25519, Ed448, X25519, X448, DSA, Diffie-Hellman.
+_KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a864886f70d01010a", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2b656f", "2a8648ce380401", "2a864886f70d010301")}
+#: Password-based encryption of keys: PKCS #5 schemes 1 and 2, PKCS #12 schemes.
+_CIPHER_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010501", "2a864886f70d010503", "2a864886f70d010504", "2a864886f70d010506", "2a864886f70d01050a", "2a864886f70d01050b", "2a864886f70d01050d", "2a864886f70d010c0101", "2a864886f70d010c0102", "2a864886f70d010c0103", "2a864886f70d010c0104", "2a864886f70d010c0105", "2a864886f70d010c0106")}
 
 
 def der_length(data: bytes, at: int) -> tuple[int, int] | None:
@@ -72,7 +86,8 @@ def is_der_key(data: bytes) -> bool:
     """A SEQUENCE over all of `data` whose nested lengths fit and whose fields are those of a key.
 
     Private keys begin with a small version INTEGER (PKCS #1, PKCS #8, SEC 1);
-    public keys with an algorithm SEQUENCE whose identifier is known.
+    public keys with an algorithm SEQUENCE whose identifier is known; encrypted
+    private keys (PKCS #8) with a cipher's.
     """
     if len(data) < 24 or data[0] != 0x30:
         return False
@@ -83,12 +98,14 @@ def is_der_key(data: bytes) -> bool:
     if not fields or len(fields) < 2:
         return False
 
-    def algorithm(field: tuple[int, int, int]) -> bool:
+    def algorithm(field: tuple[int, int, int], known: set[bytes] = _KEY_OIDS) -> bool:
         inner = der_children(data, field[1], field[2]) if field[0] == 0x30 else None
-        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]] in _KEY_OIDS
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]] in known
 
     if algorithm(fields[0]) and fields[1][0] == 0x03:
         return True
+    if len(fields) == 2 and algorithm(fields[0], _CIPHER_OIDS) and fields[1][0] == 0x04 and fields[1][2] - fields[1][1] >= 8:
+        return True
     if fields[0][0] != 0x02 or fields[0][2] - fields[0][1] != 1 or data[fields[0][1]] > 1:
         return False
     tags = [f[0] for f in fields]
@@ -113,9 +130,9 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def is_signed_token(header: str) -> bool:
-    """Whether a token's first part decodes to a JSON object that names its algorithm."""
+    """Whether a token's first part decodes to a JSON object (in UTF-8) that names its algorithm."""
     try:
-        found = json.loads(base64.urlsafe_b64decode(header + "=" * (-len(header) % 4)))
+        found = json.loads(base64.urlsafe_b64decode(header + "=" * (-len(header) % 4)).decode())
     except (ValueError, RecursionError):
         return False
     return isinstance(found, dict) and isinstance(found.get("alg"), str)
@@ -132,31 +149,109 @@ def _decoded(text: str) -> bytes | None:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches of the base patterns, leftmost and non-overlapping within a kind."""
     out = []
-    if _ASSIGN_HINT.search(text):
+    low = text.lower()
+    if any(x in low for x in _ASSIGN_HINTS):
         out += [("assign", *m.span()) for m in BASE["assign"].finditer(text) if len(m[1]) >= 8]
-    for kind in ("access", "hex"):
-        out += [(kind, *m.span()) for m in BASE[kind].finditer(text)]
+    out += [("access", *m.span()) for m in BASE["access"].finditer(text)]
+    if b"x" * 32 in text.encode(errors="replace").translate(_HEX_MARKS):
+        out += [("hex", *m.span()) for m in BASE["hex"].finditer(text)]
     return sorted(out, key=_order)
 
 
+def _pem_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Blocks between the marks of a private key whose body is one, or whose headers and length are those of an encrypted one."""
+    at, missing = 0, set()
+    while (m := _BEGIN.search(text, at)) is not None:
+        at = m.end()
+        mark = f"-----END {m[1]}-----"
+        end = text.find(mark, at) if mark not in missing else -1
+        if end < 0:
+            missing.add(mark)
+            continue
+        nearer = text.find("-----BEGIN ", at, end)
+        if nearer < 0 and _is_pem_body(_ESCAPES.sub(lambda e: _ESCAPED[e[1]], text[at:end])):
+            at = end + len(mark)
+            yield "pem_key", m.start(), at
+
+
+def _is_pem_body(body: str) -> bool:
+    lines, headers = body.strip().splitlines(), {}
+    while lines and (m := _HEADER.fullmatch(lines[0])):
+        headers[m[1]] = m[2].strip()
+        del lines[0]
+    data = _decoded("".join(lines))
+    if not data:
+        return False
+    if "ENCRYPTED" in headers.get("Proc-Type", ""):
+        return _DEK.fullmatch(headers.get("DEK-Info", "")) is not None and len(data) % 8 == 0
+    return is_der_key(data) or is_openssh_key(data)
+
+
+def _begins(text: str, at: int, inside: frozenset[str]) -> bool:
+    """Whether no run of such characters goes on at `at`; the letter of an escaped line end is not part of one."""
+    return at == 0 or text[at - 1] not in inside or (text[at - 1] in "nrt" and at > 1 and text[at - 2] == "\\")
+
+
+def _gather(text: str, at: int, need: int | None) -> tuple[str, int]:
+    """Base64 characters from `at` on over as many lines as they fill, and where they end.
+
+    With `need`, so many at most; without it, lines of one width and a last one that is not longer.
+    """
+    pieces, total, width = [], 0, None
+    while (m := _RUN.match(text, at)) is not None:
+        take = m[0] if need is None else m[0][: need - total]
+        if width is not None and need is None and len(take) > width:
+            break
+        pieces.append(take)
+        total, at = total + len(take), m.start() + len(take)
+        if need is not None and (total == need or len(take) < len(m[0])):
+            break
+        if need is None and width is not None and len(take) < width:
+            break
+        width = len(take) if width is None else width
+        gap = _BREAK.match(text, at)
+        if gap is None or _RUN.match(text, gap.end()) is None:
+            break
+        at = gap.end()
+    return "".join(pieces), at
+
+
+def _key_at(text: str, at: int) -> tuple[str, int, int] | None:
+    """The key in base64 that begins at `at`, in one line or in several."""
+    if text[at] == "M":
+        head = _decoded(_gather(text, at, 8)[0])
+        if not head or len(head) < 3 or head[0] != 0x30:
+            return None
+        n, body = head[1], 2
+        if n & 0x80:
+            body += n & 0x7F
+            if not 3 <= body <= 5 or len(head) < body:
+                return None
+            n = int.from_bytes(head[2:body], "big")
+        need = -(-(n + body) * 4 // 3)
+        found, end = _gather(text, at, need) if need <= len(text) - at else ("", at)
+        if len(found) < need or text[end : end + 1] in _BASE64_CHARS:
+            return None
+        data = _decoded(found)
+        return ("der_key", at, _PADDING.match(text, end).end()) if data and is_der_key(data) else None
+    found, end = _gather(text, at, None)
+    data = _decoded(found)
+    return ("openssh_key", at, _PADDING.match(text, end).end()) if data and is_openssh_key(data) else None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded structure is that of a key or a signed token."""
-    out = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = _decoded(_ESCAPES.sub(lambda e: "/" if e[1] == "/" else "", m[2]))
-            if data and (is_der_key(data) or is_openssh_key(data)):
-                out.append(("pem_key", *m.span()))
-    if "eyJ" in text or "ewo" in text or "eyA" in text:
-        out += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
-    for m in _BASE64.finditer(text):
-        data = _decoded(m[1])
-        if data and is_der_key(data):
-            out.append(("der_key", *m.span(1)))
-        elif data and is_openssh_key(data):
-            out.append(("openssh_key", *m.span(1)))
+    out = list(_pem_spans(text)) if "-----BEGIN " in text else []
+    out += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
+    at = 0
+    while (m := _START.search(text, at)) is not None:
+        at = m.start() + 1
+        found = _key_at(text, m.start()) if _begins(text, m.start(), _BASE64_CHARS) else None
+        if found:
+            out.append(found)
+            at = found[2]
     for m in _HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
+        if _begins(text, m.start(), _HEX_CHARS) and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append(("der_key", *m.span()))
     return sorted(out, key=_order)
 
@@ -186,8 +281,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Result, a row each: doc_id, n_assign, n_access, n_hex, n_confirmed,
     base_sha256, spans, redacted (the text without its secrets; null where
     there are none). Null text counts as empty, a null doc_id stays null,
-    repeated rows give repeated results, other columns are left out. No
-    shuffle; a task holds a few MB of text at a time, one text at least.
+    repeated rows give repeated results, other columns are left out. Spans of
+    the method may lie inside others (a key between its PEM marks). No shuffle; a task holds a few MB of text at a time, one text at least.
     """
     bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_confirmed", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])

@@ -13,36 +13,41 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm.common import prefix_sums
+from payguard.llm.common import Rounds, as_row, free_name, materialize, prefix_sums
 
 
-def kd_tree(rows: DataFrame, dims: list[str], weight: str, target: int, ties: list[str]) -> DataFrame:
-    """Add `leaf` (0 to 2**levels - 1) to rows; leaves weigh `target` at most, up to one row.
+def kd_tree(rows: DataFrame, dims: list[str], weight: str, target: int, ties: list[str], name: str = "leaf") -> DataFrame:
+    """Add `name`, a leaf (0 to 2**levels - 1), to rows; leaves weigh `target` at most, up to one row.
 
     dims are numeric columns (null counts as 0); their widths are compared in
     units of the whole table's range. weight is a positive bigint column. The
     order along a dimension continues with `ties`, so rows that agree in all
     of those stay on one side unless the median falls among them. Repeated
-    rows are placed one by one. An empty table stays empty; other columns are
-    kept, but leaf, node, axis, before and columns that begin with _ are overwritten.
+    rows are placed one by one. An empty table stays empty. All columns stay,
+    whatever their names; `name` gets underscores where rows has it already.
     """
-    rows = rows.withColumns({f"_d{i}": F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for i, d in enumerate(dims)})
-    span = [F.max(f"_d{i}") - F.min(f"_d{i}") for i in range(len(dims))]
-    whole = rows.agg(F.sum(weight).alias("total"), *(x.alias(f"w{i}") for i, x in enumerate(span))).first()
+    name, n = free_name(rows, name), len(dims)
+    point = F.array(*(F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dims))
+    now = rows.select(as_row(rows), point.alias("point"), F.col(weight).alias("weight"), F.struct(*ties).alias("tie"), F.lit(0).alias("node"))
+    span = [F.max(F.col("point")[i]) - F.min(F.col("point")[i]) for i in range(n)]
+    whole = now.agg(F.sum("weight").alias("total"), *(x.alias(f"w{i}") for i, x in enumerate(span))).first()
     if not whole["total"]:
-        return rows.withColumn("leaf", F.lit(0)).drop(*(f"_d{i}" for i in range(len(dims))))
+        return rows.withColumn(name, F.lit(0))
     levels = max(0, math.ceil(math.log2(whole["total"] / target) - 1e-9))
-    units = [whole[f"w{i}"] or 1.0 for i in range(len(dims))]
-    now = rows.withColumn("node", F.lit(0))
-    columns = now.columns
+    units = [whole[f"w{i}"] or 1.0 for i in range(n)]
+    columns, rounds = now.columns, Rounds(rows.sparkSession, "kd")
     for level in range(levels):
-        stats = now.groupBy("node").agg(F.sum(weight).alias("_total"), F.array(*(x / F.lit(u) for x, u in zip(span, units, strict=True))).alias("_width"))
-        stats = stats.select("node", "_total", F.array_position("_width", F.array_max("_width")).cast("int").alias("_axis"))
-        keyed = now.join(stats, "node").withColumn("_key", F.element_at(F.array(*(F.col(f"_d{i}") for i in range(len(dims)))), F.col("_axis")))
-        ranked, _ = prefix_sums(keyed, ["node"], ["_key", *ties], {"before": F.col(weight)}, f"kd{level}")
-        right = 2 * F.col("before") + F.col(weight) > F.col("_total")
+        if level == 0:  # one node, whose numbers are known
+            widths = [whole[f"w{i}"] / u for i, u in enumerate(units)]
+            keyed = now.withColumns({"total": F.lit(whole["total"]), "key": F.col("point")[widths.index(max(widths))]})
+        else:
+            stats = now.groupBy("node").agg(F.sum("weight").alias("total"), F.array(*(x / F.lit(u) for x, u in zip(span, units, strict=True))).alias("width"))
+            stats = stats.select("node", "total", F.array_position("width", F.array_max("width")).cast("int").alias("axis"))
+            keyed = now.join(stats, "node").withColumn("key", F.element_at("point", F.col("axis")))
+        ranked, _ = prefix_sums(keyed, ["node"], ["key", "tie"], {"before": F.col("weight")}, "kd", rounds)
+        right = 2 * F.col("before") + F.col("weight") > F.col("total")
         now = ranked.withColumn("node", 2 * F.col("node") + right.cast("int")).select(*columns)
-    return now.withColumnRenamed("node", "leaf").drop(*(f"_d{i}" for i in range(len(dims))))
+    return now.select("row.*", F.col("node").alias(name))
 
 
 def _place(column: str) -> Column:
@@ -50,19 +55,22 @@ def _place(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column), F.lit("")))
 
 
-def shard_documents(docs: DataFrame, target: int) -> DataFrame:
-    """Shards of `target` bytes for (doc_id, text, lang, source) rows; one row each: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+def shard_documents(docs: DataFrame, target: int | None = None, shards: int | None = None) -> DataFrame:
+    """Shards of `target` bytes (or about `shards` equal ones, a power of two) for (doc_id, text, lang, source) rows; one row each: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Dimensions: log of the size, source, language. size is the text's UTF-8
     bytes (null: none) plus 1. Slots count from 0 within a shard. Null doc_ids
-    come first among ties; other columns are left out.
+    come first among ties; other columns are left out. Texts are read once:
+    sizes, checksums and coordinates are written before the tree is built.
     """
     text = F.coalesce("text", F.lit(""))
     meta = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _place("source").alias("source_at"), _place("lang").alias("lang_at"))
-    meta = meta.withColumn("log_size", F.log2("size"))
+    meta = materialize(meta.withColumn("log_size", F.log2("size")), "shard-rows")
+    if target is None:
+        target = math.ceil((meta.agg(F.sum("size")).first()[0] or 1) / shards)
     ties = ["text_crc32", "size", "doc_id"]
-    leaves = kd_tree(meta, ["log_size", "source_at", "lang_at"], "size", target, ties)
-    placed, _ = prefix_sums(leaves.withColumnRenamed("leaf", "shard"), ["shard"], ties, {"slot": F.lit(1).cast("long")}, "slots")
+    leaves = kd_tree(meta, ["log_size", "source_at", "lang_at"], "size", target, ties, "shard")
+    placed, _ = prefix_sums(leaves, ["shard"], ties, {"slot": F.lit(1).cast("long")}, "slots")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -72,6 +80,4 @@ SHARDS = 8
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of equal bytes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("total")).first()["total"]
-    return shard_documents(docs, math.ceil((total or 1) / SHARDS))
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=SHARDS)

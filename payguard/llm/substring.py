@@ -6,9 +6,11 @@ one packed string to the minimiser's bucket, where windows are compared word
 for word. Equal windows have equal minimisers, so they always meet.
 
 A first pass counts minimisers alone. Only those that occur in two documents
-can hold a repeated window, so only their strings are sent. A minimiser that
-occurs very often would make a bucket too large for one task; its windows are
+can hold a repeated window, so only their strings are sent. A minimiser with
+very many windows would make a bucket too large for one task; its windows are
 sent one by one, as 128-bit digests, and counted by a partial aggregation.
+Which minimisers are shared and which are hot is sent to all tasks as long as
+that is small, and decided by joins on the minimiser beyond.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import words as W
-from payguard.llm.common import bitmap_of, bound_batches, in_bitmap, materialize, text_buffer, text_slices
+from payguard.llm.common import bitmap_of, bound_batches, in_bitmap, materialize, scratch, text_buffer, text_slices
 
 WINDOW = 50
 GRAM = 8
-#: Documents that share a minimiser above which its windows travel one by one.
-HOT = 1000
+#: Windows of a minimiser above which they travel one by one, and windows of one packed string, at most.
+HOT, RUN = 8_000, 64
+#: Minimisers that are sent to all tasks: shared ones, two bytes each at most, and hot ones, eight bytes each.
+SENT_SHARED, SENT_HOT = 1 << 23, 1 << 20
 
 
 def _normal(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -39,7 +43,7 @@ def _normal(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]
 
 
 def super_kmers(buffer: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of consecutive windows of one row with one minimiser.
+    """Runs of consecutive windows of one row with one minimiser, RUN windows at most.
 
     Arrays: row, minimiser (int64), at (the first window's word within its
     row), n (windows), lo, hi (bytes of the run's words).
@@ -53,6 +57,9 @@ def super_kmers(buffer: np.ndarray, offsets: np.ndarray, window: int = WINDOW, g
     new = np.ones(len(at), np.bool_)
     new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new)
+    # Long runs are cut by their windows' place in the run, so that equal runs are cut alike.
+    new[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % RUN == 0] = True
+    head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(at)))
     first = at[head]
     return {"row": row[head], "minimiser": least[head].view(np.int64), "at": first - rows[row[head]], "n": n, "lo": starts[first], "hi": ends[first + n + window - 2]}
@@ -75,44 +82,64 @@ def _minimisers(docs: DataFrame, window: int) -> DataFrame:
             _, buffer, offsets = _normal(batch)
             found = super_kmers(buffer, offsets, window)
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)[found["row"]]
-            yield pa.RecordBatch.from_arrays([pa.array(found["minimiser"]), pa.array(ids.astype(np.int64))], ["minimiser", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(found["minimiser"]), pa.array(ids.astype(np.int64)), pa.array(found["n"].astype(np.int64))], ["minimiser", "doc_id", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "minimiser bigint, doc_id bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "minimiser bigint, doc_id bigint, n bigint")
 
 
 _SENT = "hot boolean, k1 bigint, k2 bigint, doc_id bigint, text_key bigint, at int, n int, packed binary"
 
 
 def _send(docs: DataFrame, window: int, shared, hot) -> DataFrame:
-    """Super-k-mers of shared minimisers: packed strings (k1 is the minimiser), or for hot ones single windows (k1, k2 are a digest)."""
+    """Super-k-mers of minimisers that the bitmap `shared` may hold: packed strings (k1 is the minimiser), or of those in the sorted array `hot` single windows (k1, k2 are a digest). Without a bitmap, all; without an array, no single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             _, buffer, offsets = _normal(batch)
             found = super_kmers(buffer, offsets, window)
-            keep = in_bitmap(shared.value, found["minimiser"])
+            keep = in_bitmap(shared.value, found["minimiser"]) if shared else slice(None)
             row, minimiser, at, n, lo, hi = (found[k][keep] for k in ("row", "minimiser", "at", "n", "lo", "hi"))
-            many = in_bitmap(hot.value, minimiser)
+            many = np.isin(minimiser, hot.value) if hot else np.zeros(len(minimiser), np.bool_)
             data = buffer.tobytes()
             ids, keys = (batch[c].to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "text_key"))
             packed = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
             few = np.flatnonzero(~many)
-            zero = np.zeros(len(few), np.int64)
-            yield _batch(np.zeros(len(few), np.bool_), minimiser[few], zero, ids[few], keys[few], at[few], n[few], [packed[i] for i in few.tolist()])
-            for i in np.flatnonzero(many).tolist():
-                digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in _windows(packed[i], int(n[i]), window))
-                key = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                ones = np.ones(len(key), np.int64)
-                yield _batch(ones.astype(np.bool_), key[:, 0], key[:, 1], ones * ids[i], ones * keys[i], at[i] + np.arange(len(key)), ones, [None] * len(key))
+            yield _batch(False, minimiser[few], np.zeros(len(few), np.int64), ids[few], keys[few], at[few], n[few], [packed[i] for i in few.tolist()])
+            some = np.flatnonzero(many)
+            if len(some):
+                yield _singles(ids[some], keys[some], at[some], n[some], [packed[i] for i in some.tolist()], window)
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, _SENT)
 
 
-def _batch(hot, k1, k2, ids, keys, at, n, packed) -> pa.RecordBatch:
-    columns = [pa.array(hot), pa.array(k1), pa.array(k2), pa.array(ids.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())]
+def _singles(ids, keys, at, n, packed: list[bytes], window: int) -> pa.RecordBatch:
+    """The windows of packed strings, one by one. The same string is cut and hashed once."""
+    known: dict[bytes, bytes] = {}
+    for p, count in zip(packed, n.tolist(), strict=True):
+        if p not in known:
+            known[p] = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in _windows(p, count, window))
+    key = np.frombuffer(b"".join(known[p] for p in packed), np.int64).reshape(-1, 2)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return _batch(True, key[:, 0], key[:, 1], np.repeat(ids, n), np.repeat(keys, n), np.repeat(at, n) + step, np.ones(len(key), np.int64), [None] * len(key))
+
+
+def _batch(hot: bool, k1, k2, ids, keys, at, n, packed) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(k1), hot)), pa.array(k1), pa.array(k2), pa.array(ids.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["hot", "k1", "k2", "doc_id", "text_key", "at", "n", "packed"])
 
 
+def _sort_out(sent: DataFrame, counts: DataFrame, hot: int, window: int) -> DataFrame:
+    """The rows of _send(docs, window, None, None) whose minimiser is shared, hot ones cut into windows: the same by a join on the minimiser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "packed"):
+            ids, keys, at, n = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "text_key", "at", "n"))
+            yield _singles(ids, keys, at, n, batch["packed"].to_pylist(), window)
+
+    known = sent.drop("hot").join(counts.select(F.col("minimiser").alias("k1"), (F.col("n") > hot).alias("hot")), "k1").select("hot", "k1", "k2", "doc_id", "text_key", "at", "n", "packed")
+    return known.filter("NOT hot").unionByName(known.filter("hot").mapInArrow(run, _SENT))
+
+
 def _ranges(flags: list[bool], at: int) -> Iterator[tuple[int, int]]:
     """(first window, windows) of each run of set flags."""
     start = None
@@ -177,17 +204,22 @@ def _found(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "at", "n"])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sent_shared: int = SENT_SHARED, sent_hot: int = SENT_HOT) -> DataFrame:
     """Windows whose words also start in a document of a smaller doc_id: rows (doc_id, text_key, at, n), n windows from word `at` on.
 
-    docs: doc_id (not null), text_key (a hash of the text), text.
+    docs: doc_id (not null), text_key (a hash of the text), text. The result
+    does not depend on hot, sent_shared and sent_hot.
     """
     spark = docs.sparkSession
-    counts = _minimisers(docs, window).groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    counts = _minimisers(docs, window).groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
     counts = materialize(counts.filter("low < high").select("minimiser", "n"), "minimisers")
-    shared = spark.sparkContext.broadcast(bitmap_of(counts, "minimiser"))  # 4 MB each, whatever the input
-    often = spark.sparkContext.broadcast(bitmap_of(counts.filter(F.col("n") > hot), "minimiser"))
-    sent = materialize(_send(docs, window, shared, often), "super-k-mers")
+    many = counts.filter(F.col("n") > hot).select("minimiser")
+    if counts.count() <= sent_shared and many.count() <= sent_hot:
+        shared = spark.sparkContext.broadcast(bitmap_of(counts, "minimiser"))
+        exact = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in many.collect()], np.int64)))  # sent_hot at most
+        sent = materialize(_send(docs, window, shared, exact), "super-k-mers")
+    else:
+        sent = materialize(_sort_out(materialize(_send(docs, window, None, None), "all-super-k-mers"), counts, hot, window), "super-k-mers")
     single = sent.filter("hot").select("k1", "k2", "doc_id", "text_key", "at", "n")
     least = single.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
     least = materialize(least, "frequent")  # so that the join deals both sides itself, and splits a very frequent window
@@ -195,7 +227,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
     return _bucket_repeats(sent, window).unionByName(frequent)
 
 
-def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sent_shared: int = SENT_SHARED, sent_hot: int = SENT_HOT) -> DataFrame:
     """Remove each word that a repeated window covers: doc_id, n_words, n_removed, kept (the other words, joined by one space).
 
     One row for each row of (doc_id, text); null text has no words. Rows of a
@@ -204,7 +236,8 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFra
     """
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = materialize(repeated_windows(docs.filter("doc_id IS NOT NULL"), window, hot), "repeats")
+    with scratch(docs.sparkSession):
+        found = materialize(repeated_windows(docs.filter("doc_id IS NOT NULL"), window, hot, sent_shared, sent_hot), "repeats", keep=True)
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(found, "text_key"))
     ranges = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))  # as long as the document at most
 

@@ -12,13 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.llm.common import bound_batches, materialize, text_slices
+from payguard.llm.common import as_row, bound_batches, free_name, materialize, text_slices
 from payguard.llm.labels import labelled_texts, remainder, sample_labels
 from payguard.llm.lexicon import features, units
 from payguard.llm.textstats import Batch, column_of
@@ -58,9 +58,13 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> tuple[np.ndarray, np.
     return value[order], np.array([r["odds"] for r in top], np.float64)[order]
 
 
+#: Columns of the scorer's own; documents' columns lie in a struct beside them, so none can clash.
+_COLUMNS = {"featuresCol": "features", "labelCol": "label", "predictionCol": "tree_label"}
+
+
 @dataclass
 class Model:
-    """A fitted scorer. Without usable labels, trees and calibration are None and base is every text's score."""
+    """A fitted scorer. Without labels of both kinds, trees and calibration are None and base, the share of label 1, is every text's score."""
 
     lexicon: np.ndarray
     weight: np.ndarray
@@ -69,40 +73,78 @@ class Model:
     base: float
 
     def with_score(self, docs: DataFrame, name: str = "score") -> DataFrame:
-        """docs with a column `name`: the calibrated score, 0 to 1. All other columns stay."""
+        """docs with a column `name` (with underscores after it where docs has that): the calibrated score, 0 to 1.
+
+        All columns of docs stay, whatever their names. Null and empty texts
+        have zero features and get the score of those; equal texts get equal
+        scores; repeated rows stay; an empty table stays empty.
+        """
         bound_batches(docs.sparkSession)
+        name = free_name(docs, name)
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.base))
-        scored = self.trees.transform(docs.withColumn("_features", array_to_vector(_column(self.lexicon, self.weight))))
-        scored = scored.withColumn("_raw", vector_to_array("_probability")[1])
-        if self.calibration is None:
-            return scored.withColumn(name, F.col("_raw")).select(*docs.columns, name)
-        return self.calibration.transform(scored).withColumn(name, F.least(F.greatest(F.col("_score"), F.lit(0.0)), F.lit(1.0))).select(*docs.columns, name)
+        rows = docs.select(as_row(docs), array_to_vector(_column(self.lexicon, self.weight)).alias("features"))
+        scored = self.calibration.transform(_raw(self.trees, rows))
+        return scored.select("row.*", F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)).alias(name))
 
 
 def _column(lexicon: np.ndarray, weight: np.ndarray) -> Column:
     return column_of(lambda text: features(text, lexicon, weight))(F.col("text"))
 
 
+def _raw(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
+    """rows with raw, the trees' probability."""
+    return trees.transform(rows).withColumn("raw", vector_to_array("probability")[1])
+
+
+def _grow(rows: DataFrame) -> GBTClassificationModel:
+    return GBTClassifier(**_COLUMNS, maxIter=20, maxDepth=3, stepSize=0.3, seed=7).fit(rows.repartition(4, "doc_id").sortWithinPartitions("doc_id"))
+
+
+def _calibrate(scored: DataFrame) -> IsotonicRegressionModel:
+    """The isotonic fit of labels on raw scores."""
+    return IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(scored.select("label", "raw"))
+
+
+#: Toxic rows from which on a fifth of the sample is set apart for the calibration.
+ENOUGH = 100
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Fit on at most about `sample` labelled rows. docs: doc_id, text; labels: doc_id, toxic; usable: which label rows may be learned from."""
+    """Fit on at most about `sample` labelled rows. docs: doc_id, text; labels: doc_id, toxic; usable: which label rows may be learned from.
+
+    The lexicon comes from one half of the rows, the trees from the other,
+    and the calibration always is isotonic, on scores of rows that those
+    trees have not seen: with ENOUGH toxic rows a part set apart, with fewer
+    the scores that two trees, each from half of the rows, give the other
+    half. Where a half lacks one of the labels all steps use all rows. Null
+    texts count as empty, null labels and null doc_ids are left out, of
+    equal texts one stands for all (see labelled_texts); an empty table, or
+    labels of one kind alone, give a constant score.
+    """
     usable = F.lit(True) if usable is None else usable
     rows = labelled_texts(docs, sample_labels(labels, "toxic", usable, sample), "toxic-sample")
-    lexicon, weight = learn_lexicon(rows.filter("part < 0.5"))
-    vectors = rows.filter("part >= 0.5").select("label", "part", array_to_vector(_column(lexicon, weight)).alias("_features"))
+    halves = {bool(r["late"]): (r["n"], r["bad"]) for r in rows.groupBy((F.col("part") >= 0.5).alias("late")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).collect()}
+    split = all(0 < halves.get(late, (0, 0))[1] < halves[late][0] for late in (False, True)) if len(halves) == 2 else False
+    lexicon, weight = learn_lexicon(rows.filter("part < 0.5") if split else rows)
+    vectors = (rows.filter("part >= 0.5") if split else rows).select("doc_id", "label", "part", array_to_vector(_column(lexicon, weight)).alias("features"))
     vectors = materialize(vectors, "toxic-vectors")
     n, bad = vectors.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not bad or bad == n:
         return Model(lexicon, weight, None, None, float((bad or 0) / n) if n else 0.0)
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=20, maxDepth=3, stepSize=0.3, seed=7)
-    tried = vectors.filter("part >= 0.8")
-    enough = tried.filter("label = 1").count() >= 20
-    trees = trees.fit((vectors.filter("part < 0.8") if enough else vectors).repartition(4)).setProbabilityCol("_probability").setRawPredictionCol("_rawPrediction")
-    calibration = None
-    if enough:
-        raw = trees.transform(tried).select("label", vector_to_array("_probability")[1].alias("_raw"))
-        calibration = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_score").fit(raw)
-    return Model(lexicon, weight, trees, calibration, float(bad / n))
+    base = float(bad / n)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5 if bad >= ENOUGH else 2)) == 0
+    one, two = vectors.filter(apart), vectors.filter(~apart)
+    if bad >= ENOUGH:
+        trees = _grow(two)
+        return Model(lexicon, weight, trees, _calibrate(_raw(trees, one)), base)
+    trees = _grow(vectors)
+    counts = [x.agg(F.count(F.lit(1)), F.sum("label")).first() for x in (one, two)]
+    if all(0 < (b or 0) < k for k, b in counts):
+        unseen = _raw(_grow(one), two).unionByName(_raw(_grow(two), one))
+    else:
+        unseen = _raw(trees, vectors)  # too few rows to hold any back
+    return Model(lexicon, weight, trees, _calibrate(unseen), base)
 
 
 THRESHOLD = 0.7
