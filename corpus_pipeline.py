@@ -3,7 +3,13 @@
 Toxic documents go; one document of each near-duplicate group stays; documents
 that hold a benchmark item go; secrets are cut out of the texts; what is left
 is packed into training sequences. All stages but the last return the columns
-that they were given.
+that they were given, whatever their names.
+
+In every stage a null text counts as empty: it is scored as an empty text,
+links with nothing, contains nothing and stays null. Rows of a null doc_id
+stay and are packed. Rows of one doc_id are one document to the near-duplicate
+stage, which keeps one of them; all other stages take rows one by one. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import decontam, near_dup, packing, secrets, toxicity
-from payguard.llm.common import materialize
+from payguard.llm.common import free_name, materialize, scratch
 from payguard.llm.labels import remainder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,7 +30,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose toxicity score is under 0.7; the scorer learns from the labels of the documents given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, remainder(3) != 1)
-    return model.with_score(docs, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return model.with_score(docs, name).filter(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = decontam.contained_items(spark, items)
-    return docs.withColumn("_hits", hits).filter(F.size("_hits") == 0).select(*docs.columns)
+    name = free_name(docs, "hits")
+    return decontam.with_hits(docs, items, name).filter(F.size(name) == 0).drop(name)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = docs.withColumn("text", secrets.redacted_column(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # a stage's own tables go once its result is written
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
     return docs
