@@ -65,5 +65,5 @@ def features(text: pa.Array, lexicon: np.ndarray, weight: np.ndarray) -> np.ndar
     inner = (letters > 0) & ((odd > 0) | (digit > 0))
     chars = np.maximum(b.per_row(size), 1)
     mass = b.per_row(hits)
-    columns = [mass / n, b.per_row(best) / n, peak, np.log1p(mass), np.log1p(kinds), b.per_row(you) / n, b.per_row(near) / n, b.per_row(upper) / np.maximum(b.per_row(letters), 1), b.per_row((upper > 1) & (lower == 0)) / n, b.per_row(mark) / chars, b.per_row(b.count(33, 33)) / chars, b.per_row(inner) / n, b.per_row(digit) / chars, np.log1p(b.n), chars / n]
+    columns = [mass / n, b.per_row(best) / n, peak, np.log1p(mass), np.log1p(kinds), b.per_row(you) / n, b.per_row(near) / n, b.per_row(upper) / np.maximum(b.per_row(letters), 1), b.per_row((upper > 1) & (lower == 0)) / n, b.per_row(mark) / chars, b.per_row(b.count(33, 33)) / chars, b.per_row(inner) / n, b.per_row(digit) / chars, np.log1p(b.n), b.per_row(size) / n]
     return np.stack(columns, axis=1)

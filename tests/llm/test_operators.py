@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import re
 import zlib
 
@@ -75,11 +76,44 @@ def test_large_candidate_groups_lose_no_link(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = brute_groups(rows)
-    for block in (2, 1000):
-        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, block=block).collect()} == expected
+    for block, size in ((2, 1 << 24), (1000, 1 << 24), (1000, 4000)):
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, block=block, block_bytes=size).collect()} == expected
     assert len(set(expected.values())) > 1
 
 
+def test_a_bucket_of_thousands_of_unlike_members_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    n, pair = 3000, {17: 2900, 5: 6}  # but for two pairs, no member is like another
+    regs = rng.integers(0, 60_000, (n, near_dup.SEEN)).astype(np.uint16)
+    for a, b in pair.items():
+        regs[b] = regs[a]
+    rows = [(i, 200, regs[i].tobytes(), [1 if k == 0 else 1000 + i * 64 + k for k in range(near_dup.BANDS)]) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node bigint, n_shingles bigint, registers binary, bands array<bigint>")
+    got = near_dup.candidates(nodes, 0.75, block=256).collect()
+    assert {tuple(sorted(r)) for r in got} == {tuple(sorted(x)) for x in pair.items()}
+
+
+def test_shared_keys_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        key = np.sort(rng.integers(0, 12, 40))
+        cuts = np.sort(rng.integers(0, 41, 6))
+        batches = [near_dup._rows(key[a:b], np.arange(40)[a:b], np.zeros(b - a)) for a, b in zip([0, *cuts], [*cuts, 40], strict=True)]
+        got = [r for b in near_dup._shared(3)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        want = [(int(k), i, int((i - np.searchsorted(key, k)) // 3)) for i, k in enumerate(key) if (key == k).sum() > 1]
+        assert sorted(got) == sorted(want) and isinstance(batches[0], pa.RecordBatch)
+
+
+def test_dropping_keeps_clashing_names_and_map_columns(spark):
+    df = spark.createDataFrame([(1, BASE, 7, 7, {"a": 1}), (1, BASE, 8, 7, {"a": 1}), (2, NEAR, 7, 7, None), (3, "x", 7, 7, {})], "doc_id bigint, text string, _n int, _maybe int, m map<string,int>")
+    df = df.withColumns({"row": F.lit("r"), "kept": F.lit(5), "maybe": F.lit(6)})
+    kept = near_dup.drop_near_duplicates(df)
+    assert kept.dtypes == df.dtypes
+    assert sorted((r.doc_id, r["_n"], r["_maybe"], r.m, r.row, r.kept, r.maybe) for r in kept.collect()) == [(1, 7, 7, {"a": 1}, "r", 5, 6), (3, 7, 7, {}, "r", 5, 6)]
+
+
 def test_dropping_near_duplicates_keeps_columns_and_one_row(docs, none):
     kept = near_dup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -93,8 +127,8 @@ def test_hyperminhash_estimates_are_near():
     b = np.concatenate([a[:800], rng.integers(0, 2**63, 200).astype(np.uint64)])
     regs = near_dup.registers(np.repeat([0, 1], 1000), np.concatenate([a, b]), 2)
     assert abs((regs[0] == regs[1]).mean() - 800 / 1200) < 0.1
-    code = near_dup.codes(regs)
-    assert abs(near_dup.estimate(np.bitwise_count(code[0] ^ code[1]).sum()) - 800 / 1200) < 0.25
+    seen = regs[:, :: near_dup.REGISTERS // near_dup.SEEN]
+    assert seen.shape[1] == near_dup.SEEN and abs(near_dup.estimate((seen[0] == seen[1]).sum()) - 800 / 1200) < 0.2
 
 
 def brute_kept(rows, window=50):
@@ -125,8 +159,16 @@ def test_shared_passages_inside_longer_texts(spark):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(i, f"{' '.join(f'a{i}_{j}' for j in range(i % 7))} {passage} tail{i} {passage}") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for hot in (5, 1000):
-        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring.kept_texts(df, hot=hot).collect()) == brute_kept(rows)
+    for hot, most in ((5, 1 << 20), (1000, 1 << 20), (5, 0), (1000, 0)):  # 0: by joins on the minimiser
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring.kept_texts(df, hot=hot, sent_shared=most).collect()) == brute_kept(rows)
+
+
+def test_one_word_repeated_is_cut_into_bounded_runs(spark):
+    n = 200_000
+    found = substring.super_kmers(np.frombuffer(b"w " * n, np.uint8), np.array([0, 2 * n]))
+    assert found["n"].max() == substring.RUN and found["n"].sum() == n - 49
+    df = spark.createDataFrame([(1, "w " * n), (2, "x " + "w " * n), (3, "w " * 49)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.kept_texts(df).collect()) == [(1, n, 0), (2, n + 1, n), (3, 49, 0)]
 
 
 def test_chat_round_trip(spark):
@@ -148,6 +190,15 @@ def test_chat_round_trip(spark):
     assert chat.read_back(formatted.limit(0)).count() == 0
 
 
+def test_large_ids_beside_nulls_stay_whole(spark):
+    big = [2**53 + 1, 2**53 + 2, -(2**62) - 1]
+    rows = [(b, 2**53 + 1, "user", f"t{i}") for i, b in enumerate(big)] + [(None, None, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    formatted = chat.format_turns(chat.text_parts(df))
+    assert {(r.conv_id, r.turn) for r in formatted.collect()} == {(a, b) for a, b, _, _ in rows}
+    assert {r.conv_id for r in chat.read_back(formatted).collect()} == {*big, None}
+
+
 def test_typed_parts_become_ordered_placeholders(spark):
     parts = [("text", "look ", None, None, None, None, None), ("image", None, "s3://a", 28, 15, None, None), ("audio", None, "b", None, None, 1.5, None), ("document", None, "c", None, None, None, 2), ("odd", "<|image:0|>", None, None, None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART.simpleString()}>")
@@ -161,19 +212,32 @@ def test_media_round_trip(spark, docs, none):
     folder = new_path(spark, "shards")
     manifest = media.store(docs, folder)
     places = media.locations(manifest)
-    found = manifest.select("doc_id", "n_bytes", "digest").join(media.payload_columns(places, folder), "digest").collect()
+    heads = media.header_columns(media.dealt(places), folder)
+    found = manifest.select("doc_id", "n_bytes", "digest").join(media.payload_columns(heads, folder), "digest").collect()
     texts = {str(i): t for i, t in DOCS}
     assert len(found) == len(DOCS)
     for r in found:
         p = media.padded((texts[str(r.doc_id)] or "").encode())
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-    heads = {bytes(r.digest): (r.width, r.height, r.bit_depth) for r in media.header_columns(places, folder).collect()}
-    assert all(heads[bytes(r.digest)] == (64, r.payload_bytes // 64, 8) for r in found)
+        assert (r.width, r.height, r.bit_depth) == (64, r.payload_bytes // 64, 8)
     first = manifest.first()
     entry = media.extract(folder, first.shard)[f"{bytes(first.digest).hex()}.png"]
     assert hashlib.sha256(entry).digest() == bytes(first.digest)
     empty = media.store(none, new_path(spark, "shards"))
-    assert media.payload_columns(media.locations(empty), folder).count() == 0
+    assert media.payload_columns(media.header_columns(media.dealt(media.locations(empty)), folder), folder).count() == 0
+
+
+def test_metadata_needs_the_header_bytes_alone(spark, tmp_path):
+    """Every byte after the headers of a shard's entries is destroyed; the metadata are still read."""
+    df = spark.createDataFrame([(i, "a" * (100 * i)) for i in range(5)], "doc_id bigint, text string").coalesce(1)
+    folder = tmp_path / "shards"
+    places = media.locations(media.store(df, folder.as_uri()))
+    want = {bytes(r.digest): -(-max(r.n_bytes, 1) // 64) for r in media.store(df, (tmp_path / "again").as_uri()).collect()}
+    for r in places.collect():
+        with open(folder / r.shard, "r+b") as f:
+            f.seek(r.offset + media.HEADER_BYTES)
+            f.write(bytes(r.length - media.HEADER_BYTES))
+    assert {bytes(r.digest): r.height for r in media.header_columns(media.dealt(places), folder.as_uri()).collect()} == want
 
 
 def base_brute(text):
@@ -187,10 +251,12 @@ def base_brute(text):
 
 def der(tag, body):
     n = len(body)
-    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
 
 RSA = der(0x30, b"".join(der(2, x) for x in (b"\0", b"\x01" * 64, b"\x01\0\x01", b"\x05" * 64, b"\x07" * 32, b"\x09" * 32, b"\x0b" * 32, b"\x0d" * 32, b"\x0f" * 32)))
+ED25519 = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b6570"))) + der(4, der(4, b"\x07" * 32)))
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, b"\x01" * 20))) + der(4, b"\x05" * 160))
 JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"0123456789abcdef"))
 SSH = base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"\x01" * 32))).decode()
 
@@ -217,6 +283,14 @@ def test_keys_after_equals_signs_and_in_json_strings():
         text = f"{before}{key}"
         assert secrets.confirmed_spans(text + "\nend") == [("der_key", len(before), len(text))]
         assert key not in secrets.redact(text, secrets.confirmed_spans(text))
+    for width, end in ((20, "\n"), (64, "\r\n"), (7, "\n  "), (20, r"\n")):  # lines without marks
+        for data, kind in ((ED25519, "der_key"), (RSA, "der_key"), (ENCRYPTED, "der_key")):
+            plain = base64.b64encode(data).decode()
+            body = end.join(plain[i : i + width] for i in range(0, len(plain), width))
+            text = f"MIT License\nMAKE key:\n{body}\nand more words"
+            start = text.index(body)
+            assert secrets.confirmed_spans(text) == [(kind, start, start + len(body))], (width, end)
+    assert not secrets.confirmed_spans(base64.b64encode(ED25519[:-3]).decode() + " end") and not secrets.confirmed_spans(base64.b64encode(RSA).decode()[:-30] + "\nAAAABBBBCCCC")
     lines = [key[i : i + 64] for i in range(0, len(key), 64)]
     pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
     once = json.dumps({"type": "service_account", "private_key": pem + "\n"})
@@ -226,7 +300,53 @@ def test_keys_after_equals_signs_and_in_json_strings():
         assert "PRIVATE KEY-----" not in left and not any(x in left for x in lines)
 
 
-def test_sharding_matches_a_sequential_tree(spark, docs, none):
+def sequential_tree(rows, dims, target, ties):
+    """Leaves of a k-d tree over dicts, one node after the other."""
+    total = sum(r["size"] for r in rows)
+    units = [max(r[d] for r in rows) - min(r[d] for r in rows) or 1.0 for d in dims]
+    nodes = {0: rows}
+    for _ in range(max(0, math.ceil(math.log2(total / target) - 1e-9))):
+        split = {}
+        for node, members in nodes.items():
+            width = [(max(r[d] for r in members) - min(r[d] for r in members)) / u for d, u in zip(dims, units, strict=True)]
+            axis = dims[width.index(max(width))]
+            weight, before = sum(r["size"] for r in members), 0
+            for r in sorted(members, key=lambda r: (r[axis], *(r[t] for t in ties))):
+                split.setdefault(2 * node + (2 * before + r["size"] > weight), []).append(r)
+                before += r["size"]
+        nodes = split
+    return {(r["doc_id"]): node for node, members in nodes.items() for r in members}
+
+
+def test_encrypted_keys_and_odd_headers_are_found():
+    cipher = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "", base64.b64encode(bytes(range(256)) * 2).decode(), "-----END RSA PRIVATE KEY-----"])
+    assert [k for k, _, _ in secrets.confirmed_spans(f"x {cipher} y")] == ["pem_key"] and secrets.redact(cipher, secrets.confirmed_spans(cipher)) == "[pem_key]"
+    assert "pem_key" in [k for k, _, _ in secrets.confirmed_spans(json.dumps(cipher))]
+    assert not secrets.confirmed_spans(cipher.replace("ENCRYPTED", "MIC-CLEAR")) and not secrets.confirmed_spans(cipher.replace("-----END", "-----ENDE"))
+    wrapped = base64.encodebytes(ENCRYPTED).decode()
+    assert "pem_key" in [k for k, _, _ in secrets.confirmed_spans(f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{wrapped}-----END ENCRYPTED PRIVATE KEY-----")]
+    for head in (b'{\t"alg":"none"}', b' {"alg":"HS256"}', b'\n{"alg":"x"}', b'\r{"alg":"x"}', b'{"alg":"ES256"}'):
+        token = f"{base64.urlsafe_b64encode(head).decode().rstrip('=')}.opaque-payload.c2lnbmF0dXJl"
+        assert secrets.confirmed_spans(f"id {token}!") == [("signed_token", 3, 3 + len(token))]
+    assert not secrets.confirmed_spans("eyJub3QiOiJhIn0.payload.signature1")
+
+
+def test_sharding_matches_a_sequential_tree(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "x" * int(rng.integers(0, 3000)) if i % 4 else "same text", f"s{i % 5}", None if i % 7 == 0 else f"l{i % 3}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    plain = [{"doc_id": i, "size": len(t) + 1, "text_crc32": zlib.crc32(t.encode()), "log_size": math.log2(len(t) + 1), "source_at": zlib.crc32(s.encode()), "lang_at": zlib.crc32((g or "").encode())} for i, t, s, g in rows]
+    for target in (30_000, 120_000, 10**9):
+        want = sequential_tree(plain, ["log_size", "source_at", "lang_at"], target, ["text_crc32", "size", "doc_id"])
+        got = sharding.shard_documents(df, target).collect()
+        assert {r.doc_id: r.shard for r in got} == want
+        order = {s: sorted((x for x in plain if want[x["doc_id"]] == s), key=lambda x: (x["text_crc32"], x["size"], x["doc_id"])) for s in set(want.values())}
+        assert {r.doc_id: r.slot for r in got} == {x["doc_id"]: k for members in order.values() for k, x in enumerate(members)}
+
+
+def test_sharding_takes_awkward_rows(spark, docs, none):
+    tree = sharding.kd_tree(docs.withColumn("before", F.lit("b")), ["n_chars", "key"], "shard", 20, ["doc_id"])
+    assert tree.columns == [*docs.columns, "before", "leaf"] and tree.count() == len(DOCS)
     got = sharding.shard_documents(docs, 40_000).collect()
     assert len(got) == len(DOCS)
     sizes = {}
@@ -340,7 +460,7 @@ def test_cutting_stock_plans_hold_the_demand(seed):
 def test_contained_items_match_brute_force(spark, docs, none):
     rng = np.random.default_rng(5)
     words = [f"v{i}" for i in range(4000)]
-    items = [(i, " ".join(rng.choice(words, int(rng.integers(3, 60))))) for i in range(60)] + [(99, None), (98, "a b")]
+    items = [(i, " ".join(rng.choice(words, int(rng.integers(1, 60))))) for i in range(60)] + [(99, None), (98, "a b")]
     rows = []
     for i in range(80):
         _, text = items[i % 60]
@@ -351,16 +471,34 @@ def test_contained_items_match_brute_force(spark, docs, none):
         rows.append((i, f"{filler} {' '.join(w).upper() if i % 5 == 0 else ' '.join(w)} {filler}"))
     df, it = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
 
-    def sh(t):
+    def sh(t, width):
         w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-    have, want = {d: sh(t) for d, t in rows}, {i: sh(t) for i, t in items}
-    expected = sorted((d, i, len(have[d] & w), len(w)) for d in have for i, w in want.items() if w and 4 * len(have[d] & w) >= 3 * len(w))
-    assert sorted(tuple(r)[:4] for r in decontam.leaks(df, it).collect()) == expected and expected
-    blocks = df.select("doc_id", F.explode(decontam.contained_items(spark, it, block_bytes=2000)).alias("h")).select("doc_id", "h.*")
-    assert sorted(map(tuple, blocks.collect())) == expected
-    assert decontam.leaks(docs, it).count() == 0 and decontam.leaks(none, it).count() == 0 and decontam.leaks(df, it.limit(0)).count() == 0
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if width else set()
+
+    expected = []
+    for i, t in items:
+        width = min(5, len((t or "").split()))
+        want = sh(t, width)
+        for d, text in rows if want else ():
+            shared = len(sh(text, width) & want)
+            if 4 * shared >= 3 * len(want):
+                expected.append((d, i, shared, len(want)))
+    assert sorted(tuple(r)[:4] for r in decontam.leaks(df, it).collect()) == sorted(expected) and len({i for _, i, _, _ in expected}) > 30
+    assert sorted(tuple(r)[:4] for r in decontam.leaks(df, it, sent_bytes=0).collect()) == sorted(expected)  # by joins
+    for way in (1 << 20, 0):
+        assert decontam.leaks(none, it, sent_bytes=way).count() == 0 and decontam.leaks(df, it.limit(0), sent_bytes=way).count() == 0
+        marked = decontam.with_hits(docs.withColumn("hits", F.lit(1)), it.unionByName(it.filter("item_id = 98")), sent_bytes=way)
+        assert marked.columns == [*docs.columns, "hits", "hits_"] and marked.count() == len(DOCS)
+
+
+def test_items_of_few_words_are_found(spark):
+    items = spark.createDataFrame([(1, "Alpha"), (2, "alpha  beta"), (3, "alpha beta gamma delta"), (4, " "), (5, None), (None, "beta")], "item_id bigint, text string")
+    rows = [(1, "say alpha BETA now"), (2, "alphabet beta"), (3, "alpha beta gamma delta"), (4, "alpha gamma beta"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(1, 1), (1, 2), (1, None), (2, None), (3, 1), (3, 2), (3, 3), (3, None), (4, 1), (4, None)}
+    for way in (1 << 20, 0):
+        got = decontam.leaks(df, items, sent_bytes=way).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and all(r.shared == r.shingles == 1 for r in got)
 
 
 def test_prefix_sums_are_exact(spark):
@@ -411,6 +549,105 @@ def test_classifiers_take_awkward_rows(spark, docs, none):
     assert toxicity.fit(docs, labels.limit(0)).with_score(docs, "tox").count() == len(DOCS)
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        w = rng.choice(["plain", "text", "about", "things", "you", "Paris"], 30).tolist() + (["grumbug"] * int(rng.integers(1, 5)) if bad and i % 9 else [])
+        rows.append((i, " ".join(rng.permutation(w))))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+@pytest.mark.parametrize("enough", [10, 10_000])
+def test_the_calibration_is_the_isotonic_fit(spark, labelled, monkeypatch, enough):
+    """Few and many toxic rows: pool adjacent violators over the raw scores gives the same."""
+    seen = []
+    monkeypatch.setattr(toxicity, "ENOUGH", enough)
+    monkeypatch.setattr(toxicity, "_calibrate", lambda scored, real=toxicity._calibrate: (seen.append([tuple(r) for r in scored.select("raw", "label").collect()]), real(scored))[1])
+    model = toxicity.fit(*labelled)
+    blocks = []  # (mean label, weight, least raw, greatest raw)
+    ties = {}
+    for raw, label in seen[0]:
+        ties.setdefault(raw, []).append(label)
+    for raw, found in sorted(ties.items()):
+        blocks.append([sum(found) / len(found), len(found), raw, raw])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            y, n, _, high = blocks.pop()
+            blocks[-1] = [(blocks[-1][0] * blocks[-1][1] + y * n) / (blocks[-1][1] + n), blocks[-1][1] + n, blocks[-1][2], high]
+    points = [(x, y) for y, _, low, high in blocks for x in sorted({low, high})]
+    raws = sorted(ties)
+    got = spark.createDataFrame([(r,) for r in raws], "raw double")
+    got = [r.calibrated for r in model.calibration.transform(got).orderBy("raw").collect()]
+    assert np.allclose(got, np.interp(raws, [x for x, _ in points], [y for _, y in points]), atol=1e-9)
+    assert len(seen[0]) > 20
+    scored = {r.doc_id: r.score for r in model.with_score(labelled[0]).collect()}
+    assert all(0 <= s <= 1 for s in scored.values())
+    assert np.mean([s for i, s in scored.items() if i % 3 == 0 and i % 9]) > 0.7 > 0.4 > np.mean([s for i, s in scored.items() if i % 3])
+
+
+def test_fits_repeat_and_keep_clashing_columns(spark, labelled):
+    docs, labels = labelled
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    marked = labels.unionByName(labels.select((F.col("doc_id") + 1000).alias("doc_id"), (1 - F.col("toxic")).alias("toxic")))  # copies, labelled otherwise
+    a, b = (toxicity.fit(df.repartition(n), marked).with_score(docs).orderBy("doc_id").collect() for df, n in ((twice, 2), (twice, 5)))
+    assert np.allclose([r.score for r in a], [r.score for r in b])
+    names = ["_prediction", "_features", "_raw", "_score", "_probability", "features", "probability", "prediction", "raw", "row", "score"]
+    out = toxicity.fit(docs, labels).with_score(docs.withColumns({n: F.lit(7) for n in names}))
+    assert out.columns == [*docs.columns, *names, "score_"] and out.select(*names).distinct().collect() == [(7,) * len(names)]
+    one = toxicity.fit(docs, labels.filter("toxic = 0")).with_score(docs).select("score").distinct().collect()
+    assert one == [(0.0,)]
+
+
+def test_features_equal_plain_python():
+    import pyarrow as pa
+
+    from payguard.llm import lexicon
+    from payguard.llm import words as W
+    from payguard.llm.textstats import LOOKALIKES
+
+    def h(word):
+        return int(W.hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+
+    def plain(word):
+        keep = bytearray()
+        for i, c in enumerate(word):
+            letter = chr(c).isascii() and chr(c).isalpha() or c >= 128
+            inner = 0 < i < len(word) - 1 and chr(c) in LOOKALIKES and all(x >= 128 or chr(x).isalpha() for x in (word[i - 1], word[i + 1]))
+            if letter or inner:
+                keep += LOOKALIKES[chr(c)].encode() if inner else bytes([c]).lower()
+        return bytes(keep)
+
+    entries = {h(b"grumbug"): 2.0, int(W.mix(np.array([h(b"nast")], np.uint64) + np.uint64(4))[0]): 3.0}
+    value = np.array(sorted(entries), np.uint64)
+    weight = np.array([entries[int(v)] for v in value])
+    texts = ["You are a gr0mbug, GRUMBUG! nasty nasti", "", None, "été VOUS 12 a*b !!! ...", "plain words only", "nastiest " * 3 + "you"]
+    got = lexicon.features(pa.array(texts), value, weight)
+    for text, row in zip(texts, got, strict=True):
+        words = (text or "").encode().split()
+        n, chars = max(1, len(words)), max(1, sum(map(len, words)))
+        best = []
+        for w in map(plain, words):
+            found = [entries[h(w)]] if w and h(w) in entries else []
+            for k in lexicon.BEGINNINGS:
+                key = int(W.mix(np.array([h(w[:k])], np.uint64) + np.uint64(k))[0]) if len(w) >= k else None
+                found += [entries[key]] if key in entries else []
+            best.append(max(found, default=0.0))
+        you = [plain(w).decode(errors="replace") in lexicon.SECOND_PERSON for w in words]
+        near = [bool(b) and any(you[max(0, i - lexicon.NEAR) : i + lexicon.NEAR + 1]) for i, b in enumerate(best)]
+        count = lambda w, test: sum(test(c) for c in w)
+        upper, lower, digit, high = ([count(w, t) for w in words] for t in (lambda c: 65 <= c <= 90, lambda c: 97 <= c <= 122, lambda c: 48 <= c <= 57, lambda c: c >= 128))
+        mark = [len(w) - a - b - c - d for w, a, b, c, d in zip(words, upper, lower, digit, high, strict=True)]
+        odd = [any(chr(c) in "*$@#%&_~^" for c in w) or d > 0 for w, d in zip(words, digit, strict=True)]
+        letters = [a + b + d for a, b, d in zip(upper, lower, high, strict=True)]
+        hits = sum(b > 0 for b in best)
+        want = {"lexicon_density": hits / n, "lexicon_weight": sum(best) / n, "lexicon_peak": max(best, default=0), "lexicon_hits": math.log1p(hits), "second_person": sum(you) / n, "second_person_near": sum(near) / n, "capitals": sum(upper) / max(1, sum(letters)), "capital_words": sum(a > 1 and b == 0 for a, b in zip(upper, lower, strict=True)) / n, "punctuation": sum(mark) / chars, "exclamation": sum(w.count(b"!") for w in words) / chars, "obfuscation": sum(x > 0 and o for x, o in zip(letters, odd, strict=True)) / n, "digits": sum(digit) / chars, "words": math.log1p(len(words)), "word_length": sum(map(len, words)) / n, "lexicon_kinds": math.log1p(len({b for b in best if b}))}
+        for name, x in zip(lexicon.FEATURES, row, strict=True):
+            assert abs(want[name] - x) < 1e-9, (text, name)
+
+
 def test_attention_gradient_is_right():
     rng = np.random.default_rng(2)
     x, row, y = rng.normal(size=(12, quality.WIDTH)), np.repeat([0, 1, 2], 4), np.array([1.0, 0.0, 1.0])
@@ -430,6 +667,50 @@ def test_attention_gradient_is_right():
         assert abs((loss(up) - loss(down)) / 2e-6 - g[k][at]) < 1e-5
 
 
+def test_network_equals_plain_python():
+    import pyarrow as pa
+
+    from payguard.llm.textstats import Batch
+
+    texts = [" ".join(f"Wort{i % 17}." if i % 5 else "ALSO," for i in range(200)), "", "one two", None, "x " * 70]
+    rng = np.random.default_rng(6)
+    x, row, y = rng.normal(size=(8, quality.WIDTH)), np.repeat([0, 1], 4), np.array([1.0, 0.0])
+    w = quality.train(x, row, y, epochs=1)
+    w |= {"o": rng.normal(size=quality.HIDDEN), "mean": rng.normal(size=quality.WIDTH)}
+    model = quality.Model(w, 0.5)
+    got = model.score(pa.array(texts))[:, 0]
+    for text, score in zip(texts, got, strict=True):
+        words = (text or "").encode().split()
+        k = max(1, (len(words) + 32) // 64) if words else 0
+        cuts = [words[i * 64 : (i + 1) * 64 if i < k - 1 else None] for i in range(k)]
+        if words:
+            _, rows = quality.encode(Batch(pa.array([text])))
+            assert len(rows) == k
+            for passage, numbers in zip(cuts, rows, strict=True):
+                lengths = [len(p) for p in passage]
+                assert abs(numbers[0] - sum(lengths) / len(passage) / 8) < 1e-9 and abs(numbers[-1] - math.log1p(len(passage)) / 4) < 1e-9
+                assert abs(numbers[9] - sum(p.endswith(b",") for p in passage) / len(passage)) < 1e-9 and abs(numbers[12] - len({p.lower() for p in passage}) / len(passage)) < 1e-9
+        else:
+            rows = np.zeros((1, quality.WIDTH))
+        encoded, energy = [], []
+        for r in rows:
+            z = [min(8, max(-8, (a - m) / s)) for a, m, s in zip(r, w["mean"], w["std"], strict=True)]
+            h = [math.tanh(sum(z[i] * w["W"][i, j] for i in range(len(z))) + w["b"][j]) for j in range(quality.HIDDEN)]
+            gates = [math.tanh(sum(h[i] * w["V"][i, j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * w["U"][i, j] for i in range(len(h))))) for j in range(quality.GATE)]
+            encoded.append(h)
+            energy.append(math.exp(sum(g * a for g, a in zip(gates, w["a"], strict=True))))
+        bag = [sum(e * h[j] for e, h in zip(energy, encoded, strict=True)) / sum(energy) for j in range(quality.HIDDEN)]
+        assert abs(score - 1 / (1 + math.exp(-sum(b * o for b, o in zip(bag, w["o"], strict=True)) - w["c"][0]))) < 1e-9
+
+
+def test_all_passages_of_labelled_texts_are_fitted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, row, y: seen.append((x.shape, np.bincount(row).tolist(), y.tolist())) or None)
+    df = spark.createDataFrame([(1, "a b " * 32 * 300), (2, "one"), (3, None)], "doc_id bigint, text string")
+    quality.fit(df, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int"))
+    assert seen == [((302, quality.WIDTH), [300, 1, 1], [1.0, 0.0, 1.0])]
+
+
 def test_written_tables_keep_their_rows(spark):
     assert materialize(spark.range(7), "seven").count() == 7 and materialize(spark.range(0), "none").count() == 0
     assert json.dumps(new_path(spark, "a")) != json.dumps(new_path(spark, "a"))
