@@ -123,12 +123,19 @@ def bitmap_column(bitmap: np.ndarray, spark: SparkSession, column: Column) -> Co
     return F.arrow_udf(run, "boolean")(column)
 
 
-def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, most: int | None) -> DataFrame:
     """edges (a, b) with m of their a, from least (a, m, n). Nodes of more than `most` edges, HUBS at most, are sent to all tasks, so that no task gets a hub's edges."""
-    hubs = F.broadcast(least.filter(F.col("n") > most).select("a", F.col("m").alias("hub")))
-    marked = edges.join(hubs, "a", "left")
-    rest = marked.filter("hub IS NULL").select("a", "b").join(least.filter(F.col("n") <= most).select("a", "m"), "a")
-    return marked.filter("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m")).unionByName(rest)
+    if most is None:
+        return edges.join(least, "a")
+    hubs = F.broadcast(least.filter(F.col("n") > most).select("a", "m"))
+    rest = edges.join(hubs, "a", "left_anti").join(least.filter(F.col("n") <= most).select("a", "m"), "a")
+    return edges.join(hubs, "a").unionByName(rest)
+
+
+def _state(now: DataFrame) -> tuple:
+    """Number of edges, greatest number of edges to one smaller node, and a checksum of all edges."""
+    by = now.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+    return tuple(by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.sum("s")).first())
 
 
 def components(edges: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -141,17 +148,19 @@ def components(edges: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     rounds = Rounds(edges.sparkSession, name, keep)
     now = rounds.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = (now.count(), None)
+    state = _state(now)
     while True:
         most = max(64, math.ceil(2 * state[0] / HUBS))
+        if state[1] <= most:
+            most = None  # no hub
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = _with_least(both, low, most).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, least, most).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         now = rounds.put(small.filter("a <> b").distinct())
-        seen, state = state, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        seen, state = state, _state(now)
         if state == seen:
             found = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
             return found.union(found.select("component", "component").distinct())

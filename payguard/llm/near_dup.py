@@ -30,9 +30,12 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Registers that travel to the buckets for the estimate: every sixth, so that no band has more than one of them.
 SEEN = 64
-#: Members of a bucket or candidate group that one task compares with each other, and bytes of their sets; larger groups are cut into blocks of this size.
+#: Members of a band's bucket that one task compares with each other; larger buckets are cut into blocks of this size.
+BUCKET = 4096
+#: The same for candidate groups, whose members have their full sets, and bytes of those.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
-PIVOTS = 4
+#: Pivots of a group that is cut into blocks, on average.
+PIVOTS = 8
 _EMPTY = np.iinfo(np.uint64).max
 _U = np.uint64
 _TRIES = np.stack([(W.mix(np.arange(REGISTERS, dtype=_U) * _U(977) + _U(1_000_003 * t)) % _U(REGISTERS)).astype(np.int64) for t in range(1, 65)])
@@ -196,6 +199,20 @@ def _labels(link: np.ndarray) -> np.ndarray:
     return label
 
 
+def _labels_across(link: np.ndarray) -> np.ndarray:
+    """Component (least position) of each row, then of each column, of a matrix of links between two sides."""
+    left, right = np.full(len(link), -1), len(link) + np.arange(link.shape[1])
+    free = np.ones(link.shape[1], np.bool_)
+    for i in range(len(link)):
+        front = np.array([i]) if left[i] < 0 else np.zeros(0, np.int64)
+        while len(front):
+            left[front] = i
+            reached = np.flatnonzero(link[front].any(axis=0) & free)
+            free[reached], right[reached] = False, i
+            front = np.flatnonzero(link[:, reached].any(axis=1) & (left < 0))
+    return np.concatenate([left, right])
+
+
 class NearRegisters:
     """Links of pairs that may reach the threshold, by size and estimate. Payload: 4 bytes of size, then the registers."""
 
@@ -212,6 +229,18 @@ class NearRegisters:
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         return (low >= self.threshold * high - 1e-9) & (estimate((regs[i] == regs[j]).sum(axis=1)) >= least_estimate(high, self.threshold))
 
+    def spanning(self, loaded: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Component (least position) of each row; a row that is reached is not compared again with those before."""
+        label, left = np.arange(len(rows)), np.arange(len(rows))
+        while len(left) > 1:
+            root, front, left = left[0], [left[0]], left[1:]
+            while front and len(left):
+                near = self.pairs(loaded, np.full(len(left), rows[front.pop()]), rows[left])
+                label[left[near]] = root
+                front += left[near].tolist()
+                left = left[~near]
+        return label
+
     def matrix(self, loaded: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether rows of left and right are linked, each with each."""
         out = np.zeros((len(left), len(right)), np.bool_)
@@ -234,6 +263,9 @@ class EqualShare:
     def pairs(self, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.array([self.matrix(sets, np.array([a]), np.array([b]))[0, 0] for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.bool_)
 
+    def spanning(self, sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        return _labels(self.matrix(sets, rows, rows))
+
     def matrix(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         a, b = [sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()]
         same = len(left) == len(right) and bool((left == right).all())
@@ -241,7 +273,10 @@ class EqualShare:
 
 
 def _edges(groups: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
-    """Edges (a, b) that connect what is linked within each group. groups: g (bigint), side (0: all with all; 1 against 2), node, payload; a group fits a task."""
+    """Edges (a, b) that connect what is linked within each group. groups: g (bigint), side (0: all with all; 1 against 2), node, payload; a group fits a task.
+
+    b is the first of what a is connected with: of side 1 before side 2, then by node, so that overlapping groups give the same edges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, "g"):
@@ -258,54 +293,51 @@ def _edges(groups: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
             for lo, n in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
                 rows = np.arange(lo, lo + n)
                 if side[lo] == 0:
-                    square = links.matrix(loaded, rows, rows)
+                    label = links.spanning(loaded, rows)
                 else:
                     middle = int(np.searchsorted(side[lo : lo + n], 2))
                     if middle in (0, n):
                         continue
-                    square = np.zeros((n, n), np.bool_)
-                    square[:middle, middle:] = links.matrix(loaded, rows[:middle], rows[middle:])
-                    square |= square.T
-                label = _labels(square)
+                    label = _labels_across(links.matrix(loaded, rows[:middle], rows[middle:]))
                 other = np.flatnonzero(label != np.arange(n))
                 a.append(node[lo + other])
                 b.append(node[lo + label[other]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
 
-    return groups.select("g", "side", "node", "payload").repartition("g").sortWithinPartitions("g", "side").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
+    return groups.select("g", "side", "node", "payload").repartition("g").sortWithinPartitions("g", "side", "node").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
 
 
-def _across(members: DataFrame, blocks: DataFrame, edges: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
-    """Edges that connect what is linked within groups too large for a task; with `edges`, those of all smaller pieces, nothing is missing.
+def _across(members: DataFrame, blocks: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
+    """Edges that connect what is linked within groups that are too large for a task.
 
-    members: key, node, payload; blocks: key, cells (how many blocks the group
-    is cut into). All members are first compared with a few pivots; whatever
-    those and `edges` connect needs no more comparison. Each member outside
-    its group's largest part is compared with all others, block against
+    members: key, node, payload; blocks: key, k (members), cells (how many
+    blocks the group is cut into). All members are first compared with a few
+    pivots; what is connected with the pivot that has most members needs no
+    more comparison. Each other member is compared with all, block against
     block, so no link is lost and no task has more than two blocks.
     """
-    with scratch(members.sparkSession):
-        cells = members.join(blocks, "key")
-        place = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
-        chosen = members.join(blocks, "key").groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node", F.lit(1)), 8 * F.col("cells")) == 0, F.col("node")))).alias("some"), F.min("node").alias("one"))
-        chosen = chosen.select("key", F.explode(F.array_distinct(F.concat(F.array("one"), F.slice("some", 1, PIVOTS - 1)))).alias("node"))
-        each = F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("p")
-        first = cells.select(F.xxhash64("key", place).alias("g"), F.lit(1).alias("side"), "node", "payload")
-        pivots = cells.join(chosen, ["key", "node"]).select("key", "node", "payload", each)
-        first = first.unionByName(pivots.select(F.xxhash64("key", "p").alias("g"), F.lit(2).alias("side"), "node", "payload"))
-        found = materialize(edges.unionByName(_edges(first, links)), "pivot-edges", keep=True)
-
-        # Which members lie outside is found on ids alone; payloads are joined once, and only where some do.
-        labels = components(found, "pivot-parts").withColumnsRenamed({"id": "node"})
-        ids = cells.select("key", "cells", "node").join(labels, "node", "left").withColumn("part", F.coalesce("component", "node"))
-        sizes = ids.groupBy("key", "cells", "part").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("key", "cells").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("k"))
-        main = main.filter("outside > 0").select("key", "main", F.ceil(F.col("outside") * F.col("cells") / F.col("k")).cast("int").alias("rows"))
-        ids = ids.join(main, "key").select("key", "node", (F.col("part") != F.col("main")).alias("apart"), "cells", "rows")
-        todo = materialize(members.join(ids, ["key", "node"]), "large-groups", keep=True)
-    strip = F.pmod(F.xxhash64("node", F.lit(2)), F.col("rows")).cast("int")
-    outside = todo.filter("apart").select("key", strip.alias("u"), F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("p"), F.lit(1).alias("side"), "node", "payload")
-    against = todo.select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("u"), F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("p"), F.lit(2).alias("side"), "node", "payload")
+    cells = members.join(blocks, "key")
+    place = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("p")
+    pivots = cells.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.col("k")) < PIVOTS)
+    first = cells.select(F.xxhash64("key", place).alias("g"), F.lit(2).alias("side"), "node", "payload")
+    first = first.unionByName(pivots.select("key", "node", "payload", each).select(F.xxhash64("key", "p").alias("g"), F.lit(1).alias("side"), "node", "payload"))
+    found = materialize(_edges(first, links), "pivot-edges")
+
+    # Which members lie outside is found on ids alone; payloads are joined once, and only where some do.
+    near = found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("pivot"))
+    ids = cells.select("key", "k", "cells", "node").join(near, "node", "left")
+    parts = ids.filter("pivot IS NOT NULL").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("main"), F.max("n").alias("n"))
+    ids = ids.join(main, "key", "left")
+    ids = ids.select("key", "node", "cells", F.coalesce((F.col("pivot") != F.col("main")) & (F.col("node") != F.col("main")), F.col("node") != F.coalesce("main", F.lit(-1))).alias("apart"), F.greatest(F.lit(1), F.ceil((F.col("k") - F.coalesce("n", F.lit(0))) * F.col("cells") / F.col("k"))).cast("int").alias("strips"))
+    ids = materialize(ids, "large-ids")
+    if not ids.filter("apart").limit(1).count():
+        return found
+    todo = ids.join(ids.filter("apart").select("key").distinct(), "key", "left_semi")
+    todo = materialize(members.join(todo, ["key", "node"]), "large-groups")
+    outside = todo.filter("apart").select("key", F.pmod(F.xxhash64("node", F.lit(2)), F.col("strips")).cast("int").alias("u"), each, F.lit(1).alias("side"), "node", "payload")
+    against = todo.select("key", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("u"), place.alias("p"), F.lit(2).alias("side"), "node", "payload")
     rest = outside.unionByName(against).select(F.xxhash64("key", "u", "p").alias("g"), "side", "node", "payload")
     return found.unionByName(_edges(rest, links))
 
@@ -347,7 +379,7 @@ def _rows(key, node, block) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(block, pa.int64())], ["key", "node", "block"])
 
 
-def candidates(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def candidates(nodes: DataFrame, threshold: float, block: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect, within each band bucket, all pairs that may reach the threshold. nodes: node, n_shingles, registers, bands.
 
     Most buckets have one member; only the others' members are joined with
@@ -359,15 +391,15 @@ def candidates(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFr
     payload = nodes.select("node", F.concat(F.unhex(F.lpad(F.hex("n_shingles"), 8, "0")), "registers").alias("payload"))
     links = NearRegisters(threshold)
     near = _edges(shared.join(payload, "node").select(F.xxhash64("key", "block").alias("g"), F.lit(0).alias("side"), "node", "payload"), links)
-    large = shared.filter("block > 0").groupBy("key").agg((F.max("block") + 1).alias("cells"))
+    large = shared.filter("block > 0").groupBy("key").agg(F.count(F.lit(1)).alias("more"), (F.max("block") + 1).alias("cells")).select("key", (F.col("more") + block).alias("k"), "cells")
     if not large.limit(1).count():
         return near
-    near, large = materialize(near, "near-edges"), materialize(large, "large-buckets")
+    large = materialize(large, "large-buckets")
     members = materialize(shared.join(large.select("key"), "key").join(payload, "node").select("key", "node", "payload"), "large-members")
-    return _across(members, large, near, links)
+    return near.unionByName(_across(members, large, links))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET) -> DataFrame:
     """Groups of documents connected by links of `percent` similarity or more; one row for each row of (doc_id, text).
 
     Result: doc_id, n_shingles, component_id (the least doc_id reachable),
@@ -384,9 +416,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, bloc
     with scratch(spark):
         nodes = materialize(nodes, "nodes", keep=True)
         with scratch(spark):
-            groups = components(candidates(nodes, percent / 100, block), "candidates", keep=True).select(F.col("id").alias("node"), F.col("component").alias("key"))
+            groups = components(candidates(nodes, percent / 100, bucket), "candidates", keep=True).select(F.col("id").alias("node"), F.col("component").alias("key"))
         groups = materialize(groups.join(nodes.select("node", "n_shingles"), "node"), "candidate-groups")
-        sizes = groups.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(8 * F.sum("n_shingles") / block_bytes)).alias("cells"))
+        sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(8 * F.sum("n_shingles") / block_bytes)).alias("cells"))
         wanted = spark.sparkContext.broadcast(bitmap_of(groups, "node"))
         sets = shingle_sets(docs.filter("doc_id IS NOT NULL"), wanted).join(groups.select("node", "key").join(sizes, "key"), "node")
         sets = materialize(sets, "sets")
@@ -394,9 +426,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, bloc
         edges = _edges(sets.filter("cells = 1").select(F.col("key").alias("g"), F.lit(0).alias("side"), "node", F.col("members").alias("payload")), links)
         large = sets.filter("cells > 1")
         if large.limit(1).count():
-            place = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("cells")))
-            inside = _edges(large.select(place.alias("g"), F.lit(0).alias("side"), "node", F.col("members").alias("payload")), links)
-            edges = _across(large.select("key", "node", F.col("members").alias("payload")), large.select("key", "cells").distinct(), materialize(edges.unionByName(inside), "set-edges"), links)
+            edges = edges.unionByName(_across(large.select("key", "node", F.col("members").alias("payload")), large.select("key", "k", "cells").distinct(), links))
         parts = components(edges, "links", keep=True).withColumnsRenamed({"id": "node"})
     classes = nodes.select("f1", "f2", "n_shingles", "node").join(parts, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")

@@ -76,8 +76,8 @@ def test_large_candidate_groups_lose_no_link(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = brute_groups(rows)
-    for block, size in ((2, 1 << 24), (1000, 1 << 24), (1000, 4000)):
-        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, block=block, block_bytes=size).collect()} == expected
+    for block, size, bucket in ((2, 1 << 24, 3), (1000, 1 << 24, 1000), (1000, 4000, 7)):
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, block=block, block_bytes=size, bucket=bucket).collect()} == expected
     assert len(set(expected.values())) > 1
 
 
