@@ -34,6 +34,8 @@ SEEN = 64
 BUCKET = 4096
 #: The same for candidate groups, whose members have their full sets, and bytes of those.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Groups whose numbers are sent to all tasks, at most; a row each.
+SENT = 100_000
 #: Pivots of a group that is cut into blocks, on average.
 PIVOTS = 8
 _EMPTY = np.iinfo(np.uint64).max
@@ -307,6 +309,11 @@ def _edges(groups: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
     return groups.select("g", "side", "node", "payload").repartition("g").sortWithinPartitions("g", "side", "node").mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
 
 
+def _sent(groups: DataFrame) -> DataFrame:
+    """A row for each group, sent to all tasks while there are SENT at most; then a join by key would put each large group in a task. Beyond, there are keys enough for all tasks, and joins split a large one."""
+    return F.broadcast(groups) if groups.count() <= SENT else groups
+
+
 def _across(members: DataFrame, blocks: DataFrame, links: NearRegisters | EqualShare) -> DataFrame:
     """Edges that connect what is linked within groups that are too large for a task.
 
@@ -316,6 +323,7 @@ def _across(members: DataFrame, blocks: DataFrame, links: NearRegisters | EqualS
     more comparison. Each other member is compared with all, block against
     block, so no link is lost and no task has more than two blocks.
     """
+    blocks = _sent(blocks)
     cells = members.join(blocks, "key")
     place = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("p")
@@ -329,12 +337,12 @@ def _across(members: DataFrame, blocks: DataFrame, links: NearRegisters | EqualS
     ids = cells.select("key", "k", "cells", "node").join(near, "node", "left")
     parts = ids.filter("pivot IS NOT NULL").groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("main"), F.max("n").alias("n"))
-    ids = ids.join(main, "key", "left")
+    ids = ids.join(_sent(main), "key", "left")
     ids = ids.select("key", "node", "cells", F.coalesce((F.col("pivot") != F.col("main")) & (F.col("node") != F.col("main")), F.col("node") != F.coalesce("main", F.lit(-1))).alias("apart"), F.greatest(F.lit(1), F.ceil((F.col("k") - F.coalesce("n", F.lit(0))) * F.col("cells") / F.col("k"))).cast("int").alias("strips"))
     ids = materialize(ids, "large-ids")
     if not ids.filter("apart").limit(1).count():
         return found
-    todo = ids.join(ids.filter("apart").select("key").distinct(), "key", "left_semi")
+    todo = ids.join(_sent(ids.filter("apart").select("key").distinct()), "key", "left_semi")
     todo = materialize(members.join(todo, ["key", "node"]), "large-groups")
     outside = todo.filter("apart").select("key", F.pmod(F.xxhash64("node", F.lit(2)), F.col("strips")).cast("int").alias("u"), each, F.lit(1).alias("side"), "node", "payload")
     against = todo.select("key", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("u"), place.alias("p"), F.lit(2).alias("side"), "node", "payload")
@@ -395,7 +403,7 @@ def candidates(nodes: DataFrame, threshold: float, block: int = BUCKET) -> DataF
     if not large.limit(1).count():
         return near
     large = materialize(large, "large-buckets")
-    members = materialize(shared.join(large.select("key"), "key").join(payload, "node").select("key", "node", "payload"), "large-members")
+    members = materialize(shared.join(_sent(large.select("key")), "key").join(payload, "node").select("key", "node", "payload"), "large-members")
     return near.unionByName(_across(members, large, links))
 
 
