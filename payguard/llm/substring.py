@@ -7,8 +7,9 @@ for word. Equal windows have equal minimisers, so they always meet.
 
 A first pass counts minimisers alone. Only those that occur in two documents
 can hold a repeated window, so only their strings are sent. A minimiser with
-very many windows would make a bucket too large for one task; its windows are
-sent one by one, as 128-bit digests, and counted by a partial aggregation.
+very many windows would make a bucket too large for one task; its strings are
+counted by a partial aggregation, and only the windows of different strings
+are compared, as 128-bit digests.
 Which minimisers are shared and which are hot is sent to all tasks as long as
 that is small, and decided by joins on the minimiser beyond.
 """
@@ -28,7 +29,7 @@ from payguard.llm.common import bitmap_of, bound_batches, in_bitmap, materialize
 
 WINDOW = 50
 GRAM = 8
-#: Windows of a minimiser above which they travel one by one, and windows of one packed string, at most.
+#: Windows of a minimiser above which it is hot, and windows of one packed string, at most.
 HOT, RUN = 8_000, 64
 #: Minimisers that are sent to all tasks: shared ones, two bytes each at most, and hot ones, eight bytes each.
 SENT_SHARED, SENT_HOT = 1 << 23, 1 << 20
@@ -87,11 +88,11 @@ def _minimisers(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "minimiser bigint, doc_id bigint, n bigint")
 
 
-_SENT = "hot boolean, k1 bigint, k2 bigint, doc_id bigint, text_key bigint, at int, n int, packed binary"
+_SENT = "hot boolean, k1 bigint, doc_id bigint, text_key bigint, at int, n int, packed binary"
 
 
 def _send(docs: DataFrame, window: int, shared, hot) -> DataFrame:
-    """Super-k-mers of minimisers that the bitmap `shared` may hold: packed strings (k1 is the minimiser), or of those in the sorted array `hot` single windows (k1, k2 are a digest). Without a bitmap, all; without an array, no single windows."""
+    """Super-k-mers, packed, of minimisers (k1) that the bitmap `shared` may hold; hot tells whether the sorted array `hot` has it. Without a bitmap, all; without an array, none is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -101,43 +102,45 @@ def _send(docs: DataFrame, window: int, shared, hot) -> DataFrame:
             row, minimiser, at, n, lo, hi = (found[k][keep] for k in ("row", "minimiser", "at", "n", "lo", "hi"))
             many = np.isin(minimiser, hot.value) if hot else np.zeros(len(minimiser), np.bool_)
             data = buffer.tobytes()
-            ids, keys = (batch[c].to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "text_key"))
-            packed = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            few = np.flatnonzero(~many)
-            yield _batch(False, minimiser[few], np.zeros(len(few), np.int64), ids[few], keys[few], at[few], n[few], [packed[i] for i in few.tolist()])
-            some = np.flatnonzero(many)
-            if len(some):
-                yield _singles(ids[some], keys[some], at[some], n[some], [packed[i] for i in some.tolist()], window)
+            ids, keys = (batch[c].to_numpy(zero_copy_only=False)[row].astype(np.int64) for c in ("doc_id", "text_key"))
+            packed = pa.array([data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+            columns = [pa.array(many), pa.array(minimiser), pa.array(ids), pa.array(keys), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), packed]
+            yield pa.RecordBatch.from_arrays(columns, ["hot", "k1", "doc_id", "text_key", "at", "n", "packed"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, _SENT)
 
 
-def _singles(ids, keys, at, n, packed: list[bytes], window: int) -> pa.RecordBatch:
-    """The windows of packed strings, one by one. The same string is cut and hashed once."""
-    known: dict[bytes, bytes] = {}
-    for p, count in zip(packed, n.tolist(), strict=True):
-        if p not in known:
-            known[p] = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in _windows(p, count, window))
-    key = np.frombuffer(b"".join(known[p] for p in packed), np.int64).reshape(-1, 2)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return _batch(True, key[:, 0], key[:, 1], np.repeat(ids, n), np.repeat(keys, n), np.repeat(at, n) + step, np.ones(len(key), np.int64), [None] * len(key))
+def _sort_out(sent: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
+    """The rows of _send(docs, window, None, None) whose minimiser is shared, and which are hot: the same by a join on the minimiser."""
+    known = counts.select(F.col("minimiser").alias("k1"), (F.col("n") > hot).alias("hot"))
+    return sent.drop("hot").join(known, "k1").select("hot", "k1", "doc_id", "text_key", "at", "n", "packed")
 
 
-def _batch(hot: bool, k1, k2, ids, keys, at, n, packed) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(k1), hot)), pa.array(k1), pa.array(k2), pa.array(ids.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["hot", "k1", "k2", "doc_id", "text_key", "at", "n", "packed"])
+def _frequent_repeats(rows: DataFrame, window: int) -> DataFrame:
+    """Repeats among hot minimisers' super-k-mers. Equal strings are one, of their least document; its windows, RUN at most, meet those of other strings by digest. A row for each super-k-mer, never for each of its windows, is joined with the documents in which its windows come first."""
+    rows = rows.withColumn("key", F.unhex(F.sha2("packed", 256)))
+    strings = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("packed").alias("packed"))
 
-
-def _sort_out(sent: DataFrame, counts: DataFrame, hot: int, window: int) -> DataFrame:
-    """The rows of _send(docs, window, None, None) whose minimiser is shared, hot ones cut into windows: the same by a join on the minimiser."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "packed"):
-            ids, keys, at, n = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "text_key", "at", "n"))
-            yield _singles(ids, keys, at, n, batch["packed"].to_pylist(), window)
+            found = [_windows(p, p.count(b" ") + 2 - window, window) for p in batch["packed"].to_pylist()]
+            n = np.array([len(f) for f in found])
+            digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for f in found for w in f), np.int64).reshape(-1, 2)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            owner = pa.array(np.repeat(np.arange(len(n)), n))
+            columns = [batch["key"].take(owner), pa.array(place.astype(np.int32)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), batch["low"].take(owner)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "i", "w1", "w2", "low"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "at", "firsts")), strict=True)
+            yield _found([(doc, key, *r) for doc, key, at, firsts in columns for r in _ranges([f < doc for f in firsts], at)])
 
-    known = sent.drop("hot").join(counts.select(F.col("minimiser").alias("k1"), (F.col("n") > hot).alias("hot")), "k1").select("hot", "k1", "k2", "doc_id", "text_key", "at", "n", "packed")
-    return known.filter("NOT hot").unionByName(known.filter("hot").mapInArrow(run, _SENT))
+    windows = materialize(strings.mapInArrow(cut, "key binary, i int, w1 bigint, w2 bigint, low bigint"), "windows")
+    first = materialize(windows.groupBy("w1", "w2").agg(F.min("low").alias("first")), "first-documents")
+    firsts = windows.join(first, ["w1", "w2"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("f"))  # RUN at most
+    firsts = materialize(firsts.select("key", F.col("f.first").alias("firsts"), F.array_min("f.first").alias("least")), "frequent")  # so that the join deals both sides itself, and splits a very frequent string
+    return rows.select("key", "doc_id", "text_key", "at").join(firsts, "key").filter("least < doc_id").drop("key", "least").mapInArrow(ranges, _FOUND)
 
 
 def _ranges(flags: list[bool], at: int) -> Iterator[tuple[int, int]]:
@@ -219,12 +222,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sent
         exact = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in many.collect()], np.int64)))  # sent_hot at most
         sent = materialize(_send(docs, window, shared, exact), "super-k-mers")
     else:
-        sent = materialize(_sort_out(materialize(_send(docs, window, None, None), "all-super-k-mers"), counts, hot, window), "super-k-mers")
-    single = sent.filter("hot").select("k1", "k2", "doc_id", "text_key", "at", "n")
-    least = single.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
-    least = materialize(least, "frequent")  # so that the join deals both sides itself, and splits a very frequent window
-    frequent = single.join(least, ["k1", "k2"]).filter("low < doc_id").select("doc_id", "text_key", "at", "n")
-    return _bucket_repeats(sent, window).unionByName(frequent)
+        sent = materialize(_sort_out(materialize(_send(docs, window, None, None), "all-super-k-mers"), counts, hot), "super-k-mers")
+    found = _bucket_repeats(sent, window)
+    return found.unionByName(_frequent_repeats(sent.filter("hot"), window)) if many.limit(1).count() else found
 
 
 def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sent_shared: int = SENT_SHARED, sent_hot: int = SENT_HOT) -> DataFrame:
