@@ -117,9 +117,9 @@ def _sort_out(sent: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
 
 
 def _frequent_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """Repeats among hot minimisers' super-k-mers. Equal strings are one, of their least document; its windows, RUN at most, meet those of other strings by digest. A row for each super-k-mer, never for each of its windows, is joined with the documents in which its windows come first."""
+    """Repeats among hot minimisers' super-k-mers. Equal strings are one, of their least document; its windows, RUN at most, meet those of other strings by digest, if those have earlier documents. A row for each super-k-mer, never for each of its windows, is joined with what its string has found."""
     rows = rows.withColumn("key", F.unhex(F.sha2("packed", 256)))
-    strings = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("packed").alias("packed"))
+    strings = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("packed").alias("packed")), "strings")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "packed"):
@@ -133,14 +133,21 @@ def _frequent_repeats(rows: DataFrame, window: int) -> DataFrame:
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "at", "firsts")), strict=True)
-            yield _found([(doc, key, *r) for doc, key, at, firsts in columns for r in _ranges([f < doc for f in firsts], at)])
-
-    windows = materialize(strings.mapInArrow(cut, "key binary, i int, w1 bigint, w2 bigint, low bigint"), "windows")
-    first = materialize(windows.groupBy("w1", "w2").agg(F.min("low").alias("first")), "first-documents")
-    firsts = windows.join(first, ["w1", "w2"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("f"))  # RUN at most
-    firsts = materialize(firsts.select("key", F.col("f.first").alias("firsts"), F.array_min("f.first").alias("least")), "frequent")  # so that the join deals both sides itself, and splits a very frequent string
-    return rows.select("key", "doc_id", "text_key", "at").join(firsts, "key").filter("least < doc_id").drop("key", "least").mapInArrow(ranges, _FOUND)
+            out = []
+            for doc, key, at, n, low, earlier in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "at", "n", "low", "earlier")), strict=True):
+                flags = [low < doc] * n
+                for e in earlier or ():
+                    flags[e["i"]] = e["first"] < doc
+                out += [(doc, key, *r) for r in _ranges(flags, at)]
+            yield _found(out)
+
+    windows = materialize(strings.select("key", "low", "packed").mapInArrow(cut, "key binary, i int, w1 bigint, w2 bigint, low bigint"), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.min("low").alias("first"), F.max("low").alias("last")).filter("first < last").drop("last")
+    first = materialize(first, "first-documents")
+    earlier = windows.join(first, ["w1", "w2"]).filter("first < low").groupBy("key").agg(F.collect_list(F.struct("i", "first")).alias("earlier"))  # RUN at most
+    found = strings.select("key", "low", "high").join(earlier, "key", "left").filter("low < high OR earlier IS NOT NULL").drop("high")
+    found = materialize(found, "frequent")  # so that the join deals both sides itself, and splits a very frequent string
+    return rows.select("key", "doc_id", "text_key", "at", "n").join(found, "key").filter("low < doc_id OR earlier IS NOT NULL").drop("key").mapInArrow(ranges, _FOUND)
 
 
 def _ranges(flags: list[bool], at: int) -> Iterator[tuple[int, int]]:
