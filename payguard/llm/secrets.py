@@ -51,6 +51,20 @@ _HEX = re.compile(r"30[0-9A-Fa-f]{46,}")
 _HEX_CHARS = frozenset("0123456789abcdefABCDEF")
 #: Object identifiers as DER bodies; fixed values. Keys: RSA, RSASSA-PSS, elliptic curves, Ed25519, Ed448, X25519, X448, DSA, Diffie-Hellman.
 _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a864886f70d01010a", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2b656f", "2a8648ce380401", "2a864886f70d010301")}
+_SSH_MAGIC = b"openssh-key-v1\0"
+#: Fields of an OpenSSH public key, its name included; fixed values.
+_SSH_FIELDS = {
+    b"ssh-rsa": 3,
+    b"ssh-dss": 5,
+    b"ssh-ed25519": 2,
+    b"ecdsa-sha2-nistp256": 3,
+    b"ecdsa-sha2-nistp384": 3,
+    b"ecdsa-sha2-nistp521": 3,
+    b"sk-ssh-ed25519@openssh.com": 3,
+    b"sk-ecdsa-sha2-nistp256@openssh.com": 4,
+}
+#: Largest field of an OpenSSH key: 16,384-bit numbers take 2,049 bytes, private parts a few such and a comment.
+_SSH_FIELD = 1 << 16
 #: Password-based encryption of keys: PKCS #5 schemes 1 and 2, PKCS #12 schemes.
 _CIPHER_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010501", "2a864886f70d010503", "2a864886f70d010504", "2a864886f70d010506", "2a864886f70d01050a", "2a864886f70d01050b", "2a864886f70d01050d", "2a864886f70d010c0101", "2a864886f70d010c0102", "2a864886f70d010c0103", "2a864886f70d010c0104", "2a864886f70d010c0105", "2a864886f70d010c0106")}
 
@@ -115,9 +129,8 @@ def is_der_key(data: bytes) -> bool:
 
 def is_openssh_key(data: bytes) -> bool:
     """The openssh-key-v1 container, or a public key blob: length-prefixed fields that fit."""
-    magic = b"openssh-key-v1\0"
-    framed = data.startswith(magic)
-    at, seen = len(magic) if framed else 0, []
+    framed = data.startswith(_SSH_MAGIC)
+    at, seen = len(_SSH_MAGIC) if framed else 0, []
     while at + 4 <= len(data) and len(seen) < (3 if framed else 64):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
@@ -126,7 +139,7 @@ def is_openssh_key(data: bytes) -> bool:
         at += 4 + n
     if framed:
         return len(seen) == 3 and seen[0][:1].isalpha() and at + 4 <= len(data)
-    return at == len(data) and len(seen) >= 2 and re.fullmatch(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d{3}", seen[0]) is not None
+    return at == len(data) and bool(seen) and _SSH_FIELDS.get(seen[0]) == len(seen)
 
 
 def is_signed_token(header: str) -> bool:
@@ -160,13 +173,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _pem_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Blocks between the marks of a private key whose body is one, or whose headers and length are those of an encrypted one."""
-    at, missing = 0, set()
+    at, ends = 0, {}
     while (m := _BEGIN.search(text, at)) is not None:
         at = m.end()
         mark = f"-----END {m[1]}-----"
-        end = text.find(mark, at) if mark not in missing else -1
-        if end < 0:
-            missing.add(mark)
+        if ends.get(mark, 0) < at:
+            end = text.find(mark, at)
+            ends[mark] = end if end >= 0 else len(text)
+        end = ends[mark]
+        if end == len(text):
             continue
         nearer = text.find("-----BEGIN ", at, end)
         if nearer < 0 and _is_pem_body(_ESCAPES.sub(lambda e: _ESCAPED[e[1]], text[at:end])):
@@ -192,23 +207,15 @@ def _begins(text: str, at: int, inside: frozenset[str]) -> bool:
     return at == 0 or text[at - 1] not in inside or (text[at - 1] in "nrt" and at > 1 and text[at - 2] == "\\")
 
 
-def _gather(text: str, at: int, need: int | None) -> tuple[str, int]:
-    """Base64 characters from `at` on over as many lines as they fill, and where they end.
-
-    With `need`, so many at most; without it, lines of one width and a last one that is not longer.
-    """
-    pieces, total, width = [], 0, None
+def _gather(text: str, at: int, need: int) -> tuple[str, int]:
+    """The first `need` base64 characters from `at` on, over as many lines as they fill, and where they end."""
+    pieces, total = [], 0
     while (m := _RUN.match(text, at)) is not None:
-        take = m[0] if need is None else m[0][: need - total]
-        if width is not None and need is None and len(take) > width:
-            break
+        take = m[0][: need - total]
         pieces.append(take)
         total, at = total + len(take), m.start() + len(take)
-        if need is not None and (total == need or len(take) < len(m[0])):
-            break
-        if need is None and width is not None and len(take) < width:
+        if total == need:
             break
-        width = len(take) if width is None else width
         gap = _BREAK.match(text, at)
         if gap is None or _RUN.match(text, gap.end()) is None:
             break
@@ -216,27 +223,62 @@ def _gather(text: str, at: int, need: int | None) -> tuple[str, int]:
     return "".join(pieces), at
 
 
-def _key_at(text: str, at: int) -> tuple[str, int, int] | None:
-    """The key in base64 that begins at `at`, in one line or in several."""
-    if text[at] == "M":
-        head = _decoded(_gather(text, at, 8)[0])
-        if not head or len(head) < 3 or head[0] != 0x30:
+def _bytes_at(text: str, at: int, n: int) -> tuple[bytes | None, int]:
+    """The first n bytes in base64 from `at` on (None where there are fewer), and where their characters end."""
+    need = -(-n * 4 // 3)
+    found, end = _gather(text, at, need) if need <= len(text) - at else ("", at)
+    return (_decoded(found) if len(found) == need else None), end
+
+
+def _der_bytes(text: str, at: int) -> int | None:
+    """Bytes of the DER sequence in base64 at `at`, by its own length."""
+    head, _ = _bytes_at(text, at, 6)
+    if not head or head[0] != 0x30:
+        return None
+    n, body = head[1], 2
+    if n & 0x80:
+        body += n & 0x7F
+        if not 3 <= body <= 6:
+            return None
+        n = int.from_bytes(head[2:body], "big")
+    return body + n
+
+
+def _openssh_bytes(text: str, at: int) -> int | None:
+    """Bytes of the OpenSSH key in base64 at `at`, by the lengths of its fields; None where they are not a key's."""
+    n = len(_SSH_MAGIC)
+    framed = _bytes_at(text, at, n)[0] == _SSH_MAGIC
+    # A container: cipher, derivation and its options, the number of keys (one), public and private part.
+    n, left = (n, 6) if framed else (0, 1)
+    while left:
+        data, _ = _bytes_at(text, at, n + 4)
+        if not data:
             return None
-        n, body = head[1], 2
-        if n & 0x80:
-            body += n & 0x7F
-            if not 3 <= body <= 5 or len(head) < body:
+        left -= 1
+        size = int.from_bytes(data[n:], "big")
+        if framed and left == 2:
+            if size != 1:
                 return None
-            n = int.from_bytes(head[2:body], "big")
-        need = -(-(n + body) * 4 // 3)
-        found, end = _gather(text, at, need) if need <= len(text) - at else ("", at)
-        if len(found) < need or text[end : end + 1] in _BASE64_CHARS:
+            n += 4
+            continue
+        if size > _SSH_FIELD:
             return None
-        data = _decoded(found)
-        return ("der_key", at, _PADDING.match(text, end).end()) if data and is_der_key(data) else None
-    found, end = _gather(text, at, None)
-    data = _decoded(found)
-    return ("openssh_key", at, _PADDING.match(text, end).end()) if data and is_openssh_key(data) else None
+        if n == 0:
+            name, _ = _bytes_at(text, at, 4 + size)
+            left = _SSH_FIELDS.get(name[4:], 0) - 1 if name else -1
+            if left < 0:
+                return None
+        n += 4 + size
+    return n
+
+
+def _key_at(text: str, at: int) -> tuple[str, int, int] | None:
+    """The key in base64 that begins at `at`, in one line or in several."""
+    kind, n, holds = ("der_key", _der_bytes(text, at), is_der_key) if text[at] == "M" else ("openssh_key", _openssh_bytes(text, at), is_openssh_key)
+    data, end = _bytes_at(text, at, n) if n else (None, at)
+    if not data or text[end : end + 1] in _BASE64_CHARS or not holds(data):
+        return None
+    return kind, at, _PADDING.match(text, end).end()
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:

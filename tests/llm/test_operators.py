@@ -300,6 +300,34 @@ def test_keys_after_equals_signs_and_in_json_strings():
         assert "PRIVATE KEY-----" not in left and not any(x in left for x in lines)
 
 
+def ssh_blob(*fields):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in fields)
+
+
+def test_openssh_keys_end_where_their_fields_end():
+    blobs = [ssh_blob(b"ssh-ed25519", bytes([i]) * 32) for i in range(3)]
+    blobs += [ssh_blob(b"ssh-rsa", b"\1\0\1", b"\0" + b"\x07" * n) for n in (64, 65, 256)]
+    blobs += [ssh_blob(b"ssh-dss", *(b"\x05" * n for n in (65, 21, 64, 64))), ssh_blob(b"ecdsa-sha2-nistp256", b"nistp256", b"\4" + b"\x09" * 64)]
+    private = b"openssh-key-v1\0" + ssh_blob(b"none", b"none", b"") + (1).to_bytes(4, "big") + ssh_blob(blobs[0], b"\x0b" * 131)
+    for data in [*blobs, private]:
+        key = base64.b64encode(data).decode()
+        for wrapped in (key, "\n".join(key[i : i + 20] for i in range(0, len(key), 20))):
+            text = f"key {wrapped}\nnextline here"
+            assert secrets.confirmed_spans(text) == [("openssh_key", 4, 4 + len(wrapped))]
+        assert not secrets.confirmed_spans(f"key {key[:40]} here") and not secrets.confirmed_spans(key.rstrip("=") + "ABCD")
+    keys = [base64.b64encode(b).decode() for b in blobs]
+    text, starts = "\n".join(keys), [sum(len(k) + 1 for k in keys[:i]) for i in range(len(keys))]
+    assert secrets.confirmed_spans(text) == [("openssh_key", a, a + len(k)) for a, k in zip(starts, keys, strict=True)]
+
+
+def test_secret_scan_of_long_texts_takes_one_pass():
+    zeros = base64.encodebytes(bytes(57 * 20_000)).decode()
+    names = base64.b64encode(ssh_blob(b"ssh-rsa", b"\1\0\1", b"\x07" * 32)).decode()[:16]
+    marks = "-----BEGIN PRIVATE KEY-----\n" * 50_000 + "-----END PRIVATE KEY-----"
+    for text in (zeros, f"{names}\n" * 20_000, marks, marks.replace("\n", "\n-----BEGIN EC PRIVATE KEY-----\n")):
+        assert secrets.confirmed_spans(text) == []
+
+
 def sequential_tree(rows, dims, target, ties):
     """Leaves of a k-d tree over dicts, one node after the other."""
     total = sum(r["size"] for r in rows)
