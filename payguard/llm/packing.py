@@ -56,19 +56,32 @@ def encoder(vocabulary: str):
 def encode_function(vocabulary: str) -> Callable[[str], np.ndarray]:
     """The ids that the tokenizers library gives a text with add_special_tokens=False.
 
-    Added tokens that tiktoken cannot find as the library does (with flags, or
-    one that begins another) leave the texts that hold them to the library.
+    Texts that tiktoken cannot do so go to the library itself: those with
+    added tokens that it does not find as the library does (with flags, or one
+    that begins another), and those on which its expression fails, as it does
+    on a million blanks on end.
     """
     with open(vocabulary, encoding="utf-8") as f:
         added = json.load(f)["added_tokens"]
     names = [t["content"] for t in added]
     fast = encoder(vocabulary).encode_to_numpy
-    if not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")) and not any(a != b and a.startswith(b) for a in names for b in names):
-        return lambda text: fast(text, allowed_special="all", disallowed_special=())
-    from tokenizers import Tokenizer
+    alike = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")) and not any(a != b and a.startswith(b) for a in names for b in names)
 
-    whole = Tokenizer.from_file(vocabulary)
-    return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.int64) if any(x in text for x in names) else fast(text, disallowed_special=())
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(vocabulary)
+
+    def encode(text: str) -> np.ndarray:
+        if alike or not any(x in text for x in names):
+            try:
+                return fast(text, allowed_special="all", disallowed_special=())
+            except ValueError:  # too many steps back
+                pass
+        return np.array(library().encode(text, add_special_tokens=False).ids, np.int64)
+
+    return encode
 
 
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

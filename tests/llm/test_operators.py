@@ -424,6 +424,14 @@ def test_packing_covers_each_id_once(spark, docs, none):
     assert packing.pack(none, packing.default_vocabulary()).count() == 0
 
 
+def test_ids_of_a_million_blanks_on_end():
+    from tokenizers import Tokenizer
+
+    encode, t = packing.encode_function(packing.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
+    for text in (" " * 1_100_000, "a" + "\n" * 1_100_000 + "b <|endoftext|> c", "a" * 400_000, "\u00e9\u6f22" * 100_000):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
