@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from payguard.llm.common import bound_batches
 
 PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("seconds", T.DoubleType()), T.StructField("pages", T.IntegerType())])
-ATTACHMENT = "array<struct<index:int,kind:string,ref:string,tokens:int>>"
+ATTACHMENT = "array<struct<index:int,kind:string,ref:string,tokens:bigint>>"
+#: Audio counts no more tokens than this, so that sums of any seconds stay in 64 bits.
+_MOST_TOKENS = 1 << 40
 OPEN, CLOSE = "<turn>", "</turn>\n"
 _CONTROL = re.compile(r"\\|<(?=/?turn>|\|)")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -48,7 +50,8 @@ class PartVisitor:
 
     `index` counts attachments. Unknown types and null fields become empty
     text, so no part is an error. Token counts: images by 14-pixel patches,
-    audio by 25 frames a second, documents by 256 tokens a page; 1 at least.
+    audio by 25 frames a second (of no length where it is not finite),
+    documents by 256 tokens a page; 1 at least.
     """
 
     def __init__(self) -> None:
@@ -65,7 +68,8 @@ class PartVisitor:
         self._attach("image", part, math.ceil((part.get("width") or 0) / 14) * math.ceil((part.get("height") or 0) / 14))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * 25))
+        seconds = part.get("seconds") or 0
+        self._attach("audio", part, math.ceil(min(seconds * 25, _MOST_TOKENS)) if math.isfinite(seconds) else 0)
 
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, 256 * (part.get("pages") or 0))
@@ -76,8 +80,8 @@ class PartVisitor:
         self.attachments.append({"index": index, "kind": kind, "ref": part.get("ref"), "tokens": max(1, tokens)})
 
 
-_ATTACHMENTS = pa.list_(pa.struct([("index", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
-_FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("attachments", _ATTACHMENTS), ("attachment_tokens", pa.int32())])
+_ATTACHMENTS = pa.list_(pa.struct([("index", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
+_FORMATTED = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("attachments", _ATTACHMENTS), ("attachment_tokens", pa.int64())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -111,7 +115,7 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
                 rows.append((conv, turn, role, head + body + CLOSE, len(head), end, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)))
             yield _batch(rows, _FORMATTED)
 
-    return turns.mapInArrow(run, f"conv_id bigint, turn bigint, role string, formatted string, loss_start int, loss_end int, attachments {ATTACHMENT}, attachment_tokens int")
+    return turns.mapInArrow(run, f"conv_id bigint, turn bigint, role string, formatted string, loss_start int, loss_end int, attachments {ATTACHMENT}, attachment_tokens bigint")
 
 
 def assemble(formatted: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from payguard.llm import chat, cutting_stock, decontam, media, near_dup, packing, quality, secrets, sharding, substring, toxicity
 from payguard.llm.common import components, materialize, new_path, prefix_sums
@@ -208,6 +209,13 @@ def test_typed_parts_become_ordered_placeholders(spark):
     assert r.attachment_tokens == 554
 
 
+def test_attachments_of_any_size_are_counted(spark):
+    most = 2**31 - 1
+    part = [("image", None, "a", most, most, None, None), ("audio", None, "b", None, None, math.inf, None), ("audio", None, "c", None, None, math.nan, None), ("audio", None, None, None, None, 1.7e308, None), ("document", None, "d", None, None, None, most), ("image", None, "e", -5, -5, None, None)]
+    r = chat.format_turns(spark.createDataFrame([(1, 0, "user", part)], T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("parts", T.ArrayType(chat.PART))]))).first()
+    assert [a["tokens"] for a in r.attachments] == [math.ceil(most / 14) ** 2, 1, 1, 1 << 40, 256 * most, 1] and r.attachment_tokens == sum(a["tokens"] for a in r.attachments)
+
+
 def test_media_round_trip(spark, docs, none):
     folder = new_path(spark, "shards")
     manifest = media.store(docs, folder)
