@@ -13,7 +13,8 @@ def _col(x: ColumnLike | int) -> Column:
 
 
 def _scaled(numerator: ColumnLike, denominator: ColumnLike | int, digits: int, factor: int) -> tuple[Column, Column]:
-    return _col(numerator).cast("bigint") * F.lit(factor * 10**digits).cast("bigint"), _col(denominator).cast("bigint")
+    # Sums of a large table, scaled and doubled, pass 64 bits.
+    return _col(numerator).cast("decimal(38,0)") * F.lit(factor * 10**digits), _col(denominator).cast("decimal(38,0)")
 
 
 def ratio(numerator: ColumnLike, denominator: ColumnLike | int, digits: int, factor: int = 1) -> Column:
@@ -37,7 +38,7 @@ def ratio_half_even(numerator: ColumnLike, denominator: ColumnLike | int, digits
 
 def _div(a: Column, b: Column) -> Column:
     """Whole-number quotient; null where b is 0."""
-    return F.call_function("div", a, F.nullif(b, F.lit(0).cast("bigint")))
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
 def cents(column: ColumnLike) -> Column:

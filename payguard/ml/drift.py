@@ -33,9 +33,10 @@ def drift(reference: DataFrame, current: DataFrame, alpha: float = 0.05, columns
     counts = written(both.groupBy("feature", "value").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b")), "drift-counts")
     sums, totals = prefix_sums(counts, ["feature"], ["value"], {"a_before": F.col("a"), "b_before": F.col("b")}, "drift")
     sums = sums.join(F.broadcast(totals.withColumnsRenamed({"a_before": "n_reference", "b_before": "n_current"})), "feature")  # a row for each feature
+    sums = sums.withColumns({c: F.col(c).cast("double") for c in ("a", "b", "a_before", "b_before")})  # products of counts pass 64 bits
     gap = F.abs((F.col("a_before") + F.col("a")) * F.col("n_current") - (F.col("b_before") + F.col("b")) * F.col("n_reference"))
     out = sums.groupBy("feature").agg(F.max(gap).alias("gap"), F.max("n_reference").alias("n_reference"), F.max("n_current").alias("n_current"))
-    area = F.nullif(F.col("n_reference") * F.col("n_current"), F.lit(0))
+    area = F.nullif(F.col("n_reference").cast("double") * F.col("n_current"), F.lit(0.0))
     level = math.sqrt(-math.log(alpha / 2) / 2)
     out = out.withColumns({"distance": F.coalesce(F.col("gap") / area, F.lit(0.0)), "critical": F.lit(level) * F.sqrt((F.col("n_reference") + F.col("n_current")) / area)})
     return out.select("feature", "distance", "critical", "n_reference", "n_current", F.coalesce(F.col("distance") > F.col("critical"), F.lit(False)).alias("drifted"))

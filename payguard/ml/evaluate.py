@@ -20,8 +20,9 @@ def ranking(df: DataFrame, score: str = "fraud_score", label: str = "label", dig
 
     Scores are grouped first, to `digits`: the windows see one row for each
     distinct score, 10**digits + 1 at most, whatever the number of rows.
+    Counts are doubles, exact to 2**53, as their products pass 64 bits.
     """
-    grouped = df.groupBy(F.round(score, digits).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    grouped = df.groupBy(F.round(score, digits).alias("s")).agg(F.count_if(F.col(label) == 1).cast("double").alias("p"), F.count_if(F.col(label) != 1).cast("double").alias("n"))
     down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     c = grouped.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
     total = c.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum((F.col("tp") - F.col("p") / 2) * F.col("n")).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("steps"))

@@ -83,6 +83,11 @@ def test_ratios_round_half_up_and_half_to_even(spark):
     assert [r[0] for r in df.select(columns.ratio_half_even("n", "d", 2)).collect()] == [0.12, 0.38, None, 0.33]
 
 
+def test_ratios_of_very_large_sums(spark):
+    df = spark.createDataFrame([(4 * 10**18, 8 * 10**18)], "n bigint, d bigint")
+    assert df.select(columns.ratio("n", "d", 4, 100), columns.ratio_half_even("n", "d", 4, 100)).first()[:] == (50.0, 50.0)
+
+
 def test_fingerprints_are_sha_256(spark):
     assert spark.range(7, 8).select(columns.fingerprint("id")).first()[0] == hashlib.sha256(b"7").hexdigest()
 
