@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
+    "op4_kd_sharding": sharding.ORACLE,
     "op6_decontamination": decontam.ORACLE,
     "op8_hyperminhash": near_dup.ORACLE,
     "op10_substring_dedup": substring.ORACLE,

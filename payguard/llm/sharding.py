@@ -81,3 +81,44 @@ SHARDS = 8
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of equal bytes."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=SHARDS)
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, four bits at a time, as DuckDB has no function for it."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(f"{c}::BIGINT")
+
+    def step(c: str) -> str:
+        return f"xor({c} >> 4, ([{', '.join(table)}])[({c} & 15) + 1])"
+
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step(step('xor(c, b)'))}), 4294967295::BIGINT)"
+
+
+def _levels_sql(levels: int) -> str:
+    """CTEs n1, n2, ... with the nodes of each level of the tree, from n0, which has them all as node 0."""
+    span = [f"(max({d}) - min({d})) / any_value(u{i})" for i, d in enumerate(("log_size", "source_at", "lang_at"))]
+    out = []
+    for k in range(levels):
+        out.append(f"""
+a{k} AS (SELECT node, sum(size) AS total, list_position([{", ".join(span)}], greatest({", ".join(span)})) AS axis FROM n{k}, u GROUP BY node),
+k{k} AS (SELECT n{k}.*, total, CASE axis WHEN 1 THEN log_size WHEN 2 THEN source_at ELSE lang_at END AS key FROM n{k} JOIN a{k} USING (node)),
+n{k + 1} AS (
+  SELECT doc_id, size, text_crc32, log_size, source_at, lang_at, (2 * node + (2 * sum(size) OVER (PARTITION BY node ORDER BY key, text_crc32, size, doc_id ROWS UNBOUNDED PRECEDING) - size > total)::INT)::INT AS node
+  FROM k{k})""")
+    return ",".join(out)
+
+
+#: The tree has log2(SHARDS) levels. grown_shard has the type that pandas gives a column of nulls.
+ORACLE = f"""
+WITH n0 AS (
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32,
+    log2(octet_length(encode(coalesce(text, ''))) + 1)::DOUBLE AS log_size, {_crc32_sql("coalesce(source, '')")}::DOUBLE AS source_at, {_crc32_sql("coalesce(lang, '')")}::DOUBLE AS lang_at, 0 AS node
+  FROM documents),
+u AS (SELECT coalesce(nullif(max(log_size) - min(log_size), 0), 1) AS u0, coalesce(nullif(max(source_at) - min(source_at), 0), 1) AS u1, coalesce(nullif(max(lang_at) - min(lang_at), 0), 1) AS u2 FROM n0),{_levels_sql(SHARDS.bit_length() - 1)}
+SELECT doc_id, size, text_crc32, 'bytes' AS law, node AS shard, row_number() OVER (PARTITION BY node ORDER BY text_crc32, size, doc_id) - 1 AS slot, NULL::DOUBLE AS grown_shard
+FROM n{SHARDS.bit_length() - 1}
+"""
