@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from payguard.llm import chat, decontam, media, near_dup, packing, quality, secrets, sharding, substring, toxicity
+from payguard.llm import chat, decontam, divergence, media, near_dup, packing, quality, secrets, sharding, substring, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_hyperminhash": near_dup.op8_hyperminhash,
     "op9_quality_mil": quality.op9_quality_mil,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_warc": warc.op12_warc,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
@@ -20,4 +23,7 @@ ORACLES = {
     "op6_decontamination": decontam.ORACLE,
     "op8_hyperminhash": near_dup.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_warc": warc.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

@@ -42,12 +42,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW, _INV = _powers(_P, _SEGMENT + 1), _powers(_P_INV, _SEGMENT + 1)
 
 
-def split(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the n+1 offsets of the rows' words."""
+def split(buffer: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the n+1 offsets of the rows' words. gaps: for each byte value, whether it ends a word."""
     if len(buffer) == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[buffer]
+    solid = ~gaps[buffer]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
