@@ -1,6 +1,6 @@
 """Write scored events into the document tables until stopped.
 
-python -m payguard.jobs.fan_out EVENTS OUT_DIR; EVENTS is the folder that stream_score writes its events to.
+python -m payguard.jobs.fan_out EVENTS OUT_DIR; EVENTS is the table of batches that stream_score writes its events to.
 """
 
 from __future__ import annotations
@@ -14,11 +14,8 @@ from payguard.streaming.fanout import Tables, start_fanout
 
 
 def start(spark: SparkSession, events: str, out: str, trigger: dict | None = None) -> StreamingQuery:
-    """EVENTS must have a first batch, from which the columns are taken."""
-    schema = spark.read.parquet(events).drop("batch").schema
-    rows = spark.readStream.schema(schema).parquet(f"{events}/batch=*")
     tables = Tables(f"{out}/transaction_logs", f"{out}/logs", f"{out}/fraud_alerts", f"{out}/features")
-    return start_fanout(spark, rows, tables, f"{out}/_checkpoints/fan-out", trigger)
+    return start_fanout(spark, events, tables, f"{out}/_checkpoints/fan-out", trigger)
 
 
 if __name__ == "__main__":

@@ -18,10 +18,8 @@ LAG = "1 hour"
 
 
 def start(spark: SparkSession, warehouse: str, trigger: dict | None = None) -> StreamingQuery:
-    """The warehouse must hold a first day of facts, from which the columns are taken."""
-    path = f"{warehouse}/fact_transactions"
-    facts = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return start_star_revenue(spark, facts, Snapshots(spark, f"{warehouse}/preagg"), f"{warehouse}/_checkpoints/star-revenue", trigger)
+    """The warehouse must have had a first load."""
+    return start_star_revenue(spark, Snapshots(spark, f"{warehouse}/star"), Snapshots(spark, f"{warehouse}/preagg"), f"{warehouse}/_checkpoints/star-revenue", trigger)
 
 
 if __name__ == "__main__":

@@ -21,25 +21,32 @@ def values() -> dict[str, Column]:
     }
 
 
-def drift(reference: DataFrame, current: DataFrame, alpha: float = 0.05, columns: dict[str, Column] | None = None) -> DataFrame:
-    """One row for each behavioural feature: distance (between the distributions), critical (at level alpha), n_reference, n_current, drifted.
+def distances(counts: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """Smirnov's distance of two samples in each group, from counts (by..., value, a, b) of equal values: by..., distance, critical (at level alpha), n_reference, n_current, drifted.
 
-    For a flag the distance is the total variation, too. Cumulative counts over the distinct values are range-dealt, so no task
-    holds all values of a feature.
+    Cumulative counts over the distinct values are range-dealt, so no task holds all values of a group.
     """
-    names = columns or values()
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.alias("value")) for k, c in names.items()))).alias("x")
-    both = reference.select(pairs, F.lit(1).alias("r")).unionByName(current.select(pairs, F.lit(0).alias("r"))).select("x.*", "r")
-    counts = written(both.groupBy("feature", "value").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b")), "drift-counts")
-    sums, totals = prefix_sums(counts, ["feature"], ["value"], {"a_before": F.col("a"), "b_before": F.col("b")}, "drift")
-    sums = sums.join(F.broadcast(totals.withColumnsRenamed({"a_before": "n_reference", "b_before": "n_current"})), "feature")  # a row for each feature
+    counts = written(counts, "drift-counts")
+    sums, totals = prefix_sums(counts, by, ["value"], {"a_before": F.col("a"), "b_before": F.col("b")}, "drift")
+    sums = sums.join(F.broadcast(totals.withColumnsRenamed({"a_before": "n_reference", "b_before": "n_current"})), by)  # a row for each group
     sums = sums.withColumns({c: F.col(c).cast("double") for c in ("a", "b", "a_before", "b_before")})  # products of counts pass 64 bits
     gap = F.abs((F.col("a_before") + F.col("a")) * F.col("n_current") - (F.col("b_before") + F.col("b")) * F.col("n_reference"))
-    out = sums.groupBy("feature").agg(F.max(gap).alias("gap"), F.max("n_reference").alias("n_reference"), F.max("n_current").alias("n_current"))
+    out = sums.groupBy(*by).agg(F.max(gap).alias("gap"), F.max("n_reference").alias("n_reference"), F.max("n_current").alias("n_current"))
     area = F.nullif(F.col("n_reference").cast("double") * F.col("n_current"), F.lit(0.0))
     level = math.sqrt(-math.log(alpha / 2) / 2)
     out = out.withColumns({"distance": F.coalesce(F.col("gap") / area, F.lit(0.0)), "critical": F.lit(level) * F.sqrt((F.col("n_reference") + F.col("n_current")) / area)})
-    return out.select("feature", "distance", "critical", "n_reference", "n_current", F.coalesce(F.col("distance") > F.col("critical"), F.lit(False)).alias("drifted"))
+    return out.select(*by, "distance", "critical", "n_reference", "n_current", F.coalesce(F.col("distance") > F.col("critical"), F.lit(False)).alias("drifted"))
+
+
+def drift(reference: DataFrame, current: DataFrame, alpha: float = 0.05, columns: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each behavioural feature: distance (between the distributions), critical (at level alpha), n_reference, n_current, drifted.
+
+    For a flag the distance is the total variation, too.
+    """
+    names = columns or values()
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.alias("value")) for k, c in names.items()))).alias("x")
+    both = reference.select(pairs, F.lit(1).alias("r")).unionByName(current.select(pairs, F.lit(0).alias("r"))).select("x.*", "r")
+    return distances(both.groupBy("feature", "value").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b")), ["feature"], alpha)
 
 
 def summary(rows: DataFrame) -> dict:

@@ -13,6 +13,7 @@ from payguard.ml import drift as drifts
 from payguard.ml import store
 from payguard.ml.dataset import LEAST_TRAINING, LEAST_WINDOW, current_window, temporal_split, training_set
 from payguard.ml.train import TrainConfig, run_training
+from payguard.operators.running import written
 
 RECORD = "checked_at timestamp, model_version string, status string, reason string, drift struct<drift_share: double, dataset_drift: boolean, drifted_columns: int, columns_tested: array<string>>, n_reference bigint, n_current bigint, performance struct<precision: double, recall: double, f1: double, n: bigint>, performance_skipped string, alert_reasons array<string>, retrain_triggered boolean, retrain_skipped_reason string, model_metric_before double, model_metric_after double, rolled_back boolean"
 
@@ -100,6 +101,28 @@ def skew(logs: DataFrame, transactions: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("s1") == F.col("velocity_1h")).alias("equal_1h"), F.count_if(F.col("s24") == F.col("velocity_24h")).alias("equal_24h"))
 
 
+def skew_by_feature(logs: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Distributions of served against recomputed velocity, of the same transactions, for each model version and feature: rows, equal, distance, critical, skewed.
+
+    Transactions are joined one to one, so equal counts tell of single rows
+    and the distance of the distribution that the model saw. A transaction
+    that was logged more than once counts with its least log row.
+    """
+    from payguard.functions.velocity import served
+
+    names = ("velocity_1h", "velocity_24h")
+    again = served(transactions.filter("customer_id IS NOT NULL")).select("txn_id", *(F.col(n).alias(f"now_{n}") for n in names))
+    once = logs.groupBy("txn_id").agg(F.min(F.struct("payload.model_version", *(f"payload.{n}" for n in names))).alias("x")).select("txn_id", "x.*")
+    both = once.join(again, "txn_id")
+    pair = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("bigint").alias("was"), F.col(f"now_{n}").cast("bigint").alias("now")) for n in names))
+    rows = written(both.select(F.coalesce("model_version", F.lit("")).alias("model_version"), F.inline(pair)), "skew")
+    sides = rows.select("model_version", "feature", F.explode(F.array(F.struct(F.col("now").alias("value"), F.lit(1).alias("r")), F.struct(F.col("was").alias("value"), F.lit(0).alias("r")))).alias("x")).select("model_version", "feature", "x.*")
+    counts = sides.filter("value IS NOT NULL").groupBy("model_version", "feature", "value").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b"))
+    equal = rows.groupBy("model_version", "feature").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("was") == F.col("now")).alias("equal"))
+    found = drifts.distances(counts, ["model_version", "feature"]).withColumnRenamed("drifted", "skewed")
+    return equal.join(found, ["model_version", "feature"]).select("model_version", "feature", "rows", "equal", "distance", "critical", "skewed")
+
+
 def consistency(logs: DataFrame, transactions: DataFrame) -> DataFrame:
     """Scored transactions without a log row, log rows without a transaction, transactions logged more than once."""
     scored = transactions.filter("fraud_score IS NOT NULL").select("txn_id")

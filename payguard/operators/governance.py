@@ -59,22 +59,41 @@ class Check:
 
 
 def run_checks(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
-    """One row for each check: table, kind, column, failures, passed. Each is one aggregate over its table."""
-    parts = []
-    for c in checks:
-        df = tables[c.table]
-        if c.kind == "unique":
-            found = df.filter(F.col(c.column).isNotNull()).groupBy(c.column).count().filter("count > 1").agg(F.count(F.lit(1)).alias("failures"))
-        elif c.kind == "required":
-            found = df.agg(F.count_if(F.col(c.column).isNull()).alias("failures"))
-        elif c.kind == "references":
-            found = df.filter(F.col(c.column).isNotNull()).join(tables[c.target].select(F.col(c.column)), c.column, "left_anti").agg(F.count(F.lit(1)).alias("failures"))
-        elif c.kind == "at_least":
-            found = df.agg(F.greatest(F.lit(c.least) - F.count(F.lit(1)), F.lit(0)).cast("bigint").alias("failures"))
-        else:
-            raise ValueError(f"unknown check {c.kind}")
-        parts.append(found.select(F.lit(c.table).alias("table"), F.lit(c.kind).alias("kind"), F.lit(c.column).alias("column"), "failures", (F.col("failures") == 0).alias("passed")))
-    out = parts[0]
+    """One row for each check: table, kind, column, failures, passed.
+
+    A table is read twice at most, however many checks it has: all counts of
+    its rows are one aggregate, and all checks that compare keys, of all
+    tables, are one aggregate by (check, key), partial before its shuffle.
+    """
+    unknown = {c.kind for c in checks} - {"unique", "required", "references", "at_least"}
+    if unknown:
+        raise ValueError(f"unknown check {unknown.pop()}")
+    parts, keyed = [], []
+    for name, df in tables.items():
+        counted, pairs = [], []
+        for i, c in enumerate(checks):
+            if c.table == name and c.kind == "required":
+                counted.append(F.struct(F.lit(i).alias("check"), F.count_if(F.col(c.column).isNull()).alias("failures")))
+            elif c.table == name and c.kind == "at_least":
+                counted.append(F.struct(F.lit(i).alias("check"), F.greatest(F.lit(c.least) - F.count(F.lit(1)), F.lit(0)).cast("bigint").alias("failures")))
+            elif c.kind in ("unique", "references"):
+                pairs += [F.struct(F.lit(i).alias("check"), F.col(c.column).cast("string").alias("value"), F.lit(held).alias("target")) for held in (False, True) if name == (c.target if held else c.table)]
+        if counted:
+            parts.append(df.agg(F.array(*counted).alias("x")).select(F.inline("x")))
+        if pairs:
+            keyed.append(df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL"))
+    if keyed:
+        both = keyed[0]
+        for k in keyed[1:]:
+            both = both.unionAll(k)
+        values = both.groupBy("check", "value").agg(F.count_if(~F.col("target")).alias("n"), F.count_if("target").alias("m"))
+        unique = F.col("check").isin([i for i, c in enumerate(checks) if c.kind == "unique"])
+        failures = F.sum(F.when(unique, (F.col("n") > 1).cast("bigint")).otherwise(F.when(F.col("m") == 0, F.col("n")).otherwise(0)))
+        parts.append(values.groupBy("check").agg(failures.alias("failures")))
+    named = F.broadcast(next(iter(tables.values())).sparkSession.createDataFrame([(i, c.table, c.kind, c.column) for i, c in enumerate(checks)], "check int, table string, kind string, column string"))
+    found = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = found.unionByName(p)
+    # A check without a row has nothing to compare, so nothing fails.
+    out = named.join(found.groupBy("check").agg(F.sum("failures").alias("failures")), "check", "left").orderBy("check")
+    return out.select("table", "kind", "column", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"), (F.coalesce("failures", F.lit(0)) == 0).alias("passed"))

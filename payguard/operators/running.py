@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
         path = sc.getCheckpointDir()
         if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-payguard-"))
             path = sc.getCheckpointDir()
     return path.rstrip("/")

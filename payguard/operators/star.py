@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.functions.columns import date_key
-from payguard.sources.snapshots import exists
+from payguard.operators.running import prefix_sums, scratch, written
+from payguard.sources.snapshots import Snapshots
 
 #: Country, name, region and risk of the geography dimension; fixed values. BY is left out on purpose: see unmatched.
 GEOGRAPHY = (
@@ -31,8 +32,6 @@ GEOGRAPHY = (
     ("VE", "Venezuela", "Americas", True),
 )
 FRAUD_AT = 0.85
-#: Buckets in which surrogate keys are numbered, each by a task of its own.
-KEY_BUCKETS = 64
 
 
 def dim_date(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -47,25 +46,26 @@ def dim_geography(spark: SparkSession, rows: tuple = GEOGRAPHY) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "geo_key bigint, country_code string, country_name string, region string, is_high_risk boolean")
 
 
-def numbered(members: DataFrame, key: str, name: str, start: int = 0, buckets: int = KEY_BUCKETS) -> DataFrame:
-    """Add `name`: start + 1, start + 2, ... without gaps, by (key modulo buckets, key) of a unique bigint key.
+def numbered(members: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
+    """Add `name`: start + 1, start + 2, ... without gaps, in the order of a unique bigint key.
 
-    Each bucket is numbered by itself and shifted by the sizes of those before
-    it, so no task sees all members and a replay gives the same numbers.
+    Places are running totals over rows dealt by range, so no task sees all
+    members, however many there are, and a replay gives the same numbers.
     """
-    rows = members.withColumn("_bucket", F.pmod(F.col(key), F.lit(buckets)))
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # `buckets` rows at most
-    shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    return rows.withColumn("_place", within).join(F.broadcast(shifts), "_bucket").withColumn(name, F.lit(start) + F.col("_shift") + F.col("_place")).drop("_bucket", "_place", "_shift")
+    placed, _ = prefix_sums(members, [], [key], {"_place": F.lit(1).cast("bigint")}, f"numbered-{name}")
+    return placed.select(*members.columns, (F.lit(start + 1) + F.col("_place")).cast("bigint").alias(name))
 
 
-def insert_missing(dim: DataFrame | None, members: DataFrame, natural: str, surrogate: str) -> DataFrame:
-    """Members that the dimension lacks, with new surrogate keys above its highest. A null natural key is no member; of repeated ones the least row counts."""
+def distinct_members(members: DataFrame, natural: str) -> DataFrame:
+    """One row of each member: of repeated ones the least row counts. A null natural key is no member."""
     values = [c for c in members.columns if c != natural]
-    once = members.filter(F.col(natural).isNotNull()).groupBy(natural).agg(F.min(F.struct(*values)).alias("_v")).select(natural, "_v.*") if values else members.filter(F.col(natural).isNotNull()).distinct()
-    top = 0
+    known = members.filter(F.col(natural).isNotNull())
+    return known.groupBy(natural).agg(F.min(F.struct(*values)).alias("_v")).select(natural, "_v.*") if values else known.distinct()
+
+
+def insert_missing(dim: DataFrame | None, members: DataFrame, natural: str, surrogate: str) -> DataFrame:
+    """Members that the dimension lacks, with new surrogate keys above its highest."""
+    once, top = distinct_members(members, natural), 0
     if dim is not None:
         once = once.join(dim.select(natural), natural, "left_anti")
         top = dim.agg(F.max(surrogate)).first()[0] or 0
@@ -120,29 +120,72 @@ def build(extract: DataFrame, only: tuple[str, ...] = tuple(KEYS)) -> dict[str,
     return out
 
 
+FACTS = "fact_transactions"
+
+
+def load(store: Snapshots, extract: DataFrame, by: str = "date_key") -> dict[str, int]:
+    """Add extracted rows to the stored star: rows added by table. A replay adds none.
+
+    New members and facts show in one version. Surrogate keys are reserved
+    through marks of that version, so of two loads at once the second is
+    computed again and no key is given twice. Facts are appended, partitioned
+    by date_key or month_key; only the partitions of the extract's days are
+    read to find facts that are there already.
+    """
+    spark, added = store.spark, {}
+    extract = written(extract, "extract")
+    days = sorted(r[0] for r in extract.select(date_key("created_at")).distinct().collect())
+
+    def step(base: int) -> int:
+        dims, tables, changes, marks = {"geography": dim_geography(spark)}, {}, {}, {}
+        for name, rows in members(extract).items():
+            (natural, surrogate), table = KEYS[name], f"dim_{name}"
+            once = written(distinct_members(rows, natural), f"members-{name}")
+            old = store.rows_of(table, once, base)
+            top = store.mark(f"{table}-top", base) or 0
+            missing = once if old is None else once.join(old.select(natural), natural, "left_anti")
+            new = written(numbered(missing, natural, surrogate, top), f"new-{name}")
+            added[name] = new.count()
+            dims[name] = new if old is None else old.unionByName(new)
+            if old is None:
+                tables[table] = new
+            elif added[name]:
+                changes[table] = new
+            if added[name]:
+                marks[f"{table}-top"] = top + added[name]
+        facts = resolve_keys(derive_facts(extract), dims)
+        facts = facts.groupBy("txn_id").agg(F.min(F.struct(*(c for c in facts.columns if c != "txn_id"))).alias("_f")).select("txn_id", "_f.*")  # of repeated rows, the least
+        facts = facts.withColumn("month_key", F.expr("date_key div 100").cast("int"))
+        there = store.current(FACTS, base)
+        if there is not None and days:
+            facts = facts.join(of_days(there, days).select("date_key", "txn_id"), ["date_key", "txn_id"], "left_anti").select(*facts.columns)
+        seen = Observation()
+        facts = facts.observe(seen, F.count(F.lit(1)).alias("rows"))
+        number = store.commit(tables, base, changes, {t: KEYS[t.removeprefix("dim_")][0] for t in tables}, marks, appends={FACTS: (facts.sortWithinPartitions("date_key", "merchant_key"), by)})
+        added["fact"] = seen.get["rows"]
+        return number
+
+    store.retry(step)
+    return added
+
+
+def of_days(facts: DataFrame, days: list[int]) -> DataFrame:
+    """Facts of some days, given as keys: literal, so that partitions are pruned when the query is planned."""
+    months = sorted({d // 100 for d in days})
+    return facts.filter(F.col("month_key").isin(*months) & F.col("date_key").isin(*days))
+
+
+def between_days(facts: DataFrame, first: int, last: int) -> DataFrame:
+    """Facts from one day key to another; see of_days()."""
+    return facts.filter(F.col("month_key").between(first // 100, last // 100) & F.col("date_key").between(first, last))
+
+
 def load_day(spark: SparkSession, extract: DataFrame, warehouse: str, dry_run: bool = False) -> dict[str, int]:
-    """Add extracted rows to the star under `warehouse`: rows added by table. A replay adds none; dry_run only counts."""
+    """Add a day's extracted rows to the star under `warehouse`; see load(). dry_run only counts."""
     if dry_run:
         return {"fact": extract.count()}
-    added, dims = {}, {}
-    for name, rows in members(extract).items():
-        path = f"{warehouse}/dim_{name}"
-        old = spark.read.parquet(path) if exists(spark, path) else None
-        new = insert_missing(old, rows, *KEYS[name])
-        before = old.count() if old is not None else 0
-        new.write.mode("append").parquet(path)
-        dims[name] = spark.read.parquet(path)
-        added[name] = dims[name].count() - before
-    facts = resolve_keys(derive_facts(extract), dims | {"geography": dim_geography(spark)})
-    facts = facts.groupBy("txn_id").agg(F.min(F.struct(*(c for c in facts.columns if c != "txn_id"))).alias("_f")).select("txn_id", "_f.*")  # of repeated rows, the least
-    path = f"{warehouse}/fact_transactions"
-    if exists(spark, path):
-        facts = facts.join(spark.read.parquet(path).select("date_key", "txn_id"), ["date_key", "txn_id"], "left_anti")
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    # Each day's rows lie together, in as many tasks as their size asks for.
-    facts.hint("rebalance", F.col("date_key")).sortWithinPartitions("date_key", "merchant_key").write.mode("append").partitionBy("date_key").parquet(path)
-    added["fact"] = spark.read.parquet(path).count() - before
-    return added
+    with scratch(spark):
+        return load(Snapshots(spark, f"{warehouse}/star"), extract)
 
 
 def unmatched(facts: DataFrame) -> DataFrame:

@@ -1,41 +1,106 @@
-"""Replay-safe writes: scores back into transactions, indicators, deduplicated intake."""
+"""Replay-safe writes: scores back into transactions, indicators, deduplicated intake, applied changes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payguard.functions import rules
-from payguard.sources.snapshots import Snapshots
+from payguard.operators import preagg
+from payguard.operators.running import scratch, written
+from payguard.sources.snapshots import MANY_CHANGES, Snapshots
 
+#: Keys of the tables that are changed row by row.
+KEYS = {"transactions": "txn_id", "indicators": "txn_id", "customers": "customer_id", "payment_methods": "pm_id", "ml_features": "customer_id", "online_features": "customer_id"}
 
-def write_back(transactions: DataFrame, indicators: DataFrame | None, scored: DataFrame, observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both tables after a batch of scores: a score is set only where there was none, and only such rows get an indicator.
 
-    Of repeated scores of a transaction, the least (created_at, score) counts.
-    An observation gets written_back, the number of scores that were set, when the first table is written.
-    """
-    columns = transactions.columns
+def _set_scores(transactions: DataFrame, scored: DataFrame) -> DataFrame:
+    """Transactions with the score that a batch sets, and _fresh and s (the score's row) beside them. Of repeated scores of a transaction, the least (created_at, score) counts."""
     first = scored.groupBy("txn_id").agg(F.min(F.struct("created_at", "fraud_score", "decision", "rules_triggered", "model_version")).alias("s"))
-    joined = transactions.join(first, "txn_id", "left")
-    fresh = F.col("fraud_score").isNull() & F.col("s").isNotNull()
-    updated = joined.withColumn("_fresh", fresh)
+    updated = transactions.join(first, "txn_id", "left").withColumn("_fresh", F.col("fraud_score").isNull() & F.col("s").isNotNull())
     kind = transactions.schema["fraud_score"].dataType
-    out = (updated.observe(observation, F.count_if("_fresh").alias("written_back")) if observation else updated).withColumn("fraud_score", F.coalesce("fraud_score", F.col("s.fraud_score").cast(kind)))
-    if "updated_at" in columns:
+    out = updated.withColumn("fraud_score", F.coalesce("fraud_score", F.col("s.fraud_score").cast(kind)))
+    if "updated_at" in transactions.columns:
         out = out.withColumn("updated_at", F.when(F.col("_fresh"), F.col("s.created_at")).otherwise(F.col("updated_at")))
-    new = updated.filter("_fresh").select("txn_id", "s.*")
-    new = rules.alerts(new).select(F.col("txn_id").alias("fraud_id"), "txn_id", F.col("fraud_score").alias("anomaly_score"), "rules_triggered", "model_version", "decision", "created_at")
+    return out
+
+
+def _indicators(updated: DataFrame, indicators: DataFrame | None) -> DataFrame:
+    """New indicators of the rows whose score is fresh."""
+    new = rules.alerts(updated.filter("_fresh").select("txn_id", "s.*"))
+    new = new.select(F.col("txn_id").alias("fraud_id"), "txn_id", F.col("fraud_score").alias("anomaly_score"), "rules_triggered", "model_version", "decision", "created_at")
     if indicators is not None:
-        new = indicators.unionByName(new.join(indicators.select("txn_id"), "txn_id", "left_anti").select(*indicators.columns))
-    return out.select(*columns), new
+        new = new.join(indicators.select("txn_id"), "txn_id", "left_anti").select(*indicators.columns)
+    return new
+
+
+def write_back(transactions: DataFrame, indicators: DataFrame | None, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a batch of scores: a score is set only where there was none, and only such rows get an indicator."""
+    updated = _set_scores(transactions, scored)
+    new = _indicators(updated, indicators)
+    return updated.select(*transactions.columns), new if indicators is None else indicators.unionByName(new)
+
+
+def rekeyed(store: Snapshots, *names: str) -> None:
+    """Lay out tables by their key that are not yet."""
+    plain = [n for n in names if n in store.names() and store.key(n) is None]
+    if plain:
+        base = store.version()
+        store.commit({n: store.current(n, base) for n in plain}, base, keys={n: KEYS[n] for n in plain})
+
+
+def apply_scores(store: Snapshots, scored: DataFrame) -> int:
+    """write_back() on the stored tables; the number of scores that were set.
+
+    Only the buckets of the batch's transactions are read, and only changed
+    rows are written; both tables and the maintained aggregates change in one
+    version. A repeated batch changes nothing.
+    """
+    rekeyed(store, "transactions", "indicators")
+    count = 0
+
+    def step(base: int) -> int:
+        nonlocal count
+        old = store.rows_of("transactions", scored, base)
+        updated = written(_set_scores(old, scored).filter("_fresh"), "fresh-scores")
+        count = updated.count()
+        if not count:
+            return base
+        changed = updated.select(*old.columns)
+        new = _indicators(updated, store.rows_of("indicators", updated, base))
+        sums = preagg.corrections(store, store.rows_of("transactions", updated, base), changed, base)
+        return store.commit(changes={"transactions": changed, "indicators": new} | sums, base=base)
+
+    with scratch(store.spark):
+        store.retry(step)
+    tidy(store)
+    return count
+
+
+def tidy(store: Snapshots) -> None:
+    """Compact the keyed tables that have gathered many changes."""
+    for name in store.names():
+        if store.key(name):
+            store.retry(lambda base, name=name: store.compact(name, MANY_CHANGES))
+
 
+def apply_images(store: Snapshots, table: str, images: DataFrame, key: str, order: tuple[str, ...], deleted: str = "__deleted") -> None:
+    """merge_images() on a stored keyed table: only the batch's keys are read, only rows that change are written, with the aggregates that they change."""
+    def step(base: int) -> int:
+        if table not in store.names(base):
+            return store.commit({table: latest_images(rows, key, order, deleted)}, base, keys={table: key})
+        old = written(store.rows_of(table, rows, base), "old-images")
+        new = written(merge_images(old, rows, key, order, deleted), "new-images")
+        same = F.struct(*(F.col(f"n.{c}") for c in order)).eqNullSafe(F.struct(*(F.col(f"o.{c}") for c in order)))
+        changed = new.alias("n").join(old.alias("o"), key, "left").filter(~same | F.col(f"o.{order[0]}").isNull()).select(key, *(F.col(f"n.{c}") for c in new.columns if c != key))
+        gone = old.join(new.select(key), key, "left_anti").withColumn("_deleted", F.lit(True))
+        sums = preagg.corrections(store, old, new, base) if table == "transactions" else {}
+        return store.commit(changes={table: changed.withColumn("_deleted", F.lit(False)).unionByName(gone)} | sums, base=base)
 
-def apply_scores(store: Snapshots, scored: DataFrame, observation: Observation | None = None) -> int:
-    """write_back() on the stored tables; both change in one version."""
-    base = store.version()
-    transactions, indicators = write_back(store.current("transactions", base), store.current("indicators", base), scored, observation)
-    return store.commit({"transactions": transactions, "indicators": indicators}, base)
+    with scratch(store.spark):
+        rows = written(images, "images")
+        store.retry(step)
+    tidy(store)
 
 
 def once(df: DataFrame, key: str = "idempotency_key", order: tuple[str, ...] = ("created_at", "txn_id")) -> DataFrame:

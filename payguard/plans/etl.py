@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from payguard.functions import features, rules, velocity
 from payguard.functions.columns import cents, ratio
 from payguard.operators import documents, governance, star, writeback
-from payguard.operators.running import written
+from payguard.operators.running import new_path, written
 from payguard.plans import oracle as sql
 from payguard.plans.oltp import stamp
 from payguard.sources.changes import decode
+from payguard.sources.snapshots import Snapshots
 from payguard.sources.tables import TEST_RULES, Tables, truth
 
 DAY = "2024-01-10"
@@ -31,12 +32,12 @@ FROM d LEFT JOIN pms USING (pm_id) JOIN merchants USING (merchant_id) WHERE crea
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facts with their surrogate keys; -1 stands for an unknown member."""
     t = Tables(spark, sf_dir)
-    s = star.build(star.daily_extract(t.decided, t.payment_methods, t.merchants))
+    s = star.build(written(star.daily_extract(t.decided, t.payment_methods, t.merchants), "extract"))
     keys = ["merchant_key", "customer_key", "pm_key", "geo_key"]
     return s["fact"].select("txn_id", *keys, "date_key", F.col("amount_eur").cast("double").alias("amount_eur"), F.col("fee_amount").cast("double").alias("fee_amount"), "currency", "is_fraud", "device_type").fillna(-1, keys)
 
 
-_KEY = "row_number() OVER (ORDER BY {0} % 64, {0})"
+_KEY = "row_number() OVER (ORDER BY {0})"
 FACT = sql.with_tables("d pms geo", f"""
 WITH f AS (SELECT * FROM d WHERE status = 'succeeded'),
 m AS (SELECT merchant_id, {_KEY.format("merchant_id")} AS k FROM (SELECT DISTINCT merchant_id FROM f)),
@@ -107,15 +108,16 @@ SCORE_RULES = sql.with_tables("sc", "SELECT txn_id, fraud_score, decision, veloc
 
 
 def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions after their scores were written back twice, the second time with other scores: the first ones stay. Indicators are counted beside each."""
+    """Stored transactions after their scores were written back twice, the second time with other scores: the first ones stay. Indicators are counted beside each."""
     t = Tables(spark, sf_dir)
-    empty = t.transactions.withColumns({"fraud_score": F.lit(None).cast("double"), "updated_at": F.col("created_at")})
-    scored = written(t.scored, "scored")  # each step is stored, as in the job
-    once, indicators = (written(df, "write-back") for df in writeback.write_back(empty, None, scored))
-    again = rules.score_rules(scored, rules.RuleConfig(base=2000, velocity_1h=TEST_RULES.velocity_1h))
-    twice, indicators = writeback.write_back(once, indicators, again)
-    count = indicators.groupBy("txn_id").agg(F.count(F.lit(1)).alias("indicators"))
-    return twice.join(count, "txn_id", "left").select("txn_id", F.coalesce("fraud_score", F.lit(-1.0)).alias("fraud_score"), F.coalesce("indicators", F.lit(0)).alias("indicators"))
+    store = Snapshots(spark, new_path(spark, "oltp"))
+    scored = written(t.scored, "scored")
+    empty = t.transactions.select("txn_id", "status", "amount", "currency", "merchant_id", "created_at", F.lit(None).cast("double").alias("fraud_score"), F.col("created_at").alias("updated_at"))
+    store.commit({"transactions": empty, "indicators": t.indicators_of(scored.limit(0))}, keys=writeback.KEYS)
+    writeback.apply_scores(store, scored)
+    writeback.apply_scores(store, rules.score_rules(scored, rules.RuleConfig(base=2000, velocity_1h=TEST_RULES.velocity_1h)))
+    count = store.current("indicators").groupBy("txn_id").agg(F.count(F.lit(1)).alias("indicators"))
+    return store.current("transactions").join(count, "txn_id", "left").select("txn_id", F.coalesce("fraud_score", F.lit(-1.0)).alias("fraud_score"), F.coalesce("indicators", F.lit(0)).alias("indicators"))
 
 
 WRITE_BACK = sql.with_tables("d", "SELECT txn_id, coalesce(fraud_score, -1) AS fraud_score, (coalesce(decision, 'allow') <> 'allow')::BIGINT AS indicators FROM d")
@@ -158,10 +160,10 @@ def merged_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, amount, no = t.transactions, F.col("amount"), F.lit(False)
     inserts, updates = messages(rows, 1, amount, no), messages(rows.filter("txn_id % 5 = 0"), 2, amount + 1, no)
     deletes, old = messages(rows.filter("txn_id % 7 = 0"), 3, amount, F.lit(True)), messages(rows.filter("txn_id % 10 = 0"), 0, amount - 1, no)
-    table = None
+    store = Snapshots(spark, new_path(spark, "changes"))
     for batch in (inserts, inserts.unionByName(updates).unionByName(deletes).unionByName(old)):
-        table = written(writeback.merge_images(table, decode(batch, keep_deleted=True)[0], "txn_id", ("offset",)), "images")
-    return table.select("txn_id", "amount", "currency", "status", stamp("created_at").alias("created_at"))
+        writeback.apply_images(store, "transactions", decode(batch, keep_deleted=True)[0], "txn_id", ("offset",))
+    return store.current("transactions").select("txn_id", "amount", "currency", "status", stamp("created_at").alias("created_at"))
 
 
 MERGED_CHANGES = sql.with_tables("t", f"SELECT txn_id, amount + (txn_id % 5 = 0)::INT AS amount, currency, status, {sql.when('created_at')} AS created_at FROM t WHERE txn_id % 7 <> 0")

@@ -1,4 +1,4 @@
-"""Star-schema queries. The yearly ones run over a star of `orders`, those about fraud over one of `events`."""
+"""Star-schema queries over the stored star. The yearly ones read a star of `orders`, those about fraud one of `events`."""
 
 from __future__ import annotations
 
@@ -6,27 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from payguard.functions.columns import month_of, quarter_of, ratio, share_of_total, year_of
-from payguard.operators import preagg, star
+from payguard.operators import star
 from payguard.plans import oracle as sql
+from payguard.plans import warehouse
 from payguard.sources.tables import Tables
 
 
-def _orders(t: Tables, *dims: str) -> dict[str, DataFrame]:
-    rows = t.orders.withColumn("fraud_score", F.lit(None).cast("double"))
-    return star.build(star.daily_extract(rows, t.payment_methods, t.merchants), dims)
-
-
-def _events(t: Tables, *dims: str) -> dict[str, DataFrame]:
-    return star.build(star.daily_extract(t.decided, t.payment_methods, t.merchants), dims)
-
-
 def _money(column: str) -> Column:
     return F.sum(column).cast("double")
 
 
 def region_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _orders(Tables(spark, sf_dir))
-    rows = s["fact"].filter(F.col("date_key").between(19960101, 19981231)).join(s["geography"], "geo_key")
+    facts = star.between_days(warehouse.facts(warehouse.stored_star(spark, sf_dir, "orders")), 19960101, 19981231)
+    rows = facts.join(star.dim_geography(spark), "geo_key")
     rows = rows.withColumns({"year": year_of("date_key"), "quarter": quarter_of("date_key")})
     out = rows.groupBy("region", "year", "quarter").agg(F.count(F.lit(1)).alias("txn_count"), _money("amount_eur").alias("revenue_eur"), _money("fee_amount").alias("fees_eur"), F.count_if("is_fraud").alias("fraud_count"))
     return out.withColumn("fraud_pct", ratio("fraud_count", "txn_count", 3, 100)).orderBy("year", "quarter", F.desc("revenue_eur"))
@@ -39,8 +31,8 @@ FROM o JOIN geo ON geo.country_code = o.ip_country WHERE status = 'succeeded' AN
 
 
 def payment_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _events(Tables(spark, sf_dir), "payment_method")
-    rows = s["fact"].filter(F.col("date_key").between(20240101, 20241231)).join(s["payment_method"], "pm_key")
+    store = warehouse.stored_star(spark, sf_dir, "events")
+    rows = star.between_days(warehouse.facts(store), 20240101, 20241231).join(store.current("dim_payment_method"), "pm_key")
     score = F.round(F.col("fraud_score") * 10000).cast("bigint")
     out = rows.groupBy("type", "brand", "is_digital_wallet").agg(F.count(F.lit(1)).alias("txn_count"), F.sum((F.col("amount_eur") * 100).cast("bigint")).alias("cents"), F.count_if("is_fraud").alias("fraud_count"), F.sum(score).alias("points"), F.count("fraud_score").alias("scored"))
     return out.select("type", "brand", "is_digital_wallet", "txn_count", (F.col("cents") / 100.0).alias("total_eur"), ratio("cents", F.col("txn_count") * 100, 2).alias("avg_basket_eur"), "fraud_count", ratio("points", F.col("scored") * 10000, 4).alias("avg_fraud_score")).orderBy(F.desc("txn_count"))
@@ -53,8 +45,8 @@ FROM d LEFT JOIN pms USING (pm_id) WHERE status = 'succeeded' AND year(created_a
 
 
 def country_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _events(Tables(spark, sf_dir))
-    out = s["fact"].join(s["geography"], "geo_key").groupBy("is_high_risk", "country_code").agg(F.count(F.lit(1)).alias("txn_count"), F.count_if("is_fraud").alias("fraud_count"))
+    facts = warehouse.facts(warehouse.stored_star(spark, sf_dir, "events"))
+    out = facts.join(star.dim_geography(spark), "geo_key").groupBy("is_high_risk", "country_code").agg(F.count(F.lit(1)).alias("txn_count"), F.count_if("is_fraud").alias("fraud_count"))
     return out.withColumns({"share_of_all_fraud": share_of_total("fraud_count"), "share_of_volume": share_of_total("txn_count")}).orderBy(F.desc("fraud_count"), "country_code").limit(20)
 
 
@@ -64,8 +56,8 @@ SELECT *, fraud_count / nullif((SELECT sum(fraud_count)::BIGINT FROM g), 0) AS s
 
 
 def merchant_mom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _orders(Tables(spark, sf_dir), "merchant")
-    rows = s["fact"].filter("status = 'succeeded'").join(s["merchant"], "merchant_key")
+    store = warehouse.stored_star(spark, sf_dir, "orders")
+    rows = warehouse.facts(store).filter("status = 'succeeded'").join(store.current("dim_merchant"), "merchant_key")
     rows = rows.withColumns({"year": year_of("date_key"), "month": month_of("date_key")})
     monthly = rows.groupBy("merchant_id", "name", "tier", "year", "month").agg(F.sum((F.col("amount_eur") * 100).cast("bigint")).alias("gmv"))
     by = Window.partitionBy("merchant_id")
@@ -81,11 +73,10 @@ SELECT name, tier, year, month, gmv / 100.0 AS gmv_eur, prev / 100.0 AS prev_mon
 
 
 def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last thirty days of the star's aggregate by day, region and currency."""
+    """The last thirty days of the stored aggregate by day, region and currency."""
     t = Tables(spark, sf_dir)
-    first = F.date_trunc("day", t.as_of(t.transactions)) - F.expr("INTERVAL 30 DAYS")
-    s = star.build(star.daily_extract(t.decided_since(first), t.payment_methods, t.merchants), ())
-    out = preagg.star_revenue(s["fact"], s["geography"])
+    first = F.to_date(F.date_trunc("day", t.as_of(t.transactions)) - F.expr("INTERVAL 30 DAYS"))
+    out = warehouse.stored_star(spark, sf_dir, "events").current("star_revenue").filter(F.col("full_date") >= first)
     return out.select(F.date_format("full_date", "yyyy-MM-dd").alias("full_date"), "region", "currency", "txn_count", F.col("revenue_eur").cast("double").alias("revenue_eur"), "fraud_count").orderBy(F.desc("full_date"), F.desc("revenue_eur"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,13 +14,13 @@ from payguard.ml import store as models
 from payguard.ml.scoring import score
 from payguard.operators import writeback
 from payguard.sources.changes import ChangeSource, decode, read_changes, unscored
-from payguard.sources.snapshots import Snapshots
+from payguard.sources.snapshots import Snapshots, put_batch, read_batch
 from payguard.streaming.velocity_state import state_settings, with_velocity
 
 
 @dataclass(frozen=True)
 class Sinks:
-    """Folders of the outputs. tables, where set, holds versions of transactions and indicators for the write-back; progress gets the counters of each batch."""
+    """Tables of batches for the outputs. tables, where set, holds versions of transactions and indicators for the write-back; progress gets the counters of each batch."""
 
     events: str
     alerts: str
@@ -29,11 +29,6 @@ class Sinks:
     progress: str | None = None
 
 
-def write_batch(df: DataFrame, batch_id: int, folder: str) -> None:
-    """One micro-batch into its own subfolder: a repeated batch replaces itself, so each row is there once."""
-    df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-
 def start_scoring(spark: SparkSession, source: ChangeSource, sinks: Sinks, checkpoint: str, cfg: rules.RuleConfig = rules.RuleConfig(), history: DataFrame | None = None, model_store: str | None = None, trigger: dict | None = None) -> tuple[StreamingQuery, StreamingQuery]:
     """Start the scoring query and the dead-letter query.
 
@@ -45,22 +40,17 @@ def start_scoring(spark: SparkSession, source: ChangeSource, sinks: Sinks, check
     trigger = trigger or {"availableNow": True}
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
         found = models.current(model_store) if model_store else None
         model: PipelineModel | None = found[0] if found else None
-        scored = score(batch, cfg, model, found[1]["version"] if found else None).withColumn("scored_at", F.current_timestamp()).persist()
-        try:
-            write_batch(scored, batch_id, sinks.events)
-            write_batch(rules.alerts(scored), batch_id, sinks.alerts)
-            set_now = 0
-            if sinks.tables:
-                seen, store = Observation(), Snapshots(spark, sinks.tables)
-                writeback.apply_scores(store, scored, seen)
-                store.expire()
-                set_now = seen.get["written_back"]
-            if sinks.progress:
-                write_batch(counters(scored, set_now), batch_id, sinks.progress)
-        finally:
-            scored.unpersist()
+        scored = score(batch, cfg, model, found[1]["version"] if found else None).withColumn("scored_at", F.current_timestamp())
+        put_batch(scored, sinks.events, batch_id, writer)
+        # What is stored counts from here on: a repeated batch might be scored by another model.
+        stored = read_batch(spark, sinks.events, batch_id)
+        put_batch(rules.alerts(stored), sinks.alerts, batch_id, writer)
+        set_now = writeback.apply_scores(Snapshots(spark, sinks.tables), stored) if sinks.tables else 0
+        if sinks.progress:
+            put_batch(counters(stored, set_now), sinks.progress, batch_id, writer)
 
     good, _ = decode(read_changes(spark, source))
     rows = with_velocity(unscored(good).drop("offset"), history)

@@ -25,7 +25,7 @@ def test_replayed_day_adds_nothing(spark, tmp_path):
     assert set(star.load_day(spark, extract, str(tmp_path)).values()) == {0}
     other = star.daily_extract(t.decided, t.payment_methods, t.merchants, "2024-01-06")
     star.load_day(spark, other, str(tmp_path))
-    keys = spark.read.parquet(f"{tmp_path}/dim_customer")
+    keys = snapshots.Snapshots(spark, f"{tmp_path}/star").current("dim_customer")
     assert keys.count() == keys.select("customer_key").distinct().count() == keys.agg(F.max("customer_key")).first()[0]
 
 
@@ -45,7 +45,7 @@ def test_write_back_is_replay_safe(spark, tmp_path):
     first = (store.current("transactions").filter("fraud_score IS NOT NULL").count(), store.current("indicators").count())
     writeback.apply_scores(store, t.scored.withColumn("fraud_score", F.lit(1.0)).withColumn("decision", F.lit("block")))
     assert (store.current("transactions").filter("fraud_score IS NOT NULL").count(), store.current("indicators").count()) == first
-    assert store.expire(1) and len(snapshots.versions(spark, str(tmp_path / "oltp"))) == 1
+    assert store.vacuum(0) and len(snapshots.versions(spark, str(tmp_path / "oltp"))) == 1
 
 
 def test_an_uncommitted_version_is_not_read(spark, tmp_path):
@@ -65,7 +65,7 @@ def test_tables_of_one_root_survive_each_others_writes(spark, tmp_path):
     writeback.apply_scores(store, t.scored)
     erase.erase(spark, root, spark.createDataFrame([(3,)], "customer_id bigint"))
     retain.retain(spark, root, "2024-04-10")
-    store.expire(1)
+    store.vacuum(0)
     assert store.names() == ["customers", "indicators", "logs", "payment_methods", "transaction_logs", "transactions"]
     assert all(store.current(n).count() > 0 for n in store.names())
     assert store.current("transactions").filter("customer_id = 3").count() == 0 < store.current("transactions").filter("fraud_score IS NOT NULL").count()

@@ -82,9 +82,8 @@ def test_history_seeds_the_state(spark, tmp_path):
 def test_fan_out_writes_four_tables(spark, scored_stream, tmp_path):
     _, _, sinks, _ = scored_stream
     events = spark.read.parquet(sinks.events)
-    stream = spark.readStream.schema(events.drop("batch").schema).parquet(f"{sinks.events}/batch=*")
     tables = fanout.Tables(*(f"{tmp_path}/{n}" for n in ("tl", "logs", "alerts", "features")))
-    q = fanout.start_fanout(spark, stream, tables, f"{tmp_path}/c")
+    q = fanout.start_fanout(spark, sinks.events, tables, f"{tmp_path}/c")
     assert q.awaitTermination(240) and q.exception() is None
     n = events.count()
     assert spark.read.parquet(tables.transaction_logs).count() == spark.read.parquet(tables.logs).count() == n
@@ -141,7 +140,7 @@ def test_star_revenue_follows_the_facts(spark, tmp_path):
         star.load_day(spark, star.daily_extract(t.decided, t.payment_methods, t.merchants, day), warehouse)
         finish(star_revenue.start(spark, warehouse))
     got = Snapshots(spark, f"{warehouse}/preagg").current("star_revenue")
-    expected = preagg.star_revenue(spark.read.parquet(f"{warehouse}/fact_transactions"), star.dim_geography(spark))
+    expected = preagg.star_revenue(Snapshots(spark, f"{warehouse}/star").current(star.FACTS), star.dim_geography(spark))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.select("full_date").distinct().count() == 2
 
 
