@@ -1,6 +1,6 @@
 """Sliding velocity counts per customer, kept in a stream's state.
 
-A customer's last day of transactions lies in slices of five minutes, each
+A customer's last day and a half of transactions lies in slices of five minutes, each
 under its own key of the state. A batch reads and writes the slices that its
 rows, and the ends of their ranges, fall into, and a short list of how many
 each slice holds: what it costs follows the batch, not the customer's day.
@@ -21,8 +21,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from payguard.functions.velocity import DAY, HOUR
 
 _MICROS = 1_000_000
-#: How long an idle customer's state is kept: a day and a margin of 100 s.
-IDLE_MS = (DAY + 100) * 1000
+#: Seconds by which a row may be late and still count exactly, and for which times are kept beyond a day.
+LATENESS = 12 * HOUR
+#: How long an idle customer's state is kept, with a margin of 100 s.
+IDLE_MS = (DAY + LATENESS + 100) * 1000
 #: Microseconds of a slice.
 SLICE = 300 * _MICROS
 _BINARY = T.BinaryType()
@@ -75,12 +77,12 @@ class Day:
         return out
 
     def add(self, us: np.ndarray, ids: np.ndarray) -> None:
-        """Store transactions, and forget slices that lie a day and more before the latest."""
+        """Store transactions, and forget slices that no range of a row that is late by LATENESS at most reaches."""
         if not len(us):
             return
         self.last = max(int(us.max()), self.last if self.last is not None else int(us.max()))
         number, sizes = us // SLICE, dict(zip(self.known.tolist(), self.counts.tolist(), strict=True))
-        first = (self.last - DAY * _MICROS) // SLICE
+        first = (self.last - (DAY + LATENESS) * _MICROS) // SLICE
         for n in np.unique(number).tolist():
             if n < first:
                 continue
@@ -102,7 +104,8 @@ class VelocityProcessor(StatefulProcessor):
 
     Rows of a batch count in order of (time, txn_id), whatever pieces they
     arrive in, and leave in those pieces. A row older than the latest one of
-    the batches before is counted among those before it and marked late. A
+    the batches before is counted among those before it and marked late; if it
+    is late by more than LATENESS, its day's count may be too low. A
     transaction that comes again with the same time within the day is left
     out, in the same batch or a later one. An initial state, a day of history,
     stands in for what came before the stream.
