@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,23 +33,32 @@ BASE = {
 #: What an assignment's name holds, in lower case.
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _HEX_MARKS = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
-_BASE64_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
-# The first byte of a JSON object is a brace or a blank, so a token begins with one of four letters.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([eICD][A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
-_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+# Each part of a dotted word with what follows it, once: a header, a payload (empty where it is detached) and a signature.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)\.(?=([A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++))")
+# A header may follow a name and one of these within its part; a JSON object begins with a brace or a blank.
+_HEADER_START = re.compile(r"(?:^|(?<=[_-]))(?=[eICD])")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----|-----BEGIN ")
 # Line ends and slashes may be escaped, as in JSON strings, however often.
-_ESCAPES = re.compile(r"\\+([nrt/])")
+_ESCAPES = re.compile(r"(?<!\\)\\++([nrt/])")
 _ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "/": "/"}
+# Characters of base64 that some JSON encoders write by number: + - / = _
+_NUMBERED = re.compile(r"(?<!\\)\\++u00(2[bB]|2[dD]|2[fF]|3[dD]|5[fF])")
 _HEADER = re.compile(r"[ \t]*([A-Za-z0-9-]+): *(.*)")
 _DEK = re.compile(r"[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
-# Where base64 of a DER sequence (0x30 and a length), of an OpenSSH public key or of its private container begins.
-_START = re.compile(r"M[A-P]|AAAA[A-P]|b3BlbnNzaC1rZXkt")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+# Where base64 of a DER sequence (0x30 and a length), of an OpenSSH public key's name or of its private container begins.
+_START = re.compile(r"M[A-I]|AAAA(?:B3Nz|C3Nz|E2Vj|GnNr|InNr)|b3BlbnNzaC1rZXkt")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]++")
 _PADDING = re.compile(r"={0,2}")
-# Between the lines of one key: a line end, with what quoting and comments put before the next line.
-_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\+[rn])+)[ \t>#*]*")
-_HEX = re.compile(r"30[0-9A-Fa-f]{46,}")
-_HEX_CHARS = frozenset("0123456789abcdefABCDEF")
+# Between the lines of one key: a line end, with what quoting and comments put before the next line; or the mark of an escaped slash.
+_BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\++[rn])++)[ \t>#*]*+|\\++(?=/)")
+# Hex digits of a key, in lines, with or without colons between bytes.
+_HEX_START = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{16}|(?:[0-9A-Fa-f]{2}:){8})")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]++")
+_HEX_BREAK = re.compile(r":?[ \t]*+(?:\r?\n|(?:\\++[rn])++)[ \t>#*]*+|:")
+#: Bytes of the shortest key.
+_LEAST_KEY = 24
+# In decoded bytes, where a sequence begins whose first field is a version or an algorithm, and where an OpenSSH key does.
+_HEADS = re.compile(rb"(?=\x30(?:[\x16-\x7f]|\x81.|\x82..|\x83...|\x84....)(?:\x02\x01[\x00\x01]|\x30)|\x00\x00\x00[\x07\x0b\x13\x1a\x22](?:ssh-|ecdsa-|sk-)|openssh-key-v1\x00)", re.DOTALL)
 #: Object identifiers as DER bodies; fixed values. Keys: RSA, RSASSA-PSS, elliptic curves, Ed25519, Ed448, X25519, X448, DSA, Diffie-Hellman.
 _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a864886f70d01010a", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2b656f", "2a8648ce380401", "2a864886f70d010301")}
 _SSH_MAGIC = b"openssh-key-v1\0"
@@ -63,92 +73,158 @@ _SSH_FIELDS = {
     b"sk-ssh-ed25519@openssh.com": 3,
     b"sk-ecdsa-sha2-nistp256@openssh.com": 4,
 }
-#: Largest field of an OpenSSH key: 16,384-bit numbers take 2,049 bytes, private parts a few such and a comment.
-_SSH_FIELD = 1 << 16
+#: Fields of the sequences that are keys, at most; a fixed value.
+_MOST_FIELDS = 10
 #: Password-based encryption of keys: PKCS #5 schemes 1 and 2, PKCS #12 schemes.
 _CIPHER_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010501", "2a864886f70d010503", "2a864886f70d010504", "2a864886f70d010506", "2a864886f70d01050a", "2a864886f70d01050b", "2a864886f70d01050d", "2a864886f70d010c0101", "2a864886f70d010c0102", "2a864886f70d010c0103", "2a864886f70d010c0104", "2a864886f70d010c0105", "2a864886f70d010c0106")}
 
 
-def der_length(data: bytes, at: int) -> tuple[int, int] | None:
-    """(body start, body end) of the DER element at `at`, or None where its length does not fit."""
-    if at + 2 > len(data):
+def der_length(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """(body start, body end) of the DER element at `at`, or None where its length does not fit before `end`."""
+    if at + 2 > end:
         return None
     n, body = data[at + 1], at + 2
     if n & 0x80:
         size = n & 0x7F
-        if not 1 <= size <= 4 or body + size > len(data):
+        if not 1 <= size <= 4 or body + size > end:
             return None
         n, body = int.from_bytes(data[body : body + size], "big"), body + size
         if n < 0x80 or (size > 1 and n < 1 << 8 * (size - 1)):
             return None
-    return (body, body + n) if body + n <= len(data) else None
+    return (body, body + n) if body + n <= end else None
 
 
 def der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, body start, body end) of the elements that fill start..end exactly, or None."""
+    """(tag, body start, body end) of the elements that fill start..end exactly, or None. So many as no key has are None, too."""
     out = []
     while start < end:
-        span = der_length(data[:end], start)
-        if span is None:
+        span = der_length(data, start, end)
+        if span is None or len(out) == _MOST_FIELDS:
             return None
         out.append((data[start], *span))
         start = span[1]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE over all of `data` whose nested lengths fit and whose fields are those of a key.
+def der_key_end(data: bytes, at: int = 0) -> int | None:
+    """Where the DER key at `at` ends: a SEQUENCE whose nested lengths fit and whose fields are those of a key; None where there is none.
 
     Private keys begin with a small version INTEGER (PKCS #1, PKCS #8, SEC 1);
     public keys with an algorithm SEQUENCE whose identifier is known; encrypted
-    private keys (PKCS #8) with a cipher's.
+    private keys (PKCS #8) with a cipher's. Lengths are followed, contents are
+    not read, so a place costs as much however long the key claims to be.
     """
-    if len(data) < 24 or data[0] != 0x30:
-        return False
-    outer = der_length(data, 0)
-    if outer is None or outer[1] != len(data):
-        return False
+    if data[at : at + 1] != b"0":
+        return None
+    outer = der_length(data, at, len(data))
+    if outer is None or outer[1] - at < _LEAST_KEY:
+        return None
     fields = der_children(data, *outer)
     if not fields or len(fields) < 2:
-        return False
+        return None
 
     def algorithm(field: tuple[int, int, int], known: set[bytes] = _KEY_OIDS) -> bool:
         inner = der_children(data, field[1], field[2]) if field[0] == 0x30 else None
         return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]] in known
 
     if algorithm(fields[0]) and fields[1][0] == 0x03:
-        return True
+        return outer[1]
     if len(fields) == 2 and algorithm(fields[0], _CIPHER_OIDS) and fields[1][0] == 0x04 and fields[1][2] - fields[1][1] >= 8:
-        return True
+        return outer[1]
     if fields[0][0] != 0x02 or fields[0][2] - fields[0][1] != 1 or data[fields[0][1]] > 1:
-        return False
+        return None
     tags = [f[0] for f in fields]
     pkcs8 = algorithm(fields[1]) and len(fields) >= 3 and tags[2] == 0x04
-    return pkcs8 or (len(tags) >= 6 and set(tags) == {0x02}) or (tags[1] == 0x04 and len(tags) >= 3 and tags[2] in (0xA0, 0xA1))
+    holds = pkcs8 or (len(tags) >= 6 and set(tags) == {0x02}) or (tags[1] == 0x04 and len(tags) >= 3 and tags[2] in (0xA0, 0xA1))
+    return outer[1] if holds else None
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The openssh-key-v1 container, or a public key blob: length-prefixed fields that fit."""
-    framed = data.startswith(_SSH_MAGIC)
-    at, seen = len(_SSH_MAGIC) if framed else 0, []
-    while at + 4 <= len(data) and len(seen) < (3 if framed else 64):
+def is_der_key(data: bytes) -> bool:
+    """Whether all of `data` is one DER key."""
+    return der_key_end(data) == len(data)
+
+
+def openssh_key_end(data: bytes, at: int = 0) -> int | None:
+    """Where the OpenSSH key at `at` ends, by the lengths of its fields: an openssh-key-v1 container of one key, or a public key."""
+    framed = data.startswith(_SSH_MAGIC, at)
+    # A container: cipher, derivation and its options, the number of keys, public and private part.
+    at, left, first = (at + len(_SSH_MAGIC), 6, True) if framed else (at, 1, True)
+    while left:
+        if at + 4 > len(data):
+            return None
         n = int.from_bytes(data[at : at + 4], "big")
+        left -= 1
+        if framed and left == 2:
+            if n != 1:
+                return None
+            at += 4
+            continue
         if at + 4 + n > len(data):
+            return None
+        if first and framed and not data[at + 4 : at + 5].isalpha():
+            return None
+        if first and not framed:
+            left = _SSH_FIELDS.get(data[at + 4 : at + 4 + n], 0) - 1 if n <= 64 else -1
+            if left < 0:
+                return None
+        at, first = at + 4 + n, False
+    return at
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Whether all of `data` is one OpenSSH key; what follows a container's fields counts as its padding."""
+    end = openssh_key_end(data)
+    return end == len(data) or (end is not None and data.startswith(_SSH_MAGIC))
+
+
+class _Header:
+    """The first part of a token, decoded once for each of the four ways in which its characters can be grouped."""
+
+    def __init__(self, part: str) -> None:
+        self.part, self.groups = part, {}
+
+    def holds(self, at: int) -> bool:
+        """Whether the part from `at` on decodes to a JSON object (in UTF-8) that names its algorithm."""
+        if (len(self.part) - at) % 4 == 1:
+            return False
+        if at % 4 not in self.groups:
+            tail = self.part[at % 4 :]
+            data = base64.urlsafe_b64decode(tail + "=" * (-len(tail) % 4))
+            self.groups[at % 4] = data, data.decode("latin-1")
+        data, text = self.groups[at % 4]
+        begin = at // 4 * 3
+        try:  # structure first: most places fail at once, and nothing is copied
+            start = begin + len(data[begin : begin + 64]) - len(data[begin : begin + 64].lstrip(b" \t\r\n"))
+            if data[start : start + 1] != b"{":
+                return False
+            _, end = _JSON.raw_decode(text, start)
+            if text[end:].strip(" \t\r\n"):
+                return False
+            found = json.loads(data[begin:].decode())
+        except (ValueError, RecursionError):
             return False
-        seen.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    if framed:
-        return len(seen) == 3 and seen[0][:1].isalpha() and at + 4 <= len(data)
-    return at == len(data) and bool(seen) and _SSH_FIELDS.get(seen[0]) == len(seen)
+        return isinstance(found, dict) and isinstance(found.get("alg"), str)
+
+
+_JSON = json.JSONDecoder()
 
 
 def is_signed_token(header: str) -> bool:
     """Whether a token's first part decodes to a JSON object (in UTF-8) that names its algorithm."""
-    try:
-        found = json.loads(base64.urlsafe_b64decode(header + "=" * (-len(header) % 4)).decode())
-    except (ValueError, RecursionError):
-        return False
-    return isinstance(found, dict) and isinstance(found.get("alg"), str)
+    return _Header(header).holds(0)
+
+
+def _token_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Signed tokens, wherever in a dotted word they begin, and behind a name that ends in _ or -."""
+    after = 0
+    for m in _TOKEN.finditer(text):
+        if m.start() < after or len(m[3]) % 4 == 1 or len(m[2]) % 4 == 1:
+            continue
+        header = _Header(m[1])
+        found = next((s.start() for s in _HEADER_START.finditer(m[1]) if header.holds(s.start())), None)
+        if found is not None:
+            after = m.end(3)
+            yield "signed_token", m.start() + found, after
 
 
 def _decoded(text: str) -> bytes | None:
@@ -173,28 +249,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _pem_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Blocks between the marks of a private key whose body is one, or whose headers and length are those of an encrypted one."""
-    at, ends = 0, {}
-    while (m := _BEGIN.search(text, at)) is not None:
-        at = m.end()
-        mark = f"-----END {m[1]}-----"
-        if ends.get(mark, 0) < at:
-            end = text.find(mark, at)
-            ends[mark] = end if end >= 0 else len(text)
-        end = ends[mark]
-        if end == len(text):
-            continue
-        nearer = text.find("-----BEGIN ", at, end)
-        if nearer < 0 and _is_pem_body(_ESCAPES.sub(lambda e: _ESCAPED[e[1]], text[at:end])):
-            at = end + len(mark)
-            yield "pem_key", m.start(), at
+    begun = None
+    for m in _MARK.finditer(text):
+        if m[1] == "END":
+            if begun is not None and begun[2] == m[2] and _is_pem_body(_ESCAPES.sub(lambda e: _ESCAPED[e[1]], text[begun[1] : m.start()])):
+                yield "pem_key", begun[0], m.end()
+            begun = None
+        else:
+            begun = (m.start(), m.end(), m[2]) if m[1] else None
 
 
 def _is_pem_body(body: str) -> bool:
-    lines, headers = body.strip().splitlines(), {}
-    while lines and (m := _HEADER.fullmatch(lines[0])):
+    lines, headers, first = body.strip().splitlines(), {}, 0
+    while first < len(lines) and (m := _HEADER.fullmatch(lines[first])):
         headers[m[1]] = m[2].strip()
-        del lines[0]
-    data = _decoded("".join(lines))
+        first += 1
+    data = _decoded("".join(lines[first:]))
     if not data:
         return False
     if "ENCRYPTED" in headers.get("Proc-Type", ""):
@@ -202,99 +272,100 @@ def _is_pem_body(body: str) -> bool:
     return is_der_key(data) or is_openssh_key(data)
 
 
-def _begins(text: str, at: int, inside: frozenset[str]) -> bool:
-    """Whether no run of such characters goes on at `at`; the letter of an escaped line end is not part of one."""
-    return at == 0 or text[at - 1] not in inside or (text[at - 1] in "nrt" and at > 1 and text[at - 2] == "\\")
-
-
-def _gather(text: str, at: int, need: int) -> tuple[str, int]:
-    """The first `need` base64 characters from `at` on, over as many lines as they fill, and where they end."""
-    pieces, total = [], 0
-    while (m := _RUN.match(text, at)) is not None:
-        take = m[0][: need - total]
-        pieces.append(take)
-        total, at = total + len(take), m.start() + len(take)
-        if total == need:
+def _block(text: str, at: int, run: re.Pattern, gap: re.Pattern) -> tuple[str, list[int], list[int], int]:
+    """The characters from `at` on that belong together, over line ends: joined, where each run begins in them and in the text, and where they end."""
+    pieces, joined_at, text_at, total = [], [], [], 0
+    while (m := run.match(text, at)) is not None:
+        pieces.append(m[0])
+        joined_at.append(total)
+        text_at.append(m.start())
+        total, at = total + len(m[0]), m.end()
+        between = gap.match(text, at)
+        if between is None or run.match(text, between.end()) is None:
             break
-        gap = _BREAK.match(text, at)
-        if gap is None or _RUN.match(text, gap.end()) is None:
-            break
-        at = gap.end()
-    return "".join(pieces), at
+        at = between.end()
+    return "".join(pieces), joined_at, text_at, at
 
 
-def _bytes_at(text: str, at: int, n: int) -> tuple[bytes | None, int]:
-    """The first n bytes in base64 from `at` on (None where there are fewer), and where their characters end."""
-    need = -(-n * 4 // 3)
-    found, end = _gather(text, at, need) if need <= len(text) - at else ("", at)
-    return (_decoded(found) if len(found) == need else None), end
+def _keys_in(joined: str, groups: list[tuple[int, bytes]], per: tuple[int, int], ends: set[int]) -> Iterator[tuple[str, int, int]]:
+    """Keys (kind, start, end in the joined characters) that end where a run does. groups: characters before the first byte, and the bytes; per: so many characters make so many bytes."""
+    chars, size = per
+    places = sorted((before + m.start() // size * chars, m.start(), before, data) for before, data in groups for m in _HEADS.finditer(data) if m.start() % size == 0)
+    after = 0
+    for start, at, before, data in places:
+        if start < after:
+            continue
+        kind, end = ("der_key", der_key_end(data, at)) if data[at] == 0x30 else ("openssh_key", openssh_key_end(data, at))
+        if end is None:
+            continue
+        stop = before + -(-end * chars // size)
+        rest = (stop - start) % 4 if chars == 4 else 0
+        if stop not in ends or (rest and _decoded(joined[stop - rest : stop]) is None):  # the bits after the last byte are zero
+            continue
+        after = stop
+        yield kind, start, stop
 
 
-def _der_bytes(text: str, at: int) -> int | None:
-    """Bytes of the DER sequence in base64 at `at`, by its own length."""
-    head, _ = _bytes_at(text, at, 6)
-    if not head or head[0] != 0x30:
-        return None
-    n, body = head[1], 2
-    if n & 0x80:
-        body += n & 0x7F
-        if not 3 <= body <= 6:
-            return None
-        n = int.from_bytes(head[2:body], "big")
-    return body + n
+def _key_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64, wherever in their lines they begin. Each block of lines is decoded once for each way to group its characters."""
+    at = 0
+    while (m := _START.search(text, at)) is not None:
+        joined, joined_at, text_at, end = _block(text, m.start(), _RUN, _BREAK)
+        at = max(end, m.start() + 1)
+        if len(joined) * 3 // 4 < _LEAST_KEY:
+            continue
+        plain, ends = joined.replace("-", "+").replace("_", "/"), {*joined_at[1:], len(joined)}
+        groups = [(k, binascii.a2b_base64(plain[k : len(plain) - (len(plain) - k) % 4])) for k in range(4)]
+        tail = [(k, d + _last_bytes(plain[len(plain) - (len(plain) - k) % 4 :])) for k, d in groups]
+        for kind, start, stop in _keys_in(joined, tail, (4, 3), ends):
+            i, j = bisect_right(joined_at, start) - 1, bisect_left(joined_at, stop) - 1
+            last = text_at[j] + stop - joined_at[j]
+            yield kind, text_at[i] + start - joined_at[i], _PADDING.match(text, last).end()
 
 
-def _openssh_bytes(text: str, at: int) -> int | None:
-    """Bytes of the OpenSSH key in base64 at `at`, by the lengths of its fields; None where they are not a key's."""
-    n = len(_SSH_MAGIC)
-    framed = _bytes_at(text, at, n)[0] == _SSH_MAGIC
-    # A container: cipher, derivation and its options, the number of keys (one), public and private part.
-    n, left = (n, 6) if framed else (0, 1)
-    while left:
-        data, _ = _bytes_at(text, at, n + 4)
-        if not data:
-            return None
-        left -= 1
-        size = int.from_bytes(data[n:], "big")
-        if framed and left == 2:
-            if size != 1:
-                return None
-            n += 4
-            continue
-        if size > _SSH_FIELD:
-            return None
-        if n == 0:
-            name, _ = _bytes_at(text, at, 4 + size)
-            left = _SSH_FIELDS.get(name[4:], 0) - 1 if name else -1
-            if left < 0:
-                return None
-        n += 4 + size
-    return n
+def _last_bytes(chars: str) -> bytes:
+    """The one or two whole bytes of two or three characters."""
+    return binascii.a2b_base64(chars + "=" * (4 - len(chars))) if len(chars) > 1 else b""
 
 
-def _key_at(text: str, at: int) -> tuple[str, int, int] | None:
-    """The key in base64 that begins at `at`, in one line or in several."""
-    kind, n, holds = ("der_key", _der_bytes(text, at), is_der_key) if text[at] == "M" else ("openssh_key", _openssh_bytes(text, at), is_openssh_key)
-    data, end = _bytes_at(text, at, n) if n else (None, at)
-    if not data or text[end : end + 1] in _BASE64_CHARS or not holds(data):
-        return None
-    return kind, at, _PADDING.match(text, end).end()
+def _hex_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in hex digits, also over lines and with colons, wherever they begin."""
+    at = 0
+    while (m := _HEX_START.search(text, at)) is not None:
+        joined, joined_at, text_at, end = _block(text, m.start(), _HEX_RUN, _HEX_BREAK)
+        at = max(end, m.start() + 1)
+        if len(joined) < 2 * _LEAST_KEY:
+            continue
+        ends = {*joined_at[1:], len(joined)}
+        groups = [(k, bytes.fromhex(joined[k : len(joined) - (len(joined) - k) % 2])) for k in range(2)]
+        for kind, start, stop in _keys_in(joined, groups, (2, 1), ends):
+            i, j = bisect_right(joined_at, start) - 1, bisect_left(joined_at, stop) - 1
+            if kind == "der_key":
+                yield kind, text_at[i] + start - joined_at[i], text_at[j] + stop - joined_at[j]
+
+
+def _spelled(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with numbered characters spelled out, and from which places on how many more characters the original has."""
+    out, at, places, more = [], 0, [0], [0]
+    for m in _NUMBERED.finditer(text):
+        out += [text[at : m.start()], chr(int(m[1], 16))]
+        at = m.end()
+        places.append(m.start() - more[-1] + 1)
+        more.append(more[-1] + len(m[0]) - 1)
+    return "".join([*out, text[at:]]), places, more
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded structure is that of a key or a signed token."""
-    out = list(_pem_spans(text)) if "-----BEGIN " in text else []
-    out += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1])]
-    at = 0
-    while (m := _START.search(text, at)) is not None:
-        at = m.start() + 1
-        found = _key_at(text, m.start()) if _begins(text, m.start(), _BASE64_CHARS) else None
-        if found:
-            out.append(found)
-            at = found[2]
-    for m in _HEX.finditer(text):
-        if _begins(text, m.start(), _HEX_CHARS) and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append(("der_key", *m.span()))
+    plain, places, more = _spelled(text) if "\\u00" in text else (text, [0], [0])
+    out = list(_pem_spans(plain)) if "-----BEGIN " in plain else []
+    out += [*_token_spans(plain), *_key_spans(plain), *_hex_spans(plain)]
+    if len(places) > 1:
+
+        def there(at: int) -> int:
+            return at + more[bisect_right(places, at) - 1]
+
+        out = [(kind, there(a), there(b)) for kind, a, b in out]
     return sorted(out, key=_order)
 
 

@@ -119,7 +119,7 @@ def test_the_pipeline_keeps_no_intermediate_tables(spark):
     before = set(os.listdir(store)) if store.exists() else set()
     out = corpus_pipeline.run(spark, SF)
     left = {x.split("-")[0] for x in set(os.listdir(store)) - before}
-    assert left == {"toxicity", "near_duplicates", "decontamination", "secrets", "packing"} and out.count() > 0
+    assert len(left) == 1 == len(set(os.listdir(store)) - before) and out.count() > 0  # the result alone
 
 
 def test_pipeline_stages_take_effect(spark):
@@ -147,3 +147,13 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.select("doc_id").distinct().count() > 0.5 * spark.read.parquet(f"{SF}/documents.parquet").count()
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
+    from tokenizers import Tokenizer
+
+    t, pieces = Tokenizer.from_file(packing.default_vocabulary()), {}
+    for r in out.collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).append((r.start, r.ids))
+    source = texts(spark)
+    for i, found in pieces.items():
+        ids = [x for _, p in sorted(found) for x in p]
+        assert ids[-1] == 0 and (secrets.confirmed_spans(source[i]) or secrets.base_spans(source[i]) or ids[:-1] == t.encode(source[i], add_special_tokens=False).ids)
