@@ -2,7 +2,7 @@
 
 Toxic documents go; one document of each near-duplicate group stays; documents
 that hold a benchmark item go; secrets are cut out of the texts; what is left
-is packed into training sequences. All stages but the last return the columns
+is packed into training sequences of token ids. All stages but the last return the columns
 that they were given, whatever their names.
 
 In every stage a null text counts as empty: it is scored as an empty text,
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.llm import decontam, near_dup, packing, secrets, toxicity
-from payguard.llm.common import free_name, materialize, scratch
+from payguard.llm.common import Rounds, bound_batches, free_name, scratch
 from payguard.llm.labels import remainder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -55,8 +55,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 ids."""
-    return packing.pack(docs, packing.default_vocabulary()).drop("ids")
+    """Pieces of the documents in sequences of 1024 ids, with their ids: those of a sequence by offset are its training sequence."""
+    return packing.pack(docs, packing.default_vocabulary(), with_ids=True).withColumn("ids", packing.ids_column(spark))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -71,9 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    """All stages over the whole documents table. Each stage's result replaces the one before, so only the last one is left."""
+    docs, rounds = spark.read.parquet(f"{sf_dir}/documents.parquet"), Rounds(spark, "pipeline", keep=True)
+    bound_batches(spark)
+    for _, stage in STAGES:
         with scratch(spark):  # a stage's own tables go once its result is written
-            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+            docs = rounds.put(stage(spark, docs, sf_dir))
     return docs
