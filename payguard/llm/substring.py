@@ -5,13 +5,13 @@ A window is 50 consecutive words. Its minimiser is the least hash of the
 one packed string to the minimiser's bucket, where windows are compared word
 for word. Equal windows have equal minimisers, so they always meet.
 
-A first pass counts minimisers alone. Only those that occur in two documents
-can hold a repeated window, so only their strings are sent. A minimiser with
-very many windows would make a bucket too large for one task; its strings are
-counted by a partial aggregation, and only the windows of different strings
-are compared, as 128-bit digests.
-Which minimisers are shared and which are hot is sent to all tasks as long as
-that is small, and decided by joins on the minimiser beyond.
+A first pass writes minimisers and places alone, a few bytes a run. Only
+minimisers that occur in two documents can hold a repeated window; a join
+decides which places these are, and only their strings are packed and sent.
+A minimiser with very many windows would make a bucket too large for one task;
+its strings are counted by a partial aggregation, and only the windows of
+different strings are compared, as 128-bit digests. The path is the same at
+every size.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ WINDOW = 50
 GRAM = 8
 #: Windows of a minimiser above which it is hot, and windows of one packed string, at most.
 HOT, RUN = 8_000, 64
-#: Minimisers that are sent to all tasks: shared ones, two bytes each at most, and hot ones, eight bytes each.
-SENT_SHARED, SENT_HOT = 1 << 23, 1 << 20
 
 
 def _normal(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -78,42 +76,54 @@ def _windows(packed: bytes, n: int, window: int) -> list[bytes]:
 
 
 def _minimisers(docs: DataFrame, window: int) -> DataFrame:
+    """Runs of windows without their words: minimiser, doc_id, text_key, at, n."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             _, buffer, offsets = _normal(batch)
             found = super_kmers(buffer, offsets, window)
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)[found["row"]]
-            yield pa.RecordBatch.from_arrays([pa.array(found["minimiser"]), pa.array(ids.astype(np.int64)), pa.array(found["n"].astype(np.int64))], ["minimiser", "doc_id", "n"])
+            ids, keys = (batch[c].to_numpy(zero_copy_only=False)[found["row"]].astype(np.int64) for c in ("doc_id", "text_key"))
+            columns = [pa.array(found["minimiser"]), pa.array(ids), pa.array(keys), pa.array(found["at"].astype(np.int32)), pa.array(found["n"].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["minimiser", "doc_id", "text_key", "at", "n"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "minimiser bigint, doc_id bigint, text_key bigint, at int, n int")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "minimiser bigint, doc_id bigint, n bigint")
+def _chosen(runs: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
+    """For each text that has them, the places of its runs whose minimiser is shared, and which of those are hot. A text's places are as many as its words at most."""
+    known = counts.select("minimiser", (F.col("n") > hot).alias("hot"))
+    return runs.select("minimiser", "doc_id", "text_key", "at").join(known, "minimiser").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "hot")).alias("places"))
 
 
 _SENT = "hot boolean, k1 bigint, doc_id bigint, text_key bigint, at int, n int, packed binary"
 
 
-def _send(docs: DataFrame, window: int, shared, hot) -> DataFrame:
-    """Super-k-mers, packed, of minimisers (k1) that the bitmap `shared` may hold; hot tells whether the sorted array `hot` has it. Without a bitmap, all; without an array, none is hot."""
+def _send(docs: DataFrame, window: int, chosen: DataFrame) -> DataFrame:
+    """Super-k-mers at the chosen places, packed, with their minimiser (k1). A bitmap keeps texts without any out of the shuffle; the join decides about the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             _, buffer, offsets = _normal(batch)
             found = super_kmers(buffer, offsets, window)
-            keep = in_bitmap(shared.value, found["minimiser"]) if shared else slice(None)
+            places = batch["places"]
+            of = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            inner = places.flatten()
+            wanted = of << 32 | inner.field("at").to_numpy().astype(np.int64)
+            order = np.argsort(wanted)
+            wanted, many = wanted[order], inner.field("hot").to_numpy(zero_copy_only=False)[order]
+            have = found["row"] << 32 | found["at"]
+            place = np.searchsorted(wanted, have)
+            keep = np.flatnonzero((place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == have))
             row, minimiser, at, n, lo, hi = (found[k][keep] for k in ("row", "minimiser", "at", "n", "lo", "hi"))
-            many = np.isin(minimiser, hot.value) if hot else np.zeros(len(minimiser), np.bool_)
             data = buffer.tobytes()
             ids, keys = (batch[c].to_numpy(zero_copy_only=False)[row].astype(np.int64) for c in ("doc_id", "text_key"))
             packed = pa.array([data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
-            columns = [pa.array(many), pa.array(minimiser), pa.array(ids), pa.array(keys), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), packed]
+            columns = [pa.array(many[place[keep]]), pa.array(minimiser), pa.array(ids), pa.array(keys), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), packed]
             yield pa.RecordBatch.from_arrays(columns, ["hot", "k1", "doc_id", "text_key", "at", "n", "packed"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, _SENT)
-
-
-def _sort_out(sent: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
-    """The rows of _send(docs, window, None, None) whose minimiser is shared, and which are hot: the same by a join on the minimiser."""
-    known = counts.select(F.col("minimiser").alias("k1"), (F.col("n") > hot).alias("hot"))
-    return sent.drop("hot").join(known, "k1").select("hot", "k1", "doc_id", "text_key", "at", "n", "packed")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(chosen, "text_key"))
+    rows = docs.select("doc_id", "text_key", "text").mapInArrow(_marked(bitmap), "doc_id bigint, text_key bigint, text string")
+    return rows.join(chosen, ["doc_id", "text_key"]).mapInArrow(run, _SENT)
 
 
 def _frequent_repeats(rows: DataFrame, window: int) -> DataFrame:
@@ -214,27 +224,22 @@ def _found(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "at", "n"])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sent_shared: int = SENT_SHARED, sent_hot: int = SENT_HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Windows whose words also start in a document of a smaller doc_id: rows (doc_id, text_key, at, n), n windows from word `at` on.
 
     docs: doc_id (not null), text_key (a hash of the text), text. The result
-    does not depend on hot, sent_shared and sent_hot.
+    does not depend on hot.
     """
-    spark = docs.sparkSession
-    counts = _minimisers(docs, window).groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
+    runs = materialize(_minimisers(docs, window), "runs")
+    counts = runs.groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("n"))
     counts = materialize(counts.filter("low < high").select("minimiser", "n"), "minimisers")
-    many = counts.filter(F.col("n") > hot).select("minimiser")
-    if counts.count() <= sent_shared and many.count() <= sent_hot:
-        shared = spark.sparkContext.broadcast(bitmap_of(counts, "minimiser"))
-        exact = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in many.collect()], np.int64)))  # sent_hot at most
-        sent = materialize(_send(docs, window, shared, exact), "super-k-mers")
-    else:
-        sent = materialize(_sort_out(materialize(_send(docs, window, None, None), "all-super-k-mers"), counts, hot), "super-k-mers")
+    chosen = materialize(_chosen(runs, counts, hot), "places")
+    sent = materialize(_send(docs, window, chosen), "super-k-mers")
     found = _bucket_repeats(sent, window)
-    return found.unionByName(_frequent_repeats(sent.filter("hot"), window)) if many.limit(1).count() else found
+    return found.unionByName(_frequent_repeats(sent.filter("hot"), window)) if not counts.filter(F.col("n") > hot).isEmpty() else found
 
 
-def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sent_shared: int = SENT_SHARED, sent_hot: int = SENT_HOT) -> DataFrame:
+def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Remove each word that a repeated window covers: doc_id, n_words, n_removed, kept (the other words, joined by one space).
 
     One row for each row of (doc_id, text); null text has no words. Rows of a
@@ -244,7 +249,7 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sent_share
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     with scratch(docs.sparkSession):
-        found = materialize(repeated_windows(docs.filter("doc_id IS NOT NULL"), window, hot, sent_shared, sent_hot), "repeats", keep=True)
+        found = materialize(repeated_windows(docs.filter("doc_id IS NOT NULL"), window, hot), "repeats", keep=True)
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(found, "text_key"))
     ranges = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))  # as long as the document at most
 
