@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.functions.columns import pseudonym
@@ -32,10 +32,15 @@ def anonymize(customers: DataFrame, payment_methods: DataFrame, transactions: Da
     return {"customers": people.select(*customers.columns), "payment_methods": cards.select(*payment_methods.columns), "transactions": moved.select(*transactions.columns), "counts": counts, "unknown": asked.join(customers.select("customer_id"), "customer_id", "left_anti")}
 
 
+def keeps(as_of, column: str, days: int) -> Column:
+    """Whether a retention rule keeps a row at `as_of`."""
+    limit = F.col(column) if days == 0 else F.col(column) + F.expr(f"INTERVAL {days} DAYS")
+    return limit > as_of
+
+
 def retained(df: DataFrame, as_of, column: str, days: int) -> DataFrame:
     """Rows that a retention rule keeps at `as_of`."""
-    limit = F.col(column) if days == 0 else F.col(column) + F.expr(f"INTERVAL {days} DAYS")
-    return df.filter(limit > as_of)
+    return df.filter(keeps(as_of, column, days))
 
 
 def retention_report(spark: SparkSession, rules: tuple = RETENTION) -> DataFrame:

@@ -87,8 +87,9 @@ SCORE_HIST = sql.with_tables("fi", "SELECT model_version, least(points // 500 +
 def velocity(spark: SparkSession, sf_dir: str, customers: int = 5) -> DataFrame:
     """Current velocity of the customers with the lowest ids, as of the latest transaction."""
     t = Tables(spark, sf_dir)
-    rows = t.transactions.filter("customer_id IS NOT NULL").withColumn("now", t.as_of(t.transactions))
+    now = t.as_of(t.transactions)
     some = t.customers.select("customer_id").orderBy("customer_id").limit(customers)
+    rows = t.transactions.filter(F.col("created_at") > now - F.expr("INTERVAL 24 HOURS")).join(F.broadcast(some), "customer_id").withColumn("now", now)  # `customers` rows
     counted = rows.groupBy("customer_id").agg(*(F.count_if(F.col("created_at") > F.col("now") - F.expr(f"INTERVAL {h} HOURS")).alias(n) for n, h in (("v1h", 1), ("v24h", 24))))
     return some.join(counted, "customer_id", "left").select("customer_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("v1h", "v24h")))
 

@@ -131,9 +131,9 @@ def retention(spark: SparkSession, sf_dir: str, days: int = 20) -> DataFrame:
     """Log rows by day that a retention rule would keep and drop as of the latest one."""
     t = Tables(spark, sf_dir)
     rows = documents.to_transaction_logs(t.scored)
-    kept = governance.retained(rows, t.as_of(t.transactions), "created_at", days).select("txn_id", F.lit(1).alias("kept"))
-    both = rows.join(kept, "txn_id", "left")
-    return both.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("kept").alias("kept"), F.count_if(F.col("kept").isNull()).alias("dropped"))
+    kept = governance.keeps(t.as_of(t.transactions), "created_at", days)
+    marked = rows.select("created_at", kept.alias("kept"))
+    return marked.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
 RETENTION = sql.with_tables("t sc", """

@@ -38,7 +38,7 @@ GROUP BY ALL ORDER BY revenue DESC, merchant, month, currency LIMIT 10""")
 
 def decisions_by_pm(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rows = since(t, t.transactions, "30 DAYS").select("txn_id", "pm_id").join(t.payment_methods.select("pm_id", "type", "brand"), "pm_id").join(t.indicators_of(t.scored_since(t.before(t.transactions, "30 DAYS"))).select("txn_id", "decision"), "txn_id", "left")
+    rows = t.decided_since(t.before(t.transactions, "30 DAYS")).select("pm_id", "decision").join(t.payment_methods.select("pm_id", "type", "brand"), "pm_id")
     block = F.count_if(F.col("decision") == "block")
     out = rows.groupBy("type", "brand").agg(F.count(F.lit(1)).alias("txn_count"), F.count_if(F.col("decision") == "review").alias("review_count"), block.alias("block_count"))
     return out.withColumn("block_rate_pct", ratio("block_count", "txn_count", 2, 100)).orderBy(F.desc_nulls_last("block_rate_pct"), "type", "brand")

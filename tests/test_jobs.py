@@ -92,7 +92,7 @@ def test_scoring_a_window_reads_no_more_than_a_day_before_it(spark):
     assert "ts" in below and ">=" in below
 
 
-@pytest.mark.parametrize(("name", "windows", "scans"), [("oltp_served_perf", 2, 5), ("score_write_back", 0, 8), ("olap_region_quarter", 0, 5)])
+@pytest.mark.parametrize(("name", "windows", "scans"), [("oltp_served_perf", 2, 5), ("oltp_decisions_by_pm", 2, 8), ("doc_retention_effect", 2, 5), ("dash_velocity", 0, 5), ("olap_region_quarter", 0, 1)])
 def test_plans_have_no_more_windows_and_scans_than_they_need(spark, name, windows, scans):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") <= windows and plan.count("Relation [") <= scans
