@@ -11,8 +11,11 @@ short items in long documents; this misses none. Candidates are confirmed by
 the exact containment of their shingles, word for word.
 
 Small sets of items are one index, which is sent to all tasks, and documents
-are not shuffled. Larger ones are a table: sketches and index are joined, and
-candidates are confirmed pair by pair.
+are not shuffled. Larger ones are a table of distinct texts. A document that
+contains an item shares one at least of the item's values that the fewest
+documents have, all but as many as it must share; sketches are joined with
+those alone, so that a phrase that is everywhere makes no candidates. A
+document's text meets all of its candidates at once.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,7 +160,9 @@ def _column(spark: SparkSession, index: Index, text: Column) -> Column:
 def _joined_hits(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """Hits by text (key, hits), for more items than one index should hold. docs: key, text, a row for each text; items: item_id, text."""
     spark = docs.sparkSession
-    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    ids = materialize(items.withColumn("item", F.sha2("text", 256).cast("binary")), "items")
+    items = materialize(ids.groupBy("item").agg(F.first("text").alias("text")), "item-texts")
+    chunks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SENT_BYTES))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -168,10 +173,10 @@ def _joined_hits(docs: DataFrame, items: DataFrame, threshold: float) -> DataFra
                 width += [i.width] * len(i.values)
                 needed += [i.needed] * len(i.values)
                 value.append(i.values.view(np.int64))
-            columns = [pa.array(np.concatenate(value)), pa.array(owner, pa.int64()), pa.array(width, pa.int32()), pa.array(needed, pa.int32())]
+            columns = [pa.array(np.concatenate(value)), pa.array(owner, pa.binary()), pa.array(width, pa.int32()), pa.array(needed, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["value", "item", "width", "needed"])
 
-    table = materialize(items.select("item", "text").mapInArrow(index, "value bigint, item bigint, width int, needed int"), "item-index")
+    table = materialize(items.select("item", "text").mapInArrow(index, "value bigint, item binary, width int, needed int"), "item-index")
     widths = sorted(r[0] for r in table.select("width").distinct().collect())  # five at most
     bitmap = spark.sparkContext.broadcast(bitmap_of(table, "value"))
 
@@ -187,21 +192,35 @@ def _joined_hits(docs: DataFrame, items: DataFrame, threshold: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), keys.take(pa.array(pair[1].astype(np.int64)))], ["value", "key"])
 
     sketches = materialize(docs.mapInArrow(sketch, "value bigint, key binary"), "sketches")
-    pairs = sketches.join(table, "value").groupBy("key", "item").agg(F.count(F.lit(1)).alias("hits"), F.first("needed").alias("needed")).filter("hits >= needed")
-    pairs = materialize(pairs.select("key", "item"), "item-candidates")
-    both = pairs.join(docs, "key").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("key", "item_id", "item_text", "text")
+    pairs = materialize(sketches.join(_rarest(table, sketches), "value").select("key", "item").distinct(), "item-candidates")
+    # A document's candidates in pieces of bounded size, each with the document's text.
+    chunk = F.pmod(F.xxhash64("item"), F.lit(chunks))
+    asked = pairs.join(items, "item").groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("item", F.col("text").alias("item_text"))).alias("items"))
+    both = asked.join(docs, "key").select("key", "items", "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             out = []
-            for key, item_id, item_text, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hit = Item(item_id, item_text, threshold).within(words_of(text.encode()), {}, threshold)
-                if hit:
-                    out.append((key, hit))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([h for _, h in out], _HITS.value_type)], ["key", "hit"])
-
-    found = both.mapInArrow(confirm, f"key binary, hit {HIT.elementType.simpleString()}")
-    return found.groupBy("key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))  # items of one text
+            for key, asked, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, have = words_of(text.encode()), {}
+                for x in asked:
+                    hit = Item(None, x["item_text"], threshold).within(words, have, threshold)
+                    if hit:
+                        out.append((key, x["item"], hit["shared"], hit["shingles"]))
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["key", "item", "shared", "shingles"])
+
+    found = both.mapInArrow(confirm, "key binary, item binary, shared bigint, shingles bigint").join(ids.select("item", "item_id"), "item")
+    return found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("item_id", "shared", "shingles"))).alias("hits"))  # items of one text
+
+
+def _rarest(table: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(value, item): of each item's values all but needed - 1, those that the fewest texts have. Who has `needed` of an item's values has one of these."""
+    frequency = sketches.groupBy("value").agg(F.count(F.lit(1)).alias("texts"))
+    by_item = Window.partitionBy("item")
+    counted = table.join(frequency, "value", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    ranked = counted.withColumns({"place": F.row_number().over(by_item.orderBy("texts", "value")), "size": F.count(F.lit(1)).over(by_item)})  # as many as an item's shingles at most
+    return ranked.filter("place <= size - needed + 1 AND texts > 0").select("value", "item")
 
 
 def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits", threshold: float = THRESHOLD, sent_bytes: int = SENT_BYTES) -> DataFrame:

@@ -577,6 +577,20 @@ def test_contained_items_match_brute_force(spark, docs, none):
         assert marked.columns == [*docs.columns, "hits", "hits_"] and marked.count() == len(DOCS)
 
 
+def test_a_phrase_that_is_everywhere_makes_no_candidates(spark, monkeypatch):
+    """400 items and 300 documents share a phrase of 7 words; three documents hold an item."""
+    phrase = "answer the question about this text briefly"
+    items = [(i, f"{phrase} " + " ".join(f"i{i}w{j}" for j in range(15))) for i in range(400)]
+    rows = [(d, f"d{d} {phrase} " + " ".join(f"d{d}w{j}" for j in range(30))) for d in range(300)] + [(1000 + i, f"before {items[i][1]} after") for i in (3, 77, 200)]
+    items += [(1000 + i, items[i][1]) for i in (3, 3)]  # repeated items
+    seen = []
+    monkeypatch.setattr(decontam, "materialize", lambda df, name, keep=False, real=decontam.materialize: seen.append((name, out := real(df, name, keep))) or out)
+    df, it = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.leaks(df, it, sent_bytes=0).collect())
+    assert got == [(1003, 3), (1003, 1003), (1003, 1003), (1077, 77), (1200, 200)]
+    assert dict(seen)["item-candidates"].count() < 400 and dict(seen)["item-texts"].count() == 400
+
+
 def test_items_of_few_words_are_found(spark):
     items = spark.createDataFrame([(1, "Alpha"), (2, "alpha  beta"), (3, "alpha beta gamma delta"), (4, " "), (5, None), (None, "beta")], "item_id bigint, text string")
     rows = [(1, "say alpha BETA now"), (2, "alphabet beta"), (3, "alpha beta gamma delta"), (4, "alpha gamma beta"), (5, ""), (6, None)]
