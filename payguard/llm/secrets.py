@@ -35,6 +35,8 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _HEX_MARKS = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
 # Each part of a dotted word with what follows it, once: a header, a payload (empty where it is detached) and a signature.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)\.(?=([A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++))")
+# What any token has: two dots with characters of base64 alone between and one after them.
+_DOTS = re.compile(r"\.[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]")
 # A header may follow a name and one of these within its part; a JSON object begins with a brace or a blank.
 _HEADER_START = re.compile(r"(?:^|(?<=[_-]))(?=[eICD])")
 _MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----|-----BEGIN ")
@@ -53,6 +55,7 @@ _PADDING = re.compile(r"={0,2}")
 _BREAK = re.compile(r"[ \t]*+(?:\r?\n|(?:\\++[rn])++)[ \t>#*]*+|\\++(?=/)")
 # Hex digits of a key, in lines, with or without colons between bytes.
 _HEX_START = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{16}|(?:[0-9A-Fa-f]{2}:){8})")
+_HEX_DIGITS = bytes(0x78 if chr(b) in "0123456789abcdefABCDEF" else 0x3A if b == 0x3A else 0x20 for b in range(256))
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]++")
 _HEX_BREAK = re.compile(r":?[ \t]*+(?:\r?\n|(?:\\++[rn])++)[ \t>#*]*+|:")
 #: Bytes of the shortest key.
@@ -217,7 +220,7 @@ def is_signed_token(header: str) -> bool:
 def _token_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Signed tokens, wherever in a dotted word they begin, and behind a name that ends in _ or -."""
     after = 0
-    for m in _TOKEN.finditer(text):
+    for m in _TOKEN.finditer(text) if _DOTS.search(text) else ():
         if m.start() < after or len(m[3]) % 4 == 1 or len(m[2]) % 4 == 1:
             continue
         header = _Header(m[1])
@@ -330,6 +333,9 @@ def _last_bytes(chars: str) -> bytes:
 
 def _hex_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Keys in hex digits, also over lines and with colons, wherever they begin."""
+    digits = text.encode(errors="replace").translate(_HEX_DIGITS)
+    if b"x" * 16 not in digits and b"xx:" * 8 not in digits:
+        return
     at = 0
     while (m := _HEX_START.search(text, at)) is not None:
         joined, joined_at, text_at, end = _block(text, m.start(), _HEX_RUN, _HEX_BREAK)
