@@ -87,7 +87,7 @@ def encode_function(vocabulary: str) -> Callable[[str], np.ndarray]:
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Ids of each (doc_id, text) row, ended by id 0: doc_id, doc_tokens, crcs (of each run of `capacity` ids and the rest), ids.
 
-    ids holds little-endian 32-bit ids where with_ids is set, else null. Null
+    ids holds the same runs of little-endian 32-bit ids where with_ids is set, else null. Null
     text is empty (one id, the end), strings of added tokens get those tokens'
     ids, other columns are left out.
     """
@@ -101,11 +101,11 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_id
                 data = got.tobytes()
                 counts.append(len(got))
                 crcs.append([zlib.crc32(data[i : i + 4 * capacity]) for i in range(0, len(data), 4 * capacity)])
-                ids.append(data if with_ids else None)
-            columns = [batch["doc_id"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(ids, pa.binary())]
+                ids.append([data[i : i + 4 * capacity] for i in range(0, len(data), 4 * capacity)] if with_ids else None)
+            columns = [batch["doc_id"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "crcs", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, doc_tokens bigint, crcs array<bigint>, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, doc_tokens bigint, crcs array<bigint>, ids array<binary>")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int = UNIT, with_ids: bool = False) -> DataFrame:
@@ -118,10 +118,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int =
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    tokens = materialize(tokenize(docs, vocabulary, capacity, with_ids), "tokens")
+    # Ids stay where they are until the pieces' places are known: rows are numbered as they are written, and joined by that.
+    written = materialize(tokenize(docs, vocabulary, capacity, with_ids).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = written.drop("ids")
     rest = F.col("doc_tokens") % capacity
     tokens = tokens.withColumns({"bin": F.ceil(rest / unit).cast("int"), "whole": F.floor(F.col("doc_tokens") / capacity)})
-    ranked, totals = prefix_sums(tokens, ["bin"], ["doc_id", "doc_tokens"], {"rank": F.lit(1).cast("long"), "whole_before": F.col("whole")}, "ranks")
+    ranked, totals = prefix_sums(tokens, ["bin"], ["doc_id", "doc_tokens", "row"], {"rank": F.lit(1).cast("long"), "whole_before": F.col("whole")}, "ranks")
     histogram = {r["bin"]: r for r in totals.collect()}  # capacity / unit + 1 rows at most
 
     lengths = np.array(sorted(b for b in histogram if b), np.int64)
@@ -147,16 +149,19 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int =
     slots = F.broadcast(spark.createDataFrame(slots, "bin int, block bigint, lo bigint, hi bigint, n bigint, first bigint, place bigint"))
     bins = F.broadcast(spark.createDataFrame(bins, "bin int, whole_first bigint, width bigint"))
 
-    piece = F.substring("ids", 4 * F.col("start") + 1, 4 * F.col("length")) if with_ids else F.lit(None).cast("binary")
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row"]
     step = F.col("rank") - F.col("lo")
     rests = ranked.filter("bin > 0").join(bins, "bin").withColumn("block", F.call_function("div", F.col("rank"), F.col("width"))).join(slots, ["bin", "block"]).filter("rank >= lo AND rank < hi")
-    rests = rests.select("doc_id", (F.col("whole") * capacity).alias("start"), rest.alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens", (F.col("first") + F.floor(step / F.col("n"))).alias("sequence_id"), (F.col("place") + step % F.col("n")).alias("at"), "ids")
+    rests = rests.select("doc_id", (F.col("whole") * capacity).alias("start"), rest.alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens", (F.col("first") + F.floor(step / F.col("n"))).alias("sequence_id"), (F.col("place") + step % F.col("n")).alias("at"), "row")
     before = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a sequence has `capacity` pieces at most
     rests = rests.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    wholes = ranked.filter("whole > 0").join(bins, "bin").select("doc_id", "doc_tokens", "ids", F.col("whole_first") + F.col("whole_before"), F.posexplode(F.slice("crcs", F.lit(1), F.col("whole").cast("int")))).toDF("doc_id", "doc_tokens", "ids", "first", "at", "ids_crc32")
-    wholes = wholes.select("doc_id", (F.col("at").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
-    return rests.select(*columns, piece.alias("ids")).union(wholes.select(*columns, piece.alias("ids")))
+    wholes = ranked.filter("whole > 0").join(bins, "bin").select("doc_id", "doc_tokens", "row", F.col("whole_first") + F.col("whole_before"), F.posexplode(F.slice("crcs", F.lit(1), F.col("whole").cast("int")))).toDF("doc_id", "doc_tokens", "row", "first", "at", "ids_crc32")
+    wholes = wholes.select("doc_id", (F.col("at").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "row")
+    pieces = rests.select(*columns).union(wholes.select(*columns))
+    if not with_ids:
+        return pieces.drop("row").withColumn("ids", F.lit(None).cast("binary"))
+    runs = written.select("row", F.posexplode("ids")).toDF("row", "run", "ids")
+    return pieces.withColumn("run", (F.col("start") / capacity).cast("int")).join(runs, ["row", "run"]).drop("row", "run")
 
 
 def ids_column(spark: SparkSession, column: str = "ids") -> Column:
