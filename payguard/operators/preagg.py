@@ -77,6 +77,15 @@ def maintained_keys() -> dict[str, str]:
     return dict.fromkeys(MAINTAINED, CELL)
 
 
+def maintain(store: Snapshots) -> int:
+    """Build the maintained tables of a root's transactions; from then on every change of rows corrects them. If rows change meanwhile, they are built again."""
+
+    def step(base: int) -> int:
+        return store.commit(build_maintained(store.current("transactions", base)), base, keys=maintained_keys(), unchanged=("transactions",))
+
+    return store.retry(step)
+
+
 def signed(m: Maintained, old: DataFrame, new: DataFrame) -> DataFrame:
     """What a change of rows adds to each group: sums over the new images less those over the old ones. Groups that stay as they are are left out."""
     before, after = m.rows(old), m.rows(new)

@@ -209,7 +209,7 @@ class Snapshots:
         new = [x for x in entry["loads"] if x["version"] > after]
         return self._rows(entry | {"loads": new}) if new else None
 
-    def commit(self, tables: dict[str, DataFrame] | None = None, base: int | None = None, changes: dict[str, DataFrame] | None = None, keys: dict[str, str] | None = None, marks: dict[str, int] | None = None, buckets: int = BUCKETS, appends: dict[str, tuple[DataFrame, str]] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame] | None = None, base: int | None = None, changes: dict[str, DataFrame] | None = None, keys: dict[str, str] | None = None, marks: dict[str, int] | None = None, buckets: int = BUCKETS, appends: dict[str, tuple[DataFrame, str]] | None = None, unchanged: tuple[str, ...] = ()) -> int:
         """Write tables and then show them all at once as a new version; its number. All other tables stay as they are.
 
         tables are replaced whole; those that `keys` gives a key, or that have
@@ -219,8 +219,8 @@ class Snapshots:
         table is partitioned by. marks are numbers kept beside the tables. base
         is the version that all was computed from, by default the last one. If
         another writer has since changed the same tables, buckets of changed
-        keys, partitions or marks, nothing changes and a Conflict is raised;
-        all other changes are kept.
+        keys, partitions or marks, or tables that must be `unchanged`, nothing
+        changes and a Conflict is raised; all other changes are kept.
         """
         tables, changes, keys, marks, appends = tables or {}, changes or {}, keys or {}, marks or {}, appends or {}
         old = self.manifest(self.version() if base is None else base)
@@ -243,6 +243,7 @@ class Snapshots:
             lost = [n for n in new if now["tables"].get(n, {}).get("whole") != old["tables"].get(n, {}).get("whole") or now["tables"].get(n, {}).get("stamps") != old["tables"].get(n, {}).get("stamps")]
             lost += [n for n, c in added.items() if n not in now["tables"] or self._changed(old["tables"][n], now["tables"][n], c["buckets"])]
             lost += [n for n, (x, _) in loads.items() if self._changed(old["tables"].get(n), now["tables"].get(n), x["parts"])]
+            lost += [n for n in unchanged if self._changed(old["tables"].get(n), now["tables"].get(n), []) or (now["tables"].get(n) or {}).get("stamps") != (old["tables"].get(n) or {}).get("stamps")]
             lost += [n for n in marks if now["marks"].get(n) != old["marks"].get(n)]
             if lost:
                 raise Conflict(f"{', '.join(lost)} changed after version {base}")

@@ -263,6 +263,26 @@ def test_corrections_equal_a_recomputation(spark, tmp_path):
     assert store.version() >= 4
 
 
+def test_maintaining_begins_at_a_version(spark, tmp_path, monkeypatch):
+    rows = [(i, 1, 10, "EUR", "succeeded", 0.5, T0, i) for i in range(6)]
+    schema = "txn_id long, merchant_id long, amount long, currency string, status string, fraud_score double, created_at timestamp, offset long"
+    store, more = Snapshots(spark, str(tmp_path)), spark.createDataFrame([(9, 1, 5, "EUR", "succeeded", 0.5, T0, 9)], schema)
+    store.commit({"transactions": spark.createDataFrame(rows, schema)}, keys=writeback.KEYS)
+    real, calls = preagg.build_maintained, []
+
+    def slow(df):
+        calls.append(1)
+        if len(calls) == 1:
+            store.commit(changes={"transactions": more})  # rows change while the sums are built
+        return real(df)
+
+    monkeypatch.setattr(preagg, "build_maintained", slow)
+    preagg.maintain(store)
+    assert len(calls) == 2 and store.current("daily_revenue").first().gross_amount_cents == 65
+    writeback.apply_images(store, "transactions", more.withColumns({"offset": F.lit(10).cast("long"), "__deleted": F.lit("true")}), "txn_id", ("offset",))
+    assert store.current("daily_revenue").first().gross_amount_cents == 60 and store.current("merchant_sums").first().txn_count == 6
+
+
 def test_scores_correct_the_maintained_sums(spark, shared_root):
     root, _ = shared_root
     store = Snapshots(spark, f"{root}/oltp")
