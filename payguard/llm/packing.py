@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payguard.llm.common import bound_batches, materialize, prefix_sums, text_buffer, text_slices
+from payguard.llm.common import bound_batches, materialize, prefix_sums, text_slices
 from payguard.llm.cutting_stock import plan
 
 CAPACITY = 1024
@@ -112,7 +112,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int =
     """Pack (doc_id, text) rows; one row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Every id lies in one piece; a sequence holds `capacity` ids at most, from
-    offset 0 on without a gap. ids (with_ids) are the piece's. Equal rows are
+    offset 0 on without a gap. ids (with_ids) are the piece's, as little-endian
+    32-bit numbers. Equal rows are
     packed one by one; null doc_ids are packed too; an empty table gives an
     empty result.
     """
@@ -164,17 +165,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, unit: int =
     return pieces.withColumn("run", (F.col("start") / capacity).cast("int")).join(runs, ["row", "run"]).drop("row", "run")
 
 
-def ids_column(spark: SparkSession, column: str = "ids") -> Column:
-    """The ids of pack(with_ids=True) as an array of whole numbers."""
-    bound_batches(spark)
-
-    def run(data: pa.Array) -> pa.Array:
-        held, offsets = text_buffer(data)
-        return pa.ListArray.from_arrays(pa.array(offsets // 4, pa.int32()), pa.array(held.view("<u4").astype(np.int32)))
-
-    return F.arrow_udf(run, "array<int>")(F.col(column))
-
-
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary()).drop("ids")

@@ -151,8 +151,9 @@ def test_pipeline_runs(spark):
 
     t, pieces = Tokenizer.from_file(packing.default_vocabulary()), {}
     for r in out.collect():
-        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
-        pieces.setdefault(r.doc_id, []).append((r.start, r.ids))
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).append((r.start, ids))
     source = texts(spark)
     for i, found in pieces.items():
         ids = [x for _, p in sorted(found) for x in p]
