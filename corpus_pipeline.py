@@ -55,8 +55,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 ids, with their ids: those of a sequence by offset are its training sequence."""
-    return packing.pack(docs, packing.default_vocabulary(), with_ids=True).withColumn("ids", packing.ids_column(spark))
+    """Pieces of the documents in sequences of 1024 ids, with their ids as little-endian 32-bit numbers: those of a sequence by offset are its training sequence."""
+    return packing.pack(docs, packing.default_vocabulary(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
