@@ -46,14 +46,15 @@ def dim_geography(spark: SparkSession, rows: tuple = GEOGRAPHY) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "geo_key bigint, country_code string, country_name string, region string, is_high_risk boolean")
 
 
-def numbered(members: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
-    """Add `name`: start + 1, start + 2, ... without gaps, in the order of a unique bigint key.
+def numbered(members: DataFrame, key: str, name: str, start: int = 0) -> tuple[DataFrame, int]:
+    """Members with `name`: start + 1, start + 2, ... without gaps, in the order of a unique bigint key; and how many they are.
 
     Places are running totals over rows dealt by range, so no task sees all
     members, however many there are, and a replay gives the same numbers.
     """
-    placed, _ = prefix_sums(members, [], [key], {"_place": F.lit(1).cast("bigint")}, f"numbered-{name}")
-    return placed.select(*members.columns, (F.lit(start + 1) + F.col("_place")).cast("bigint").alias(name))
+    placed, total = prefix_sums(members, [], [key], {"_place": F.lit(1).cast("bigint")}, f"numbered-{name}")
+    n = total.first()["_place"] or 0
+    return placed.select(*members.columns, (F.lit(start + 1) + F.col("_place")).cast("bigint").alias(name)), n
 
 
 def distinct_members(members: DataFrame, natural: str) -> DataFrame:
@@ -69,7 +70,7 @@ def insert_missing(dim: DataFrame | None, members: DataFrame, natural: str, surr
     if dim is not None:
         once = once.join(dim.select(natural), natural, "left_anti")
         top = dim.agg(F.max(surrogate)).first()[0] or 0
-    return numbered(once, natural, surrogate, top)
+    return numbered(once, natural, surrogate, top)[0]
 
 
 def daily_extract(transactions: DataFrame, payment_methods: DataFrame, merchants: DataFrame, day: str | None = None) -> DataFrame:
@@ -140,12 +141,13 @@ def load(store: Snapshots, extract: DataFrame, by: str = "date_key") -> dict[str
         dims, tables, changes, marks = {"geography": dim_geography(spark)}, {}, {}, {}
         for name, rows in members(extract).items():
             (natural, surrogate), table = KEYS[name], f"dim_{name}"
-            once = written(distinct_members(rows, natural), f"members-{name}")
-            old = store.rows_of(table, once, base)
+            once, old = distinct_members(rows, natural), None
+            if table in store.names(base):
+                once = written(once, f"members-{name}")
+                old = store.rows_of(table, once, base)
             top = store.mark(f"{table}-top", base) or 0
             missing = once if old is None else once.join(old.select(natural), natural, "left_anti")
-            new = written(numbered(missing, natural, surrogate, top), f"new-{name}")
-            added[name] = new.count()
+            new, added[name] = numbered(missing, natural, surrogate, top)
             dims[name] = new if old is None else old.unionByName(new)
             if old is None:
                 tables[table] = new

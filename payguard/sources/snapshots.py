@@ -240,10 +240,9 @@ class Snapshots:
             loads[name] = self._write_load(name, df, by), {"schema": _schema(df), "partition": by, "loads": [], "stamps": {}, "whole": 0}
 
         def build(now: dict, number: int) -> dict:
-            lost = [n for n in new if now["tables"].get(n, {}).get("whole") != old["tables"].get(n, {}).get("whole") or now["tables"].get(n, {}).get("stamps") != old["tables"].get(n, {}).get("stamps")]
+            lost = [n for n in (*new, *unchanged) if self._state(now, n) != self._state(old, n)]
             lost += [n for n, c in added.items() if n not in now["tables"] or self._changed(old["tables"][n], now["tables"][n], c["buckets"])]
             lost += [n for n, (x, _) in loads.items() if self._changed(old["tables"].get(n), now["tables"].get(n), x["parts"])]
-            lost += [n for n in unchanged if self._changed(old["tables"].get(n), now["tables"].get(n), []) or (now["tables"].get(n) or {}).get("stamps") != (old["tables"].get(n) or {}).get("stamps")]
             lost += [n for n in marks if now["marks"].get(n) != old["marks"].get(n)]
             if lost:
                 raise Conflict(f"{', '.join(lost)} changed after version {base}")
@@ -260,6 +259,12 @@ class Snapshots:
         written = [f for e in new.values() for f in self._folders(e)] + [c["folder"] for c in added.values()] + [x["folder"] for x, _ in loads.values()]
         return self._publish(build, written)
 
+    @staticmethod
+    def _state(version: dict, name: str) -> tuple:
+        """What differs between two versions of a table whose rows differ."""
+        entry = version["tables"].get(name, {})
+        return entry.get("whole"), entry.get("stamps")
+
     @staticmethod
     def _changed(old: dict | None, now: dict | None, touched: list) -> bool:
         """Whether buckets or partitions of a table differ between two versions. A table that is new counts as empty."""
