@@ -13,7 +13,7 @@ from payguard.ml import evaluate, monitor
 from payguard.operators import documents, star, writeback
 from payguard.plans import oracle as sql
 from payguard.plans.oltp import stamp
-from payguard.sources.changes import decode
+from payguard.sources.changes import parse
 from payguard.sources.tables import Tables, truth
 from payguard.streaming.fanout import windowed_counts
 
@@ -113,10 +113,9 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("txn_id") % 20
     value = F.when(kind == 0, F.concat(F.lit('{"payload":{"before":null,"after":'), F.to_json(row), F.lit("}}"))).when(kind == 1, F.concat(F.lit('{"after":'), F.to_json(row), F.lit("}"))).when(kind == 2, F.substring(F.to_json(row), 1, 30)).when(kind != 4, F.to_json(row))
     messages = t.transactions.select(value.alias("value"), F.lit("transactions").alias("topic"), F.lit(0).alias("partition"), F.col("txn_id").alias("offset"), F.col("created_at").alias("timestamp"))
-    good, dead = decode(messages)
-    kept = good.groupBy(F.lit("row").alias("outcome")).agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"), stamp(F.max("created_at")).alias("latest"))
-    lost = dead.groupBy(F.col("error").alias("outcome")).agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("amount"), stamp(F.max("timestamp")).alias("latest"))
-    return kept.unionByName(lost)
+    read = F.col("error").isNull()
+    out = parse(messages).filter("kept OR error IS NOT NULL").select(F.coalesce("error", F.lit("row")).alias("outcome"), F.when(read, F.col("row.amount")).otherwise(0).alias("amount"), F.when(read, F.col("instant")).otherwise(F.col("timestamp")).alias("at"))
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"), stamp(F.max("at")).alias("latest"))
 
 
 CHANGES = sql.with_tables("t", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,42 @@ def read_changes(spark: SparkSession, source: ChangeSource, streaming: bool = Tr
     return reader.json(source.path)
 
 
+def parse(messages: DataFrame, schema: T.StructType = schemas.CHANGE_ROW, keep_deleted: bool = False) -> DataFrame:
+    """Messages with what they say: row (a struct), instant (its created_at, or else the message's time), error (null for one that can be read) and kept (whether decode() gives its row).
+
+    Each message is parsed once, and its parts are looked at once: they come
+    out of a generator, into which no filter or later expression is pushed, as
+    they would parse it again or make code too long to be compiled.
+    """
+    envelope = T.StructType([T.StructField("payload", T.StructType([T.StructField("after", schema)])), T.StructField("after", schema), *schema.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    has_time = "created_at" in schema.fieldNames()
+
+    def row_of(x: Column) -> Column:
+        enveloped = F.coalesce(F.array_contains(x["keys"], "payload") | F.array_contains(x["keys"], "after"), F.lit(False))
+        flat = F.struct(*(x["m"][f.name].alias(f.name) for f in schema.fields))
+        row = F.when(enveloped, F.coalesce(x["m"]["payload"]["after"], x["m"]["after"])).otherwise(flat)
+        return F.struct(row.alias("row"), (x["m"]["_corrupt"].isNotNull() | x["keys"].isNull()).alias("broken"))
+
+    def time_of(x: Column) -> Column:
+        time = x["row"]["created_at"].try_cast("timestamp") if has_time else F.lit(None).cast("timestamp")
+        return F.struct(x["row"].alias("row"), x["broken"].alias("broken"), time.alias("time"))
+
+    def error_of(x: Column) -> Column:
+        bad_time = (x["row"]["created_at"].isNotNull() & x["time"].isNull()) if has_time else F.lit(False)
+        error = F.when(F.col("value").isNull(), "null value").when(x["broken"], "not a JSON object of the expected types").when(bad_time, "created_at cannot be read")
+        return F.struct(x["row"].alias("row"), F.coalesce(x["time"], F.col("timestamp")).alias("instant"), error.alias("error"))
+
+    found = F.array(F.struct(F.from_json("value", envelope, options).alias("m"), F.json_object_keys(F.col("value")).alias("keys")))
+    for step in (row_of, time_of, error_of):
+        found = F.transform(found, step)
+    parsed = messages.select(*messages.columns, F.explode_outer(found).alias("_found")).select(*messages.columns, "_found.*")
+    kept = F.col("error").isNull() & F.col("row").isNotNull()
+    if "__deleted" in schema.fieldNames() and not keep_deleted:
+        kept &= F.coalesce(F.col("row.__deleted"), F.lit("false")) != "true"
+    return parsed.withColumn("kept", kept)
+
+
 def decode(messages: DataFrame, schema: T.StructType = schemas.CHANGE_ROW, keep_deleted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows of the change messages, and dead letters.
 
@@ -52,27 +88,16 @@ def decode(messages: DataFrame, schema: T.StructType = schemas.CHANGE_ROW, keep_
     Rows of deleted records are left out (with keep_deleted they stay, and
     __deleted tells), as are envelopes without an after image. A null value, text that is no JSON object, and a created_at or
     amount that cannot be read give a dead letter: error, raw_value (500
-    characters at most), topic, partition, offset, timestamp.
+    characters at most), topic, partition, offset, timestamp. Each result
+    parses the messages; see parse() for both in one pass.
     """
-    envelope = T.StructType([T.StructField("payload", T.StructType([T.StructField("after", schema)])), T.StructField("after", schema), *schema.fields, T.StructField("_corrupt", T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = messages.withColumn("m", F.from_json("value", envelope, options))
-    keys = F.json_object_keys(F.col("value"))
-    enveloped = F.coalesce(F.array_contains(keys, "payload") | F.array_contains(keys, "after"), F.lit(False))
-    flat = F.struct(*(F.col(f"m.`{f.name}`").alias(f.name) for f in schema.fields))
-    row = F.when(enveloped, F.coalesce("m.payload.after", "m.after")).otherwise(flat)
-    parsed = parsed.select(*messages.columns, row.alias("row"), F.col("m._corrupt").alias("corrupt"), keys.alias("keys"))
-    has_time = "created_at" in schema.fieldNames()
-    instant = F.col("row.created_at").try_cast("timestamp") if has_time else F.lit(None).cast("timestamp")
-    bad_time = (F.col("row.created_at").isNotNull() & instant.isNull()) if has_time else F.lit(False)
-    error = F.when(F.col("value").isNull(), "null value").when(F.col("corrupt").isNotNull() | F.col("keys").isNull(), "not a JSON object of the expected types").when(bad_time, "created_at cannot be read")
-    parsed = parsed.withColumns({"error": error, "instant": F.coalesce(instant, F.col("timestamp"))})
+    parsed = parse(messages, schema, keep_deleted)
     dead = parsed.filter("error IS NOT NULL").select("error", F.substring("value", 1, RAW_LIMIT).alias("raw_value"), "topic", "partition", "offset", "timestamp")
-    good = parsed.filter("error IS NULL AND row IS NOT NULL").select("row.*", "instant", "offset")
-    if has_time:
+    good = parsed.filter("kept").select("row.*", "instant", "offset")
+    if "created_at" in schema.fieldNames():
         good = good.drop("created_at").withColumnRenamed("instant", "created_at")
     if "__deleted" in schema.fieldNames() and not keep_deleted:
-        good = good.filter(F.coalesce(F.col("__deleted"), F.lit("false")) != "true").drop("__deleted")
+        good = good.drop("__deleted")
     return good, dead
 
 

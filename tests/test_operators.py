@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from payguard.jobs import erase, retain
 from payguard.operators import documents, governance, star, writeback
+from payguard.plans import models
 from payguard.sources import changes, snapshots
 from payguard.sources.tables import Tables
 
@@ -101,6 +102,22 @@ def test_changes_are_decoded_or_dead_lettered(spark):
     assert sorted(letters) == [5, 6, 7, 8] and len(letters[8].raw_value) == 500 and letters[6].error == "null value"
 
 
+def test_each_message_is_parsed_once(spark):
+    good, dead = changes.decode(spark.createDataFrame([], changes.RAW))
+    for df in (good, dead, models.changes(spark, SF)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_parsed_messages_tell_row_time_error_and_whether_they_count(spark):
+    row = {"txn_id": 1, "amount": 5, "created_at": "2024-01-01T10:00:00Z", "__deleted": "true"}
+    values = [json.dumps(row), json.dumps({"after": row | {"__deleted": "false", "created_at": None}}), json.dumps({"after": None}), json.dumps(row | {"created_at": "soon"}), json.dumps(row | {"amount": "much"}), "[1]", None]
+    df = spark.createDataFrame([(v, "t", 0, i, T0) for i, v in enumerate(values)], changes.RAW)
+    got = {r.offset: (r.row and r.row.txn_id, r.instant, r.error, r.kept) for r in changes.parse(df).filter("offset < 4").collect()}
+    assert got == {0: (1, datetime(2024, 1, 1, 10), None, False), 1: (1, T0, None, True), 2: (None, T0, None, False), 3: (1, T0, "created_at cannot be read", False)}
+    assert {r.offset: r.error for r in changes.parse(df).filter("offset > 3").collect()} == {4: "not a JSON object of the expected types", 5: "not a JSON object of the expected types", 6: "null value"}
+    assert [r.offset for r in changes.parse(df, keep_deleted=True).filter("kept").orderBy("offset").collect()] == [0, 1]
+
+
 def test_own_echo_and_missing_customers_are_dropped(spark):
     df = spark.createDataFrame([(1, 7, None), (2, 7, 0.4), (3, None, None)], "txn_id bigint, customer_id bigint, fraud_score double")
     assert [r.txn_id for r in changes.unscored(df).collect()] == [1]
