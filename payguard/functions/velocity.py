@@ -16,10 +16,13 @@ def with_velocity(df: DataFrame, name: str, seconds: int, *, key: str | list[str
     include_current counts the row itself and others of the same microsecond
     (served velocity); without it the range ends before the row (training
     velocity). lower_open leaves out the instant exactly `seconds` earlier.
+    The count is a difference of two running counts, which see each row once;
+    a sliding frame would count all of its rows again at each row.
     """
     far = -seconds * 1_000_000 + (1 if lower_open else 0)
-    frame = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(far, 0 if include_current else -1)
-    return df.withColumn(name, F.count(F.lit(1)).over(frame))
+    by, start = Window.partitionBy(key).orderBy(micros(ts)), Window.unboundedPreceding
+    near, before = by.rangeBetween(start, 0 if include_current else -1), by.rangeBetween(start, far - 1)
+    return df.withColumn(name, F.count(F.lit(1)).over(near) - F.when(F.col(ts).isNotNull(), F.count(F.lit(1)).over(before)).otherwise(0))
 
 
 def _by_day(df: DataFrame, key: str, ts: str, **how: bool) -> DataFrame:

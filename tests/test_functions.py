@@ -70,6 +70,13 @@ def test_velocity_equals_brute_force_across_days(spark):
         assert got == {i: tuple(sum(c == k and inside(u, at, s) for _, k, u in rows) for s in (3600, 86400)) for i, c, at in rows}
 
 
+def test_velocity_counts_run_from_the_start(spark):
+    """A frame that slides counts all of its rows again at each row: the square of a customer's daily traffic."""
+    for function in (velocity.served, velocity.training):
+        plan = function(times(spark, 0, 30))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RangeFrame, ") == plan.count("RangeFrame, unboundedpreceding") >= 4
+
+
 def test_features_of_nulls(spark):
     df = spark.createDataFrame([(1000, None, None, None, None, T0)], "amount bigint, ip_country string, device_type string, velocity_1h bigint, velocity_24h bigint, created_at timestamp")
     r = features.feature_columns(df).first()
