@@ -108,6 +108,11 @@ def test_each_message_is_parsed_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
 
 
+def test_merged_changes_are_parsed_once(spark):
+    good, _ = changes.decode(spark.createDataFrame([], changes.RAW), keep_deleted=True)
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_parsed_messages_tell_row_time_error_and_whether_they_count(spark):
     row = {"txn_id": 1, "amount": 5, "created_at": "2024-01-01T10:00:00Z", "__deleted": "true"}
     values = [json.dumps(row), json.dumps({"after": row | {"__deleted": "false", "created_at": None}}), json.dumps({"after": None}), json.dumps(row | {"created_at": "soon"}), json.dumps(row | {"amount": "much"}), "[1]", None]
