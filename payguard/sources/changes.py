@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,33 +48,31 @@ def read_changes(spark: SparkSession, source: ChangeSource, streaming: bool = Tr
 def parse(messages: DataFrame, schema: T.StructType = schemas.CHANGE_ROW, keep_deleted: bool = False) -> DataFrame:
     """Messages with what they say: row (a struct), instant (its created_at, or else the message's time), error (null for one that can be read) and kept (whether decode() gives its row).
 
-    Each message is parsed once, and its parts are looked at once: they come
-    out of a generator, into which no filter or later expression is pushed, as
-    they would parse it again or make code too long to be compiled.
+    Each message is parsed once, and its row is built once: both come out of
+    generators, into which no filter or later expression is pushed, as they
+    would parse it again or make code too long to be compiled. Its keys are
+    looked for only where the parsed envelope does not tell, or where the text
+    may hold NaN or an infinity, which from_json takes and JSON does not know.
     """
     envelope = T.StructType([T.StructField("payload", T.StructType([T.StructField("after", schema)])), T.StructField("after", schema), *schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    has_time = "created_at" in schema.fieldNames()
+    value, m, keys = F.col("value"), F.col("_m"), F.col("_keys")
+
+    parsed = messages.select(*messages.columns, F.explode_outer(F.array(F.from_json(value, envelope, options))).alias("_m"))
+    odd = value.contains("NaN") | value.contains("INF") | value.contains("Infinity")
+    told = F.coalesce((m["payload"].isNotNull() | m["after"].isNotNull()) & ~odd, F.lit(False))
+    parsed = parsed.withColumn("_keys", F.when(told, F.array(F.lit("after"))).otherwise(F.json_object_keys(value)))
+    enveloped = F.coalesce(F.array_contains(keys, "payload") | F.array_contains(keys, "after"), F.lit(False))
+    flat = F.struct(*(m[f.name].alias(f.name) for f in schema.fields))
+    row = F.when(enveloped, F.coalesce(m["payload"]["after"], m["after"])).otherwise(flat)
+    found = F.struct(row.alias("row"), (m["_corrupt"].isNotNull() | keys.isNull()).alias("broken"))
+    parsed = parsed.select(*messages.columns, F.explode_outer(F.array(found)).alias("_found")).select(*messages.columns, "_found.*")
 
-    def row_of(x: Column) -> Column:
-        enveloped = F.coalesce(F.array_contains(x["keys"], "payload") | F.array_contains(x["keys"], "after"), F.lit(False))
-        flat = F.struct(*(x["m"][f.name].alias(f.name) for f in schema.fields))
-        row = F.when(enveloped, F.coalesce(x["m"]["payload"]["after"], x["m"]["after"])).otherwise(flat)
-        return F.struct(row.alias("row"), (x["m"]["_corrupt"].isNotNull() | x["keys"].isNull()).alias("broken"))
-
-    def time_of(x: Column) -> Column:
-        time = x["row"]["created_at"].try_cast("timestamp") if has_time else F.lit(None).cast("timestamp")
-        return F.struct(x["row"].alias("row"), x["broken"].alias("broken"), time.alias("time"))
-
-    def error_of(x: Column) -> Column:
-        bad_time = (x["row"]["created_at"].isNotNull() & x["time"].isNull()) if has_time else F.lit(False)
-        error = F.when(F.col("value").isNull(), "null value").when(x["broken"], "not a JSON object of the expected types").when(bad_time, "created_at cannot be read")
-        return F.struct(x["row"].alias("row"), F.coalesce(x["time"], F.col("timestamp")).alias("instant"), error.alias("error"))
-
-    found = F.array(F.struct(F.from_json("value", envelope, options).alias("m"), F.json_object_keys(F.col("value")).alias("keys")))
-    for step in (row_of, time_of, error_of):
-        found = F.transform(found, step)
-    parsed = messages.select(*messages.columns, F.explode_outer(found).alias("_found")).select(*messages.columns, "_found.*")
+    has_time = "created_at" in schema.fieldNames()
+    time = F.col("row.created_at").try_cast("timestamp") if has_time else F.lit(None).cast("timestamp")
+    bad_time = (F.col("row.created_at").isNotNull() & time.isNull()) if has_time else F.lit(False)
+    error = F.when(value.isNull(), "null value").when(F.col("broken"), "not a JSON object of the expected types").when(bad_time, "created_at cannot be read")
+    parsed = parsed.select(*messages.columns, "row", F.coalesce(time, F.col("timestamp")).alias("instant"), error.alias("error"))
     kept = F.col("error").isNull() & F.col("row").isNotNull()
     if "__deleted" in schema.fieldNames() and not keep_deleted:
         kept &= F.coalesce(F.col("row.__deleted"), F.lit("false")) != "true"

@@ -143,13 +143,13 @@ class Snapshots:
         entry = self._entry(name, number)
         return self._rows(entry) if entry else None
 
-    def rows_of(self, name: str, keys: DataFrame, number: int | None = None) -> DataFrame | None:
-        """The rows of a keyed table that have a key of `keys`; only those keys' buckets are read."""
+    def rows_of(self, name: str, keys: DataFrame, number: int | None = None, unique: bool = False) -> DataFrame | None:
+        """The rows of a keyed table that have a key of `keys` (where `unique`, no key comes twice); only those keys' buckets are read."""
         entry = self._entry(name, number)
         if entry is None:
             return None
         wanted = keys.select(entry["key"])
-        return self._rows(entry, self._touched(wanted, entry)).join(wanted.distinct(), entry["key"], "left_semi")
+        return self._rows(entry, self._touched(wanted, entry)).join(wanted if unique else wanted.distinct(), entry["key"], "left_semi")
 
     def _touched(self, keys: DataFrame, entry: dict) -> list[int]:
         return sorted(r[0] for r in keys.select(_bucket(entry["key"], entry["buckets"]).alias("b")).distinct().collect())
@@ -176,7 +176,9 @@ class Snapshots:
         found = reduce(DataFrame.unionAll, (self._load([f], marked).withColumn("_place", F.lit(i)) for i, f in enumerate(changes)))
         if only is not None:
             found = found.filter(_bucket(key, entry["buckets"]).isin(*wanted)) if wanted else found.limit(0)
-        last = found.groupBy(key).agg(F.max_by(F.struct(*(f"`{c}`" for c in columns if c != key), "_deleted"), "_place").alias("_row")).select(key, "_row.*")
+        last = found.drop("_place")  # a folder has a row a key
+        if len(changes) > 1:
+            last = found.groupBy(key).agg(F.max_by(F.struct(*(f"`{c}`" for c in columns if c != key), "_deleted"), "_place").alias("_row")).select(key, "_row.*")
         return rows.join(last.select(key), key, "left_anti").select(*columns).unionAll(last.filter("NOT _deleted").select(*columns))
 
     # writing

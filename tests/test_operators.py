@@ -113,6 +113,41 @@ def test_merged_changes_are_parsed_once(spark):
     assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
 
 
+def test_messages_are_decoded_by_columns_and_their_keys_only_where_untold(spark):
+    good, _ = changes.decode(spark.createDataFrame([], changes.RAW), keep_deleted=True)
+    assert "lambda" not in good._jdf.queryExecution().optimizedPlan().toString()
+    values = ['{"after": {"txn_id": 1, "fraud_score": %s}}' % x for x in ("NaN", "-INF", "Infinity", "0.5", '"NaN"')] + ['{"after": {"txn_id": 1}', '{"after": {"txn_id": 1, "metadata": "INFO"}}', '{"payload": {}}']
+    df = spark.createDataFrame([(v, "t", 0, i, T0) for i, v in enumerate(values)], changes.RAW)
+    got = {r.offset: (r.row and r.row.txn_id, r.error is None) for r in changes.parse(df).collect()}
+    assert {i for i, (_, fine) in got.items() if fine} == {3, 4, 6, 7} and [got[i][0] for i in (3, 4, 6, 7)] == [1, 1, 1, None]
+
+
+def test_a_batch_is_written_once_and_equals_a_merge(spark, tmp_path, monkeypatch):
+    schema = "id bigint, v string, seq bigint, __deleted string"
+    first = [(i, "a", 10, "false") for i in range(20)]
+    second = [(1, "b", 11, "false"), (1, "c", 12, "false"), (1, "z", 3, "false"), (2, "old", 9, "false"), (3, "a", 10, "false"), (4, "a", 11, "true"), (5, "a", 9, "true"), (30, "n", 1, None), (31, "n", 1, "false"), (31, "n", 2, "true")]
+    store, real, rows = snapshots.Snapshots(spark, str(tmp_path)), writeback.written, []
+    monkeypatch.setattr(writeback, "written", lambda df, name, keep=False: (out := real(df, name, keep), rows.append(out.count()))[0])
+    want = None
+    for batch in (first, first + second, second, [(1, "gone", 13, "true")]):
+        images, kept = spark.createDataFrame(batch, schema), len({r[0] for r in batch})
+        rows.clear()
+        writeback.apply_images(store, "t", images, "id", ("seq",))
+        want = spark.createDataFrame(writeback.merge_images(want, images, "id", ("seq",)).collect(), "id bigint, v string, seq bigint")
+        assert sorted(store.current("t").collect()) == sorted(want.collect()) and sum(rows) <= kept
+    assert len(store.manifest(store.version())["tables"]["t"]["changes"]) == 2  # a repeated batch has none
+
+
+def test_one_folder_of_changes_needs_no_grouping(spark, tmp_path):
+    store = snapshots.Snapshots(spark, str(tmp_path))
+    store.commit({"t": spark.range(9).withColumn("v", F.lit(1))}, keys={"t": "id"})
+    for value, grouped in ((2, False), (3, True)):
+        store.commit(changes={"t": spark.range(3).select("id", F.lit(value).alias("v"))})
+        found = store.current("t")
+        assert ("max_by" in found._jdf.queryExecution().optimizedPlan().toString()) == grouped
+        assert sorted(map(tuple, found.collect())) == [(i, value if i < 3 else 1) for i in range(9)]
+
+
 def test_parsed_messages_tell_row_time_error_and_whether_they_count(spark):
     row = {"txn_id": 1, "amount": 5, "created_at": "2024-01-01T10:00:00Z", "__deleted": "true"}
     values = [json.dumps(row), json.dumps({"after": row | {"__deleted": "false", "created_at": None}}), json.dumps({"after": None}), json.dumps(row | {"created_at": "soon"}), json.dumps(row | {"amount": "much"}), "[1]", None]
